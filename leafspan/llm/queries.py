@@ -19,6 +19,43 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(documents(spark, sf_dir))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafspan.llm.lm_score import scores
+
+    return scores(documents(spark, sf_dir))
+
+
+def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafspan.llm.shards import shards
+
+    return shards(documents(spark, sf_dir))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafspan.llm import pii
+
+    return pii.digest(pii.spans(documents(spark, sf_dir)))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafspan.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafspan.llm import decontaminate
+
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.digest(decontaminate.contamination(documents(spark, sf_dir), items))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafspan.llm.mixture import mix
+
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
