@@ -11,10 +11,13 @@ A pair of similarity 0.75 shares none of 32 bands of 4 with probability below
 6e-6. Candidates whose sketches agree in fewer than 60 of 128 coordinates are
 put aside (a pair of 0.75 agrees in 96 +- 4.9, so this loses below 1e-11).
 
-Groups are never expanded into pairs: equal sets become one node; each node is
-confirmed against the best of its bands' smallest nodes, and the classes are
-joined; only bands that still hold several classes are then compared in blocks,
-of which only pairs from different classes that pass the sketches come out.
+Groups are never expanded into pairs. Equal sets become one node. Each node is
+confirmed against the best of its bands' smallest nodes, which links most copies
+to their original at a cost linear in the nodes. What is left are nodes that the
+bands relate but no link joins yet: they are gathered to clusters of agreeing
+sketches, and the clusters' full sets are compared in blocks, each block pair as
+one product of incidence matrices, of which a spanning forest of the links comes out.
+Blocks within one class are not compared.
 """
 
 from __future__ import annotations
@@ -32,8 +35,12 @@ T, BANDS, ROWS = 128, 32, 4
 SHINGLE = 5
 #: Coordinates of T that must agree before full sets are compared.
 AGREE = 60
-#: Nodes of one band that are compared at a time.
-BLOCK = 512
+#: A link: SHARE_OF * |A n B| >= SHARE * |A u B|.
+SHARE_OF, SHARE = 100, 75
+#: Nodes that are compared at a time.
+BLOCK = 256
+#: Lists of nodes up to this length are broadcast to the texts, longer ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _DOC_BITS = np.uint64(8)
 
 SKETCHED = "doc_id long, n_shingles long, set_key binary, sketch binary, bands array<long>"
@@ -124,19 +131,6 @@ def _sketches(batches):
         )
 
 
-def _set_arrays(batches):
-    for rows, words in _pieces(batches):
-        doc, shingle = shingle_sets(words)
-        ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=rows.num_rows))])
-        yield pa.RecordBatch.from_arrays(
-            [
-                rows.column("doc_id"),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(shingle.view(np.int64))),
-            ],
-            names=["node", "items"],
-        )
-
-
 def _agreeing(batches):
     for batch in batches:
         a, b = (
@@ -154,9 +148,36 @@ def _agreeing(batches):
         )
 
 
-def _block_pairs(batches):
-    """Pairs from two blocks of a band whose classes differ and whose sketches agree."""
+def _forest(adjacent: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (larger, smaller) of a spanning forest of the bipartite relation ``adjacent`` of nodes one x two."""
+    i, j = np.flatnonzero(adjacent.any(axis=1)), np.flatnonzero(adjacent.any(axis=0))
+    if not len(i):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    adjacent, one, two = adjacent[np.ix_(i, j)], one[i], two[j]
+    top = np.iinfo(np.int64).max
+    a, b = one.copy(), two.copy()
+    while True:
+        b2 = np.minimum(b, np.where(adjacent, a[:, None], top).min(axis=0))
+        a2 = np.minimum(a, np.where(adjacent, b2[None, :], top).min(axis=1))
+        if (a2 == a).all() and (b2 == b).all():
+            break
+        a, b = a2, b2
+    node, least = np.concatenate([one, two]), np.concatenate([a, b])
+    keep = node != least
+    return node[keep], least[keep]
+
+
+def _edges(found: list[tuple[np.ndarray, np.ndarray]]):
+    if found:
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        pairs = np.unique(np.stack([a, b]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
+def _related(batches):
+    """Forests of the agreeing sketches between two blocks of a band, over nodes of different classes."""
     for batch in batches:
+        found = []
         for row in batch.to_pylist():
             i, j = (
                 (
@@ -166,33 +187,150 @@ def _block_pairs(batches):
                 )
                 for c in ("one", "two")
             )
-            out = []
+            near = np.zeros((len(i[0]), len(j[0])), bool)
             for x in range(len(i[0])):
-                other = np.flatnonzero((j[1] != i[1][x]) & (j[0] != i[0][x]))
-                near = other[(j[2][other] == i[2][x]).sum(axis=1) >= AGREE]
-                if len(near):
-                    out.append((np.minimum(j[0][near], i[0][x]), np.maximum(j[0][near], i[0][x])))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([o[k] for o in out])) for k in (1, 0)], names=["a", "b"]
-                )
+                other = np.flatnonzero(j[1] != i[1][x])
+                near[x, other] = (j[2][other] == i[2][x]).sum(axis=1) >= AGREE
+            found.append(_forest(near, i[0], j[0]))
+        yield from _edges(found)
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """Forests of the exact links of one cell: within each cluster, or between a cluster's two blocks."""
+    cluster, side, node, component = (table.column(c).to_numpy() for c in ("cluster", "side", "node", "component"))
+    items = [np.frombuffer(x, tn.U) for x in table.column("items").to_pylist()]
+    found = []
+    for c in np.unique(cluster):
+        own = np.flatnonzero(cluster == c)
+        left, right = own[side[own] == 0], own[side[own] == 1]
+        right = right if len(right) else left
+        sizes = np.array([len(items[x]) for x in own])
+        at = {x: k for k, x in enumerate(own)}
+        every = np.concatenate([items[x] for x in own])
+        who = np.repeat(np.arange(len(own)), sizes)
+        value, place, times = np.unique(every, return_inverse=True, return_counts=True)
+        shared = times[place] > 1
+        who, place = who[shared], (np.cumsum(times > 1) - 1)[place[shared]]
+        order = np.argsort(place, kind="stable")
+        who, place = who[order], place[order]
+        i, j = np.array([at[x] for x in left]), np.array([at[x] for x in right])
+        both = np.zeros((len(i), len(j)), np.float32)
+        for low in range(0, int(place.max(initial=-1)) + 1, 4096):  # a slice of the shingles at a time
+            x, y = np.searchsorted(place, [low, low + 4096])
+            incidence = np.zeros((len(own), 4096), np.float32)
+            incidence[who[x:y], place[x:y] - low] = 1
+            both += incidence[i] @ incidence[j].T
+        both = both.astype(np.int64)
+        linked = SHARE_OF * both >= SHARE * (sizes[i][:, None] + sizes[j][None, :] - both)
+        linked &= component[left][:, None] != component[right][None, :]
+        found.append(_forest(linked, node[left], node[right]))
+    return pa.Table.from_batches(list(_edges(found)), schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def with_small(table: DataFrame, rows: int) -> DataFrame:
+    """``table`` marked for broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, carry: list[str]) -> DataFrame:
+    """(carry..., node, items) for the rows of ``wanted`` (carry..., node): items holds the node's shingles as 64-bit numbers."""
+    rows = docs.select(F.col("doc_id").alias("node"), "text").join(with_small(wanted, BROADCAST_ROWS), "node")
+    names = [*carry, "node"]
+
+    def pack(batches):
+        for rows, words in _pieces(batches):
+            doc, shingle = shingle_sets(words)
+            count = np.bincount(doc, minlength=rows.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [*(rows.column(c) for c in names), tn.binary_rows(shingle, count, 8)], names=[*names, "items"]
+            )
+
+    return rows.mapInArrow(pack, ", ".join(f"{c} long" for c in names) + ", items binary")
+
+
+def _overlaps(batches):
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("ia").to_pylist(), batch.column("ib").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, tn.U), np.frombuffer(y, tn.U)
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            both = int((y[at] == x).sum()) if len(y) else 0
+            keep.append(SHARE_OF * both >= SHARE * (len(x) + len(y) - both))
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough. Meant for many a per b."""
+    one = _sets(docs, pairs.select(F.col("a").alias("node"), "b"), ["b"]).select(F.col("node").alias("a"), "b", F.col("items").alias("ia"))
+    two = _sets(docs, pairs.select(F.col("b").alias("node")).distinct(), []).select(F.col("node").alias("b"), F.col("items").alias("ib"))
+    return one.join(two, "b").select("a", "b", "ia", "ib").mapInArrow(_overlaps, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, share: int = 75) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets overlap by ``share`` hundredths of their union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = saved(sets.mapInArrow(_set_arrays, "node long, items array<long>"), "sets")
-    sa = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
-    sb = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))
-    both = F.size(F.array_intersect("ia", "ib"))
-    return (
-        pairs.select("a", "b")
-        .join(sa.hint("merge"), "a")
-        .join(sb.hint("merge"), "b")
-        .filter(100 * both >= share * (F.size("ia") + F.size("ib") - both))
-        .select("a", "b")
+def clusters(shared: DataFrame, sketches: DataFrame, near: DataFrame) -> DataFrame:
+    """(node, cluster): nodes that a chain of shared bands with agreeing sketches joins.
+
+    ``near`` has the agreeing pairs of each band's nodes with its smallest one.
+    Bands whose nodes fall into several clusters are compared in blocks.
+    """
+    first = saved(components(near), "clusters")
+    placed = shared.join(first, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    split = (
+        placed.groupBy("band")
+        .agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
+        .filter("x <> y")
+        .select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
+    apart = (
+        placed.join(split, "band")
+        .join(sketches, "node")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .groupBy("band", "block")
+        .agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("node", "component", "sketch")).alias("one"))
+    )
+    apart = saved(apart, "apart")
+    left = apart.select("band", "one", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+    right = apart.select("band", "block", F.col("one").alias("two"))
+    more = left.join(right, ["band", "block"]).select("one", "two").mapInArrow(_related, "a long, b long").distinct()
+    more = saved(more, "related")
+    if more.isEmpty():
+        return first.withColumnRenamed("component", "cluster")
+    return saved(components(near.unionAll(more)), "clusters").withColumnRenamed("component", "cluster")
+
+
+def remaining_links(docs: DataFrame, cluster: DataFrame, classes: DataFrame) -> DataFrame:
+    """A spanning forest (a, b) of the exact links between different classes within each cluster."""
+    placed = cluster.join(classes, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("component"))
+    open_ = placed.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+    placed = saved(placed.join(open_.filter("x <> y").select("cluster", "n"), "cluster"), "open")
+    cells = max(1, placed.count() // BLOCK)
+    small = placed.filter(F.col("n") <= BLOCK).select(
+        F.pmod(F.xxhash64("cluster"), F.lit(cells)).alias("cell"), "cluster", F.lit(0).cast("long").alias("side"), "node", "component"
+    )
+    large = placed.filter(F.col("n") > BLOCK)
+    sizes = large.groupBy("cluster", "component").agg(F.count("*").alias("of_class"))
+    # a class that fills blocks gets its own, the others share mixed ones
+    alone = F.col("of_class") > BLOCK
+    mixed = sizes.filter(~alone).groupBy("cluster").agg(F.sum("of_class").alias("of_mixed"))
+    large = large.join(sizes, ["cluster", "component"]).join(mixed, "cluster", "left")
+    count = F.ceil(F.when(alone, F.col("of_class")).otherwise(F.col("of_mixed")) / BLOCK)
+    pure = F.when(alone, F.col("component"))
+    large = large.select(
+        "cluster", "node", "component", pure.alias("pure"), F.xxhash64(pure, F.pmod(F.xxhash64("node"), count)).alias("block")
+    )
+    blocks = large.select("cluster", "block", "pure").distinct()
+    other = blocks.select("cluster", F.col("block").alias("block2"), F.col("pure").alias("pure2"))
+    pairs = blocks.join(other, "cluster").filter("block <= block2 AND NOT coalesce(pure = pure2, false)")
+    pairs = pairs.select("cluster", "block", "block2", F.xxhash64("cluster", "block", "block2").alias("cell"))
+    members = large.select("cluster", "block", "node", "component")
+    side = lambda k, of: pairs.filter(of).select("cell", "cluster", F.col(k).alias("block")).join(members, ["cluster", "block"])
+    names = ["cell", "cluster", "side", "node", "component"]
+    one = side("block", F.lit(True)).withColumn("side", F.lit(0).cast("long")).select(names)
+    two = side("block2", F.col("block") < F.col("block2")).withColumn("side", F.lit(1).cast("long")).select(names)
+    wanted = saved(small.unionAll(one).unionAll(two), "cells")
+    sets = _sets(docs, wanted, [c for c in names if c != "node"])
+    return sets.groupBy("cell").applyInArrow(_linked, "a long, b long")
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -226,32 +364,14 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
         .mapInArrow(_agreeing, "a long, b long, agree int")
     )
+    near = saved(near, "near")
     best = saved(near.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b")), "best")
     links = saved(confirmed(best, docs).unionAll(same), "links")
     classes = saved(components(links), "classes")
-
-    placed = shared.join(classes, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    split = (
-        placed.groupBy("band")
-        .agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
-        .filter("x <> y")
-        .select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    )
-    apart = (
-        placed.join(split, "band")
-        .join(sketches, "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .groupBy("band", "block")
-        .agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("node", "component", "sketch")).alias("one"))
-    )
-    apart = saved(apart, "apart")
-    left = apart.select("band", "one", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
-    right = apart.select("band", "block", F.col("one").alias("two"))
-    rest = left.join(right, ["band", "block"]).select("one", "two").mapInArrow(_block_pairs, "a long, b long").distinct()
-    rest = saved(rest, "rest")
-    if not rest.isEmpty():
-        links = links.unionAll(confirmed(rest, docs))
-        classes = saved(components(links), "classes")
+    cluster = clusters(shared, sketches, near.select("a", "b"))
+    more = saved(remaining_links(docs, cluster, classes), "links")
+    if not more.isEmpty():
+        classes = saved(components(links.unionAll(more)), "classes")
 
     label = members.join(classes, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = every.select("doc_id", "n_shingles", "set_key").join(label, "set_key", "left")
