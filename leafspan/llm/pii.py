@@ -81,7 +81,7 @@ def _valid(kind: str, match: Column) -> Column:
         part = lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.ltrim(p, F.lit("0")).try_cast("int"), F.lit(0)) <= 255)
         return F.forall(F.split(match, r"\."), part)
     if kind == "card":
-        return F.length(digits).between(14, 19) & F.luhn_check(digits)
+        return F.length(digits).between(14, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(digits).between(10, 15)
     return F.lit(True)
@@ -139,33 +139,36 @@ def proposals(docs: DataFrame) -> DataFrame:
             some = F.exists(f"{c}_{k}", lambda x: x["match"].isNotNull())
             spans = F.when(some, _placed(F.col(f"{c}_{k}"), i)).otherwise(F.array().cast(_SPAN))
             out = out.withColumn(f"s{c}_{k}", spans)
-    base = F.concat(
-        *(
-            F.transform(F.filter(f"sc_{k}", lambda x, k=k: _valid(k, x["match"])), lambda x: F.struct(x["start"], x["kind"], x["end"]))
-            for k in KINDS
+    out = out.withColumn("base", F.array_sort(F.concat(*(_accepted(k) for k in KINDS))))
+    return out.select("doc_id", "base", F.concat(*(_described(k) for k in KINDS)).alias("proposed"))
+
+
+def _accepted(kind: str) -> Column:
+    valid = F.filter(f"sc_{kind}", lambda x: _valid(kind, x["match"]))
+    return F.transform(valid, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+
+def _described(kind: str) -> Column:
+    """A kind's proposals with enough digits: place, whether a certain span of the kind or any touches them, features."""
+    least, most = {"card": (13, 19), "phone": (10, 19), "ip": (4, 99), "email": (0, 1 << 30)}[kind]
+    wide = F.filter(f"sp_{kind}", lambda x: F.length(F.regexp_replace(x["match"], "[^0-9]", "")).between(least, most))
+
+    def touched(x: Column, same: bool) -> Column:
+        return F.exists(
+            "base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & ((y["kind"] == x["kind"]) if same else F.lit(True))
         )
+
+    return F.transform(
+        wide,
+        lambda x: F.struct(
+            x["start"].alias("start"),
+            x["kind"].alias("kind"),
+            x["end"].alias("end"),
+            touched(x, True).alias("certain"),
+            touched(x, False).alias("covered"),
+            *(f.cast("int").alias(n) for n, f in zip(FEATURES, _features(kind, F.col("text"), x), strict=True)),
+        ),
     )
-    out = out.withColumn("base", F.array_sort(base))
-    parts = []
-    for k in KINDS:
-        enough = {"card": 13, "phone": 10, "ip": 4, "email": 0}[k]
-        wide = F.filter(f"sp_{k}", lambda x, e=enough: F.length(F.regexp_replace(x["match"], "[^0-9]", "")).between(e, 19 if e > 4 else 99))
-        touches = lambda x: F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-        same = lambda x: F.exists("base", lambda y: (y["kind"] == x["kind"]) & (y["start"] < x["end"]) & (x["start"] < y["end"]))
-        parts.append(
-            F.transform(
-                wide,
-                lambda x, k=k: F.struct(
-                    x["start"],
-                    x["kind"],
-                    x["end"],
-                    same(x).alias("certain"),
-                    touches(x).alias("covered"),
-                    *(f.cast("int").alias(n) for n, f in zip(FEATURES, _features(k, F.col("text"), x), strict=True)),
-                ),
-            )
-        )
-    return out.select("doc_id", "base", F.concat(*parts).alias("proposed"))
 
 
 class Trees:
@@ -278,7 +281,8 @@ def spans(docs: DataFrame) -> DataFrame:
             *(F.when(x["kind"] == KINDS.index(k), m.column(x) >= at - 1e-9) for k, (m, at) in models.items()), F.lit(False)
         )
         added = F.transform(
-            F.filter("proposed", lambda x: ~x["covered"] & chosen(x)), lambda x: F.struct(x["start"], x["kind"], x["end"])
+            F.filter("proposed", lambda x: ~x["covered"] & chosen(x)),
+            lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")),
         )
         return found.select("doc_id", "base", F.array_sort(F.array_distinct(F.concat("base", added))).alias("spans"))
     return found.select("doc_id", "base", F.col("base").alias("spans"))

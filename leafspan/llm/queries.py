@@ -43,6 +43,27 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafspan.llm.language_id import languages
+
+    return languages(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafspan.llm import quality
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return quality.judged(documents(spark, sf_dir), labels, ["doc_id"]).select("doc_id", *names, "base_failed", "kept")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafspan.llm import token_files
+
+    docs = documents(spark, sf_dir)
+    return token_files.read_back(token_files.write(docs), docs)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafspan.llm import decontaminate
 
