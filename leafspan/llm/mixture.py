@@ -108,19 +108,34 @@ def cuts(rows: DataFrame) -> tuple[DataFrame, int]:
     last = binned.withColumnRenamed("bin", "own").join(ends, same).filter("own = bin")
     ordered = Window.partitionBy("_source").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = last.withColumn("rank", pareto_rank(F.col("_u"), F.col("p"))).withColumn("sum", F.col("before") + F.sum("_size").over(ordered))
-    # of the two places around the target, the nearer one
-    over, short = F.col("sum") - F.col("rest"), F.col("rest") - (F.col("sum") - F.col("_size"))
-    cut = last.filter((over <= 0) | ((over < short) & (short > 0))).groupBy("_source").agg(F.max("_u").alias("cut"))
-    ends = ends.select(F.col("_source").alias("s"), "bin")
-    cut = cut.withColumnRenamed("_source", "t")
-    goals = goals.drop("rest").join(ends, F.col("_source").eqNullSafe(F.col("s")), "left").drop("s")
-    return saved(goals.join(cut, F.col("_source").eqNullSafe(F.col("t")), "left").drop("t"), "cuts"), bins
+    under = last.filter(F.col("sum") <= F.col("rest")).groupBy("_source").agg(F.max("_u").alias("cut"), F.max("sum").alias("reached"))
+    ends = ends.withColumnRenamed("_source", "s").join(
+        under.withColumnRenamed("_source", "t"), F.col("s").eqNullSafe(F.col("t")), "left"
+    )
+    ends = saved(ends.select("s", "bin", "cut", (F.col("rest") - F.coalesce("reached", "before")).alias("gap")), "gaps")
+    # what the gap lacks comes from the one document left that fits it best
+    lacking = binned.withColumnRenamed("bin", "own").join(ends, F.col("source").eqNullSafe(F.col("s"))).filter(~_below("own"))
+    miss = F.abs(F.col("_size") - F.col("gap"))
+    fill = (
+        lacking.filter(miss < F.col("gap"))
+        .groupBy(F.col("s").alias("f"))
+        .agg(F.min(F.struct(miss, "_u")).alias("best"))
+        .select("f", F.col("best._u").alias("fill"))
+    )
+    ends = ends.drop("gap").join(fill, F.col("s").eqNullSafe(F.col("f")), "left").drop("f")
+    return saved(goals.drop("rest").join(ends, F.col("_source").eqNullSafe(F.col("s")), "left").drop("s"), "cuts"), bins
+
+
+def _below(own: str) -> Column:
+    """Whether a row (its bin, _u) comes before the place where its source's sample ends (bin, cut)."""
+    return (F.col(own) < F.col("bin")) | ((F.col(own) == F.col("bin")) & F.coalesce(F.col("_u") <= F.col("cut"), F.lit(False)))
 
 
-def _copies(bins: int) -> Column:
-    own = F.floor(F.col("_u") * bins).cast("int")
-    chosen = (F.col("p") > 0) & ((own < F.col("bin")) | ((own == F.col("bin")) & (F.col("_u") <= F.col("cut"))))
-    return F.col("certain") + F.coalesce(chosen, F.lit(False)).cast("int")
+def _with_copies(rows: DataFrame, goals: DataFrame, bins: int) -> DataFrame:
+    out = rows.join(goals, F.col("source").cast("string").eqNullSafe(F.col("_source")))
+    out = out.withColumn("_own", F.floor(F.col("_u") * bins).cast("int"))
+    chosen = (F.col("p") > 0) & (_below("_own") | F.coalesce(F.col("_u") == F.col("fill"), F.lit(False)))
+    return out.withColumn("_copies", F.col("certain") + F.coalesce(chosen, F.lit(False)).cast("int"))
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -135,7 +150,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     rows = saved(_drawn(docs, seed).drop("text"), "sizes")
     goals, bins = cuts(rows)
-    out = rows.join(goals, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", _copies(bins))
+    out = _with_copies(rows, goals, bins).withColumnRenamed("_copies", "copies")
     return out.select(
         "doc_id",
         "source",
@@ -153,5 +168,5 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     goals, bins = cuts(saved(_drawn(ids, seed).drop("text"), "sizes"))
     drawn = docs.withColumn("_u", uniform(F.col("doc_id").cast("long"), F.col("text"), seed=seed))
-    drawn = drawn.join(goals, F.col("source").cast("string").eqNullSafe(F.col("_source"))).withColumn("_copies", _copies(bins))
+    drawn = _with_copies(drawn, goals, bins)
     return drawn.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)

@@ -221,7 +221,7 @@ _INDEX_SCHEMA = pa.schema(
 )
 
 
-def _indexed(key, table: pa.Table) -> pa.Table:
+def _indexed(key, table):
     h = _keys(table)
     pilots, slot = perfect_hash(h)
 
