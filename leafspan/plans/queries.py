@@ -1,37 +1,3 @@
-"""Registered queries over the given tables."""
+"""Loads all modules that register queries."""
 
-from __future__ import annotations
-
-from pyspark.sql import functions as F
-
-from leafspan.registry import query
-
-#: Lines of a document's text that make one page.
-LINES_PER_PAGE = 5
-
-
-def pages_of(docs, lines_per_page: int = LINES_PER_PAGE):
-    """(doc_id, page_num, text): the lines of each text in pages of ``lines_per_page`` lines."""
-    lines = F.split("text", "\n", -1)
-    page = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / lines_per_page).cast("int")),
-        lambda i: F.array_join(F.slice(F.col("lines"), i * lines_per_page + 1, lines_per_page), "\n"),
-    )
-    return (
-        docs.filter("text IS NOT NULL")
-        .select("doc_id", lines.alias("lines"))
-        .select("doc_id", F.posexplode(page).alias("pos", "text"))
-        .select("doc_id", (F.col("pos") + 1).cast("long").alias("page_num"), "text")
-    )
-
-
-@query(
-    r"""
-SELECT doc_id, page_num, array_to_string(lines[(page_num - 1) * 5 + 1:page_num * 5], chr(10)) AS text
-FROM (SELECT doc_id, string_split(text, chr(10)) AS lines,
-        unnest(range(1, ((len(string_split(text, chr(10))) - 1) // 5 + 2)::BIGINT)) AS page_num
-      FROM documents WHERE text IS NOT NULL)
-"""
-)
-def pages_view(spark, sf_dir):
-    return pages_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+from leafspan.plans import text_queries, toc_queries  # noqa: F401
