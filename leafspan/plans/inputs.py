@@ -97,7 +97,7 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 CALLS = r"""
 calls_v AS MATERIALIZED (
   SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS tool,
-    json_extract(props, '$.k')::BIGINT AS page FROM events)"""
+    json_extract_string(props, '$.k')::BIGINT AS page FROM events)"""
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
