@@ -1,3 +1,3 @@
 """Loads all modules that register queries."""
 
-from leafspan.plans import session_queries, text_queries, toc_queries  # noqa: F401
+from leafspan.plans import outline_queries, session_queries, text_queries, toc_queries  # noqa: F401

@@ -43,8 +43,21 @@ def oracle_rows(con, sql):
     return names, sorted((tuple(plain(x[i]) for i in order) for x in r.fetchall()), key=repr)
 
 
+#: Spark's type names for DuckDB's.
+KINDS = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
+
+
+def types_of(df, con, sql) -> str:
+    here = {c: t for c, t in df.dtypes}
+    there = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return ", ".join(f"{c}: {here[c]} and {there[c]}" for c in here if c in there and KINDS.get(there[c], there[c]) != here[c])
+
+
 def compare(spark, con, sf_dir, f, sql) -> str:
-    got, want = rows_of(f(spark, sf_dir)), oracle_rows(con, sql)
+    df = f(spark, sf_dir)
+    if kinds := types_of(df, con, sql):
+        return f"types {kinds}"
+    got, want = rows_of(df), oracle_rows(con, sql)
     if got[0] != want[0]:
         return f"columns {got[0]} and {want[0]}"
     if got[1] == want[1]:
