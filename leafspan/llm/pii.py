@@ -110,7 +110,7 @@ def _features(kind: str, text: Column, span: Column) -> list[Column]:
     edges = {"email": (1, 2, 4), "ip": (5, 7, 9), "card": (13, 15, 16), "phone": (9, 10, 11)}[kind]
     binned = sum(((digits > e).cast("int") for e in edges[1:]), (digits > edges[0]).cast("int"))
     space, other = match.contains(" "), match.rlike(r"[._/-]")
-    groups = F.size(F.split(match, r"[^A-Za-z0-9]+"))
+    groups = F.regexp_count(match, F.lit("[A-Za-z0-9]+"))
     before = F.substring(text, F.greatest(span["start"] - CONTEXT + 1, F.lit(1)), F.least(span["start"], F.lit(CONTEXT)))
     last, after = F.substring(text, span["start"], F.lit(1)), F.substring(text, span["end"] + 1, F.lit(1))
     return [
@@ -251,12 +251,12 @@ def fitted(found: DataFrame) -> dict[str, tuple[Trees, float]]:
     spans = found.select(F.explode("proposed").alias("s")).select("s.*")
     counts = (
         spans.groupBy("kind", *FEATURES)
-        .agg(F.sum(F.col("certain").cast("long")).alias("right"), F.sum((~F.col("certain") & ~F.col("covered")).cast("long")).alias("wrong"))
+        .agg(F.sum(F.col("certain").cast("long")).alias("n_right"), F.sum((~F.col("certain") & ~F.col("covered")).cast("long")).alias("n_wrong"))
         .collect()  # at most len(KINDS) * 2048 rows
     )
     models = {}
     for i, k in enumerate(KINDS):
-        rows = sorted((tuple(r[n] for n in FEATURES), r["right"], r["wrong"]) for r in counts if r["kind"] == i)
+        rows = sorted((tuple(r[n] for n in FEATURES), r["n_right"], r["n_wrong"]) for r in counts if r["kind"] == i)
         if sum(r[1] for r in rows) >= LEAST_SEEN:
             model = Trees(rows, list(FEATURES.values()))
             at = threshold(model, rows)
