@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafspan.llm.session import ascii_lower, saved
+from leafspan.llm.session import ascii_lower, saved, set_aside
 
 WINDOW = 13
 #: Fixed value: what separates words (ASCII characters other than digits and letters).
@@ -146,6 +146,6 @@ def digest(found: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows."""
-    bad = contamination(docs, items).filter("contaminated").select(F.col("id").alias("_id"), F.col("copy").alias("_copy")).distinct()
-    id_, copy = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.xxhash64("text")
-    return docs.join(bad, (id_ == F.col("_id")) & (copy == F.col("_copy")), "left_anti")
+    plain, restored = set_aside(docs, "doc_id", "text")
+    bad = contamination(plain, items).filter("contaminated").select("id", "copy").distinct()
+    return restored(keyed(plain).join(bad, ["id", "copy"], "left_anti"))

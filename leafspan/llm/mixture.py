@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafspan.llm.session import SPACE_WORD, saved
+from leafspan.llm.session import SPACE_WORD, saved, set_aside
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
@@ -164,9 +164,9 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its copies say, with the columns of ``docs``."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    plain, restored = set_aside(docs, "doc_id", "text", "source")
+    ids = plain.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     goals, bins = cuts(saved(_drawn(ids, seed).drop("text"), "sizes"))
-    drawn = docs.withColumn("_u", uniform(F.col("doc_id").cast("long"), F.col("text"), seed=seed))
-    drawn = _with_copies(drawn, goals, bins)
-    return drawn.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    drawn = plain.withColumn("_u", uniform(F.col("doc_id").cast("long"), F.col("text"), seed=seed))
+    drawn = _with_copies(drawn, goals, bins).filter("_copies > 0")
+    return restored(drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from leafspan.llm import textnum as tn
 from leafspan.llm.components import components
-from leafspan.llm.session import saved
+from leafspan.llm.session import saved, set_aside
 
 T, BANDS, ROWS = 128, 32, 4
 SHINGLE = 5
@@ -391,14 +391,13 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id all stay. Of rows that share the kept doc_id, the one
     with the smallest text stays.
     """
-    kept = near_duplicate_classes(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    names = docs.columns
-    twice = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    stay = docs.join(kept, "doc_id", "left_semi")
-    single = stay.join(twice, "doc_id", "left_anti")
+    plain, restored = set_aside(docs, "doc_id", "text")
+    kept = near_duplicate_classes(plain).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    twice = plain.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    stay = plain.join(kept, "doc_id", "left_semi")
     again = stay.join(twice, "doc_id", "left_semi")
-    rest = [F.col(f"`{c}`") for c in names if c != "doc_id"]
-    again = again.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row")).select(
-        *[F.col("doc_id") if c == "doc_id" else F.col("_row").getField(c).alias(c) for c in names]
-    )
-    return single.unionByName(again).unionByName(docs.filter("doc_id IS NULL")).select(*[f"`{c}`" for c in names])
+    rest = [c for c in plain.columns if c != "doc_id"]
+    again = again.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in rest if c != "text"))).alias("row_"))
+    again = again.select("doc_id", *(F.col("row_").getField(c).alias(c) for c in rest))
+    out = stay.join(twice, "doc_id", "left_anti").unionByName(again).unionByName(plain.filter("doc_id IS NULL"))
+    return restored(out)

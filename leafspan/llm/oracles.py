@@ -21,3 +21,37 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, c.c = d.do
 FROM documents d JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id
 LEFT JOIN n ON n.doc_id = d.doc_id
 """
+
+op5_substring_dedup = rf"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents
+), h AS MATERIALIZED (
+  SELECT doc_id, list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' '))) AS h FROM w
+), s AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(h) + 1)) AS i, unnest(h) AS h FROM h
+), t AS MATERIALIZED (SELECT h FROM s GROUP BY h HAVING count(*) > 1
+), r AS MATERIALIZED (
+  SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM s WHERE h IN (SELECT h FROM t)) GROUP BY doc_id
+)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(p), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN p IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(p, j)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+"""
+
+_ITEM_WORDS = rf"regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+op9_decontamination = rf"""
+WITH i AS MATERIALIZED (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark
+), v AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 13 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' ')) END) AS t FROM i
+), d AS MATERIALIZED (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents
+), l AS MATERIALIZED (
+  SELECT doc_id, n, list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' ')) AS t FROM d, (SELECT DISTINCT n FROM v)
+), o AS MATERIALIZED (
+  SELECT doc_id, p, n, item_id FROM (SELECT doc_id, n, unnest(range(1, len(t) + 1)) AS p, unnest(t) AS t FROM l) JOIN v USING (n, t)
+), h AS MATERIALIZED (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS x FROM o) GROUP BY doc_id
+), m AS MATERIALIZED (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM o GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""

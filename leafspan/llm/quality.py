@@ -56,10 +56,7 @@ def statistics(words: tn.Words) -> dict[str, np.ndarray]:
     for name, kind in (("n_symbols", _SYMBOL), ("n_upper", _UPPER), ("n_letters", _LETTER), ("n_marks", _MARK), ("n_pipes", _PIPE)):
         out[name] = _per_text(kind[data], offsets)
 
-    # lines with a word: cut at \n and at the texts' borders
-    breaks = np.flatnonzero(data == 10)
-    first = np.union1d(offsets[:-1][np.diff(offsets) > 0], breaks + 1)
-    first = first[first < len(data)]
+    # lines with a word: runs of bytes other than \n
     lines = tn.Words(data, offsets, _NOT_BREAK)
     has = np.searchsorted(words.first, lines.end) > np.searchsorted(words.first, lines.first)
     h = lines.hashes(tn.EXACT)[has]
@@ -89,9 +86,9 @@ def statistics(words: tn.Words) -> dict[str, np.ndarray]:
 _NOT_BREAK = tn.classes([10])
 
 
-def _measured(names: list[str]):
+def _measured(names: list[str], text: str):
     def measure(batches):
-        for rows, words in tn.runs(batches):
+        for rows, words in tn.runs(batches, column=text):
             found = statistics(words)
             yield pa.RecordBatch.from_arrays(
                 [*(rows.column(c) for c in names), *(pa.array(found[c]) for c in BASE + MORE)], names=[*names, *BASE, *MORE]
@@ -101,12 +98,12 @@ def _measured(names: list[str]):
 
 
 def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns ``carry`` of each row with the statistics of its text."""
+    """The columns ``carry`` of each row, named _c0, _c1, ..., with the statistics of its text."""
     types = dict(docs.dtypes)
     inner = {c: f"_c{i}" for i, c in enumerate(carry)}
-    asked = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in inner.items()), F.col("text"))
+    asked = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in inner.items()), *([] if "text" in inner else ["text"]))
     schema = ", ".join([*(f"{x} {types[c]}" for c, x in inner.items()), *(f"{c} long" for c in BASE + MORE)])
-    return asked.mapInArrow(_measured(list(inner.values())), schema)
+    return asked.mapInArrow(_measured(list(inner.values()), inner.get("text", "text")), schema)
 
 
 #: What conditions test: shares of a text, so that rules hold for any length.
@@ -238,7 +235,7 @@ def judged(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFrame:
 
 def of_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    names = [c for c in docs.columns]
+    names = docs.columns
     rules = fitted(docs, labels)
     stats = measured(docs, names)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -49,5 +49,15 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def set_aside(docs: DataFrame, *needed: str):
+    """(``docs`` with all columns but ``needed`` renamed out of the way, a function that restores names and order)."""
+    others = {c: f"other_{i}__" for i, c in enumerate(docs.columns) if c not in needed}
+
+    def restored(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))
+
+    return docs.toDF(*(others.get(c, c) for c in docs.columns)), restored
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
