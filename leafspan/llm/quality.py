@@ -197,7 +197,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        known.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), "doc_id"
+        F.broadcast(known.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")), "doc_id"  # at most MOST_LABELLED rows
     )
     stats = measured(rows, ["doc_id", "quality"]).withColumnsRenamed({"_c0": "doc_id", "_c1": "quality"})
     values = stats.select("quality", "doc_id", *(c.cast("double").alias(n) for n, c in features(F.col).items()))
