@@ -147,11 +147,11 @@ def pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]
         a = b
 
 
-def runs(batches, table: np.ndarray = SPACE_WORDS, column: str = "text"):
+def runs(batches, table: np.ndarray = SPACE_WORDS, column: str = "text", limit: int = PIECE):
     """(rows of the batch, their Words) for all batches in turn."""
     for batch in batches:
         data, offsets = texts(batch.column(batch.schema.get_field_index(column)))
-        for a, b in pieces(offsets):
+        for a, b in pieces(offsets, limit):
             yield batch.slice(a, b - a), Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], table)
 
 

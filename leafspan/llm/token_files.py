@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ END = 2
 #: Bytes of text per part, ids per block, keys per index bucket (about).
 PART_BYTES, BLOCK_IDS, BUCKET_KEYS = 16 << 20, 1 << 20, 20_000
 #: Different words whose ids a worker remembers before it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 
 IDS = "part int, block int, doc_ids array<long>, nths array<int>, lengths array<long>, n_tokens long, ids binary"
 INDEX = (
@@ -79,11 +80,11 @@ class Encoder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.array([len(x) for x in found], np.int64)
         start = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
-        every = np.concatenate([self.key, key])
-        order = np.argsort(every, kind="stable")
-        self.key = every[order]
-        self.start, self.size = np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
+        at = np.searchsorted(self.key, key)  # both are sorted
+        self.key, self.start, self.size = (
+            np.insert(old, at, new) for old, new in ((self.key, key), (self.start, start), (self.size, size))
+        )
 
     def encode(self, words: tn.Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with their ends, number of ids per text)."""
@@ -140,7 +141,7 @@ def _writer(path: str):
                 names=["part", "block", "doc_ids", "nths", "lengths", "n_tokens", "ids"],
             )
 
-        for rows, words in tn.runs(batches):
+        for rows, words in tn.runs(batches, limit=3 * tn.PIECE):
             got, size = encoder.encode(words)
             for doc in rows.column("doc_id").to_pylist():
                 nth = nth + 1 if doc == last else 0
