@@ -12,37 +12,38 @@ CONTEXT_LIMIT = 3000
 
 
 def lexical_scores(sections: DataFrame, questions: DataFrame) -> DataFrame:
-    """(question_id, section_id, ord, score) for pairs that share a word.
+    """(question_id, section_id, ord, score) for pairs that share a word or where the section holds the question.
 
     ``sections`` has section_id, ord, title, text; ``questions`` has question_id,
     text. A shared title word counts 2, a shared text word 1, the whole question in
-    the title 3, in the text 2. Pairs come from an equi-join on words, so that
-    questions never meet sections that they share nothing with.
+    the title 3, in the text 2. Pairs come from an equi-join on words. Texts are only
+    searched for questions where all words but the first and the last are shared (those
+    two may be parts of words), or whose text goes on beyond the words that are compared.
     """
-    words = sections.select(
-        "section_id", F.explode(tx.retrieval_tokens(F.left("text", F.lit(TEXT_LIMIT)))).alias("word"), F.lit(1).alias("worth")
-    ).unionAll(sections.select("section_id", F.explode(tx.retrieval_tokens(F.col("title"))).alias("word"), F.lit(2).alias("worth")))
-    worth = words.groupBy("section_id", "word").agg(F.sum("worth").alias("worth"))
-    asked = questions.select("question_id", F.explode(tx.retrieval_tokens(F.col("text"))).alias("word"))
-    overlap = worth.join(asked, "word").groupBy("question_id", "section_id").agg(F.sum("worth").alias("overlap"))
-    phrase = F.lower(F.trim(F.col("q.text")))
-    pairs = (
-        overlap.join(questions.alias("q"), "question_id")
-        .join(sections.alias("s"), "section_id")
-        .select(
-            "question_id",
-            "section_id",
-            "s.ord",
-            (
-                F.col("overlap")
-                + F.when((phrase != "") & F.lower("s.title").contains(phrase), 3).otherwise(0)
-                + F.when((phrase != "") & F.lower("s.text").contains(phrase), 2).otherwise(0)
-            )
-            .cast("long")
-            .alias("score"),
-        )
+    of_text = sections.select("section_id", F.explode(tx.retrieval_tokens(F.left("text", F.lit(TEXT_LIMIT)))).alias("word"), F.lit(1).alias("x"), F.lit(0).alias("t"))
+    of_title = sections.select("section_id", F.explode(tx.retrieval_tokens(F.col("title"))).alias("word"), F.lit(0).alias("x"), F.lit(2).alias("t"))
+    words = of_text.unionAll(of_title).groupBy("section_id", "word").agg(F.sum("x").alias("x"), F.sum("t").alias("t"))
+    asked = questions.select("question_id", "text", tx.retrieval_tokens(F.col("text")).alias("words"), F.lower(F.trim("text")).alias("phrase"))
+    overlap = (
+        words.join(asked.select("question_id", F.size("words").alias("n"), F.explode("words").alias("word")), "word")
+        .groupBy("question_id", "section_id")
+        .agg(F.sum(F.col("x") + F.col("t")).alias("overlap"), F.sum("x").alias("x"), F.sum(F.signum("t")).alias("t"), F.first("n").alias("n"))
+    )
+    place = sections.select("section_id", "ord", (F.length("text") > TEXT_LIMIT).alias("long"))
+    pairs = overlap.join(place, "section_id")
+    likely = pairs.filter((F.greatest("x", "t") >= F.col("n") - 2) | F.col("long")).select("question_id", "section_id")
+    named = sections.select("section_id", "ord", "title", "text")
+    searched = likely.join(asked.select("question_id", "phrase"), "question_id").join(named, "section_id")
+    # questions of one or two words may lie within words, where nothing is shared
+    few = asked.filter((F.size("words") <= 2) & (F.col("phrase") != "")).select("question_id", "phrase")
+    inside = F.lower("text").contains(F.col("phrase")) | F.lower("title").contains(F.col("phrase"))
+    parts = named.join(few, inside).join(likely, ["question_id", "section_id"], "left_anti")
+    bonus = (F.lower("title").contains(F.col("phrase"))).cast("int") * 3 + (F.lower("text").contains(F.col("phrase"))).cast("int") * 2
+    found = searched.filter("phrase <> ''").unionByName(parts).select("question_id", "section_id", F.col("ord").alias("_ord"), bonus.alias("bonus")).filter("bonus > 0")
+    score = F.coalesce("overlap", F.lit(0)) + F.coalesce("bonus", F.lit(0))
+    return pairs.join(found, ["question_id", "section_id"], "full").select(
+        "question_id", "section_id", F.coalesce("ord", "_ord").alias("ord"), score.cast("long").alias("score")
     )
-    return pairs
 
 
 def top_sections(sections: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Levels that a dotted number can have; the walks below stop there.
-MOST_LEVELS = 32
-
 
 def number(structure):
     """A section number with only digits and single inner dots; null if nothing is left."""
@@ -37,26 +35,33 @@ def parents(toc: DataFrame) -> DataFrame:
     return rows.join(found, ["doc", "ord"], "left").withColumn("full_title", full)
 
 
+_PLACES = pa.schema([("doc", pa.int64()), ("ord", pa.int64()), ("depth", pa.int32()), ("path", pa.list_(pa.int64())), ("parent_path", pa.string())])
+
+
+def _places(table: pa.Table) -> pa.Table:
+    """Where each entry of one document's tree is; entries that no root reaches are left out."""
+    rows = {r["ord"]: r for r in table.to_pylist()}
+    below: dict = {}
+    for i in sorted(rows):
+        below.setdefault(rows[i]["parent_ord"], []).append(i)
+    out, waiting = [], [(i, (), "") for i in below.get(None, [])]
+    while waiting:
+        i, up, over = waiting.pop()
+        path, title = (*up, i), rows[i]["title"] or ""
+        out.append({"doc": rows[i]["doc"], "ord": i, "depth": len(path), "path": list(path), "parent_path": over})
+        waiting += [(k, path, f"{over}/{title}" if over else title) for k in below.get(i, [])]
+    return pa.Table.from_pylist(out, schema=_PLACES)
+
+
 def walked(nodes: DataFrame) -> DataFrame:
     """``nodes`` (doc, ord, parent_ord, title) with depth, path (ords from the root) and parent_path (titles joined by '/').
 
-    One join per level: deep trees cost as many joins as they have levels.
+    One document's outline is walked at a time, in one shuffle whatever its depth.
     """
-    level = nodes.filter("parent_ord IS NULL").select(
-        "doc", "ord", F.lit(1).alias("depth"), F.array("ord").alias("path"), F.lit("").alias("parent_path"), F.col("title").alias("_title")
+    places = nodes.select("doc", "ord", "parent_ord", "title").groupBy("doc").applyInArrow(
+        _places, "doc long, ord long, depth int, path array<long>, parent_path string"
     )
-    out = level
-    for depth in range(2, MOST_LEVELS + 1):
-        above = level.select(
-            "doc", F.col("ord").alias("parent_ord"), F.col("path").alias("up"), F.concat_ws("/", F.nullif("parent_path", F.lit("")), "_title").alias("over")
-        )
-        level = nodes.filter("parent_ord IS NOT NULL").join(above, ["doc", "parent_ord"]).select(
-            "doc", "ord", F.lit(depth).alias("depth"), F.concat("up", F.array("ord")).alias("path"), F.col("over").alias("parent_path"), F.col("title").alias("_title")
-        )
-        if depth > 2 and level.isEmpty():
-            break
-        out = out.unionAll(level)
-    return nodes.join(out.drop("_title"), ["doc", "ord"])
+    return nodes.join(places, ["doc", "ord"])
 
 
 def preorder(walk: DataFrame) -> DataFrame:

@@ -219,12 +219,13 @@ def test_status_counts_calls(spark):
 
 def test_unmatched_questions_get_the_first_sections(spark):
     sections = spark.createDataFrame([(i, i, f"title {i}", "some words") for i in range(8)], "section_id long, ord long, title string, text string")
-    asked = spark.createDataFrame([(1, "zzz qqq"), (2, "title 3"), (3, "some words")], "question_id long, text string")
+    asked = spark.createDataFrame([(1, "zzz qqq"), (2, "title 3"), (3, "some words"), (4, "itl"), (5, "e 5"), (6, "ome wor"), (7, " ")], "question_id long, text string")
     got = {}
     for r in retrieve.top_sections(sections, asked, 2).orderBy("question_id", "rank").collect():
         got.setdefault(r["question_id"], []).append((r["section_id"], r["score"]))
     assert got[1] == [(0, 0), (1, 0)] and got[3] == [(0, 4), (1, 4)]
     assert got[2][0] == (3, 5)  # the word twice and the phrase in the title
+    assert got[4] == [(0, 3), (1, 3)] and got[5][0] == (5, 3) and got[6] == [(0, 2), (1, 2)] and got[7] == [(0, 0), (1, 0)]
 
 
 def test_history_cuts_before_it_filters(spark):
