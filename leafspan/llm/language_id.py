@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafspan.llm import textnum as tn
+from leafspan.llm.session import small_batches
 
 BUCKETS = 1 << 15
 MOST_LANGUAGES = 512
@@ -137,6 +138,7 @@ def languages(docs: DataFrame) -> DataFrame:
     Repeated rows are learned as often as they occur. Columns other than doc_id, text and lang
     are not read; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     names, table = learned(docs.filter(~held_out()))
     shared = docs.sparkSession.sparkContext.broadcast((names, table))

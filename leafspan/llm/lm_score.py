@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from leafspan.llm import exchange as ex
 from leafspan.llm import textnum as tn
-from leafspan.llm.session import saved
+from leafspan.llm.session import saved, small_batches
 
 MIN_PAIR = 2
 PULL = 8.0
@@ -263,6 +263,7 @@ def scores(docs: DataFrame, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame
     Repeated rows are learnt and scored as often as they occur. Without training
     rows all counts are 0. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     chunks, bits, _ = ex.layout(docs)

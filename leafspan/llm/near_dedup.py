@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from leafspan.llm import textnum as tn
 from leafspan.llm.components import components
-from leafspan.llm.session import saved, set_aside
+from leafspan.llm.session import saved, set_aside, small_batches
 
 T, BANDS, ROWS = 128, 32, 4
 SHINGLE = 5
@@ -341,6 +341,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     component_id and are kept. Rows that share a doc_id count as one document.
     Other columns are not read; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = saved(docs.mapInArrow(_sketches, SKETCHED), "sketches")
     full = every.filter("n_shingles > 0 AND doc_id IS NOT NULL")

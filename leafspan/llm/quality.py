@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafspan.llm import textnum as tn
+from leafspan.llm.session import small_batches
 
 #: The bound of the sample of labelled rows that the rules are fitted on.
 MOST_LABELLED = 50_000
@@ -99,6 +100,7 @@ def _measured(names: list[str], text: str):
 
 def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The columns ``carry`` of each row, named _c0, _c1, ..., with the statistics of its text."""
+    small_batches(docs.sparkSession)
     types = dict(docs.dtypes)
     inner = {c: f"_c{i}" for i, c in enumerate(carry)}
     asked = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in inner.items()), *([] if "text" in inner else ["text"]))

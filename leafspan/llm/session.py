@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents that a Python worker is handed at a time.
+BATCH_ROWS = 512
 
 #: The word of the contracts that split on ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +40,13 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the rows of an Arrow batch to BATCH_ROWS where the setting is higher: texts are long, and workers hold whole batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def total_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column (0 for an empty table); one pass, one long to the driver."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

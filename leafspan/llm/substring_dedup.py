@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 
 from leafspan.llm import exchange as ex
 from leafspan.llm import textnum as tn
+from leafspan.llm.session import small_batches
 
 WINDOW = 35
 
@@ -216,6 +217,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     words; a text of fewer than ``window`` words loses none; equal rows count as
     two places. Other columns are not read; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     anchor = (window + 1) // 2
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     chunks, bits, _ = ex.layout(docs)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafspan.llm import textnum as tn
-from leafspan.llm.session import shared_dir, total_bytes
+from leafspan.llm.session import shared_dir, small_batches, total_bytes
 
 END = 2
 #: Bytes of text per part, ids per block, keys per index bucket (about).
@@ -141,7 +141,7 @@ def _writer(path: str):
                 names=["part", "block", "doc_ids", "nths", "lengths", "n_tokens", "ids"],
             )
 
-        for rows, words in tn.runs(batches, limit=3 * tn.PIECE):
+        for rows, words in tn.runs(batches):
             got, size = encoder.encode(words)
             for doc in rows.column("doc_id").to_pylist():
                 nth = nth + 1 if doc == last else 0
@@ -325,6 +325,7 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
     first; rows that share an id are ordered by text and numbered from 0, so that
     each has a key. Other columns are not read. An empty table gives empty files.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/leafspan/tokens-{uuid.uuid4().hex}"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
