@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 PAGE_TEXT_LIMIT = 4000
 CLIP_NOTE = ("\n\n[内容已截断，共 ", " 字符，已显示前 ", " 字符]")
 CITE = r'<cite\s+doc="([^"]+)"\s+page="(\d+)"\s*/>'
+BOUNDARY = r"\n|。|\.\s|；|;\s|- \*\*"
 TABLE_REFERENCE = r"(?i)(\btable|表)\s*#?\s*(\d{1,4})"
 PAGE_REFERENCE = r"(?i)(第\s*\d+\s*页|\bpage\s*\d+\b)"
 INVITATION = (
@@ -130,6 +131,23 @@ def citations(answer: Column) -> Column:
     return F.zip_with(docs, pages, lambda d, p: F.struct(d.alias("doc_name"), p.cast("int").alias("page")))
 
 
+def citation_contexts(answer: Column, longest: int = 200, back: int = 500) -> Column:
+    """For each citation tag, in order, the clause before it: from the last boundary in the ``back`` characters
+    before the tag, or their end; at most ``longest`` characters, without other tags."""
+    pieces, tags = F.split(answer, CITE, -1), F.regexp_extract_all(answer, F.lit(CITE), F.lit(0))
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+
+    def before(_, i):
+        parts = F.zip_with(F.slice(pieces, F.lit(1), i + 1), F.slice(tags, F.lit(1), i), lambda p, t: F.concat(p, F.coalesce(t, F.lit(""))))
+        region = F.right(F.array_join(parts, ""), F.lit(back))
+        clause = F.when(region.rlike(BOUNDARY), F.regexp_extract(region, r"(?s)^.*(" + BOUNDARY + r")(.*)$", 2)).otherwise(
+            F.right(region, F.lit(longest))
+        )
+        return bare(F.regexp_replace(F.right(bare(clause), F.lit(longest)), CITE, ""))
+
+    return F.transform(tags, before)
+
+
 def without_citations(answer: Column) -> Column:
     return F.regexp_replace(answer, CITE, "")
 
@@ -150,6 +168,27 @@ def with_table_hint(query: Column) -> Column:
     return F.when(hint, F.concat(query, F.lit(TABLE_HINT))).otherwise(query)
 
 
+def retrieval_text(*parts: Column) -> Column:
+    """The parts that are not empty, a line each."""
+    return F.concat_ws("\n", *(F.nullif(p, F.lit("")) for p in parts))
+
+
+def relative_path(path: Column, base: str) -> Column:
+    """A path below ``base`` without it; any other path as it is."""
+    prefix = base.rstrip("/") + "/"
+    return F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
+
+
+def session_name(identifier: Column) -> Column:
+    """A session's file name: folders and a .json ending are dropped and .json put at the end."""
+    return F.concat(F.regexp_replace(base_name(identifier), r"\.json$", ""), F.lit(".json"))
+
+
+def session_id(at: Column) -> Column:
+    """sess_ and the time, to the second."""
+    return F.concat(F.lit("sess_"), F.date_format(at, "yyyyMMdd_HHmmss"))
+
+
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -22,7 +22,7 @@ def lexical_scores(sections: DataFrame, questions: DataFrame) -> DataFrame:
     """
     of_text = sections.select("section_id", F.explode(tx.retrieval_tokens(F.left("text", F.lit(TEXT_LIMIT)))).alias("word"), F.lit(1).alias("x"), F.lit(0).alias("t"))
     of_title = sections.select("section_id", F.explode(tx.retrieval_tokens(F.col("title"))).alias("word"), F.lit(0).alias("x"), F.lit(2).alias("t"))
-    words = of_text.unionAll(of_title).groupBy("section_id", "word").agg(F.sum("x").alias("x"), F.sum("t").alias("t"))
+    words = of_text.unionAll(of_title)  # each word once per section and kind
     asked = questions.select("question_id", "text", tx.retrieval_tokens(F.col("text")).alias("words"), F.lower(F.trim("text")).alias("phrase"))
     overlap = (
         words.join(asked.select("question_id", F.size("words").alias("n"), F.explode("words").alias("word")), "word")

@@ -137,3 +137,38 @@ def processed(registry: DataFrame, manifests: DataFrame, parts: DataFrame, conte
         out = out.join(table.select("doc_name").distinct().withColumn(name, F.lit(True)), "doc_name", "left")
     has = F.col("_m").isNotNull() & F.col("_p").isNotNull() & F.col("_c").isNotNull()
     return out.withColumn("processed", has).drop("_m", "_p", "_c")
+
+
+def visited_parts(calls: DataFrame) -> DataFrame:
+    """(session_id, visited_parts): the parts of each session's structure calls in the order they were first seen."""
+    first = calls.groupBy("session_id", "page").agg(F.min("seq").alias("seq"))
+    grouped = first.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "page"))).alias("p"))
+    return grouped.select("session_id", F.col("p.page").alias("visited_parts"))
+
+
+def by_relevance(nodes: DataFrame, query: str) -> DataFrame:
+    """``nodes`` (session_id, node_id, title, summary, start_index, end_index) with place: those that share most words with the query first."""
+    words = tx.retrieval_tokens(F.lit(query))
+    own = tx.retrieval_tokens(F.concat_ws(" ", "title", F.coalesce("summary", F.lit(""))))
+    score = F.size(F.array_intersect(own, words))
+    order = Window.partitionBy("session_id").orderBy(F.desc("score"), "start_index", "end_index", "node_id")
+    return nodes.withColumn("score", score.cast("long")).withColumn("place", F.row_number().over(order).cast("long"))
+
+
+def resolved(names: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(name, path, error): each name's path among candidates (file_name, path, priority), compared without case.
+
+    The lowest priority wins; several paths of that priority are an error, and so is none.
+    """
+    key = F.lower(tx.document_name(F.col("name")))
+    best = Window.partitionBy("k").orderBy("priority")
+    ranked = candidates.withColumn("k", F.lower("file_name")).withColumn("r", F.rank().over(best)).filter("r = 1")
+    found = ranked.groupBy("k").agg(F.min("path").alias("path"), F.countDistinct("path").alias("n"))
+    out = names.withColumn("k", key).join(found, "k", "left")
+    error = F.when(F.col("n").isNull(), F.lit("not found")).when(F.col("n") > 1, F.lit("ambiguous"))
+    return out.select("name", F.when(F.col("n") == 1, F.col("path")).alias("path"), error.alias("error"))
+
+
+def cached_flags(pages: DataFrame) -> DataFrame:
+    """Pages as they are, none of them from a cache."""
+    return pages.withColumn("is_cached", F.lit(False))

@@ -102,3 +102,18 @@ def under_front_root(nodes: DataFrame, front: str, need_root: str) -> DataFrame:
     )
     moved = nodes.withColumn("parent_ord", F.when(F.col(front) & F.col(need_root) & F.col("parent_ord").isNull(), F.lit(0)).otherwise(F.col("parent_ord")).cast("long"))
     return moved.select("doc", "ord", "parent_ord", "title", "start_index", "end_index").unionByName(root)
+
+
+def described(nodes: DataFrame, columns: tuple[str, ...] = ("title", "node_id", "summary", "prefix_summary")) -> DataFrame:
+    """Only the named columns that there are, in this order."""
+    return nodes.select(*(c for c in columns if c in nodes.columns))
+
+
+def without_text(nodes: DataFrame, dropped: tuple[str, ...] = ("text", "page_number", "start", "end")) -> DataFrame:
+    """``nodes`` without texts and working columns."""
+    return nodes.drop(*dropped)
+
+
+def is_contents_span(toc_span, title):
+    """Whether a node is marked as, or named like, a table of contents."""
+    return F.coalesce(toc_span, F.lit(False)) | (F.lower(F.trim(F.coalesce(title, F.lit("")))) == "table of contents")

@@ -313,3 +313,58 @@ def test_starts_of(spark):
     pages = spark.createDataFrame([(1, 1, "1 intro\nwords")], "doc long, page long, text string")
     got = sorted((r["title"], str(r["physical_index"]), str(r["toc_span"]), r["starts_page"]) for r in outline.starts_of(spark.createDataFrame(items, schema), pages).collect())
     assert got == [("Abstract", "1", "None", True), ("Intro", "1", "None", True), ("Nope", "1", "None", False), ("x", "50", "None", False), ("x", "50", "True", True), ("x", "None", "None", False)]
+
+
+def test_partial_ratio():
+    from leafspan.functions.fuzzy import partial_ratio
+
+    def plain(a, b):
+        import difflib
+
+        if len(a) > len(b):
+            a, b = b, a
+        best = 0.0
+        for start in range(1 - len(a), len(b)):
+            part = b[max(start, 0) : start + len(a)]
+            row = [0] * (len(part) + 1)
+            for c in a:
+                old = row[:]
+                for j, d in enumerate(part):
+                    row[j + 1] = old[j] + 1 if c == d else max(old[j + 1], row[j])
+            best = max(best, 200.0 * row[-1] / (len(a) + len(part)))
+        assert difflib.SequenceMatcher(None, a, b).ratio() >= 0
+        return best
+
+    rng = random.Random(0)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcx ") for _ in range(rng.randrange(1, 9))) for _ in range(2))
+        assert partial_ratio(a, b) == pytest.approx(plain(a, b)), (a, b)
+    assert partial_ratio("intro", "an introduction") == 100.0 and partial_ratio("", "a") == 0.0
+
+
+def test_strategies(spark):
+    from leafspan.operators import strategy
+
+    pages = spark.createDataFrame([(1, p, f"{p}.1 Part{p}\nx") for p in range(1, 11)], "doc long, page long, text string")
+
+    def index(shift):
+        rows = [(1, p, f"{p}.1", f"Part{p}", p + shift(p)) for p in range(1, 11)]
+        return lambda: spark.createDataFrame(rows, "doc long, ord long, structure string, title string, physical_index long")
+
+    good, mended, bad = index(lambda p: 0), index(lambda p: int(p in (4, 7))), index(lambda p: 1 if p < 10 else -1)
+    assert strategy.choose({"bad": bad, "good": good}, pages).name == "good"
+    found = strategy.choose({"mended": mended, "good": good}, pages)
+    assert (found.name, found.accuracy, found.repairs) == ("mended", 1.0, 1)
+    with pytest.raises(ValueError):
+        strategy.choose({"bad": bad}, pages)
+
+
+def test_settings(monkeypatch):
+    from leafspan import config
+
+    assert config.settings({"provider": "a"}, {"a": "m"}, max_turns=3) == config.Settings(provider="a", model="m", max_turns=3)
+    with pytest.raises(ValueError):
+        config.settings({"nope": 1})
+    monkeypatch.setenv("LEAFSPAN_TEST", "yes")
+    assert config.resolved(None, "LEAFSPAN_TEST", False) is True and config.resolved(None, "LEAFSPAN_TEST", 5) == 5
+    assert config.resolved(2, "LEAFSPAN_TEST", 5) == 2 and config.resolved(None, "LEAFSPAN_NONE", 5) == 5
