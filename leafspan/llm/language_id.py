@@ -42,6 +42,7 @@ def _triples(words: tn.Words) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(32 - 15)).astype(np.int32)
 
 
+@tn.tidied
 def _tallies(batches):
     counts: dict[str, np.ndarray] = {}
     for rows, words in tn.runs(batches):
@@ -143,6 +144,7 @@ def languages(docs: DataFrame) -> DataFrame:
     names, table = learned(docs.filter(~held_out()))
     shared = docs.sparkSession.sparkContext.broadcast((names, table))
 
+    @tn.tidied
     def predict(batches):
         names, table = shared.value
         for rows, words in tn.runs(batches):

@@ -101,6 +101,7 @@ def _gathered(words: list[np.ndarray], pairs: list[np.ndarray], bits: int):
 
 
 def _counter(bits: int):
+    @tn.tidied
     def count(batches):
         words, pairs, held = [], [], 0
         for _, run in tn.runs(batches):

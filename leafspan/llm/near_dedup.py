@@ -101,6 +101,7 @@ def _pieces(batches):
                 )
 
 
+@tn.tidied
 def _sketches(batches):
     for rows, words in _pieces(batches):
         n = rows.num_rows
@@ -131,6 +132,7 @@ def _sketches(batches):
         )
 
 
+@tn.tidied
 def _agreeing(batches):
     for batch in batches:
         a, b = (
@@ -174,6 +176,7 @@ def _edges(found: list[tuple[np.ndarray, np.ndarray]]):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
+@tn.tidied
 def _related(batches):
     """Forests of the agreeing sketches between two blocks of a band, over nodes of different classes."""
     for batch in batches:
@@ -237,6 +240,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, carry: list[str]) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("node"), "text").join(with_small(wanted, BROADCAST_ROWS), "node")
     names = [*carry, "node"]
 
+    @tn.tidied
     def pack(batches):
         for rows, words in _pieces(batches):
             doc, shingle = shingle_sets(words)
@@ -248,6 +252,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, carry: list[str]) -> DataFrame:
     return rows.mapInArrow(pack, ", ".join(f"{c} long" for c in names) + ", items binary")
 
 
+@tn.tidied
 def _overlaps(batches):
     for batch in batches:
         keep = []

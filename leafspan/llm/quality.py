@@ -88,6 +88,7 @@ _NOT_BREAK = tn.classes([10])
 
 
 def _measured(names: list[str], text: str):
+    @tn.tidied
     def measure(batches):
         for rows, words in tn.runs(batches, column=text):
             found = statistics(words)

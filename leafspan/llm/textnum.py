@@ -8,6 +8,8 @@ cuts between code points.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,28 @@ _WSTEP = int(_rng.integers(1, 1 << 62)) * 2 + 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: workers stay alive between stages, beside a JVM that needs it then."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(function):
+    """A function over Arrow batches that tidies up when it has had all."""
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            tidy()
+
+    return run
+
+
 def classes(separators) -> np.ndarray:
     out = np.ones(256, bool)
     out[list(separators)] = False

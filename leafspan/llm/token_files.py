@@ -39,6 +39,8 @@ END = 2
 PART_BYTES, BLOCK_IDS, BUCKET_KEYS = 16 << 20, 1 << 20, 20_000
 #: Different words whose ids a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
+#: Words that the tokenizer is handed at a time.
+ENCODED = 2048
 
 IDS = "part int, block int, doc_ids array<long>, nths array<int>, lengths array<long>, n_tokens long, ids binary"
 INDEX = (
@@ -77,7 +79,9 @@ class Encoder:
     def _learn(self, key: np.ndarray, words: list[str]) -> None:
         if len(self.key) + len(key) > REMEMBERED:
             self._forget()
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found: list[list[int]] = []
+        for i in range(0, len(words), ENCODED):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + ENCODED], add_special_tokens=False)]
         size = np.array([len(x) for x in found], np.int64)
         start = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
@@ -122,6 +126,7 @@ def _encoder(path: str) -> Encoder:
 
 
 def _writer(path: str):
+    @tn.tidied
     def blocks(batches):
         encoder, part, number = _encoder(path), TaskContext.get().partitionId(), 0
         docs, nths, lengths, ids, held = [], [], [], [], 0
@@ -284,6 +289,7 @@ class TokenFiles:
         arrow = {"binary": pa.binary(), "long": pa.int64()}[kind]
         digest = digest or bytes
 
+        @tn.tidied
         def read(batches):
             for batch in batches:
                 for row in batch.to_pylist():
@@ -337,6 +343,7 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
     buckets = max(1, int(total) // BUCKET_KEYS)
     spark.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{path}/size")
 
+    @tn.tidied
     def listed(batches):
         for batch in batches:
             for row in batch.to_pylist():
