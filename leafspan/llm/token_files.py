@@ -38,7 +38,9 @@ END = 2
 #: Bytes of text per part, ids per block, keys per index bucket (about).
 PART_BYTES, BLOCK_IDS, BUCKET_KEYS = 16 << 20, 1 << 20, 20_000
 #: Different words whose ids a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
+#: Words that are kept apart until they are merged with the many.
+RECENT = 100_000
 #: Words that the tokenizer is handed at a time.
 ENCODED = 2048
 
@@ -71,49 +73,63 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.key = np.zeros(0, tn.U)
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        # words known by their numbers, sorted: the many, and the recent ones that are not merged yet
+        self.known = [self._nothing(), self._nothing()]
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    @staticmethod
+    def _nothing():
+        return np.zeros(0, tn.U), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, key: np.ndarray, words: list[str]) -> None:
-        if len(self.key) + len(key) > REMEMBERED:
-            self._forget()
+        """Encodes new words (sorted numbers) and files them under the recent ones."""
         found: list[list[int]] = []
         for i in range(0, len(words), ENCODED):
             found += [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + ENCODED], add_special_tokens=False)]
-        size = np.array([len(x) for x in found], np.int64)
-        start = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
-        at = np.searchsorted(self.key, key)  # both are sorted
-        self.key, self.start, self.size = (
-            np.insert(old, at, new) for old, new in ((self.key, key), (self.start, start), (self.size, size))
-        )
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(size.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.uint32)])
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        new = (key, self.used + np.cumsum(size) - size, size)
+        self.used += total
+        self.known[1] = self._merged(self.known[1], new)
+        if len(self.known[1][0]) > RECENT:
+            self.known = [self._merged(*self.known), self._nothing()]
+
+    @staticmethod
+    def _merged(old, new):
+        at = np.searchsorted(old[0], new[0])
+        return tuple(np.insert(x, at, y) for x, y in zip(old, new, strict=True))
+
+    def _placed(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each number's ids start and how many they are; -1 for unknown ones."""
+        start, size = np.full(len(key), -1, np.int64), np.zeros(len(key), np.int64)
+        for known in self.known:
+            if len(known[0]):
+                at = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
+                hit = known[0][at] == key
+                start[hit], size[hit] = known[1][at[hit]], known[2][at[hit]]
+        return start, size
 
     def encode(self, words: tn.Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with their ends, number of ids per text)."""
-        h = words.hashes(tn.EXACT)
-        key, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.key):
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            new = np.flatnonzero(self.key[at] != key)
-        else:
-            new = np.arange(len(key))
+        key, first, inverse = np.unique(words.hashes(tn.EXACT), return_index=True, return_inverse=True)
+        start, size = self._placed(key)
+        new = np.flatnonzero(start < 0)
         if len(new):
-            if len(self.key) + len(new) > REMEMBERED:
+            if sum(len(k[0]) for k in self.known) + len(new) > REMEMBERED:
                 self._forget()
                 new = np.arange(len(key))
             raw = words.data.tobytes()
-            own = first[new]
-            text = [raw[a:b].decode() for a, b in zip(words.first[own].tolist(), words.end[own].tolist(), strict=True)]
-            self._learn(key[new], text)
-        at = np.searchsorted(self.key, key)
-        start, size = self.start[at][inverse], self.size[at][inverse]
-        flat = self.ids[tn.ranges(start, size)] if len(size) else np.zeros(0, np.uint32)
+            borders = zip(words.first[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)
+            self._learn(key[new], [raw[a:b].decode() for a, b in borders])
+            start, size = self._placed(key)
+        size = size[inverse]
+        flat = self.ids[tn.ranges(start[inverse], size)] if len(size) else np.zeros(0, np.uint32)
         sums = np.concatenate([[0], np.cumsum(size)])
         ends = sums[words.start_of_doc + words.count]
-        out = np.insert(flat, ends, np.uint32(END))
-        return out, ends - sums[words.start_of_doc] + 1
+        return np.insert(flat, ends, np.uint32(END)), ends - sums[words.start_of_doc] + 1
 
 
 _encoders: dict[str, Encoder] = {}
@@ -146,7 +162,7 @@ def _writer(path: str):
                 names=["part", "block", "doc_ids", "nths", "lengths", "n_tokens", "ids"],
             )
 
-        for rows, words in tn.runs(batches):
+        for rows, words in tn.runs(batches, limit=2 * tn.PIECE):
             got, size = encoder.encode(words)
             for doc in rows.column("doc_id").to_pylist():
                 nth = nth + 1 if doc == last else 0
