@@ -23,12 +23,13 @@ def title_pairs(by_page: DataFrame, by_index: DataFrame, first_index: int) -> Da
 
 
 def page_offset(pairs: DataFrame) -> DataFrame:
-    """One row (offset): the most frequent physical_index - page; of equals the first met by ord. Null without pairs."""
+    """One row (offset): the most frequent physical_index - page; of equals the one met first, by ord, then physical_index. Null without pairs."""
     difference = (F.col("physical_index") - F.col("page")).alias("offset")
     counted = pairs.filter("physical_index IS NOT NULL AND page IS NOT NULL").groupBy(difference).agg(
-        F.count("*").alias("n"), F.min("ord").alias("first")
+        F.count("*").alias("n"), F.min(F.struct("ord", "physical_index")).alias("first")
     )
-    return counted.agg(F.max_by("offset", F.struct("n", -F.col("first"))).alias("offset"))
+    met = F.struct("n", (-F.col("first.ord")).alias("a"), (-F.col("first.physical_index")).alias("b"))
+    return counted.agg(F.max_by("offset", met).alias("offset"))
 
 
 def with_offset(toc: DataFrame, offset: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def toc_title_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
-_OFFSET = """o AS (SELECT physical_index - page AS off FROM pairs GROUP BY 1 ORDER BY count(*) DESC, min(ord) LIMIT 1)"""
+_OFFSET = """o AS (SELECT physical_index - page AS off FROM pairs GROUP BY 1 ORDER BY count(*) DESC, min({'o': ord, 'p': physical_index}) LIMIT 1)"""
 
 
 @query(f"WITH {_TOC}, {_PAIRS}, {_OFFSET} SELECT off AS \"offset\" FROM o")
