@@ -6,8 +6,10 @@ Dimensions: source, language, size and id, each scaled to [0, 1] over the whole
 the widest is the one with the longest range within a node. Weights are bytes.
 
 Copies (equal texts) move as one unit with the metadata of their smallest id, so
-that they meet in one shard. A unit above an eighth of the target is cut into
-parts by a hash of the id, since no shard could hold it evenly.
+that they meet in one shard. Only a unit above MOST_OF_SHARD of the target is cut
+into parts by a hash of the id, since no shard could hold it evenly. The few units
+above LEAST_HEAVY of the target are placed first, on the side of the median that
+they lie on if it has room for them, and the light ones fill up what is left.
 
 A median is found without sorting: bytes are summed per node and bin of the
 dimension (at most NODES * BINS rows reach the driver), and the bin that holds the
@@ -28,6 +30,8 @@ SHARDS = 16
 BINS = 2048
 #: A median may be off by this share of its node.
 SLACK = 0.0005
+#: Shares of a shard's target: above the first a unit is cut, above the second it is placed by itself.
+MOST_OF_SHARD, LEAST_HEAVY = 0.9, 0.0625
 _TOP = 1 << 40
 #: Rows of one shard that are numbered together.
 NUMBERED = 100_000
@@ -66,7 +70,7 @@ def _units(rows: DataFrame, target: float) -> DataFrame:
         F.sum("size").alias("bytes"),
         F.min(F.struct("doc_id", "source", "lang", "size")).alias("m"),
     )
-    parts = F.greatest(F.lit(1), F.ceil(F.col("bytes") / (target / 8))).cast("int")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("bytes") / (target * MOST_OF_SHARD))).cast("int")
     flat = groups.select(
         "copy",
         "text_crc32",
@@ -88,7 +92,7 @@ def _weighed(rows: DataFrame, units: DataFrame) -> DataFrame:
     hot = units.filter("parts > 1").select("copy", "text_crc32", "parts")
     part = F.pmod(F.xxhash64("doc_id", "copy"), F.col("parts")).cast("int")
     pieces = (
-        rows.join(F.broadcast(hot), ["copy", "text_crc32"])  # at most 8 * SHARDS * 2 units are that large
+        rows.join(F.broadcast(hot), ["copy", "text_crc32"])  # fewer than 2 * count units are that large
         .groupBy("copy", "text_crc32", part.alias("part"))
         .agg(F.sum("size").alias("weight"))
     )
@@ -113,15 +117,16 @@ def _by_node(values: dict) -> Column:
 
 
 def _cuts(units: DataFrame, nodes: dict[int, tuple[str, float]]) -> dict[int, int]:
-    """For each node (its dimension, the share of its bytes that goes left): the ordered number to cut at."""
+    """For each node (its dimension, the bytes that go left): the ordered number to cut at."""
     key = F.lit(None).cast("long")
     for node, (dimension, _) in nodes.items():
         key = F.when(F.col("node") == node, _ordered(F.col(dimension))).otherwise(key)
     keyed = units.filter(F.col("node").isin(*nodes)).select("node", key.alias("key"), "weight")
     low, width = dict.fromkeys(nodes, 0), dict.fromkeys(nodes, 1 << 60)
-    want: dict[int, float] = {}
+    want = {k: bytes_left for k, (_, bytes_left) in nodes.items()}
     total: dict[int, float] = {}
-    open_nodes, cuts = set(nodes), {}
+    cuts = {k: 0 for k, x in want.items() if x <= 0}
+    open_nodes = set(nodes) - set(cuts)
     while open_nodes:
         step = {k: max(1, -(-width[k] // BINS)) for k in open_nodes}
         inside = keyed.filter(F.col("node").isin(*open_nodes))
@@ -134,10 +139,7 @@ def _cuts(units: DataFrame, nodes: dict[int, tuple[str, float]]) -> dict[int, in
             found[r["node"]].append((r["bin"], r["weight"]))
         for k in list(open_nodes):
             own = sorted(found[k])
-            if k not in want:
-                total[k] = sum(x for _, x in own)
-                want[k] = total[k] * nodes[k][1]
-            at = low[k]
+            total.setdefault(k, sum(x for _, x in own))
             for b, x in own:
                 if x >= want[k]:
                     start = low[k] + b * step[k]
@@ -148,13 +150,62 @@ def _cuts(units: DataFrame, nodes: dict[int, tuple[str, float]]) -> dict[int, in
                         low[k], width[k] = start, step[k]
                     break
                 want[k] -= x
-                at = low[k] + (b + 1) * step[k]
-            else:
-                cuts[k] = at
+            else:  # all of it goes left
+                cuts[k] = low[k] + width[k]
                 open_nodes.discard(k)
     return cuts
 
 
+def _sides(heavy: list[dict], dimension: str, left: float, right: float) -> tuple[list[dict], list[dict]]:
+    """Heavy units for either side with ``left`` and ``right`` bytes: the largest first, each on its side of the middle if there is room."""
+    sides, room = ([], []), [left, right]
+    middle = sorted(h[dimension] for h in heavy)[int(len(heavy) * left / (left + right))] if heavy else 0
+    for h in sorted(heavy, key=lambda h: (-h["weight"], h[dimension])):
+        side = int(h[dimension] >= middle)
+        if room[side] < h["weight"] and room[1 - side] > room[side]:
+            side = 1 - side
+        sides[side].append(h)
+        room[side] -= h["weight"]
+    return sides
+
+
+def _leaves(units: DataFrame, total: int, count: int) -> DataFrame:
+    """(copy, text_crc32, parts, part, shard) for all units."""
+    spark = units.sparkSession
+    key = ["copy", "text_crc32", "parts", "part"]
+    is_heavy = F.col("weight") > LEAST_HEAVY * total / count
+    # at most count / LEAST_HEAVY units are heavy
+    heavy = [r.asDict() for r in units.filter(is_heavy).select(*key, "weight", *(_ordered(F.col(c)).alias(c) for c in DIMENSIONS)).collect()]
+    units = units.filter(~is_heavy).withColumn("node", F.lit(0))
+    leaves = {0: (0, count, heavy)}  # node -> its run of shards and its heavy units
+    while any(b - a > 1 for a, b, _ in leaves.values()):
+        spread = units.groupBy("node").agg(F.sum("weight").alias("weight"), *((F.max(c) - F.min(c)).alias(c) for c in DIMENSIONS))
+        light = {r["node"]: r for r in spread.collect()}  # a row per node
+        widest = {k: max(DIMENSIONS, key=lambda c, k=k: light[k][c]) if k in light else DIMENSIONS[-1] for k in leaves}
+        split, after = {}, {}
+        for k, (a, b, own) in leaves.items():
+            if b - a == 1 or not (own or k in light):
+                after[k] = (a, a + 1, own)
+                continue
+            middle = (a + b) // 2
+            every = (light[k]["weight"] if k in light else 0) + sum(h["weight"] for h in own)
+            left = every * (middle - a) / (b - a)
+            ours, theirs = _sides(own, widest[k], left, every - left)
+            split[k] = (widest[k], left - sum(h["weight"] for h in ours))
+            after[2 * k + 1], after[2 * k + 2] = (a, middle, ours), (middle, b, theirs)
+        cuts, step = _cuts(units, split), F.col("node")
+        for k, cut in cuts.items():
+            left = _ordered(F.col(widest[k])) < cut
+            step = F.when(F.col("node") == k, F.when(left, 2 * k + 1).otherwise(2 * k + 2)).otherwise(step)
+        units = saved(units.withColumn("node", step), "units")
+        leaves = after
+    shard = _by_node({k: a for k, (a, _, _) in leaves.items()}).cast("int")
+    placed = [(*(h[c] for c in key), a) for a, _, own in leaves.values() for h in own]
+    return units.select(*key, shard.alias("shard")).unionAll(
+        spark.createDataFrame(placed, "copy long, text_crc32 long, parts int, part int, shard int")
+    )
+
+
 def shards(docs: DataFrame, count: int = SHARDS) -> DataFrame:
     """Each row's shard from 0 to ``count`` - 1 with near-equal bytes, and its slot there.
 
@@ -168,43 +219,16 @@ def shards(docs: DataFrame, count: int = SHARDS) -> DataFrame:
     total = rows.agg(F.sum("size")).first()[0] or 0
     units = _units(rows, total / count)
     spans = units.agg(*(f(c).alias(f"{n}_{c}") for c in DIMENSIONS for n, f in (("low", F.min), ("high", F.max)))).first()
-    units = _weighed(rows, units).select(
-        "copy",
-        "text_crc32",
-        "parts",
-        "part",
-        "weight",
-        *(
-            _position(F.col(c), F.lit(spans[f"low_{c}"]).cast("double"), F.lit(spans[f"high_{c}"]).cast("double")).alias(c)
-            for c in DIMENSIONS
-        ),
-    )
-    units = saved(units, "units")
-    units = units.withColumn("node", F.lit(0))
-    leaves = {0: (0, count)}  # node -> its run of shards
-    while any(b - a > 1 for a, b in leaves.values()):
-        widths = units.groupBy("node").agg(*((F.max(c) - F.min(c)).alias(c) for c in DIMENSIONS)).collect()  # a row per node
-        widest = {r["node"]: max(DIMENSIONS, key=lambda c, r=r: r[c]) for r in widths}
-        split = {k: (widest[k], (b - a) // 2 / (b - a)) for k, (a, b) in leaves.items() if b - a > 1 and k in widest}
-        cuts = _cuts(units, split) if split else {}
-        after, step = {}, F.col("node")
-        for k, (a, b) in leaves.items():
-            if k in cuts:
-                left = _ordered(F.col(widest[k])) < cuts[k]
-                after[2 * k + 1], after[2 * k + 2] = (a, (a + b) // 2), ((a + b) // 2, b)
-                step = F.when(F.col("node") == k, F.when(left, 2 * k + 1).otherwise(2 * k + 2)).otherwise(step)
-            else:
-                after[k] = (a, a + 1)
-        units = saved(units.withColumn("node", step), "units")
-        leaves = after
-    shard = _by_node({k: a for k, (a, _) in leaves.items()}).cast("int")
-    where = units.select("copy", "text_crc32", "parts", "part", shard.alias("shard"))
-    hot = where.filter("parts > 1").select("copy", "text_crc32", "parts").distinct()
+    scaled = [
+        _position(F.col(c), F.lit(spans[f"low_{c}"]).cast("double"), F.lit(spans[f"high_{c}"]).cast("double")).alias(c) for c in DIMENSIONS
+    ]
+    units = saved(_weighed(rows, units).select("copy", "text_crc32", "parts", "part", "weight", *scaled), "units")
+    where = _leaves(units, total, count)
+    hot = units.filter("parts > 1").select("copy", "text_crc32", "parts").distinct()
     numbered = rows.join(F.broadcast(hot), ["copy", "text_crc32"], "left")  # few, as above
     part = F.coalesce(F.pmod(F.xxhash64("doc_id", "copy"), F.col("parts")).cast("int"), F.lit(0))
     placed = numbered.withColumn("part", part).join(where.drop("parts"), ["copy", "text_crc32", "part"])
-    placed = placed.select("doc_id", "size", "text_crc32", "shard")
-    return _slots(placed, count).select(
+    return _slots(placed.select("doc_id", "size", "text_crc32", "shard")).select(
         "doc_id",
         "size",
         "text_crc32",
@@ -215,7 +239,7 @@ def shards(docs: DataFrame, count: int = SHARDS) -> DataFrame:
     )
 
 
-def _slots(placed: DataFrame, count: int) -> DataFrame:
+def _slots(placed: DataFrame) -> DataFrame:
     """Numbers the rows of each shard from 0: within hashed blocks, after the blocks before them."""
     placed = saved(placed, "placed")
     blocks = max(1, math.ceil(placed.count() / NUMBERED)) * 4
