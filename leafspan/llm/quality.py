@@ -31,7 +31,7 @@ MOST_RULES, MOST_CONDITIONS = 12, 3
 SYMBOLS = b"#*$%&|<>"
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MORE = ["n_lines", "n_upper", "n_letters", "n_marks", "n_pipes", "n_distinct"]
+MORE = ["n_lines", "n_upper", "n_letters", "n_marks", "n_pipes"]
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -67,8 +67,6 @@ def statistics(words: tn.Words) -> dict[str, np.ndarray]:
     out["n_dup_lines"] = out["n_lines"] - np.bincount(doc[key], minlength=docs)
 
     w = words.hashes(tn.EXACT)
-    key = np.unique(tn.mix(w + words.doc.astype(tn.U) * np.uint64(0x9E3779B97F4A7C15), 6), return_index=True)[1]
-    out["n_distinct"] = np.bincount(words.doc[key], minlength=docs)
     at = tn.window_starts(words.count, words.start_of_doc, 3)
     covered = np.zeros(len(w) + 1, np.int64)
     if len(at):
@@ -117,7 +115,6 @@ RATIOS: dict[str, tuple[str, str]] = {
     "upper_share": ("n_upper", "n_letters"),
     "repeat_share": ("n_repeat_words", "n_words"),
     "dup_line_share": ("n_dup_lines", "n_lines"),
-    "distinct_share": ("n_distinct", "n_words"),
     "word_length": ("word_chars", "n_words"),
     "words": ("n_words", ""),
 }
@@ -195,15 +192,20 @@ def decision_list(x: dict[str, np.ndarray], bad: np.ndarray) -> list[list[Condit
     return rules
 
 
+def base_failed() -> Column:
+    """Fewer than 50 words, or more than half of them in repeated windows."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> list[list[Condition]]:
-    """The decision list from documents with a label ``quality`` of 0 or 1."""
+    """The decision list from documents that pass the base test and have a label ``quality`` of 0 or 1."""
     known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(known.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")), "doc_id"  # at most MOST_LABELLED rows
     )
     stats = measured(rows, ["doc_id", "quality"]).withColumnsRenamed({"_c0": "doc_id", "_c1": "quality"})
-    values = stats.select("quality", "doc_id", *(c.cast("double").alias(n) for n, c in features(F.col).items()))
+    values = stats.filter(~base_failed()).select("quality", "doc_id", *(c.cast("double").alias(n) for n, c in features(F.col).items()))
     table = values.orderBy(F.xxhash64("doc_id"), "doc_id", *RATIOS).limit(MOST_LABELLED).toArrow()
     x = {name: table.column(name).to_numpy() for name in RATIOS}
     return decision_list(x, table.column("quality").to_numpy() == 0)
@@ -230,8 +232,7 @@ def judged(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFrame:
     """
     rules = fitted(docs, labels)
     stats = measured(docs, carry)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = stats.withColumn("base_failed", failed).withColumn("rule", verdict(rules))
+    out = stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     out = out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
     return out.withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carry)})
 
@@ -241,5 +242,4 @@ def of_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = docs.columns
     rules = fitted(docs, labels)
     stats = measured(docs, names)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return stats.filter(~failed & verdict(rules).isNull()).select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))
+    return stats.filter(~base_failed() & verdict(rules).isNull()).select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))
