@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir"
     )
     if not set_to:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="leafspan-")
         spark.conf.set("spark.checkpoint.dir", set_to)
@@ -40,6 +40,12 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables that operators have left in the shared folder; results that were not written yet are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/leafspan")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lowers the rows of an Arrow batch to BATCH_ROWS where the setting is higher: texts are long, and workers hold whole batches."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -452,3 +452,16 @@ def test_draws_follow_inclusion_probabilities(spark):
     share = got[0]["target"] / got[0]["source_size"]
     halves = [np.mean([r["copies"] for r in got if r["doc_id"] % 2 == k or r["doc_id"] % 4 == k]) for k in (1, 2)]
     assert all(abs(h - share) < 0.08 for h in halves)
+
+
+def test_forget(spark, tmp_path):
+    from leafspan.llm import session
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        assert session.saved(spark.range(3)).count() == 3 and list((tmp_path / "leafspan").iterdir())
+        session.forget(spark)
+        assert not (tmp_path / "leafspan").exists()
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
