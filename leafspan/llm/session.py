@@ -15,21 +15,22 @@ BATCH_ROWS = 512
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the setting is absent, as in tests on one machine, a fresh
-    temporary folder takes its place.
+    Only where the setting is absent, as in tests on one machine, a temporary
+    folder of the application takes its place.
     """
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not set_to:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        set_to = "file://" + tempfile.mkdtemp(prefix="leafspan-")
-        spark.conf.set("spark.checkpoint.dir", set_to)
-    return set_to.rstrip("/")
+    name = "spark.checkpoint.dir"
+    found = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name)
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError(f"set {name} to a folder that all executors share")
+    return _own_folders.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="leafspan-"))
 
 
 def saved(df: DataFrame, name: str = "table") -> DataFrame:

@@ -454,14 +454,10 @@ def test_draws_follow_inclusion_probabilities(spark):
     assert all(abs(h - share) < 0.08 for h in halves)
 
 
-def test_forget(spark, tmp_path):
+def test_forget(spark, tmp_path, monkeypatch):
     from leafspan.llm import session
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        assert session.saved(spark.range(3)).count() == 3 and list((tmp_path / "leafspan").iterdir())
-        session.forget(spark)
-        assert not (tmp_path / "leafspan").exists()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(session, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert session.saved(spark.range(3)).count() == 3 and list((tmp_path / "leafspan").iterdir())
+    session.forget(spark)
+    assert not (tmp_path / "leafspan").exists()
