@@ -13,15 +13,17 @@ from pyspark.sql import types as T
 PAGES = "doc long, page long, text string, bucket int"
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, where it is not set on one machine, a temporary folder."""
+    """A folder below spark.checkpoint.dir, or, where it is not set on one machine, below a temporary one."""
     name = "spark.checkpoint.dir"
     found = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name)
     if not found:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError(f"set {name} to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="leafspan-")
-        spark.conf.set(name, found)
+        found = _own_folders.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="leafspan-"))
     return found.rstrip("/") + "/leafspan"
 
 
