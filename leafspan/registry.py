@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-FLAGSHIP = "pages_view"
+FLAGSHIP = "top_sections"
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
