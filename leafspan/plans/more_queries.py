@@ -73,23 +73,23 @@ def relevant_nodes(spark, sf_dir):
 
 @query(
     """
-WITH c AS (SELECT lower(n_name) || '.pdf' AS file_name, 'a/' || n_name AS path, 1 AS priority FROM nation WHERE n_nationkey % 3 = 0
-  UNION ALL SELECT n_name || '.pdf', 'b/' || n_name, 2 FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_name || '.PDF', 'c/' || n_name, 2 FROM nation WHERE n_nationkey % 4 = 0),
+WITH c AS (SELECT lower(n_name) || '.pdf' AS file_name, 'a/' || n_name AS path, 1 AS priority FROM nation WHERE n_name LIKE '%A'
+  UNION ALL SELECT n_name || '.pdf', 'b/' || n_name, 2 FROM nation WHERE n_name LIKE '%I%' UNION ALL SELECT n_name || '.PDF', 'c/' || n_name, 2 FROM nation WHERE n_name LIKE '%N'),
 r AS (SELECT lower(file_name) AS k, path, rank() OVER (PARTITION BY lower(file_name) ORDER BY priority) AS r FROM c),
 f AS (SELECT k, min(path) AS path, count(DISTINCT path) AS n FROM r WHERE r = 1 GROUP BY k)
 SELECT n_name AS name, CASE WHEN n = 1 THEN path END AS path, CASE WHEN n IS NULL THEN 'not found' WHEN n > 1 THEN 'ambiguous' END AS error
 FROM nation LEFT JOIN f ON k = lower(n_name) || '.pdf'"""
 )
 def resolved_names(spark, sf_dir):
-    n, k, name = v.read(spark, sf_dir, "nation"), F.col("n_nationkey"), F.col("n_name")
+    n, name = v.read(spark, sf_dir, "nation"), F.col("n_name")
 
     def candidates(where, file_name, folder, priority):
         return n.filter(where).select(file_name.alias("file_name"), F.concat(F.lit(folder), name).alias("path"), F.lit(priority).alias("priority"))
 
     every = (
-        candidates(k % 3 == 0, F.concat(F.lower(name), F.lit(".pdf")), "a/", 1)
-        .unionAll(candidates(k % 2 == 0, F.concat(name, F.lit(".pdf")), "b/", 2))
-        .unionAll(candidates(k % 4 == 0, F.concat(name, F.lit(".PDF")), "c/", 2))
+        candidates(name.like("%A"), F.concat(F.lower(name), F.lit(".pdf")), "a/", 1)
+        .unionAll(candidates(name.like("%I%"), F.concat(name, F.lit(".pdf")), "b/", 2))
+        .unionAll(candidates(name.like("%N"), F.concat(name, F.lit(".PDF")), "c/", 2))
     )
     return state.resolved(n.select(name.alias("name")), every)
 

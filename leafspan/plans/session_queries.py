@@ -17,7 +17,7 @@ from leafspan.registry import query
 _T = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]{{2,}}') || regexp_extract_all({0}, '[一-鿿]'))"
 _SCORES = f"""
 sec AS MATERIALIZED (SELECT doc_id, string_split(text, chr(10))[1] AS title, text, {_T.format("string_split(text, chr(10))[1]")} AS tt, {_T.format("left(text, 12000)")} AS xt FROM documents WHERE text IS NOT NULL),
-ask AS MATERIALIZED (SELECT item_id, text, {_T.format("text")} AS qt FROM benchmark WHERE item_id % 5 < 2),
+ask AS MATERIALIZED (SELECT item_id, text, {_T.format("text")} AS qt FROM benchmark),
 sc AS MATERIALIZED (
   SELECT item_id, doc_id, 2 * len(list_intersect(qt, tt)) + len(list_intersect(qt, xt))
     + CASE WHEN contains(lower(title), lower(trim(ask.text))) THEN 3 ELSE 0 END + CASE WHEN contains(lower(sec.text), lower(trim(ask.text))) THEN 2 ELSE 0 END AS score
@@ -31,7 +31,7 @@ def _sections(spark, sf_dir):
 
 
 def _questions(spark, sf_dir):
-    return v.read(spark, sf_dir, "benchmark").filter("item_id % 5 < 2").select(F.col("item_id").alias("question_id"), "text")
+    return v.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
 
 
 @query(
@@ -234,30 +234,30 @@ def node_upserts(spark, sf_dir):
 
 @query(
     """
-WITH s AS (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 0), l AS (
+WITH s AS (SELECT s_suppkey, s_name FROM supplier), l AS (
   SELECT coalesce(max(try_cast(nullif(regexp_extract(n, '^turn_(\\d+)$', 1), '') AS BIGINT)), 0) AS last FROM (SELECT 'turn_' || lpad((s_suppkey * 3)::VARCHAR, 4, '0') AS n FROM s))
 SELECT s_suppkey, 'turn_' || lpad((row_number() OVER (ORDER BY s_suppkey) + last)::VARCHAR, 4, '0') AS new_id FROM s, l"""
 )
 def sequence_numbers(spark, sf_dir):
-    rows = v.read(spark, sf_dir, "supplier").filter("s_suppkey % 3 <> 0").select("s_suppkey")
+    rows = v.read(spark, sf_dir, "supplier").select("s_suppkey")
     last = state.last_number(rows.select(tx.numbered("turn_", F.col("s_suppkey") * 3, 4).alias("name")), "name", "turn")
     return state.numbered_from(rows, last, ["s_suppkey"], "turn", 4)
 
 
-# Registries: nations are registered statically, suppliers' nations at run time with other page counts.
+# Registries: all nations are registered statically and again at run time, some of either without folders or pages.
 _REGISTRY = """
-st AS (SELECT n_name AS doc_name, 'c/' || n_name AS chunks_dir, 'd/' || n_name AS content_dir, (n_nationkey % 4)::VARCHAR AS total_pages FROM nation WHERE n_nationkey < 15),
-rt AS (SELECT n_name AS doc_name, CASE WHEN n_nationkey % 6 = 0 THEN ' ' ELSE 'r/' || n_name END AS chunks_dir, 'd/' || n_name AS content_dir, CASE WHEN n_nationkey % 5 = 0 THEN 'x' ELSE n_nationkey::VARCHAR END AS total_pages FROM nation WHERE n_nationkey >= 10),
+st AS (SELECT n_name AS doc_name, 'c/' || n_name AS chunks_dir, 'd/' || n_name AS content_dir, (n_nationkey % 4)::VARCHAR AS total_pages FROM nation),
+rt AS (SELECT n_name AS doc_name, CASE WHEN n_nationkey % 6 = 0 THEN ' ' ELSE 'r/' || n_name END AS chunks_dir, 'd/' || n_name AS content_dir, CASE WHEN n_nationkey % 5 = 0 THEN 'x' ELSE n_nationkey::VARCHAR END AS total_pages FROM nation),
 ok AS (SELECT *, 1 AS o FROM rt WHERE trim(chunks_dir) <> '' AND trim(content_dir) <> '' AND try_cast(total_pages AS INTEGER) > 0 UNION ALL SELECT *, 2 FROM st WHERE try_cast(total_pages AS INTEGER) > 0)"""
 
 
 def _registry(spark, sf_dir):
     n, key = v.read(spark, sf_dir, "nation"), F.col("n_nationkey")
     path = lambda p: F.concat(F.lit(p), "n_name")
-    static = n.filter(key < 15).select(
+    static = n.select(
         F.col("n_name").alias("doc_name"), path("c/").alias("chunks_dir"), path("d/").alias("content_dir"), (key % 4).cast("string").alias("total_pages")
     )
-    runtime = n.filter(key >= 10).select(
+    runtime = n.select(
         F.col("n_name").alias("doc_name"),
         F.when(key % 6 == 0, F.lit(" ")).otherwise(path("r/")).alias("chunks_dir"),
         path("d/").alias("content_dir"),
@@ -275,12 +275,15 @@ def document_registry(spark, sf_dir):
 
 
 @query(
-    f"WITH {_REGISTRY} SELECT doc_name, doc_name IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) AND doc_name IN (SELECT n_name FROM nation WHERE n_nationkey % 3 = 0) AS processed "
+    f"WITH {_REGISTRY} SELECT doc_name, doc_name IN (SELECT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 0) "
+    "AND doc_name IN (SELECT n_name FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal < 0) AS processed "
     "FROM (SELECT DISTINCT doc_name FROM ok)"
 )
 def processed_documents(spark, sf_dir):
     n = v.read(spark, sf_dir, "nation").select(F.col("n_name").alias("doc_name"), "n_nationkey")
-    out = state.processed(_registry(spark, sf_dir), n.filter("n_nationkey % 2 = 0"), n.filter("n_nationkey % 3 = 0"), n)
+    rich = n.join(v.read(spark, sf_dir, "supplier").filter("s_acctbal > 0"), F.col("s_nationkey") == F.col("n_nationkey"))
+    poor = n.join(v.read(spark, sf_dir, "customer").filter("c_acctbal < 0"), F.col("c_nationkey") == F.col("n_nationkey"))
+    out = state.processed(_registry(spark, sf_dir), rich, poor, n)
     return out.select("doc_name", "processed")
 
 
@@ -292,13 +295,14 @@ def latest_registrations(spark, sf_dir):
 
 @query(
     """
-WITH t AS (SELECT doc_id, source AS summary FROM documents WHERE doc_id % 2 = 0), m AS (SELECT doc_id // 2 AS doc_id, lang AS summary, doc_id AS seq FROM documents)
+WITH t AS (SELECT doc_id, 'quality ' || quality AS summary FROM labels), m AS (
+  SELECT doc_id, lang AS summary, 2 AS seq FROM documents UNION ALL SELECT doc_id, source, 1 FROM documents)
 SELECT * FROM t UNION ALL SELECT doc_id, arg_min(summary, seq) FROM m WHERE doc_id NOT IN (SELECT doc_id FROM t) GROUP BY doc_id"""
 )
 def first_page_summaries(spark, sf_dir):
+    table = v.read(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("summary"))
     docs = v.read(spark, sf_dir, "documents")
-    table = docs.filter("doc_id % 2 = 0").select("doc_id", F.col("source").alias("summary"))
-    more = docs.select(F.floor(F.col("doc_id") / 2).alias("doc_id"), F.col("lang").alias("summary"), F.col("doc_id").alias("seq"))
+    more = docs.select("doc_id", F.col("lang").alias("summary"), F.lit(2).alias("seq")).unionAll(docs.select("doc_id", "source", F.lit(1)))
     return state.first_wins(table, more, ["doc_id"], "seq")
 
 
@@ -377,11 +381,13 @@ def system_messages(spark, sf_dir):
 
 @query(
     r"""
-SELECT doc_id, CASE WHEN length(text) < 2 THEN '' ELSE left(trim(text, ' ' || chr(9) || chr(10) || chr(13)), length(text) // 2) END AS summary
-FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(10) || chr(10)) AND trim(text) <> ''"""
+SELECT doc_id, CASE WHEN length(text) < 2 THEN '' WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN left(text, length(text) // 2)
+  ELSE left(trim(text, ' ' || chr(9) || chr(10) || chr(13)), length(text) // 2) END AS summary
+FROM documents WHERE text IS NOT NULL"""
 )
 def prefix_summaries(spark, sf_dir):
-    docs = v.read(spark, sf_dir, "documents").filter(~F.col("text").contains("\n\n") & (F.trim("text") != ""))
+    # the given texts have no blank lines, so that each is one paragraph
+    docs = v.read(spark, sf_dir, "documents").filter("text IS NOT NULL")
     return docs.select("doc_id", parts.prefix_summary(F.col("text")).alias("summary"))
 
 

@@ -113,7 +113,7 @@ def toc_first_body_section(spark, sf_dir):
     f"""
 WITH {_TOC}, f AS (SELECT doc, doc * 20 AS first_page FROM toc_v GROUP BY doc), n AS (
   SELECT doc, least(a, b) AS low, greatest(a, b) AS high FROM (
-    SELECT doc, (ord * 7) % 60 AS a, CASE WHEN ord % 5 = 0 THEN NULL ELSE (ord * 7) % 60 + (ord % 3) * 4 - 4 END AS b FROM toc_v WHERE ord % 4 = 0)
+    SELECT doc, (ord * 7) % 60 AS a, CASE WHEN ord % 5 = 0 THEN NULL ELSE (ord * 7) % 60 + (ord % 3) * 4 - 4 END AS b FROM toc_v WHERE structure NOT LIKE '%.%.%')
   WHERE b IS NOT NULL)
 SELECT doc, gap FROM (SELECT doc, unnest(range(1, first_page)) AS gap FROM f) g
 WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc = g.doc AND gap BETWEEN low AND high)"""
@@ -121,7 +121,7 @@ WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc = g.doc AND gap BETWEEN low AND hi
 def front_matter_gaps(spark, sf_dir):
     rows = _toc(spark, sf_dir)
     start = F.col("ord") * 7 % 60
-    nodes = rows.filter("ord % 4 = 0").select(
+    nodes = rows.filter("structure NOT LIKE '%.%.%'").select(
         "doc", start.alias("start_index"), F.when(F.col("ord") % 5 != 0, start + F.col("ord") % 3 * 4 - 4).alias("end_index")
     )
     firsts = rows.groupBy("doc").agg(F.max(F.col("doc") * 20).alias("first_page"))
@@ -224,7 +224,7 @@ def toc_with_preface(spark, sf_dir):
 # Numbers are made irregular: some levels are missing, some repeat, some are no numbers.
 _MESSY = f"""{_TOC}, messy_v AS MATERIALIZED (
   SELECT 1::BIGINT AS doc, ord, title, physical_index, CASE WHEN ord % 17 = 0 THEN NULL WHEN ord % 13 = 0 THEN '1.1' WHEN ord % 11 = 0 THEN ' ' || structure || '.4. ' ELSE structure END AS raw
-  FROM toc_v WHERE ord % 7 <> 0),
+  FROM toc_v WHERE title NOT LIKE 'I%'),
 norm_v AS MATERIALIZED (SELECT *, nullif(trim(regexp_replace(regexp_replace(raw, '[^0-9.]', '', 'g'), '\\.+', '.', 'g'), '.'), '') AS structure FROM messy_v),
 tree_v AS MATERIALIZED (
   SELECT n.*, (SELECT k.ord FROM norm_v k WHERE starts_with(n.structure, k.structure || '.')
@@ -239,7 +239,7 @@ def _messy(spark, sf_dir):
         .when(k % 11 == 0, F.concat(F.lit(" "), "structure", F.lit(".4. ")))
         .otherwise(F.col("structure"))
     )
-    rows = _toc(spark, sf_dir).filter("ord % 7 <> 0").withColumn("structure", raw).withColumn("doc", F.lit(1).cast("long"))
+    rows = _toc(spark, sf_dir).filter("title NOT LIKE 'I%'").withColumn("structure", raw).withColumn("doc", F.lit(1).cast("long"))
     return tree.parents(rows)
 
 
@@ -327,14 +327,13 @@ def tree_front_root(spark, sf_dir):
     return tree.under_front_root(rows, "front", "need").select("ord", "parent_ord", "title")
 
 
-# Nodes over documents' pages: one that starts on every odd page, some pages long.
+# Nodes over documents' pages: one that starts on every page, some pages long.
 _NODES = f"""{v.PAGES}, nodes_v AS MATERIALIZED (
-  SELECT doc_id AS doc, 'n' || page_num AS node_id, page_num AS start_index, page_num + doc_id % 3 AS end_index FROM pages_v WHERE page_num % 2 = 1)"""
+  SELECT doc_id AS doc, 'n' || page_num AS node_id, page_num AS start_index, page_num + doc_id % 3 AS end_index FROM pages_v)"""
 
 
 def _nodes(spark, sf_dir):
-    pages = v.doc_pages(spark, sf_dir).filter("page_num % 2 = 1")
-    return pages.select(
+    return v.doc_pages(spark, sf_dir).select(
         F.col("doc_id").alias("doc"),
         F.concat(F.lit("n"), F.col("page_num").cast("string")).alias("node_id"),
         F.col("page_num").alias("start_index"),
