@@ -288,7 +288,11 @@ def tool_dispatch(spark, sf_dir):
     return out.select("session_id", "seq", "tool", "error", "result")
 
 
-@query()
+@query(
+    f"""
+WITH {v.CALLS}
+SELECT session_id, count(DISTINCT page) AS n_pages, count(*) AS total_reads FROM calls_v WHERE tool = 'view' GROUP BY session_id"""
+)
 def streamed_read_status(spark, sf_dir):
     from leafspan.streaming.reading import read_status_stream
 

@@ -391,8 +391,21 @@ def prefix_summaries(spark, sf_dir):
     return docs.select("doc_id", parts.prefix_summary(F.col("text")).alias("summary"))
 
 
-# Folds that SQL cannot say; tests hold them against hand-made cases.
-@query()
+@query(
+    f"""
+WITH RECURSIVE {v.PAGES}, p AS MATERIALIZED (
+  SELECT doc_id AS doc, page_num AS page, row_number() OVER w - 1 AS i, n, coalesce(lag(n) OVER w, 0) AS prior
+  FROM (SELECT *, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]'))::BIGINT AS n FROM pages_v) WINDOW w AS (PARTITION BY doc_id ORDER BY page_num)),
+a AS MATERIALIZED (SELECT doc, CASE WHEN sum(n) <= 400 THEN 1e18 ELSE ceil((sum(n) / ceil(sum(n) / 400) + 400) / 2) END AS aim FROM p GROUP BY doc),
+f(doc, i, b, held, g) AS (
+  SELECT doc, 0::BIGINT, 0::BIGINT, 0::BIGINT, 1::BIGINT FROM a
+  UNION ALL
+  SELECT f.doc, f.i + 1, CASE WHEN held + n > aim THEN greatest(f.i - 1, 0) ELSE b END, CASE WHEN held + n > aim THEN prior + n ELSE held + n END, g + (held + n > aim)::BIGINT
+  FROM f JOIN p ON p.doc = f.doc AND p.i = f.i JOIN a ON a.doc = f.doc),
+g AS (SELECT doc, g, max(b) AS b, max(i) AS e FROM f GROUP BY doc, g)
+SELECT g.doc, g AS group_no, CASE WHEN e > b THEN x.page END AS first_page, CASE WHEN e > b THEN y.page END AS last_page, e - b AS n_pages
+FROM g LEFT JOIN p x ON x.doc = g.doc AND x.i = b LEFT JOIN p y ON y.doc = g.doc AND y.i = e - 1"""
+)
 def page_groups(spark, sf_dir):
     pages = v.doc_pages(spark, sf_dir).select(
         F.col("doc_id").alias("doc"), F.col("page_num").alias("page"), tx.token_count(F.col("text")).alias("n_tokens")
@@ -400,6 +413,7 @@ def page_groups(spark, sf_dir):
     return parts.page_groups(pages, most=400)
 
 
+# Folds that SQL cannot say; tests hold them against hand-made cases.
 def _part_nodes(spark, sf_dir):
     walk = tree.preorder(tree.walked(_messy(spark, sf_dir).select("doc", "ord", "parent_ord", "title", "physical_index")))
     order = Window.partitionBy("doc").orderBy("path")
