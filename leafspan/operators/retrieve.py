@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafspan.functions import text as tx
+from leafspan.sources.files import saved
 
 TEXT_LIMIT = 12000
 CONTEXT_LIMIT = 3000
@@ -30,7 +31,7 @@ def lexical_scores(sections: DataFrame, questions: DataFrame) -> DataFrame:
         .agg(F.sum(F.col("x") + F.col("t")).alias("overlap"), F.sum("x").alias("x"), F.sum(F.signum("t")).alias("t"), F.first("n").alias("n"))
     )
     place = sections.select("section_id", "ord", (F.length("text") > TEXT_LIMIT).alias("long"))
-    pairs = overlap.join(place, "section_id")
+    pairs = saved(overlap.join(place, "section_id"), "pairs")  # words are matched once
     likely = pairs.filter((F.greatest("x", "t") >= F.col("n") - 2) | F.col("long")).select("question_id", "section_id")
     named = sections.select("section_id", "ord", "title", "text")
     searched = likely.join(asked.select("question_id", "phrase"), "question_id").join(named, "section_id")
@@ -52,13 +53,15 @@ def top_sections(sections: DataFrame, questions: DataFrame, k: int = 5) -> DataF
     A question that shares nothing with any section gets the first k sections with score 0.
     """
     k = max(1, k)
-    scored = lexical_scores(sections, questions)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "ord")
-    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("question_id", "rank", "section_id", "score")
-    first = sections.orderBy("ord").limit(k).select("section_id", F.row_number().over(Window.orderBy("ord")).alias("rank"))
-    unmatched = questions.join(scored.select("question_id").distinct(), "question_id", "left_anti")
-    rest = unmatched.crossJoin(F.broadcast(first)).select("question_id", "rank", "section_id", F.lit(0).cast("long").alias("score"))
-    return best.unionByName(rest).withColumn("rank", F.col("rank").cast("long"))
+    best = lexical_scores(sections, questions).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    first = sections.orderBy("ord").limit(k).agg(F.array_sort(F.collect_list(F.struct("ord", "section_id"))).alias("first"))
+    found = F.array(F.struct(F.col("rank").cast("long").alias("rank"), F.col("section_id").alias("section_id"), F.col("score").alias("score")))
+    none = F.transform(
+        "first", lambda x, i: F.struct((i + 1).cast("long").alias("rank"), x["section_id"].alias("section_id"), F.lit(0).cast("long").alias("score"))
+    )
+    rows = questions.select("question_id").join(best, "question_id", "left").crossJoin(F.broadcast(first))  # one row of k sections
+    return rows.select("question_id", F.explode(F.when(F.col("rank").isNotNull(), found).otherwise(none)).alias("r")).select("question_id", "r.*")
 
 
 def answer_context(ranked: DataFrame, sections: DataFrame) -> DataFrame:

@@ -35,33 +35,35 @@ def parents(toc: DataFrame) -> DataFrame:
     return rows.join(found, ["doc", "ord"], "left").withColumn("full_title", full)
 
 
-_PLACES = pa.schema([("doc", pa.int64()), ("ord", pa.int64()), ("depth", pa.int32()), ("path", pa.list_(pa.int64())), ("parent_path", pa.string())])
-
-
 def _places(table: pa.Table) -> pa.Table:
-    """Where each entry of one document's tree is; entries that no root reaches are left out."""
-    rows = {r["ord"]: r for r in table.to_pylist()}
+    """One document's entries with depth, path and parent_path, depth first; entries that no root reaches are left out."""
+    orders, parents, titles = (table.column(c).to_pylist() for c in ("ord", "parent_ord", "title"))
     below: dict = {}
-    for i in sorted(rows):
-        below.setdefault(rows[i]["parent_ord"], []).append(i)
-    out, waiting = [], [(i, (), "") for i in below.get(None, [])]
+    for i in sorted(range(len(orders)), key=orders.__getitem__, reverse=True):
+        below.setdefault(parents[i], []).append(i)
+    kept, depths, paths, above = [], [], [], []
+    waiting = [(i, (), "") for i in below.get(None, [])]
     while waiting:
         i, up, over = waiting.pop()
-        path, title = (*up, i), rows[i]["title"] or ""
-        out.append({"doc": rows[i]["doc"], "ord": i, "depth": len(path), "path": list(path), "parent_path": over})
-        waiting += [(k, path, f"{over}/{title}" if over else title) for k in below.get(i, [])]
-    return pa.Table.from_pylist(out, schema=_PLACES)
+        path, title = (*up, orders[i]), titles[i] or ""
+        kept.append(i)
+        depths.append(len(path))
+        paths.append(list(path))
+        above.append(over)
+        waiting += [(k, path, f"{over}/{title}" if over else title) for k in below.get(orders[i], [])]
+    out = table.take(pa.array(kept, pa.int64()))
+    for name, values, kind in (("depth", depths, pa.int32()), ("path", paths, pa.list_(pa.int64())), ("parent_path", above, pa.string())):
+        out = out.append_column(name, pa.array(values, kind))
+    return out
 
 
 def walked(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (doc, ord, parent_ord, title) with depth, path (ords from the root) and parent_path (titles joined by '/').
+    """``nodes`` (doc, ord, parent_ord, title, ...) with depth, path (ords from the root) and parent_path (titles joined by '/').
 
     One document's outline is walked at a time, in one shuffle whatever its depth.
     """
-    places = nodes.select("doc", "ord", "parent_ord", "title").groupBy("doc").applyInArrow(
-        _places, "doc long, ord long, depth int, path array<long>, parent_path string"
-    )
-    return nodes.join(places, ["doc", "ord"])
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in nodes.dtypes), "depth int, path array<long>, parent_path string"])
+    return nodes.groupBy("doc").applyInArrow(_places, schema)
 
 
 def preorder(walk: DataFrame) -> DataFrame:

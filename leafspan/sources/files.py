@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -27,6 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/") + "/leafspan"
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for plans that need it more than once."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_pages(pages: DataFrame, path: str, size: int = 20) -> None:
     """Pages (doc, page, text) in windows of ``size``, one folder per window number, so that a read of a page opens one."""
     if size <= 0:
