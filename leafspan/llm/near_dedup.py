@@ -350,7 +350,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = saved(docs.mapInArrow(_sketches, SKETCHED), "sketches")
     full = every.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    members = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
+    # read back, so that joins by set and id are dealt by both, not by a set that very many share
+    members = saved(full.groupBy("set_key").agg(F.min("doc_id").alias("node")), "members")
     nodes = saved(
         full.join(members.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
         .select(F.col("doc_id").alias("node"), "sketch", "bands"),
