@@ -59,7 +59,7 @@ def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
     placed = windows.select("window_id", "words", F.posexplode("words").alias("offset", "token"))
     rarest = Window.partitionBy("window_id").orderBy(F.coalesce("n", F.lit(0)), "token", "offset")
     return (
-        placed.join(seen, "token", "left")
+        placed.join(_small(saved(seen, "seen")), "token", "left")
         .withColumn("rank", F.row_number().over(rarest))
         .filter("rank = 1")
         .select("token", "window_id", "words", "offset")
