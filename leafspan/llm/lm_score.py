@@ -4,9 +4,9 @@ Method (Talbot and Osborne 2007): the count c of an n-gram is quantised to the
 level 1 + floor(log2 c); the filter holds the n-gram joined with each level from
 1 to its own. A count is read by probing level 1, 2, ... until the first miss,
 so that a false hit overstates a count by a level with a probability that falls
-off exponentially. The filter holds all training words, and the training word
-pairs (each text starts and finishes with the same mark) that occur MIN_PAIR
-times at least, a modelling parameter that is the same for any corpus.
+off exponentially. The filter holds all training words and all training word
+pairs (each text starts and finishes with the same mark), those that occur once
+at level 1.
 
 Score: the sum over tokens of log10 P(w | h),
 P(w | h) = (c(h, w) + PULL * P(w)) / (c(h) + PULL), P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
@@ -29,13 +29,14 @@ from leafspan.llm import exchange as ex
 from leafspan.llm import textnum as tn
 from leafspan.llm.session import saved, small_batches
 
-MIN_PAIR = 2
 PULL = 8.0
 BITS_PER_ENTRY, PROBES = 12, 6
 MOST_LEVELS = 40
 BROADCAST_LIMIT = 64 << 20
 #: Bytes of text whose words and pairs are counted together before they are sent.
 GATHER = 16 << 20
+#: Keys that enter a segment together.
+BUILT = 1 << 18
 
 END = np.uint64(0x1D8E4E27C47D124F)
 _WORD, _PAIR = 0, 1
@@ -131,22 +132,20 @@ class Filter:
     def __init__(self, data: np.ndarray):
         self.bits = data  # uint8, 8 * len(data) places
 
-    @staticmethod
-    def places(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        a = tn.mix(keys, 2 * level + 101)
-        b = tn.mix(keys, 2 * level + 102) | np.uint64(1)
-        steps = np.arange(PROBES, dtype=tn.U)[:, None]
-        return ((a + steps * b) >> np.uint64(16)) % np.uint64(size)
-
     @classmethod
     def build(cls, keys: np.ndarray, counts: np.ndarray) -> Filter:
         levels = np.frexp(counts.astype(np.float64))[1]  # 1 + floor(log2 c)
         size = max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 64) * 64)
-        bits = np.zeros(size // 8, np.uint8)
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            at = cls.places(keys[levels >= level], level, size).ravel()
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
-        return cls(bits)
+        there = np.zeros(size, bool)
+        for start in range(0, len(keys), BUILT):
+            block, own = keys[start : start + BUILT], levels[start : start + BUILT]
+            for level in range(1, int(own.max(initial=0)) + 1):
+                block, own = block[own >= level], own[own >= level]
+                a = tn.mix(block, 2 * level + 101)
+                b = tn.mix(block, 2 * level + 102) | np.uint64(1)
+                for k in range(PROBES):
+                    there[((a + np.uint64(k) * b) >> np.uint64(16)) % np.uint64(size)] = True
+        return cls(np.packbits(there, bitorder="little"))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.uint8)
@@ -173,18 +172,16 @@ def filter_key(kind: int, keys: np.ndarray) -> np.ndarray:
 def _built(table: pa.Table) -> pa.Table:
     """One owner's segment and its words' exact counts."""
     schema = pa.schema([("owner", pa.int32()), ("segment", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
-    found = {}
+    found, every = {}, table.to_pylist()
     for kind, item in ((_WORD, tn.U), (_PAIR, np.uint32)):
-        rows = [r for r in table.to_pylist() if r["kind"] == kind]
+        rows = [r for r in every if r["kind"] == kind]
         keys = [np.frombuffer(r["keys"], item) for r in rows]
         counts = [_counts_of(k, r["counts"]) for k, r in zip(keys, rows, strict=True)]
         found[kind] = _tally([k.astype(tn.U) for k in keys], counts)
+    del every, rows, keys, counts
     words, n_words = found[_WORD]
     pairs, n_pairs = found[_PAIR]
-    often = n_pairs >= MIN_PAIR
-    segment = Filter.build(
-        np.concatenate([filter_key(_WORD, words), filter_key(_PAIR, pairs[often])]), np.concatenate([n_words, n_pairs[often]])
-    )
+    segment = Filter.build(np.concatenate([filter_key(_WORD, words), filter_key(_PAIR, pairs)]), np.concatenate([n_words, n_pairs]))
     return ex.table(
         schema,
         [(table.column("owner")[0].as_py(), segment.bits.tobytes(), words.tobytes(), n_words.astype(np.int64).tobytes(), int(n_words.sum()), len(words))],

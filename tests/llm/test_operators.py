@@ -178,6 +178,20 @@ def test_score_uses_context(spark):
     assert held and sum(r["score"] for r in held) > 0.6 * sum(r["base_score"] for r in held)
 
 
+def test_pairs_that_occur_once_are_modelled(spark):
+    """A held-out text of pairs seen once scores as the formula has it, and better than the same words in new pairs."""
+    import math
+
+    ids = {held: [i for i in range(100) if (brute.crc(i) % 10 == 0) == held] for held in (True, False)}
+    words = [f"u{k}" for k in range(200)]
+    rows = [(ids[False][0], " ".join(words)), (ids[True][0], " ".join(words)), (ids[True][1], " ".join(reversed(words)))]
+    got = by_id(lm_score.scores(brute.docs(spark, rows)))
+    alone = 1.1 / (201 + 0.1 * 202)
+    seen, new = (201 * math.log10((c + lm_score.PULL * alone) / (1 + lm_score.PULL)) for c in (1, 0))
+    assert got[ids[True][0]]["score"] == pytest.approx(seen, rel=0.02)
+    assert got[ids[True][1]]["score"] == pytest.approx(new, rel=0.05)
+
+
 def test_filter_levels():
     keys = textnum.mix(np.arange(20_000, dtype=np.uint64))
     counts = np.random.default_rng(0).geometric(0.3, 20_000)
