@@ -3,9 +3,16 @@
 Method: per kind, wide generators propose spans that may overlap. Each gets
 format features (digits, groups, separators, brackets) and context features (a
 telling word before it, its neighbours). Boosted trees learn which features go
-with spans that the certain patterns accept, and a threshold is set per kind at
-the lowest score whose proposals were right to PRECISION. Proposals above it that
-touch no certain span are added; certain spans always stay.
+with spans that are right, and a threshold is set per kind at the lowest score
+whose proposals were right to PRECISION. Proposals above it that touch no certain
+span and pass their kind's check are added; certain spans always stay.
+
+Labels: a span that the certain patterns accept is right. Of those that touch none,
+only those that fail their kind's check (octets, Luhn and digit counts, the plan of
+phone numbers, a last label of letters) are wrong. Those that pass it are unlabelled:
+per combination of features, the passes beyond the number that chance would give
+beside the failures (CHANCE) weigh as right, the others weigh nothing. So a form
+that the certain patterns miss does not count against itself, however common it is.
 
 All work on texts is Spark SQL. The trees learn from counts of feature
 combinations over all documents; there are at most 4 * 2048 such combinations,
@@ -38,7 +45,7 @@ PROPOSED = {
     "phone": r"(?<![0-9A-Za-z])(?:\+?[0-9]{1,3}[\x20.-])?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])",
 }
 #: What a text must hold before a pattern is tried.
-NEEDS = {"email": r"@|[\[({]\x20?[aA][tT]\x20?[\])}]", "ip": r"[0-9]\]?\x20?\.", "card": r"[0-9]", "phone": r"[0-9]"}
+NEEDS = {"email": r"@|[\[({]\x20?[aA][tT]\x20?[\])}]", "ip": r"[0-9]\x20?\[?\.", "card": r"[0-9]", "phone": r"[0-9]"}
 TELLING = {
     "email": r"(?i)mail|contact|write|courriel|correo",
     "ip": r"(?i)\bip\b|addr|host|server",
@@ -47,6 +54,8 @@ TELLING = {
 }
 CONTEXT = 24
 FEATURES = {"digits": 4, "separators": 4, "brackets": 2, "groups": 4, "told": 2, "left": 2, "right": 2}
+#: The share of spans of no one's data that pass the check: random octets of three digits, check digits, first digits of area and exchange; for emails a guess.
+CHANCE = {"email": 0.5, "ip": 0.256**4, "card": 0.1, "phone": 0.64}
 PRECISION = 0.95
 LEAST_SEEN = 20
 ROUNDS, RATE = 24, 0.3
@@ -87,6 +96,20 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _plausible(kind: str, span: Column, told: Column) -> Column:
+    """Whether a proposal passes its kind's check. A phone number that is a bare run of digits needs a telling word."""
+    match = span["match"]
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    if kind == "ip":
+        return F.forall(F.split(match, "[^0-9]+"), lambda x: x.cast("int") <= 255)
+    if kind == "card":
+        return F.length(digits).between(14, 19) & F.call_function("luhn_check", digits)
+    if kind == "phone":
+        planned = digits.rlike("^(1?[2-9][0-9]{2}[2-9][0-9]{6}|[2-9][0-9]{0,2}[0-9]{10})$")
+        return planned & (match.rlike("[^0-9]") | (told == 1))
+    return match.rlike("[^A-Za-z0-9-][A-Za-z]{2,}$")
+
+
 def _placed(zipped: Column, kind: int) -> Column:
     """(start, kind, end, match) in code points, for the (gap, match) pairs of a text."""
     pairs = F.filter(zipped, lambda x: x["match"].isNotNull())
@@ -149,7 +172,7 @@ def _accepted(kind: str) -> Column:
 
 
 def _described(kind: str) -> Column:
-    """A kind's proposals with enough digits: place, whether a certain span of the kind or any touches them, features."""
+    """A kind's proposals with enough digits: place, whether a certain span of the kind or any touches them, whether they pass the kind's check, features."""
     least, most = {"card": (13, 19), "phone": (10, 19), "ip": (4, 99), "email": (0, 1 << 30)}[kind]
     wide = F.filter(f"sp_{kind}", lambda x: F.length(F.regexp_replace(x["match"], "[^0-9]", "")).between(least, most))
 
@@ -158,23 +181,25 @@ def _described(kind: str) -> Column:
             "base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & ((y["kind"] == x["kind"]) if same else F.lit(True))
         )
 
-    return F.transform(
-        wide,
-        lambda x: F.struct(
+    def described(x: Column) -> Column:
+        features = dict(zip(FEATURES, _features(kind, F.col("text"), x), strict=True))
+        return F.struct(
             x["start"].alias("start"),
             x["kind"].alias("kind"),
             x["end"].alias("end"),
             touched(x, True).alias("certain"),
             touched(x, False).alias("covered"),
-            *(f.cast("int").alias(n) for n, f in zip(FEATURES, _features(kind, F.col("text"), x), strict=True)),
-        ),
-    )
+            _plausible(kind, x, features["told"]).alias("plausible"),
+            *(f.cast("int").alias(n) for n, f in features.items()),
+        )
+
+    return F.transform(wide, described)
 
 
 class Trees:
     """Boosted trees of two levels over small whole-number features, fitted on weighted combinations."""
 
-    def __init__(self, rows: list[tuple[tuple[int, ...], int, int]], bins: list[int]):
+    def __init__(self, rows: list[tuple[tuple[int, ...], float, int]], bins: list[int]):
         """rows: (features, right, wrong)."""
         self.trees: list[tuple] = []
         right, wrong = sum(r[1] for r in rows), sum(r[2] for r in rows)
@@ -251,12 +276,21 @@ def fitted(found: DataFrame) -> dict[str, tuple[Trees, float]]:
     spans = found.select(F.explode("proposed").alias("s")).select("s.*")
     counts = (
         spans.groupBy("kind", *FEATURES)
-        .agg(F.sum(F.col("certain").cast("long")).alias("n_right"), F.sum((~F.col("certain") & ~F.col("covered")).cast("long")).alias("n_wrong"))
+        .agg(
+            F.sum(F.col("certain").cast("long")).alias("n_certain"),
+            F.sum((~F.col("covered") & F.col("plausible")).cast("long")).alias("n_passed"),
+            F.sum((~F.col("covered") & ~F.col("plausible")).cast("long")).alias("n_failed"),
+        )
         .collect()  # at most len(KINDS) * 2048 rows
     )
     models = {}
     for i, k in enumerate(KINDS):
-        rows = sorted((tuple(r[n] for n in FEATURES), r["n_right"], r["n_wrong"]) for r in counts if r["kind"] == i)
+        odds = CHANCE[k] / (1 - CHANCE[k])
+        rows = sorted(
+            (tuple(r[n] for n in FEATURES), r["n_certain"] + max(0.0, r["n_passed"] - r["n_failed"] * odds), r["n_failed"])
+            for r in counts
+            if r["kind"] == i
+        )
         if sum(r[1] for r in rows) >= LEAST_SEEN:
             model = Trees(rows, list(FEATURES.values()))
             at = threshold(model, rows)
@@ -281,7 +315,7 @@ def spans(docs: DataFrame) -> DataFrame:
             *(F.when(x["kind"] == KINDS.index(k), m.column(x) >= at - 1e-9) for k, (m, at) in models.items()), F.lit(False)
         )
         added = F.transform(
-            F.filter("proposed", lambda x: ~x["covered"] & chosen(x)),
+            F.filter("proposed", lambda x: ~x["covered"] & x["plausible"] & chosen(x)),
             lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")),
         )
         return found.select("doc_id", "base", F.array_sort(F.array_distinct(F.concat("base", added))).alias("spans"))

@@ -269,6 +269,25 @@ def test_proposals_join_certain_spans(spark):
     assert text.select(pii.redacted(F.col("text"), F.col("spans"))).first()[0] == "call [phone] now"
 
 
+@pytest.mark.parametrize("share", [0.05, 0.2, 0.8])
+def test_forms_that_the_patterns_miss_are_added_however_common(spark, share):
+    forms = {
+        "phone": ("call +1 (74{0}) 555-38{1} now", "call 1 (74{0}) 555-38{1} now"),
+        "email": ("mail joe{1}@host.com now", "mail joe{1} [at] host [dot] com now"),
+        "ip": ("server 1.2.{0}.{1} up", "server 1[.]2[.]{0}[.]{1} up"),
+    }
+    missed = round(200 * share)
+    rows, kinds = [], list(forms)
+    for n, (certain, other) in enumerate(forms.values()):
+        rows += [(1000 * n + i, (other if i < missed else certain).format(i % 10, i % 90 + 10)) for i in range(200)]
+    rows += [(5000 + i, f"order 10{i % 10}20304{i % 90 + 10} of parts") for i in range(60)]
+    rows += [(6000 + i, f"server 1[.]2[.]3[.]{i + 900} up") for i in range(3)]
+    got = by_id(pii.spans(brute.docs(spark, rows)).select("doc_id", pii.joined("spans").alias("s"), "base"))
+    for n, kind in enumerate(kinds):
+        assert all(not got[1000 * n + i]["base"] and got[1000 * n + i]["s"].startswith(f"{kind}:") for i in range(missed)), kind
+    assert not any(got[i]["s"] for i in got if i >= 5000)
+
+
 def test_starts(spark):
     lengths = list(range(1, 1200))
     got = spark.createDataFrame([(lengths,)], "x array<int>").select(pii.starts(F.col("x"))).first()[0]
