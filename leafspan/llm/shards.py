@@ -2,8 +2,8 @@
 
 Method: the tree splits all rows at a weighted median of the widest metadata
 dimension, again and again, until a leaf's share is the target number of bytes.
-Dimensions: source, language, size and id, each scaled to [0, 1] over the whole table;
-the widest is the one with the longest range within a node. Weights are bytes.
+Dimensions: source, language, size and id, each scaled to [0, 1] over the whole table
+(sources and languages by their rank among the distinct ones); the widest is the one with the longest range within a node. Weights are bytes.
 
 Copies (equal texts) move as one unit with the metadata of their smallest id, so
 that they meet in one shard. Only a unit above MOST_OF_SHARD of the target is cut
@@ -42,10 +42,19 @@ def _position(value: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
 
 
-def _leading(column: Column) -> Column:
-    """A number for the first six bytes of a text's UTF-8 form, in the texts' order; null comes last."""
-    head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(float(1 << 48)))
+def _with_rank(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a text column replaced by its value's rank among the distinct ones (0, 1, ...); null comes last."""
+    values = rows.select(name).filter(F.col(name).isNotNull()).distinct()
+    placed = saved(values.repartitionByRange(name).sortWithinPartitions(name).withColumn("at", F.monotonically_increasing_id()), "ranks")
+    block, starts, total = F.shiftright("at", 33), {}, 0
+    for r in placed.groupBy(block.alias("block")).count().orderBy("block").collect():  # a row per partition
+        starts[r["block"]], total = total, total + r["count"]
+    if not total:
+        return rows.withColumn(name, F.lit(0.0))
+    start = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in starts.items() for x in pair)), block)
+    ranks = placed.select(name, (start + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("double").alias("rank"))
+    ranked = rows.join(ranks, name, "left").withColumn(name, F.coalesce("rank", F.lit(float(total))))
+    return ranked.select(rows.columns)
 
 
 def _metadata(docs: DataFrame) -> DataFrame:
@@ -59,8 +68,8 @@ def _metadata(docs: DataFrame) -> DataFrame:
         size.alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64("text").alias("copy"),
-        _leading(optional("source")).alias("source"),
-        _leading(optional("lang")).alias("lang"),
+        optional("source").alias("source"),
+        optional("lang").alias("lang"),
     )
 
 
@@ -215,7 +224,7 @@ def shards(docs: DataFrame, count: int = SHARDS) -> DataFrame:
     allowed. With fewer units than shards some shards stay empty; an empty table
     gives an empty result. Columns other than doc_id, text, source and lang are not read.
     """
-    rows = saved(_metadata(docs), "metadata")
+    rows = saved(_with_rank(_with_rank(_metadata(docs), "source"), "lang"), "metadata")
     total = rows.agg(F.sum("size")).first()[0] or 0
     units = _units(rows, total / count)
     spans = units.agg(*(f(c).alias(f"{n}_{c}") for c in DIMENSIONS for n, f in (("low", F.min), ("high", F.max)))).first()

@@ -236,6 +236,12 @@ def test_shards_are_even_and_keep_copies(spark, empty):
     assert [(r["size"], r["shard"] in range(16), r["slot"]) for r in null] == [(1, True, 0)]
 
 
+def test_sources_that_begin_alike_are_cut_apart(spark):
+    rows = [(i, f"text {i:04}", "en", ["source_a", "source_b", "source_c", "source_d"][i % 4]) for i in range(400)]
+    got = by_id(shards.shards(brute.docs(spark, rows), 2))
+    assert {(source, got[i]["shard"]) for i, _, _, source in rows} == {("source_a", 0), ("source_b", 0), ("source_c", 1), ("source_d", 1)}
+
+
 # --- 4
 
 PRIVATE = [
