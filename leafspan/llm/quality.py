@@ -26,7 +26,6 @@ from leafspan.llm.session import small_batches
 MOST_LABELLED = 50_000
 LEAST_PRECISION = 0.9
 LEAST_COVERED = 3
-MOST_RULES, MOST_CONDITIONS = 12, 3
 #: Fixed value: the symbols of the base statistic.
 SYMBOLS = b"#*$%&|<>"
 
@@ -166,9 +165,9 @@ def decision_list(x: dict[str, np.ndarray], bad: np.ndarray) -> list[list[Condit
     n = len(bad)
     grow = np.arange(n) % 3 != 2
     left, rules = np.ones(n, bool), []
-    while len(rules) < MOST_RULES and bad[left & grow].sum() >= LEAST_COVERED:
+    while bad[left & grow].sum() >= LEAST_COVERED:
         rule, inside = [], left & grow
-        while len(rule) < MOST_CONDITIONS and (~bad[inside]).any():
+        while (~bad[inside]).any():
             condition = _best(x, bad, inside)
             if condition is None:
                 break

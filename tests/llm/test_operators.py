@@ -378,6 +378,24 @@ def test_quality_rules_are_learned(spark):
     assert sum(a == b for a, b in new) >= 0.97 * len(new)
 
 
+def test_quality_rules_go_on_while_they_are_right():
+    """Twenty kinds of bad rows, each by itself in one statistic; a box that only four conditions hold."""
+    rng = np.random.default_rng(4)
+    names = list(quality.RATIOS)
+    n = 12_000
+    x = {name: rng.random(n) for name in names}
+    place = x[names[0]] * 41
+    bad = (place.astype(int) % 2 == 1)
+    rules = quality.decision_list(x, bad)
+    said = np.any([quality._holds(x, r, n) for r in rules], axis=0)
+    assert len(rules) > 12 and said[bad].mean() > 0.95 and bad[said].mean() > 0.95
+    a, b = (x[k] for k in names[1:3])
+    box = (a > 0.3) & (a < 0.7) & (b > 0.3) & (b < 0.7)
+    rules = quality.decision_list(x, box)
+    said = np.any([quality._holds(x, r, n) for r in rules], axis=0)
+    assert max(map(len, rules)) > 3 and said[box].mean() > 0.95 and box[said].mean() > 0.95
+
+
 # --- 8
 
 
