@@ -3,8 +3,10 @@
 Method: each learned language has a distribution over hashed character triples
 (of UTF-8 bytes, A-Z lower-cased, with the word's borders). A word's likelihood in
 a language is the product over its triples. Expectation-maximisation over a
-document's words gives the languages' proportions; among the best 1, 2, ... MOST
+document's words gives the languages' proportions; among the best 1, 2, ...
 languages the set with the lowest -2 log L + PENALTY * size * log(words) is selected.
+Sets of up to ALWAYS languages are weighed in any case, and larger ones as long as the
+last language lowered that cost.
 The prediction is the language of that set with the largest proportion.
 
 Learning counts all triples of all training documents (as many numbers as
@@ -26,7 +28,7 @@ BUCKETS = 1 << 15
 MOST_LANGUAGES = 512
 ALPHA = 0.5
 ITERATIONS = 12
-MOST = 3
+ALWAYS = 3
 PENALTY = 2.0
 UNDETERMINED = "und"
 
@@ -113,13 +115,22 @@ def mixtures(words: tn.Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     chosen = np.zeros_like(full)
     chosen[np.arange(len(some)), top] = 1
     cost = -2 * single.max(axis=1) + PENALTY * np.log(count)
-    for size in range(2, min(MOST, n) + 1):
-        allowed = np.zeros_like(full)
-        np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
+    left, last = np.arange(len(some)), cost.copy()  # the texts that go on, and their costs one language before
+    for size in range(2, n + 1):
+        allowed = np.zeros((len(left), n))
+        np.put_along_axis(allowed, order[left, :size], 1.0, axis=1)
         share, fit = _em(like, doc, first, count, allowed)
         now = -2 * fit + PENALTY * size * np.log(count)
-        better = now < cost
-        chosen[better], cost[better] = share[better], now[better]
+        better = now < cost[left]
+        chosen[left[better]], cost[left[better]] = share[better], now[better]
+        if size >= ALWAYS:
+            fell = now < last
+            if not fell.any():
+                break
+            like, left, count, now = like[fell[doc]], left[fell], count[fell], now[fell]
+            doc = np.repeat(np.arange(len(left)), count)
+            first = np.concatenate([[0], np.cumsum(count)[:-1]])
+        last = now
     selected[some], overall[some] = chosen, full
     return selected, overall
 

@@ -343,6 +343,17 @@ def test_languages(spark, table, odd, empty):
     assert language_id.languages(table).count() == len(odd)
 
 
+def test_languages_of_a_text_in_five(spark):
+    rng = random.Random(7)
+    letters = ["abc", "def", "ghi", "jkl", "mno", "pqr"]
+    kinds = {x * 2: ["".join(rng.choice(x) for _ in range(6)) for _ in range(20)] for x in letters}
+    rows = [(20 * k + i, text_of(rng, 40, words), x) for k, (x, words) in enumerate(kinds.items()) for i in range(20)]
+    five = list(kinds)[:5]
+    rows += [(900, " ".join(text_of(rng, 40, kinds[x]) for x in five), None)]
+    got = by_id(language_id.languages(brute.docs(spark, rows)))
+    assert set(got[900]["proportions"]) == set(five) and all(0.1 < p < 0.3 for p in got[900]["proportions"].values())
+
+
 # --- 7
 
 
