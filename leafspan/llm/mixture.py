@@ -1,19 +1,22 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Method (Rosen 1997): a document of inclusion probability p gets the rank
-[u / (1 - u)] / [p / (1 - p)] with u a uniform number drawn from its id; a sample of
-fixed size is the documents of the smallest ranks. A source whose target is f times its size takes
+Method (Rosen 1997): a document gets the rank [u / (1 - u)] / odds, with u a uniform
+number drawn from its id and odds its inclusion odds; a sample of fixed size is the
+documents of the smallest ranks. A source whose target is f times its size takes
 floor(f) whole copies of each document for certain; the rest of the target is
-sampled with p = f - floor(f), so that probabilities differ between sources. The
-size of a sample is counted in words: documents are taken in the order of their
-ranks until the words taken come nearest to the rest of the target.
+sampled. The odds of a document are in proportion to (size + 1) ** POWER, so that
+long documents are likelier than short ones and one long document rarely decides where
+the sample ends. The size of a sample is fixed in words: documents are taken in the
+order of their ranks until the words taken come nearest to the rest of the target.
+The rank at which that happens is the factor of the odds: a document is taken with
+probability odds * rank / (1 + odds * rank) (``inclusion``).
 
 Targets: sources in the order of their code points (null last) weigh 1, 2, 3, 1,
 2, 3, ... and share all words; no target exceeds 3 times its source, and the
 excess goes to the others by weight.
 
 The place where the sample ends is found without sorting a source: words are
-summed per source and bin of u, the bin where the target falls is known from
+summed per source and bin of the rank, the bin where the target falls is known from
 running sums over bins, and only rows of that bin are sorted.
 """
 
@@ -24,11 +27,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafspan.llm.session import SPACE_WORD, saved, set_aside
+from leafspan.llm.session import BROADCAST_ROWS, SPACE_WORD, saved, set_aside, with_small
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 SEED = 20240917
+#: Inclusion odds grow with this power of a document's length.
+POWER = 1.0
 #: Rows of a source's bin that are sorted together, about.
 BIN_ROWS = 4096
 
@@ -63,110 +68,135 @@ def uniform(*key, seed: int = SEED) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
-def pareto_rank(u: Column, p: Column) -> Column:
-    """[u / (1 - u)] / [p / (1 - p)]"""
-    return (u / (1 - u)) / (p / (1 - p))
+def odds(size: Column, power: float = POWER) -> Column:
+    """Inclusion odds of a document of ``size`` words, up to its source's factor."""
+    return F.pow(size + F.lit(1.0), F.lit(power))
+
+
+def pareto_rank(u: Column, weight: Column) -> Column:
+    """[u / (1 - u)] / odds"""
+    return (u / (1 - u)) / weight
+
+
+def inclusion(size: Column, cut: Column, power: float = POWER) -> Column:
+    """The probability that a document of ``size`` words has a rank of at most ``cut``."""
+    return odds(size, power) * cut / (1 + odds(size, power) * cut)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with _nth: 0, 1, ... for the rows of one _key, so that equal rows get draws of their own.
+
+    Only keys that occur again are numbered: within each of the parts that Spark reads, after the
+    parts before, so that a key of very many rows does not meet in one task.
+    """
+    again = saved(rows.groupBy("_key").count().filter("count > 1").select(F.col("_key").alias("_again")), "again")
+    if again.isEmpty():
+        return rows.withColumn("_nth", F.lit(0).cast("long"))
+    marked = rows.join(with_small(again, BROADCAST_ROWS), F.col("_key") == F.col("_again"), "left")
+    once = marked.filter("_again IS NULL").drop("_again").withColumn("_nth", F.lit(0).cast("long"))
+    placed = marked.filter("_again IS NOT NULL").drop("_again").withColumn("_part", F.spark_partition_id())
+    placed = saved(placed, "repeated")
+    upto = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("_key", "_part").agg(F.count("*").alias("_n"))
+    parts = parts.select("_key", "_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_key", "_part").orderBy("_key")
+    placed = placed.withColumn("_nth", F.row_number().over(within) - 1).join(parts, ["_key", "_part"])
+    return once.unionByName(placed.withColumn("_nth", (F.col("_nth") + F.col("_before")).cast("long")).drop("_part", "_before"))
+
+
+def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "text", F.lit(1), "source"))
 
 
 def _drawn(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, source, _size, _u) of rows (doc_id, text, source)."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(SPACE_WORD)), F.lit(0)).cast("long")
-    return docs.select("*", size.alias("_size"), uniform("doc_id", "text", seed=seed).alias("_u"))
+    rows = _keyed(docs, seed).select("doc_id", "source", size.alias("_size"), "_key")
+    return saved(numbered(saved(rows, "sizes")).select("doc_id", "source", "_size", uniform("_key", "_nth").alias("_u")), "drawn")
+
 
+def _ranked(rows: DataFrame, goals: DataFrame, bins: int, power: float) -> DataFrame:
+    """``rows`` (source, _size, _u) joined with their source's goals, with _rank and _own, its bin."""
+    out = rows.join(with_small(goals, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("_source")))
+    out = out.withColumn("_rank", pareto_rank(F.col("_u"), odds(F.col("_size"), power)))
+    scaled = F.col("_rank") * F.col("scale")
+    return out.withColumn("_own", F.least(F.floor(scaled / (1 + scaled) * bins), F.lit(bins - 1)).cast("int"))
 
-def cuts(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Per source (_source, source_size, target, certain, p, bin, cut), and the number of bins, from (source, _size, _u)."""
-    sizes = rows.groupBy("source").agg(F.sum("_size").alias("source_size"))
+
+def cuts(rows: DataFrame, power: float = POWER) -> tuple[DataFrame, int]:
+    """Per source (_source, source_size, target, certain, rest, scale, bin, cut), and the number of bins, from (source, _size, _u).
+
+    The sample of a source are its rows of a bin below ``bin``, and those of ``bin`` whose rank is at most ``cut``.
+    """
+    sizes = rows.groupBy("source").agg(F.sum("_size").alias("source_size"), F.avg(odds(F.col("_size"), power)).alias("scale"))
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # a target of exactly k times its source must not fall below k by rounding
     factor = F.when(F.abs(factor - F.round(factor)) < 1e-9, F.round(factor)).otherwise(factor)
-    goals = targets(sizes).withColumn("factor", factor).withColumn("certain", F.floor("factor").cast("int"))
-    goals = goals.select(
-        F.col("source").alias("_source"),
-        "source_size",
-        "target",
-        "certain",
-        (F.col("factor") - F.col("certain")).alias("p"),
-        (F.col("target") - F.col("certain") * F.col("source_size")).alias("rest"),
-    )
-    goals = saved(goals, "targets")
+    goals = targets(sizes.drop("scale")).withColumn("certain", F.floor(factor).cast("int")).withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
+    named = sizes.select(F.col("source").alias("_source"), "scale")
+    goals = goals.join(named, F.col("source").eqNullSafe(F.col("_source")))
+    goals = saved(goals.select("_source", "source_size", "target", "certain", "rest", "scale"), "targets")
 
-    # u orders a source's rows as their ranks do (p is the source's); bins of u serve as bins of the rank
     bins = max(64, min(1 << 20, math.ceil(rows.count() / BIN_ROWS)))
-    binned = rows.withColumn("bin", F.floor(F.col("_u") * bins).cast("int"))
-    same = F.col("source").eqNullSafe(F.col("_source"))
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = binned.groupBy("source", "bin").agg(F.sum("_size").alias("words"))
+    placed = _ranked(rows, goals, bins, power).filter("rest > 0")
+    upto = Window.partitionBy("source").orderBy("_own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = placed.groupBy("source", "_own").agg(F.sum("_size").alias("words"), F.first("rest").alias("rest"))
     ends = (
         filled.withColumn("sum", F.sum("words").over(upto))
-        .join(goals, same)
-        .filter("p > 0 AND sum >= rest")
-        .groupBy("_source")
-        .agg(F.min(F.struct("bin", (F.col("sum") - F.col("words")).alias("before"), "rest", "p")).alias("e"))
-        .select("_source", "e.*")
+        .filter("sum >= rest")
+        .groupBy(F.col("source").alias("s"))
+        .agg(F.min(F.struct(F.col("_own").alias("bin"), (F.col("sum") - F.col("words")).alias("before"))).alias("e"))
+        .select("s", "e.*")
     )
     ends = saved(ends, "ends")
-    last = binned.withColumnRenamed("bin", "own").join(ends, same).filter("own = bin")
-    ordered = Window.partitionBy("_source").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = last.withColumn("rank", pareto_rank(F.col("_u"), F.col("p"))).withColumn("sum", F.col("before") + F.sum("_size").over(ordered))
-    under = last.filter(F.col("sum") <= F.col("rest")).groupBy("_source").agg(F.max("_u").alias("cut"), F.max("sum").alias("reached"))
-    ends = ends.withColumnRenamed("_source", "s").join(
-        under.withColumnRenamed("_source", "t"), F.col("s").eqNullSafe(F.col("t")), "left"
-    )
-    ends = saved(ends.select("s", "bin", "cut", (F.col("rest") - F.coalesce("reached", "before")).alias("gap")), "gaps")
-    # what the gap lacks comes from the one document left that fits it best
-    lacking = binned.withColumnRenamed("bin", "own").join(ends, F.col("source").eqNullSafe(F.col("s"))).filter(~_below("own"))
-    miss = F.abs(F.col("_size") - F.col("gap"))
-    fill = (
-        lacking.filter(miss < F.col("gap"))
-        .groupBy(F.col("s").alias("f"))
-        .agg(F.min(F.struct(miss, "_u")).alias("best"))
-        .select("f", F.col("best._u").alias("fill"))
-    )
-    ends = ends.drop("gap").join(fill, F.col("s").eqNullSafe(F.col("f")), "left").drop("f")
-    return saved(goals.drop("rest").join(ends, F.col("_source").eqNullSafe(F.col("s")), "left").drop("s"), "cuts"), bins
-
+    last = placed.join(with_small(ends, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("s"))).filter("_own = bin")
+    ordered = Window.partitionBy("source").orderBy("_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = last.withColumn("sum", F.col("before") + F.sum("_size").over(ordered))
+    # the row that crosses the rest is taken if that comes nearer to it than leaving it out
+    under = last.filter(2 * F.col("sum") - F.col("_size") < 2 * F.col("rest")).groupBy(F.col("source").alias("t")).agg(F.max("_rank").alias("cut"))
+    ends = ends.join(under, F.col("s").eqNullSafe(F.col("t")), "left").select("s", "bin", "cut")
+    return saved(goals.join(ends, F.col("_source").eqNullSafe(F.col("s")), "left").drop("s"), "cuts"), bins
 
-def _below(own: str) -> Column:
-    """Whether a row (its bin, _u) comes before the place where its source's sample ends (bin, cut)."""
-    return (F.col(own) < F.col("bin")) | ((F.col(own) == F.col("bin")) & F.coalesce(F.col("_u") <= F.col("cut"), F.lit(False)))
 
+def _with_copies(rows: DataFrame, goals: DataFrame, bins: int, power: float) -> DataFrame:
+    """``rows`` with their goals and _copies: the certain ones, and one more for rows of the sample."""
+    out = _ranked(rows, goals, bins, power)
+    inside = (F.col("_own") < F.col("bin")) | ((F.col("_own") == F.col("bin")) & (F.col("_rank") <= F.col("cut")))
+    return out.withColumn("_copies", F.col("certain") + ((F.col("rest") > 0) & F.coalesce(inside, F.lit(False))).cast("int"))
 
-def _with_copies(rows: DataFrame, goals: DataFrame, bins: int) -> DataFrame:
-    out = rows.join(goals, F.col("source").cast("string").eqNullSafe(F.col("_source")))
-    out = out.withColumn("_own", F.floor(F.col("_u") * bins).cast("int"))
-    chosen = (F.col("p") > 0) & (_below("_own") | F.coalesce(F.col("_u") == F.col("fill"), F.lit(False)))
-    return out.withColumn("_copies", F.col("certain") + F.coalesce(chosen, F.lit(False)).cast("int"))
 
-
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken), a row per row of ``docs``.
+def mix(docs: DataFrame, seed: int = SEED, power: float = POWER) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken, u, rank), a row per row of ``docs``.
 
     ``docs`` needs doc_id, text and source. size counts words (a null text has
-    none), taken is copies * size. Null sources are one source. Rows of equal id
-    and text share their draw. A document without words is taken like any other,
-    for nothing. The draw depends on doc_id, text and ``seed`` alone. An empty
+    none), taken is copies * size. Null sources are one source. Equal rows are numbered and get draws
+    of their own. A document without words is taken like any other,
+    for nothing. The draw depends on doc_id, text, source, that number and ``seed`` alone. An empty
     table gives an empty result; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    rows = saved(_drawn(docs, seed).drop("text"), "sizes")
-    goals, bins = cuts(rows)
-    out = _with_copies(rows, goals, bins).withColumnRenamed("_copies", "copies")
-    return out.select(
+    rows = _drawn(docs, seed)
+    goals, bins = cuts(rows, power)
+    return _with_copies(rows, goals, bins, power).select(
         "doc_id",
         "source",
         F.col("_size").alias("size"),
         "source_size",
         "target",
-        "copies",
-        (F.col("copies") * F.col("_size")).cast("long").alias("taken"),
+        F.col("_copies").alias("copies"),
+        (F.col("_copies") * F.col("_size")).cast("long").alias("taken"),
+        F.col("_u").alias("u"),
+        F.col("_rank").alias("rank"),
     )
 
 
-def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = SEED, power: float = POWER) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its copies say, with the columns of ``docs``."""
     plain, restored = set_aside(docs, "doc_id", "text", "source")
-    ids = plain.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    goals, bins = cuts(saved(_drawn(ids, seed).drop("text"), "sizes"))
-    drawn = plain.withColumn("_u", uniform(F.col("doc_id").cast("long"), F.col("text"), seed=seed))
-    drawn = _with_copies(drawn, goals, bins).filter("_copies > 0")
-    return restored(drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
+    cast = {"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string")}
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(SPACE_WORD)), F.lit(0)).cast("long")
+    goals, bins = cuts(_drawn(plain.select(*(c.alias(n) for n, c in cast.items()), "text"), seed), power)
+    rows = numbered(_keyed(plain.withColumns(cast), seed)).withColumn("_u", uniform("_key", "_nth")).withColumn("_size", size)
+    taken = _with_copies(rows, goals, bins, power).filter("_copies > 0")
+    out = restored(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
+    return out.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in docs.schema))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from leafspan.llm import textnum as tn
 from leafspan.llm.components import components
-from leafspan.llm.session import saved, set_aside, small_batches
+from leafspan.llm.session import BROADCAST_ROWS, saved, set_aside, small_batches, with_small
 
 T, BANDS, ROWS = 128, 32, 4
 SHINGLE = 5
@@ -39,8 +39,6 @@ AGREE = 60
 SHARE_OF, SHARE = 100, 75
 #: Nodes that are compared at a time.
 BLOCK = 256
-#: Lists of nodes up to this length are broadcast to the texts, longer ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 _DOC_BITS = np.uint64(8)
 
 SKETCHED = "doc_id long, n_shingles long, set_key binary, sketch binary, bands array<long>"
@@ -230,11 +228,6 @@ def _linked(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches(list(_edges(found)), schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def with_small(table: DataFrame, rows: int) -> DataFrame:
-    """``table`` marked for broadcast if it has at most ``rows`` rows."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, carry: list[str]) -> DataFrame:
     """(carry..., node, items) for the rows of ``wanted`` (carry..., node): items holds the node's shingles as 64-bit numbers."""
     rows = docs.select(F.col("doc_id").alias("node"), "text").join(with_small(wanted, BROADCAST_ROWS), "node")

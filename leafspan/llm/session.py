@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Documents that a Python worker is handed at a time.
 BATCH_ROWS = 512
 
+#: Tables of ids and numbers of up to so many rows (some 16 MB) are broadcast, longer ones joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
 #: The word of the contracts that split on ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,6 +44,11 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_small(table: DataFrame, rows: int) -> DataFrame:
+    """``table`` marked for broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes the tables that operators have left in the shared folder; results that were not written yet are lost."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/leafspan")

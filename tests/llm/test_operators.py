@@ -522,6 +522,39 @@ def test_draws_follow_inclusion_probabilities(spark):
     assert all(abs(h - share) < 0.08 for h in halves)
 
 
+def test_long_documents_are_likelier_and_ranks_decide(spark):
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.choice([4, 9, 19, 39, 79]), None, ["a", "b"][i % 4 == 0]) for i in range(6000)]
+    for seed in (1, 2):
+        got = [r for r in mixture.mix(brute.docs(spark, rows), seed=seed).collect() if r["source"] == "a"]
+        certain = int(got[0]["target"] / got[0]["source_size"])
+        taken = [r for r in got if r["copies"] > certain]
+        left = [r for r in got if r["copies"] == certain]
+        cut = max(r["rank"] for r in taken)
+        assert cut < min(r["rank"] for r in left)
+        assert max(r["u"] for r in taken) > 1.5 * min(r["u"] for r in left)  # not the order of the draws
+        assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 40
+        for size in (4, 9, 19, 39, 79):
+            own = [r for r in got if r["size"] == size]
+            p = (size + 1) * cut / (1 + (size + 1) * cut)
+            share = np.mean([r["copies"] > certain for r in own])
+            assert abs(share - p) < 4 * (p * (1 - p) / len(own)) ** 0.5 + 0.01
+
+
+def test_equal_rows_are_drawn_one_by_one(spark):
+    """400 rows of one id and text, spread over partitions: their words come within one document of the target."""
+    rows = [(7, "one two three four five six seven eight nine ten", None, "b")] * 400 + [(i, "w " * 10, None, "a") for i in range(100, 500)]
+    for parts in (1, 5):
+        df = brute.clashing(brute.docs(spark, rows).repartition(parts))
+        got = mixture.mix(df).collect()
+        for source in ("a", "b"):
+            own = [r for r in got if r["source"] == source]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 10
+        assert mixture.mixed(df).count() == sum(r["copies"] for r in got)
+    rows = [(None, None, None, None)] * 50 + [(None, "x y", None, None)] * 50
+    assert mixture.mix(brute.docs(spark, rows)).agg(F.sum("taken")).first()[0] == 100
+
+
 def test_forget(spark, tmp_path, monkeypatch):
     from leafspan.llm import session
 
