@@ -1,4 +1,8 @@
-"""From pages to a library of documents: outline, parts, page windows, registry; finished steps are not repeated."""
+"""From pages to a library of documents: outline, parts, page windows, registry.
+
+A step is built for the documents that its table lacks. Each build adds the rows of its
+documents under a new batch number; a document's rows are those of its last batch.
+"""
 
 from __future__ import annotations
 
@@ -20,22 +24,33 @@ class Library:
     path: str
     events: list[tuple[str, str]] = field(default_factory=list)
 
+    def batches(self, step: str) -> DataFrame:
+        """(doc, batch): the batch that holds each document's rows."""
+        return self.spark.read.parquet(f"{self.path}/{step}").groupBy("doc").agg(F.max("batch").alias("batch"))
+
     def table(self, step: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{step}")
+        rows = self.spark.read.parquet(f"{self.path}/{step}")
+        return rows.join(self.batches(step), ["doc", "batch"], "left_semi").drop("batch")
 
     def has(self, step: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{step}/_SUCCESS")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    def step(self, name: str, build, force: bool = False) -> DataFrame:
-        """Writes a step's table unless it is there."""
-        if force or not self.has(name):
-            self.events.append((name, "start"))
-            build().write.mode("overwrite").parquet(f"{self.path}/{name}")
-            self.events.append((name, "built"))
-        else:
+    def lacking(self, step: str, docs: DataFrame) -> DataFrame:
+        """Those of ``docs`` (doc) that the step's table has no rows of."""
+        return docs.join(self.batches(step), "doc", "left_anti") if self.has(step) else docs
+
+    def step(self, name: str, build, docs: DataFrame) -> None:
+        """Adds the rows that ``build`` makes for ``docs`` (doc) to a step's table; nothing if there are none."""
+        if self.has(name) and docs.isEmpty():
             self.events.append((name, "skipped"))
-        return self.table(name)
+            return
+        self.events.append((name, "start"))
+        batch = 1
+        if self.has(name):
+            batch += self.spark.read.parquet(f"{self.path}/{name}").agg(F.max("batch")).first()[0] or 0
+        build(docs).withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{self.path}/{name}")
+        self.events.append((name, "built"))
 
     def report(self) -> DataFrame:
         """(doc, total_pages, n_nodes, n_parts) of each registered document."""
@@ -69,19 +84,26 @@ def outline(pages: DataFrame) -> DataFrame:
 
 
 def ingest(pages: DataFrame, path: str, force: frozenset[str] = frozenset(), part_chars: int = parts.PART_CHARS) -> Library:
-    """Builds a library from pages (doc, page, text). Rebuilding the index also rebuilds the parts made of it."""
+    """Adds the documents of pages (doc, page, text) to a library; what a document already has stays as it is. Pages without a document are left out.
+
+    ``force`` names steps that are built anew for all documents of ``pages``. The index and the parts made of it
+    are rebuilt together.
+    """
     library = Library(pages.sparkSession, path)
-    anew = set(force) | ({"parts"} if "index" in force else set()) | ({"index"} if "parts" in force else set())
-    index = library.step("index", lambda: outline(pages), "index" in anew)
-    by_id = index.withColumn("path", F.col("path").cast("array<string>"))
-    library.step("parts", lambda: parts.tree_parts(by_id, part_chars), "parts" in anew)
+    docs = files.saved(pages.select("doc").distinct(), "documents")
+    wanted = lambda step, forced=False: files.saved(docs if forced or step in force else library.lacking(step, docs), "lacking")
+    both = bool(force & {"index", "parts"})
+    unsplit = wanted("parts", both)
+    unindexed = files.saved(library.lacking("index", docs).unionAll(unsplit).distinct(), "lacking")
+    unpaged, unregistered = wanted("pages"), wanted("registry")
+    of = lambda table, some: table.join(some, "doc", "left_semi")
+    library.step("index", lambda some: outline(of(pages, some)), unindexed)
+    by_id = library.table("index").withColumn("path", F.col("path").cast("array<string>"))
+    library.step("parts", lambda some: parts.tree_parts(of(by_id, some), part_chars), unindexed)
     bucket = F.floor((F.col("page") - 1) / 20).cast("int")
-    library.step("pages", lambda: pages.select("doc", "page", "text", bucket.alias("bucket")), "pages" in anew)
-    library.step(
-        "registry",
-        lambda: library.table("pages").groupBy("doc").agg(F.max("page").alias("total_pages"), F.sum(tx.token_count(F.col("text"))).alias("n_tokens")),
-        "registry" in anew,
-    )
+    library.step("pages", lambda some: of(pages, some).select("doc", "page", "text", bucket.alias("bucket")), unpaged)
+    sizes = [F.max("page").alias("total_pages"), F.sum(tx.token_count(F.col("text"))).alias("n_tokens")]
+    library.step("registry", lambda some: of(library.table("pages"), some).groupBy("doc").agg(*sizes), unregistered)
     return library
 
 

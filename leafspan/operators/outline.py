@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafspan.functions import text as tx
 from leafspan.operators import toc
 
-#: Levels of bookmarks that are told apart.
-MOST_LEVELS = 12
 # Titles that get no number, and the ids of front nodes.
 FRONT_TITLES = ["abstract", "status of this memo", "copyright notice", "table of contents", "contents", "toc", "foreword", "preface"]
 FRONT_IDS = {
@@ -20,27 +19,35 @@ FRONT_IDS = {
 }
 
 
+def _level_numbers(table: pa.Table) -> pa.Table:
+    """One document's bookmarks with made: the count of each level since the last bookmark above it, joined by dots."""
+    table = table.sort_by("ord")
+    counts: list[int] = []
+    made = []
+    for level in table.column("level").to_pylist():
+        level = min(level, len(counts) + 1)
+        counts = counts[:level] + [0] * (level - len(counts))
+        counts[-1] += 1
+        made.append(".".join(map(str, counts)))
+    return table.append_column("made", pa.array(made, pa.string()))
+
+
 def from_bookmarks(marks: DataFrame) -> DataFrame:
     """(doc, ord, structure, title, physical_index) from bookmarks (doc, ord, level, title, page).
 
-    A level may exceed the one before by one at most; that limit is the running
-    minimum of level - place. Numbers count the bookmarks of a level since the
-    last one above it. A number in a title wins; made numbers apply from the page of
+    A level may exceed the one before by one at most. Numbers count the bookmarks of a level since the
+    last one above it, for as many levels as there are. A number in a title wins; made numbers apply from the page of
     the first numbered title on, not to front titles. Of equal entries one stays.
     """
     order = Window.partitionBy("doc").orderBy("ord")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = marks.filter("level > 0 AND page > 0").withColumn("_i", F.row_number().over(order))
-    rows = rows.withColumn("_l", F.least(F.min(F.col("level") - F.col("_i")).over(upto) + F.col("_i"), F.col("_i")))
-    numbers = []
-    for k in range(1, MOST_LEVELS + 1):
-        rows = rows.withColumn(f"_g{k}", F.sum((F.col("_l") < k).cast("int")).over(upto))
-        within = Window.partitionBy("doc", f"_g{k}").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = rows.withColumn(f"_c{k}", F.sum((F.col("_l") == k).cast("int")).over(within))
-        numbers.append(F.when((F.col("_l") >= k) & (F.col(f"_c{k}") > 0), F.col(f"_c{k}").cast("string")))
+    rows = marks.filter("level > 0 AND page > 0").select("doc", "ord", F.col("level").cast("long").alias("level"), "title", "page")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns) + ", made string"
+    rows = rows.groupBy("doc").applyInArrow(_level_numbers, schema)
     own = r"^\s*(\d+(\.\d+)*)[.)]?\s*(.*)$"
     text = tx.squeezed(F.coalesce("title", F.lit("")))
-    rows = rows.select("doc", "ord", "page", text.alias("text"), F.concat_ws(".", *numbers).alias("made")).filter("text <> ''")
+    rows = rows.select("doc", "ord", "page", text.alias("text"), "made").filter("text <> ''")
     explicit = F.col("text").rlike(own)
     start = F.first(F.when(explicit, F.col("page")), ignorenulls=True).over(upto)
     front = F.lower(F.trim("text", F.lit(tx.FRONT_PUNCTUATION))).isin(FRONT_TITLES)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafspan.operators import toc
+from leafspan.sources.files import saved
 
 MENDABLE = 0.6
 MOST_REPAIRS = 3
@@ -25,18 +26,24 @@ class Chosen:
 def checked(index: DataFrame, pages: DataFrame) -> DataFrame:
     """``index`` (doc, ord, structure, title, physical_index) with found: whether the entry is on its page."""
     own = pages.select("doc", F.col("page").alias("physical_index"), F.col("text").alias("_text"))
-    found = toc.appears_on_page(F.col("_text"), F.col("structure"), F.col("title"))
+    found = toc.found_on_page(F.col("_text"), F.col("structure"), F.col("title"))
     return index.join(own, ["doc", "physical_index"], "left").withColumn("found", found).drop("_text")
 
 
 def repaired(index: DataFrame, pages: DataFrame) -> DataFrame:
-    """``index`` with entries that are not on their page moved to the first page between their good neighbours that holds them."""
+    """``index`` with entries that are not on their page moved to the first page between their good neighbours that holds them.
+
+    Only pages between the neighbours are joined, by document and page; the result is written, so that rounds do not pile up.
+    """
+    last = pages.groupBy("doc").agg(F.max("page").alias("_last"))
     bounded = toc.neighbours(checked(index, pages), "found", low=1, high=1 << 30)
-    wrong = bounded.filter("NOT found").select("doc", "ord", "structure", "title", "before", "after")
-    near = wrong.join(pages.select("doc", "page", "text"), "doc").filter("page BETWEEN before AND after")
-    held = near.filter(toc.appears_on_page(F.col("text"), F.col("structure"), F.col("title")))
+    wrong = bounded.filter("NOT found").join(last, "doc").withColumn("after", F.least("after", "_last")).filter("before <= after")
+    wrong = wrong.select("doc", "ord", "structure", "title", F.explode(F.sequence("before", "after")).alias("page"))
+    near = wrong.join(pages.select("doc", "page", "text"), ["doc", "page"])
+    held = near.filter(toc.found_on_page(F.col("text"), F.col("structure"), F.col("title")))
     moved = held.groupBy("doc", "ord").agg(F.min("page").alias("_page"))
-    return index.join(moved, ["doc", "ord"], "left").withColumn("physical_index", F.coalesce("_page", "physical_index")).select(*index.columns)
+    out = index.join(moved, ["doc", "ord"], "left").withColumn("physical_index", F.coalesce("_page", "physical_index"))
+    return saved(out.select(*index.columns), "repaired")
 
 
 def choose(strategies: dict[str, Callable[[], DataFrame]], pages: DataFrame) -> Chosen:

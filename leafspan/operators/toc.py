@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafspan.functions import fuzzy
 from leafspan.functions import text as tx
 
 
@@ -156,6 +157,16 @@ def appears_on_page(text, structure, title):
     return F.coalesce(both | deep, F.lit(False))
 
 
+def found_on_page(text, structure, title, least: float = 85.0):
+    """Whether an entry appears on a page, or its title is found roughly in the page's first part.
+
+    The rough search runs only where the exact one fails. A missing page or title is not found.
+    """
+    exact = appears_on_page(text, structure, title)
+    rough = fuzzy.title_ratio(F.trim(title), F.when(~exact, text))
+    return exact | F.coalesce(rough >= least, F.lit(False))
+
+
 def contents_run(pages: DataFrame, within: int = 20) -> DataFrame:
     """(doc, physical_index): the first run of consecutive contents pages that starts within the first pages."""
     flagged = pages.select("doc", "physical_index", tx.is_contents_page(F.col("text")).alias("hit")).filter("hit")

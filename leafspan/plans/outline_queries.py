@@ -315,3 +315,21 @@ def ingested_documents(spark, sf_dir):
 
     docs = v.doc_pages(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.col("page_num").alias("page"), "text")
     return ingest.ingest(docs, _folder(spark, "library")).report()
+
+
+@query(
+    f"""
+WITH {v.PAGES}
+SELECT doc_id AS doc, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS batch, max(page_num) AS total_pages, count(*) AS n_pages
+FROM pages_v GROUP BY ALL"""
+)
+def ingested_in_two_runs(spark, sf_dir):
+    """All documents in a library: those of even ids from a first run, the others added by a run over all."""
+    from leafspan.operators import ingest
+
+    docs = v.doc_pages(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.col("page_num").alias("page"), "text")
+    path = _folder(spark, "library")
+    ingest.ingest(docs.filter("doc % 2 = 0"), path)
+    library = ingest.ingest(docs, path)
+    held = library.table("pages").groupBy("doc").agg(F.count("*").alias("n_pages"))
+    return library.table("registry").join(library.batches("registry"), "doc").join(held, "doc").select("doc", "batch", "total_pages", "n_pages")

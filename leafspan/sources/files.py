@@ -71,8 +71,17 @@ def append_json(rows: DataFrame, path: str) -> None:
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """JSON rows by a declared schema; records that do not parse are left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """JSON rows by a declared schema. A record that does not parse is an error; ``broken_json`` lists such records."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def broken_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """(file, record): the lines below ``path`` that do not parse by the schema."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    wide = T.StructType([*fields.fields, T.StructField("_broken", T.StringType())])
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("record"))
+    parsed = F.from_json("record", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    return lines.filter(F.trim("record") != "").withColumn("_p", parsed).filter("_p._broken IS NOT NULL").select("file", "record")
 
 
 NODE = "node_id string, title string, display_title string, raw_title string, full_title string, summary string, start_index string, end_index string"
@@ -82,7 +91,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """(doc_name, depth, path, node_id, title, summary, start_index, end_index) from index files of nested nodes.
 
     Children are the lists ``children`` and ``nodes`` one after the other; a title falls back over its
-    variants; positions that are no whole numbers are null. Levels are unnested one at a time.
+    variants; positions that are no whole numbers are null. Levels are unnested one at a time, as deep
+    as they go; each is written before the next one, so that files are parsed once.
     """
     raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     get = lambda c, name, kind="string": F.try_variant_get(c, f"$.{name}", kind)
@@ -91,19 +101,19 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
         empty = F.array().cast("array<variant>")
         return F.concat(*(F.coalesce(F.try_variant_get(c, f"$.{k}", "array<variant>"), empty) for k in ("children", "nodes")))
 
-    level = raw.select(get(F.col("v"), "doc_name").alias("doc_name"), F.posexplode(F.try_variant_get("v", "$.structure", "array<variant>")).alias("i", "n"), F.array().cast("array<int>").alias("path"))
+    top = F.posexplode(F.try_variant_get("v", "$.structure", "array<variant>")).alias("i", "n")
+    level = saved(raw.select(get(F.col("v"), "doc_name").alias("doc_name"), top, F.array().cast("array<int>").alias("path")), "nodes")
     out, depth = None, 1
-    while depth <= 32:
+    while True:
         rows = level.select("doc_name", F.lit(depth).alias("depth"), F.concat("path", F.array("i")).alias("path"), "n")
         n = F.col("n")
         title = F.coalesce(*(F.nullif(get(n, k), F.lit("")) for k in ("title", "display_title", "raw_title", "full_title")), F.lit(""))
         plain = rows.select("doc_name", "depth", "path", get(n, "node_id").alias("node_id"), title.alias("title"), get(n, "summary").alias("summary"), get(n, "start_index", "long").alias("start_index"), get(n, "end_index", "long").alias("end_index"))
         out = plain if out is None else out.unionAll(plain)
-        level = rows.select("doc_name", "path", F.posexplode(listed(n)).alias("i", "n"))
+        level = saved(rows.select("doc_name", "path", F.posexplode(listed(n)).alias("i", "n")), "nodes")
         if level.isEmpty():
             return out
         depth += 1
-    return out
 
 
 def parsed_html(pages: DataFrame) -> DataFrame:

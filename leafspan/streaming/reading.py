@@ -30,14 +30,17 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     pages, counts = state.get if state.exists else ([], [])
     reads = dict(zip(pages, counts, strict=True))
     for rows in batches:
-        for page in rows["page"]:
-            reads[int(page)] = reads.get(int(page), 0) + 1
+        for page, n in rows["page"].dropna().value_counts().items():
+            reads[int(page)] = reads.get(int(page), 0) + int(n)
     state.update((list(reads), list(reads.values())))
     yield pd.DataFrame({"session_id": [key[0]], "n_pages": [len(reads)], "total_reads": [sum(reads.values())]})
 
 
 def reading_state(calls: DataFrame) -> DataFrame:
-    """(session_id, n_pages, total_reads) after each micro-batch, for streams or batches of content calls (session_id, page)."""
+    """(session_id, n_pages, total_reads) after each micro-batch, for streams or batches of content calls (session_id, page).
+
+    A call without a page reads nothing; a session of such calls alone has a row of zeros.
+    """
     return calls.groupBy("session_id").applyInPandasWithState(
         _advance,
         "session_id long, n_pages long, total_reads long",

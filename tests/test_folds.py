@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -299,6 +300,61 @@ def test_ingest_skips_finished_steps(spark, tmp_path):
     assert {e[0] for e in forced.events if e[1] == "built"} == {"index", "parts"}
 
 
+def test_ingest_adds_new_documents(spark, tmp_path):
+    schema = "doc long, page long, text string"
+    first = spark.createDataFrame([(1, 1, "1.1 First\nwords"), (1, 2, "more")], schema)
+    second = spark.createDataFrame([(2, 1, "plain page"), (None, 1, "no id")], schema)
+    path = f"file://{tmp_path}/lib"
+    ingest.ingest(first, path)
+    library = ingest.ingest(first.unionAll(second.filter("doc = 2")), path)
+    assert all(("built" if s else "skipped") in {e[1] for e in library.events if e[0] == s} for s in ingest.STEPS)
+    assert sorted(tuple(r) for r in library.report().collect()) == [(1, 2, 1, 1), (2, 1, 1, 1)]
+    for step in ingest.STEPS:  # the first document's rows are those of the first run
+        assert sorted(tuple(r) for r in library.batches(step).collect()) == [(1, 1), (2, 2)]
+    changed = spark.createDataFrame([(1, 1, "1.1 First\n1.2 Second")], schema)
+    forced = ingest.ingest(changed, path, force=frozenset(ingest.STEPS))
+    assert sorted(tuple(r) for r in forced.report().collect()) == [(1, 1, 2, 1), (2, 1, 1, 1)]
+    assert ingest.ingest(first.limit(0), f"file://{tmp_path}/none").report().count() == 0
+
+
+def test_index_files_of_any_depth(spark, tmp_path):
+    node = {"title": "level 41"}
+    for level in range(40, 0, -1):
+        node = {"title": f"level {level}", "nodes": [node]}
+    (tmp_path / "deep.json").write_text(json.dumps({"doc_name": "d", "structure": [node]}))
+    rows = files.read_index(spark, f"file://{tmp_path}/deep.json").collect()
+    assert sorted((r["depth"], r["title"], len(r["path"])) for r in rows) == [(k, f"level {k}", k) for k in range(1, 42)]
+
+
+def test_broken_logs_are_reported(spark, tmp_path):
+    (tmp_path / "log.json").write_text('{"id": "a", "n": 1}\n{"id": "b", "n": \n{"id": "c", "n": 3}\n')
+    schema = "id string, n long"
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.read_json(spark, f"file://{tmp_path}/log.json", schema).collect()
+    assert [tuple(r) for r in files.broken_json(spark, f"file://{tmp_path}/log.json", schema).collect()] == [("log.json", '{"id": "b", "n": ')]
+    (tmp_path / "log.json").write_text('{"id": "a", "n": 1}\n')
+    assert files.read_json(spark, f"file://{tmp_path}/log.json", schema).count() == 1
+    assert files.broken_json(spark, f"file://{tmp_path}/log.json", schema).count() == 0
+
+
+def test_bookmarks_of_any_depth(spark):
+    marks = [(1, k, k, f"T{k}", k) for k in range(1, 16)] + [(1, 16, 15, "U", 20), (1, 17, 1, "1. Z", 1)]
+    rows = spark.createDataFrame(marks, "doc long, ord long, level long, title string, page long")
+    got = {r["title"]: r["structure"] for r in outline.from_bookmarks(rows.unionAll(rows.withColumn("doc", F.lit(None).cast("long")))).collect()}
+    assert got["U"] is None  # no numbered title before it
+    numbered = rows.withColumn("title", F.when(F.col("ord") == 1, "1 T1").otherwise(F.col("title")))
+    got = {r["title"]: r["structure"] for r in outline.from_bookmarks(numbered).collect()}
+    assert got["T15"] == ".".join(["1"] * 15) and got["U"] == ".".join(["1"] * 14 + ["2"])
+    assert outline.from_bookmarks(rows.limit(0)).count() == 0
+
+
+def test_titles_are_found_roughly(spark):
+    text = "3.2 Data  Transfer Phases\nwords " + "x" * 3000 + " Closing remarks"
+    rows = [("3.2", "Data Transfer Phase", text), ("3.2", "Closing remarks", text), ("9", None, text), ("9", "Data", None), ("9.9.9", "Other things", "a\n9.9.9 b")]
+    df = spark.createDataFrame(rows, "structure string, title string, text string")
+    assert [r[0] for r in df.select(toc.found_on_page(F.col("text"), F.col("structure"), F.col("title"))).collect()] == [True, False, False, False, True]
+
+
 def test_windows_and_missing_pages(spark):
     pages = spark.createDataFrame([(1, p, "t") for p in range(1, 8)], "doc long, page long, text string")
     got = sorted((r["chunk_id"], r["n_pages"]) for r in ranges.windows(pages, 3).collect())
