@@ -1,21 +1,25 @@
 """Personal data: certain patterns, and candidates chosen by boosted trees.
 
 Method: per kind, wide generators propose spans that may overlap. Each gets
-format features (digits, groups, separators, brackets) and context features (a
-telling word before it, its neighbours). Boosted trees learn which features go
+format features (digits, groups, separators, brackets, whether it passes its kind's check) and
+context features (a telling word before it, its neighbours). Boosted trees learn which features go
 with spans that are right, and a threshold is set per kind at the lowest score
-whose proposals were right to PRECISION. Proposals above it that touch no certain
-span and pass their kind's check are added; certain spans always stay.
+whose proposals were right to PRECISION in documents that the trees have not learned from. Proposals
+above it that touch no certain span and pass their kind's check are added; certain spans always stay.
 
-Labels: a span that the certain patterns accept is right. Of those that touch none,
-only those that fail their kind's check (octets, Luhn and digit counts, the plan of
-phone numbers, a last label of letters) are wrong. Those that pass it are unlabelled:
-per combination of features, the passes beyond the number that chance would give
-beside the failures (CHANCE) weigh as right, the others weigh nothing. So a form
-that the certain patterns miss does not count against itself, however common it is.
+What the trees learn from:
+
+* All proposals that pass their kind's check (octets, Luhn and digit counts, the plan of phone numbers,
+  a last label of letters) or that the certain patterns accept are right, but for the number that chance lets
+  through: per combination of features, CHANCE says how many come with those that fail. So a form that the
+  certain patterns miss does not count against itself, however common it is, and a form that
+  is mostly of no one's data does. Those that fail the check are wrong.
+* Certain spans are rewritten in their context: as forms that the certain patterns miss but the
+  generators propose (right), and both as they are and rewritten with the check broken (wrong).
+* SEEDS made-up lines per kind take part like documents, so that a corpus of any size has a model.
 
 All work on texts is Spark SQL. The trees learn from counts of feature
-combinations over all documents; there are at most 4 * 2048 such combinations,
+combinations over all documents; there are at most 2 * 4 * 4096 such combinations,
 whatever the corpus's size, and the fitted trees run as CASE expressions.
 """
 
@@ -53,11 +57,18 @@ TELLING = {
     "phone": r"(?i)tel|phone|call|fax|mobil",
 }
 CONTEXT = 24
-FEATURES = {"digits": 4, "separators": 4, "brackets": 2, "groups": 4, "told": 2, "left": 2, "right": 2}
+FEATURES = {"digits": 4, "separators": 4, "brackets": 2, "groups": 4, "told": 2, "left": 2, "right": 2, "checked": 2}
 #: The share of spans of no one's data that pass the check: random octets of three digits, check digits, first digits of area and exchange; for emails a guess.
 CHANCE = {"email": 0.5, "ip": 0.256**4, "card": 0.1, "phone": 0.64}
+#: Rewriting of certain spans: (pattern, replacement) in turn, for forms that the generators propose.
+FORMS = {
+    "email": [[("@", " [at] "), (r"\.", " [dot] ")], [("@", "(at)")], [(r"\.", "[.]")]],
+    "ip": [[(r"\.", "[.]")], [(r"\.", " . ")]],
+    "card": [[("[^0-9]", ""), ("([0-9]{4})(?=[0-9])", "$1.")], [("[^0-9]", ""), ("([0-9]{4})(?=[0-9])", "$1/")]],
+    "phone": [[(r"^\+", "")], [(r"^\+[0-9]{1,3}[\x20.-]?", "")], [(r"^\+", ""), (r"[\x20()-]+", ".")]],
+}
 PRECISION = 0.95
-LEAST_SEEN = 20
+SEEDS = 24
 ROUNDS, RATE = 24, 0.3
 
 
@@ -110,6 +121,34 @@ def _plausible(kind: str, span: Column, told: Column) -> Column:
     return match.rlike("[^A-Za-z0-9-][A-Za-z]{2,}$")
 
 
+def _broken(kind: str, match: Column) -> Column:
+    """A span that fails its kind's check, else much like ``match``."""
+    if kind == "ip":
+        return F.regexp_replace(match, "^[0-9]+", "999")
+    if kind == "card":
+        return F.regexp_replace(F.concat(F.regexp_replace(match, ".$", ""), F.translate(F.right(match, F.lit(1)), "0123456789", "1234567890")), "^$", "0")
+    if kind == "phone":
+        return F.translate(match, "123456789", "000000000")
+    return F.regexp_replace(match, "[A-Za-z0-9-]+$", "12")
+
+
+def seeds() -> list[tuple[int, str]]:
+    """Made-up lines, SEEDS per kind, half of them with a telling word."""
+    lines = []
+    for i in range(SEEDS):
+        digits = f"4{i:03}{7919 * (i + 1):011}"
+        double = [int(c) * (2 - k % 2) for k, c in enumerate(digits)]
+        check = -sum(n - 9 * (n > 9) for n in double) % 10
+        said = {
+            "email": ("mail ", f"name{i}@host{i % 7}.example.com"),
+            "ip": ("server ", f"{10 + i}.{3 * i}.{200 - i}.{i + 1}"),
+            "card": ("card ", f"{digits}{check}"),
+            "phone": ("call ", f"+1 (74{i % 10}) 555-38{i + 10}"),
+        }
+        lines += [(4 * i + k, f"some {said[kind][0] if i % 2 else ''}{said[kind][1]} words") for k, kind in enumerate(KINDS)]
+    return lines
+
+
 def _placed(zipped: Column, kind: int) -> Column:
     """(start, kind, end, match) in code points, for the (gap, match) pairs of a text."""
     pairs = F.filter(zipped, lambda x: x["match"].isNotNull())
@@ -128,7 +167,7 @@ def _placed(zipped: Column, kind: int) -> Column:
 _SPAN = "array<struct<start:int,kind:int,end:int,match:string>>"
 
 
-def _features(kind: str, text: Column, span: Column) -> list[Column]:
+def _features(kind: str, text: Column, span: Column) -> dict[str, Column]:
     match, digits = span["match"], F.length(F.regexp_replace(span["match"], "[^0-9]", ""))
     edges = {"email": (1, 2, 4), "ip": (5, 7, 9), "card": (13, 15, 16), "phone": (9, 10, 11)}[kind]
     binned = sum(((digits > e).cast("int") for e in edges[1:]), (digits > edges[0]).cast("int"))
@@ -136,21 +175,24 @@ def _features(kind: str, text: Column, span: Column) -> list[Column]:
     groups = F.regexp_count(match, F.lit("[A-Za-z0-9]+"))
     before = F.substring(text, F.greatest(span["start"] - CONTEXT + 1, F.lit(1)), F.least(span["start"], F.lit(CONTEXT)))
     last, after = F.substring(text, span["start"], F.lit(1)), F.substring(text, span["end"] + 1, F.lit(1))
-    return [
+    told = before.rlike(TELLING[kind]).cast("int")
+    values = [
         binned,
         space.cast("int") + 2 * other.cast("int"),
         match.rlike(r"[\[({]").cast("int"),
         F.least(F.greatest(groups - 2, F.lit(0)), F.lit(3)),
-        before.rlike(TELLING[kind]).cast("int"),
+        told,
         ((span["start"] > 0) & last.rlike(r"[^\s(\"':,;]")).cast("int"),
         after.rlike(r"[^\s).\"',;:!?]").cast("int"),
+        _plausible(kind, span, told).cast("int"),
     ]
+    return {n: v.cast("int") for n, v in zip(FEATURES, values, strict=True)}
 
 
 def proposals(docs: DataFrame) -> DataFrame:
-    """``docs`` without text, with ``base`` spans and ``proposed`` spans with their features."""
+    """``docs`` (doc_id, text, made_up) without text, with ``base`` spans, ``proposed`` spans with their features, and ``rewritten`` certain spans with theirs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("doc_id", text.alias("text"))
+    out = docs.select("doc_id", "made_up", text.alias("text"))
     empty = F.from_json(F.lit("[]"), "array<struct<gap:int,match:string>>")
     for k in KINDS:
         gate = F.col("text").rlike(NEEDS[k])
@@ -163,7 +205,13 @@ def proposals(docs: DataFrame) -> DataFrame:
             spans = F.when(some, _placed(F.col(f"{c}_{k}"), i)).otherwise(F.array().cast(_SPAN))
             out = out.withColumn(f"s{c}_{k}", spans)
     out = out.withColumn("base", F.array_sort(F.concat(*(_accepted(k) for k in KINDS))))
-    return out.select("doc_id", "base", F.concat(*(_described(k) for k in KINDS)).alias("proposed"))
+    return out.select(
+        "doc_id",
+        "made_up",
+        "base",
+        F.concat(*(_described(k) for k in KINDS)).alias("proposed"),
+        F.concat(*(_rewritten(k) for k in KINDS)).alias("rewritten"),
+    )
 
 
 def _accepted(kind: str) -> Column:
@@ -182,24 +230,47 @@ def _described(kind: str) -> Column:
         )
 
     def described(x: Column) -> Column:
-        features = dict(zip(FEATURES, _features(kind, F.col("text"), x), strict=True))
         return F.struct(
             x["start"].alias("start"),
             x["kind"].alias("kind"),
             x["end"].alias("end"),
             touched(x, True).alias("certain"),
             touched(x, False).alias("covered"),
-            _plausible(kind, x, features["told"]).alias("plausible"),
-            *(f.cast("int").alias(n) for n, f in features.items()),
+            *(f.alias(n) for n, f in _features(kind, F.col("text"), x).items()),
         )
 
     return F.transform(wide, described)
 
 
+def _rewritten(kind: str) -> Column:
+    """Features of a kind's certain spans in other forms (right), and of these and the spans themselves with the check broken (not right)."""
+    valid = F.filter(f"sc_{kind}", lambda x: _valid(kind, x["match"]))
+
+    def forms(x: Column) -> Column:
+        others = []
+        for steps in FORMS[kind]:
+            match = x["match"]
+            for pattern, by in steps:
+                match = F.regexp_replace(match, pattern, by)
+            others.append(match)
+        right = F.filter(F.array(*others), lambda m: m.rlike(f"^(?:{PROPOSED[kind]})$"))
+        wrong = F.transform(F.concat(F.array(x["match"]), right), lambda m: _broken(kind, m))
+        of = lambda matches, is_right: F.transform(
+            matches, lambda m: F.struct(x["start"].alias("start"), x["end"].alias("end"), m.alias("match"), F.lit(is_right).alias("right"))
+        )
+        return F.concat(of(right, True), of(wrong, False))
+
+    def described(x: Column) -> Column:
+        features = (f.alias(n) for n, f in _features(kind, F.col("text"), x).items())
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["right"].alias("is_right"), *features)
+
+    return F.transform(F.flatten(F.transform(valid, forms)), described)
+
+
 class Trees:
     """Boosted trees of two levels over small whole-number features, fitted on weighted combinations."""
 
-    def __init__(self, rows: list[tuple[tuple[int, ...], float, int]], bins: list[int]):
+    def __init__(self, rows: list[tuple[tuple[int, ...], float, float]], bins: list[int]):
         """rows: (features, right, wrong)."""
         self.trees: list[tuple] = []
         right, wrong = sum(r[1] for r in rows), sum(r[2] for r in rows)
@@ -254,11 +325,26 @@ class Trees:
                 return F.lit(float(tree))
             return F.when(span[names[tree[0]]] <= tree[1], of(tree[2])).otherwise(of(tree[3]))
 
-        return sum((of(t) for t in self.trees), F.lit(float(self.prior)))
+        return sum((of(t) for t in self._joined()), F.lit(float(self.prior)))
+
+    def _joined(self) -> list[tuple]:
+        """Fewer trees of the same sum: those that ask the same questions become one."""
+
+        def asked(tree):
+            return (tree[0], tree[1], asked(tree[2]), asked(tree[3])) if isinstance(tree, tuple) else None
+
+        def added(a, b):
+            return (a[0], a[1], added(a[2], b[2]), added(a[3], b[3])) if isinstance(a, tuple) else a + b
+
+        found: dict = {}
+        for tree in self.trees:
+            key = asked(tree)
+            found[key] = added(found[key], tree) if key in found else tree
+        return list(found.values())
 
 
 def threshold(model: Trees, rows) -> float | None:
-    """The lowest score from which on proposals were right to PRECISION; None if there is none."""
+    """The lowest score from which on proposals (features, right, wrong) were right to PRECISION; None if there is none."""
     scored = sorted(((model.score(f), a, b) for f, a, b in rows), reverse=True)
     right = wrong = 0
     found = None
@@ -266,36 +352,57 @@ def threshold(model: Trees, rows) -> float | None:
         right, wrong = right + a, wrong + b
         if i + 1 < len(scored) and scored[i + 1][0] == s:
             continue
-        if right >= LEAST_SEEN and right >= PRECISION * (right + wrong):
+        if right and right >= PRECISION * (right + wrong):
             found = s
     return found
 
 
+def _weighed(counts: list, kind: int, folds: set[int]) -> list[tuple[tuple[int, ...], float, float]]:
+    """(features, right, wrong) of a kind's combinations in some folds."""
+    odds = CHANCE[KINDS[kind]] / (1 - CHANCE[KINDS[kind]])
+    sums: dict[tuple, list[float]] = {}
+    for r in counts:
+        if r["kind"] == kind and r["fold"] in folds:
+            own = sums.setdefault(tuple(r[n] for n in FEATURES), [0.0] * 4)
+            for j, n in enumerate(("n_right", "n_wrong", "n_made", "n_spoilt")):
+                own[j] += r[n]
+    rows = []
+    for features, (right, wrong, made, spoilt) in sorted(sums.items()):
+        if features[-1]:  # those that passed: some of them by chance, as others of this look failed
+            failed = sums.get((*features[:-1], 0), [0.0, 0.0])[1]
+            chance = min(right, failed * odds)
+            right, wrong = right - chance, wrong + chance
+        rows.append((features, right + made, wrong + spoilt))
+    return rows
+
+
 def fitted(found: DataFrame) -> dict[str, tuple[Trees, float]]:
-    """Trees and threshold per kind, from the counts of all proposals' feature combinations."""
-    spans = found.select(F.explode("proposed").alias("s")).select("s.*")
-    counts = (
-        spans.groupBy("kind", *FEATURES)
-        .agg(
-            F.sum(F.col("certain").cast("long")).alias("n_certain"),
-            F.sum((~F.col("covered") & F.col("plausible")).cast("long")).alias("n_passed"),
-            F.sum((~F.col("covered") & ~F.col("plausible")).cast("long")).alias("n_failed"),
-        )
-        .collect()  # at most len(KINDS) * 2048 rows
-    )
+    """Trees and threshold per kind, from the counts of all proposals' feature combinations.
+
+    The trees learn from half of the documents; the threshold is set on the others' proposals that pass their check.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    is_right = F.col("s.certain") | (~F.col("s.covered") & (F.col("s.checked") == 1))
+    is_wrong = ~F.col("s.covered") & (F.col("s.checked") == 0)
+
+    def spans_of(rows: DataFrame) -> DataFrame:
+        real = rows.select("fold", F.explode("proposed").alias("s")).filter(is_right | is_wrong)
+        real = real.select("fold", "s.kind", *(F.col(f"s.{n}") for n in FEATURES), is_right.cast("long").alias("n_right"), (~is_right).cast("long").alias("n_wrong"), none.alias("n_made"), none.alias("n_spoilt"))
+        made = rows.select("fold", F.explode("rewritten").alias("s"))
+        right = F.col("s.is_right")
+        made = made.select("fold", "s.kind", *(F.col(f"s.{n}") for n in FEATURES), none.alias("n_right"), none.alias("n_wrong"), F.when(right, one).otherwise(none).alias("n_made"), F.when(right, none).otherwise(one).alias("n_spoilt"))
+        return real.unionAll(made)
+
+    own = F.array(F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))  # made-up lines are in both halves
+    every = spans_of(found.withColumn("fold", F.explode(F.when(F.col("made_up"), F.array(F.lit(0), F.lit(1))).otherwise(own))))
+    sums = [F.sum(n).alias(n) for n in ("n_right", "n_wrong", "n_made", "n_spoilt")]
+    counts = every.groupBy("fold", "kind", *FEATURES).agg(*sums).collect()  # at most 2 * len(KINDS) * 4096 rows
     models = {}
     for i, k in enumerate(KINDS):
-        odds = CHANCE[k] / (1 - CHANCE[k])
-        rows = sorted(
-            (tuple(r[n] for n in FEATURES), r["n_certain"] + max(0.0, r["n_passed"] - r["n_failed"] * odds), r["n_failed"])
-            for r in counts
-            if r["kind"] == i
-        )
-        if sum(r[1] for r in rows) >= LEAST_SEEN:
-            model = Trees(rows, list(FEATURES.values()))
-            at = threshold(model, rows)
-            if at is not None:
-                models[k] = (model, at)
+        model = Trees(_weighed(counts, i, {0}), list(FEATURES.values()))
+        at = threshold(model, [r for r in _weighed(counts, i, {1}) if r[0][-1]])
+        if at is not None:
+            models[k] = (model, at)
     return models
 
 
@@ -307,15 +414,18 @@ def spans(docs: DataFrame) -> DataFrame:
     Repeated rows and null ids are treated as any other row; columns other than
     doc_id and text are not read; an empty table gives an empty result.
     """
-    found = saved(proposals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "proposals")
+    made_up = docs.sparkSession.createDataFrame([(*line, True) for line in seeds()], "doc_id long, text string, made_up boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(False).alias("made_up"))
+    found = saved(proposals(rows.unionAll(made_up)), "proposals")
     models = fitted(found)
+    found = found.filter("NOT made_up")
     chosen = F.lit(False)
     if models:
         chosen = lambda x: F.coalesce(
             *(F.when(x["kind"] == KINDS.index(k), m.column(x) >= at - 1e-9) for k, (m, at) in models.items()), F.lit(False)
         )
         added = F.transform(
-            F.filter("proposed", lambda x: ~x["covered"] & x["plausible"] & chosen(x)),
+            F.filter("proposed", lambda x: ~x["covered"] & (x["checked"] == 1) & chosen(x)),
             lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")),
         )
         return found.select("doc_id", "base", F.array_sort(F.array_distinct(F.concat("base", added))).alias("spans"))

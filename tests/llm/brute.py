@@ -124,6 +124,42 @@ def private(text):
     return ",".join(f"{n}:{a}:{b}" for a, _, b, n in sorted(found))
 
 
+def added(text, certain, models, pii):
+    """Spans that fitted ``models`` add to the ``certain`` ones (start, kind, end), by plain search and plain walks through the trees."""
+    import regex
+
+    out = []
+    for k, kind in enumerate(PII):
+        least, most = {"card": (13, 19), "phone": (10, 19), "ip": (4, 99), "email": (0, 1 << 30)}[kind]
+        edges = {"email": (1, 2, 4), "ip": (5, 7, 9), "card": (13, 15, 16), "phone": (9, 10, 11)}[kind]
+        for m in regex.finditer(pii.PROPOSED[kind], text or ""):
+            digits, a, b = re.sub("[^0-9]", "", m[0]), m.start(), m.end()
+            if not least <= len(digits) <= most or any(x < b and a < y for x, _, y in certain):
+                continue
+            told = bool(re.search(pii.TELLING[kind], text[max(0, a - pii.CONTEXT) : a]))
+            if kind == "ip":
+                good = all(int(x) <= 255 for x in re.split("[^0-9]+", m[0]))
+            elif kind == "card":
+                good = 14 <= len(digits) <= 19 and luhn(digits)
+            elif kind == "phone":
+                good = bool(re.fullmatch("1?[2-9][0-9]{2}[2-9][0-9]{6}|[2-9][0-9]{0,2}[0-9]{10}", digits)) and (told or digits != m[0])
+            else:
+                good = bool(re.search("[^A-Za-z0-9-][A-Za-z]{2,}$", m[0]))
+            features = (
+                sum(len(digits) > e for e in edges),
+                (" " in m[0]) + 2 * bool(re.search("[._/-]", m[0])),
+                int(bool(re.search(r"[\[({]", m[0]))),
+                min(max(len(re.findall("[A-Za-z0-9]+", m[0])) - 2, 0), 3),
+                int(told),
+                int(a > 0 and bool(re.match(r"[^\s(\"':,;]", text[a - 1]))),
+                int(bool(re.match(r"[^\s).\"',;:!?]", text[b : b + 1]))),
+                int(good),
+            )
+            if good and kind in models and models[kind][0].score(features) >= models[kind][1] - 1e-9:
+                out.append((a, k, b))
+    return out
+
+
 def statistics(text):
     w = words(text)
     grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
