@@ -13,9 +13,12 @@ put aside (a pair of 0.75 agrees in 96 +- 4.9, so this loses below 1e-11).
 
 Groups are never expanded into pairs. Equal sets become one node. Each node is
 confirmed against the best of its bands' smallest nodes, which links most copies
-to their original at a cost linear in the nodes. What is left are nodes that the
-bands relate but no link joins yet: they are gathered to clusters of agreeing
-sketches, and the clusters' full sets are compared in blocks, each block pair as
+to their original at a cost linear in the nodes. What is left are nodes of bands that hold
+several classes. Their shingles are ordered by how few of these nodes have them; two sets that are
+similar enough share one among the first seventh of the smaller set and the first
+quarter of the larger one (prefix filtering), so that texts that share a template but are not
+similar enough mostly part here, where they only have shingles of their own. Nodes that
+share such shingles make clusters, whose full sets are compared in blocks, each block pair as
 one product of incidence matrices, of which a spanning forest of the links comes out.
 Blocks within one class are not compared.
 """
@@ -24,12 +27,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafspan.llm import textnum as tn
 from leafspan.llm.components import components
-from leafspan.llm.session import BROADCAST_ROWS, saved, set_aside, small_batches, with_small
+from leafspan.llm.session import BROADCAST_ROWS, join_hot, saved, set_aside, small_batches, with_small
 
 T, BANDS, ROWS = 128, 32, 4
 SHINGLE = 5
@@ -37,6 +40,8 @@ SHINGLE = 5
 AGREE = 60
 #: A link: SHARE_OF * |A n B| >= SHARE * |A u B|.
 SHARE_OF, SHARE = 100, 75
+#: Rows of a batch of shingles.
+SHINGLES_AT_ONCE = 1 << 16
 #: Nodes that are compared at a time.
 BLOCK = 256
 _DOC_BITS = np.uint64(8)
@@ -174,28 +179,6 @@ def _edges(found: list[tuple[np.ndarray, np.ndarray]]):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
-@tn.tidied
-def _related(batches):
-    """Forests of the agreeing sketches between two blocks of a band, over nodes of different classes."""
-    for batch in batches:
-        found = []
-        for row in batch.to_pylist():
-            i, j = (
-                (
-                    np.array([x["node"] for x in row[c]], np.int64),
-                    np.array([x["component"] for x in row[c]], np.int64),
-                    np.frombuffer(b"".join(x["sketch"] for x in row[c]), np.uint8).reshape(-1, T),
-                )
-                for c in ("one", "two")
-            )
-            near = np.zeros((len(i[0]), len(j[0])), bool)
-            for x in range(len(i[0])):
-                other = np.flatnonzero(j[1] != i[1][x])
-                near[x, other] = (j[2][other] == i[2][x]).sum(axis=1) >= AGREE
-            found.append(_forest(near, i[0], j[0]))
-        yield from _edges(found)
-
-
 def _linked(table: pa.Table) -> pa.Table:
     """Forests of the exact links of one cell: within each cluster, or between a cluster's two blocks."""
     cluster, side, node, component = (table.column(c).to_numpy() for c in ("cluster", "side", "node", "component"))
@@ -229,8 +212,12 @@ def _linked(table: pa.Table) -> pa.Table:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, carry: list[str]) -> DataFrame:
-    """(carry..., node, items) for the rows of ``wanted`` (carry..., node): items holds the node's shingles as 64-bit numbers."""
-    rows = docs.select(F.col("doc_id").alias("node"), "text").join(with_small(wanted, BROADCAST_ROWS), "node")
+    """(carry..., node, items) for the rows of ``wanted`` (carry..., node): items holds the node's shingles as 64-bit numbers.
+
+    ``row`` among ``carry`` numbers the rows of ``docs``.
+    """
+    number = [F.monotonically_increasing_id().alias("row")] if "row" in carry else []
+    rows = docs.select(F.col("doc_id").alias("node"), "text", *number).join(with_small(wanted, BROADCAST_ROWS), "node")
     names = [*carry, "node"]
 
     @tn.tidied
@@ -260,48 +247,63 @@ def _overlaps(batches):
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. Meant for many a per b."""
-    one = _sets(docs, pairs.select(F.col("a").alias("node"), "b"), ["b"]).select(F.col("node").alias("a"), "b", F.col("items").alias("ia"))
-    two = _sets(docs, pairs.select(F.col("b").alias("node")).distinct(), []).select(F.col("node").alias("b"), F.col("items").alias("ib"))
-    return one.join(two, "b").select("a", "b", "ia", "ib").mapInArrow(_overlaps, "a long, b long")
+    """The pairs (a, b) whose full shingle sets are similar enough. Meant for many a per b, which are dealt to cells of some BLOCK."""
+    of_b = saved(pairs.groupBy("b").agg(F.count("*").alias("n")), "counts")
+    cell = F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / BLOCK)).cast("long")
+    dealt = saved(join_hot(pairs, of_b, "b").select("a", "b", cell.alias("cell")), "dealt")
+    one = _sets(docs, dealt.select(F.col("a").alias("node"), "b", "cell"), ["b", "cell"])
+    two = _sets(docs, dealt.select(F.col("b").alias("node"), "cell").distinct(), ["cell"])
+    one = one.select(F.col("node").alias("a"), "b", "cell", F.col("items").alias("ia"))
+    two = two.select(F.col("node").alias("b"), "cell", F.col("items").alias("ib"))
+    return one.join(two, ["b", "cell"]).select("a", "b", "ia", "ib").mapInArrow(_overlaps, "a long, b long")
+
+
+@tn.tidied
+def _shingles(batches):
+    """(node, row, n_shingles, shingle), a row for each member of a set."""
+    for batch in batches:
+        items = [np.frombuffer(x, tn.U) for x in batch.column("items").to_pylist()]
+        size = np.array([len(x) for x in items], np.int64)
+        node, row = (np.repeat(batch.column(c).to_numpy(), size) for c in ("node", "row"))
+        shingle = np.concatenate([*items, np.zeros(0, tn.U)]).view(np.int64)
+        size = np.repeat(size, size)
+        for i in range(0, len(node), SHINGLES_AT_ONCE):
+            part = slice(i, i + SHINGLES_AT_ONCE)
+            yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (node, row, size, shingle)], names=["node", "row", "n_shingles", "shingle"])
 
 
-def clusters(shared: DataFrame, sketches: DataFrame, near: DataFrame) -> DataFrame:
-    """(node, cluster): nodes that a chain of shared bands with agreeing sketches joins.
+def clusters(docs: DataFrame, shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, cluster): nodes of bands with several classes, joined where their sets share a shingle of their prefixes.
 
-    ``near`` has the agreeing pairs of each band's nodes with its smallest one.
-    Bands whose nodes fall into several clusters are compared in blocks.
+    A shingle that one node has joins nothing, and neither does one that is in no set's shorter prefix.
     """
-    first = saved(components(near), "clusters")
-    placed = shared.join(first, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    split = (
-        placed.groupBy("band")
-        .agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
-        .filter("x <> y")
-        .select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    )
-    apart = (
-        placed.join(split, "band")
-        .join(sketches, "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .groupBy("band", "block")
-        .agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("node", "component", "sketch")).alias("one"))
+    placed = saved(shared.select("band", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    of_band = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
+    open_nodes = saved(join_hot(placed, saved(of_band, "open-bands"), "band").filter("x <> y").select("node").distinct(), "open-nodes")
+    sets = _sets(docs, open_nodes, ["row"])  # rows of one id are ranked each by itself
+    rows = saved(sets.mapInArrow(_shingles, "node long, row long, n_shingles long, shingle long"), "shingles")
+    common = saved(rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "common")
+    own = Window.partitionBy("row")
+    ranked = (
+        join_hot(rows, common, "shingle")
+        .withColumn("place", F.row_number().over(own.orderBy("n", "shingle")) + F.col("n_shingles") - F.count("*").over(own))
+        .withColumn("short", F.col("place") <= F.col("n_shingles") - F.ceil(F.col("n_shingles") * (2 * SHARE / (SHARE + SHARE_OF)) - 1e-9) + 1)
+        .filter(F.col("place") <= F.col("n_shingles") - F.ceil(F.col("n_shingles") * (SHARE / SHARE_OF) - 1e-9) + 1)
+        .select("node", "shingle", "short")
     )
-    apart = saved(apart, "apart")
-    left = apart.select("band", "one", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
-    right = apart.select("band", "block", F.col("one").alias("two"))
-    more = left.join(right, ["band", "block"]).select("one", "two").mapInArrow(_related, "a long, b long").distinct()
-    more = saved(more, "related")
-    if more.isEmpty():
-        return first.withColumnRenamed("component", "cluster")
-    return saved(components(near.unionAll(more)), "clusters").withColumnRenamed("component", "cluster")
+    ranked = saved(ranked, "prefixes")
+    least = ranked.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("b"), F.max("node").alias("other"), F.max("short").alias("any"))
+    least = saved(least.filter("any AND b <> other").select("shingle", "n", "b"), "prefix-groups")
+    edges = join_hot(ranked.select("node", "shingle"), least, "shingle").select(F.col("node").alias("a"), "b").distinct()
+    return saved(components(edges), "clusters").withColumnRenamed("component", "cluster")
 
 
 def remaining_links(docs: DataFrame, cluster: DataFrame, classes: DataFrame) -> DataFrame:
     """A spanning forest (a, b) of the exact links between different classes within each cluster."""
     placed = cluster.join(classes, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("component"))
+    placed = saved(placed, "placed")
     open_ = placed.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
-    placed = saved(placed.join(open_.filter("x <> y").select("cluster", "n"), "cluster"), "open")
+    placed = saved(join_hot(placed, saved(open_.filter("x <> y").select("cluster", "n"), "clusters"), "cluster"), "open")
     cells = max(1, placed.count() // BLOCK)
     small = placed.filter(F.col("n") <= BLOCK).select(
         F.pmod(F.xxhash64("cluster"), F.lit(cells)).alias("cell"), "cluster", F.lit(0).cast("long").alias("side"), "node", "component"
@@ -355,8 +357,9 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     same = full.join(twice, "doc_id", "left_semi").join(members, "set_key")
     same = same.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("other")).filter("b <> other")
-    shared = saved(banded.join(leaders.select("band", "b"), "band"), "bands")
+    leaders = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("b"), F.max("node").alias("other"))
+    leaders = saved(leaders.filter("b <> other").select("band", "n", "b"), "leaders")
+    shared = saved(join_hot(banded, leaders, "band").select("band", "node", "b"), "bands")
     pairs = shared.filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     sketches = nodes.select("node", "sketch")
     near = (
@@ -368,7 +371,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     best = saved(near.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b")), "best")
     links = saved(confirmed(best, docs).unionAll(same), "links")
     classes = saved(components(links), "classes")
-    cluster = clusters(shared, sketches, near.select("a", "b"))
+    cluster = clusters(docs, shared, classes)
     more = saved(remaining_links(docs, cluster, classes), "links")
     if not more.isEmpty():
         classes = saved(components(links.unionAll(more)), "classes")

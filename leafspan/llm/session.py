@@ -14,6 +14,9 @@ BATCH_ROWS = 512
 #: Tables of ids and numbers of up to so many rows (some 16 MB) are broadcast, longer ones joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
+#: Keys of fewer rows are never called common.
+LEAST_HOT = 1000
+
 #: The word of the contracts that split on ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,6 +52,18 @@ def with_small(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``table`` (a row per key, ``n``: how many of ``rows`` hold it) without tasks that get all rows of a common key.
+
+    Keys that more than ``many`` rows hold are broadcast; as there are at most all / many
+    of them, they are no more than BROADCAST_ROWS. Both tables are read more than once.
+    """
+    many = max(LEAST_HOT, (table.agg(F.sum(n)).first()[0] or 0) // BROADCAST_ROWS + 1)
+    marked = rows.join(F.broadcast(table.filter(F.col(n) > many).withColumn("_hot", F.lit(True))), key, "left")
+    rest = marked.filter("_hot IS NULL").select(rows.columns).join(table.filter(F.col(n) <= many), key)
+    return marked.filter("_hot").drop("_hot").unionByName(rest)
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes the tables that operators have left in the shared folder; results that were not written yet are lost."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/leafspan")

@@ -107,6 +107,26 @@ def test_near_classes_in_blocks(spark, monkeypatch):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
 
 
+def test_texts_of_one_template_are_not_compared(spark, monkeypatch):
+    """Texts that share most words but are no near-duplicates: nothing is left to compare, however many they are."""
+    written = {}
+
+    def saved(df, name="table", keep=near_dedup.saved):
+        out = keep(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "saved", saved)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    for n in (100, 200):
+        written.clear()
+        rows = [(k, " ".join(f"n{k}_{i}" if i % 40 < 6 else f"t{i}" for i in range(300))) for k in range(n)]
+        rows += [(n + k, rows[k][1] + " and more") for k in range(5)]
+        got = by_id(near_dedup.near_duplicate_classes(brute.docs(spark, rows)))
+        assert {i: r["component_id"] for i, r in got.items()} == {i: i if i < n else i - n for i in range(n + 5)}
+        assert written["cells"] <= 20
+
+
 def test_near_classes_of_repeated_and_null_ids(spark, empty):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = [(5, a), (3, a), (5, b), (7, b), (None, a), (None, None), (8, "c d e f g h")]
