@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from leafspan.sources.files import saved
 
 TEXT_LIMIT = 12000
 CONTEXT_LIMIT = 3000
+#: Vectors of a block.
+VECTORS = 4096
 
 
 def lexical_scores(sections: DataFrame, questions: DataFrame) -> DataFrame:
@@ -83,15 +87,43 @@ def answer_context(ranked: DataFrame, sections: DataFrame) -> DataFrame:
     return parts.select("question_id", F.array_join("p.t", "\n\n").alias("context"))
 
 
-def node_values(chunks: DataFrame, query: DataFrame, k: int = 50) -> DataFrame:
-    """(node_id, n, value): a node's value is the sum of its chunks' products among the k best, over sqrt(n + 1).
+def _best_products(k: int):
+    """The k best chunks of each query of a cell: products of two blocks of vectors."""
+    schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("node_id", pa.int64()), ("product", pa.float64())])
 
-    ``query`` is one row (embedding); ``chunks`` has chunk_id, node_id, embedding.
+    def best(key, asked, chunks):
+        if not asked.num_rows or not chunks.num_rows:
+            return schema.empty_table()
+        one, two = (np.array(t.column(c).to_pylist(), np.float64) for t, c in ((asked, "asked"), (chunks, "met")))
+        product = one @ two.T
+        ids = chunks.column("chunk_id").to_numpy()
+        place = np.lexsort((np.broadcast_to(ids, product.shape), -np.round(product, 9)), axis=1)[:, :k]
+        rows = np.repeat(np.arange(len(one)), place.shape[1])
+        found = place.ravel()
+        columns = [asked.column("query_id").take(rows), chunks.column("chunk_id").take(found), chunks.column("node_id").take(found)]
+        return pa.Table.from_arrays([*columns, pa.array(product[rows, found])], schema=schema)
+
+    return best
+
+
+def node_values(chunks: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
+    """(query_id, node_id, n, value): a node's value is the sum of its chunks' products among the query's k best, over sqrt(n + 1).
+
+    ``queries`` has query_id, embedding; ``chunks`` has chunk_id, node_id, embedding, of one length; rows
+    without an embedding take no part. Every query meets every chunk, a block of queries and a block of chunks at
+    a time; only the k best of a block leave it. Equal products go by chunk_id.
     """
-    product = F.aggregate(
-        F.zip_with("embedding", "_q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x
+    queries, chunks = (t.filter("embedding IS NOT NULL") for t in (queries, chunks))
+    many = lambda t: max(1, -(-t.count() // VECTORS))
+    rows, columns = many(queries), many(chunks)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("asked"), block("query_id", rows).alias("i"), every(columns).alias("j"))
+    met = chunks.select(F.col("chunk_id").alias("chunk_id"), F.col("node_id").cast("long").alias("node_id"), F.col("embedding").alias("met"), block("chunk_id", columns).alias("j"), every(rows).alias("i"))
+    best = asked.groupBy("i", "j").cogroup(met.groupBy("i", "j")).applyInArrow(
+        _best_products(k), "query_id long, chunk_id long, node_id long, product double"
     )
-    scored = chunks.crossJoin(F.broadcast(query.select(F.col("embedding").alias("_q")))).select("chunk_id", "node_id", product.alias("product"))
-    best = scored.orderBy(F.desc(F.round("product", 9)), "chunk_id").limit(k)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("product", 9)), "chunk_id")
+    best = best.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
     n = F.count("*")
-    return best.groupBy("node_id").agg(n.alias("n"), (F.sum("product") / F.sqrt(n + 1)).alias("value"))
+    return best.groupBy("query_id", "node_id").agg(n.alias("n"), (F.sum("product") / F.sqrt(n + 1)).alias("value"))

@@ -101,7 +101,7 @@ calls_v AS MATERIALIZED (
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, answer): a document's first line with citations of pages that depend on its id, and sometimes an invitation."""
+    """(doc_id, answer): a document's text with citations of pages that depend on its id, and sometimes an invitation."""
     k = F.col("doc_id")
     tag = lambda page: F.concat(F.lit('<cite doc="'), F.col("source"), F.lit('" page="'), page.cast("string"), F.lit('"/>'))
     return (
@@ -110,7 +110,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "doc_id",
             F.concat(
-                F.split("text", "\n").getItem(0),
+                "text",
                 F.lit(" "),
                 tag(k % 7 + 1),
                 F.lit(" and more."),
@@ -123,7 +123,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ANSWERS = r"""
 answers_v AS MATERIALIZED (
-  SELECT doc_id, string_split(text, chr(10))[1] || ' ' || '<cite doc="' || source || '" page="' || (doc_id % 7 + 1) || '"/>' || ' and more.'
+  SELECT doc_id, text || ' ' || '<cite doc="' || source || '" page="' || (doc_id % 7 + 1) || '"/>' || ' and more.'
     || CASE WHEN doc_id % 3 = 0 THEN ' Also <cite doc="' || source || '" page="' || (doc_id % 5 + 3) || '"/>' ELSE '' END
     || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'Let me know if table 12 helps.' ELSE '' END AS answer
   FROM documents WHERE text IS NOT NULL)"""

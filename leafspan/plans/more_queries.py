@@ -53,7 +53,7 @@ def sliced_node_texts(spark, sf_dir):
 
 @query(
     """
-WITH n AS (SELECT doc_id % 20 AS session_id, 'n' || doc_id AS node_id, string_split(text, chr(10))[1] AS title, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE left(text, 200) END AS summary,
+WITH n AS (SELECT doc_id % 20 AS session_id, 'n' || doc_id AS node_id, string_split(text, chr(10))[1] AS title, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END AS summary,
   doc_id % 7 AS start_index, doc_id % 7 + 2 AS end_index FROM documents WHERE text IS NOT NULL),
 t AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(lower(title || ' ' || coalesce(summary, '')), '[a-z0-9]{2,}')), ['the', 'of', 'en', 'la', 'der']))::BIGINT AS score FROM n)
 SELECT session_id, node_id, score, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, start_index, end_index, node_id) AS place FROM t"""
@@ -64,7 +64,7 @@ def relevant_nodes(spark, sf_dir):
         (k % 20).alias("session_id"),
         F.concat(F.lit("n"), k.cast("string")).alias("node_id"),
         F.split("text", "\n").getItem(0).alias("title"),
-        F.when(k % 3 != 0, F.left("text", F.lit(200))).alias("summary"),
+        F.when(k % 3 != 0, F.col("text")).alias("summary"),
         (k % 7).alias("start_index"),
         (k % 7 + 2).alias("end_index"),
     )

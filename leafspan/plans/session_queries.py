@@ -55,14 +55,14 @@ def answer_context(spark, sf_dir):
 
 @query(
     """
-WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
-p AS (SELECT vec_id, label, list_sum(list_transform(list_zip(embedding, q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS p FROM embeddings, q),
-b AS (SELECT * FROM p ORDER BY round(p, 9) DESC, vec_id LIMIT 50)
-SELECT label::BIGINT AS node_id, count(*) AS n, round(sum(p) / sqrt(count(*) + 1), 6) AS value FROM b GROUP BY label"""
+WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
+p AS (SELECT query_id, vec_id, label, list_sum(list_transform(list_zip(embedding, q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS p FROM embeddings, q),
+b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, vec_id) <= 50)
+SELECT query_id, label::BIGINT AS node_id, count(*) AS n, round(sum(p) / sqrt(count(*) + 1), 6) AS value FROM b GROUP BY ALL"""
 )
 def node_values(spark, sf_dir):
     chunks = v.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("long").alias("node_id"), "embedding")
-    out = retrieve.node_values(chunks, chunks.filter("chunk_id = 0").select("embedding"))
+    out = retrieve.node_values(chunks, chunks.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding"))
     return out.withColumn("value", F.round("value", 6))
 
 
