@@ -5,33 +5,48 @@ item is one window). The tokens of a window are its words; ordered by how rare t
 are over all documents, the rarest is the prefix that any text holding the
 window must hold too. Occurrences of prefix words in documents meet the windows
 that they stand for; the position within the window must leave room on both sides
-(length and positional bounds), and the words at that place are then compared
+(length and positional bounds), and the words around that place are then compared
 with the whole window.
 
 Everything is DataFrame operations. Documents are read three times (rarity,
-prefix join, comparison) and their texts are shuffled once. The benchmark side is
-broadcast only if Spark's own size check allows it.
+prefix join, number of words), and none of their texts is shuffled: a word that a
+bitmap of the prefixes lets through carries the words around it. Tables of the benchmark
+and of what was found are broadcast if they are small (``_small`` measures them), and joined by shuffles else.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafspan.llm.session import ascii_lower, saved, set_aside
 
 WINDOW = 13
-#: Fixed value: what separates words (ASCII characters other than digits and letters).
+#: What separates words (ASCII characters other than digits and letters; texts are lower-cased first).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word of a text whose letters may be of either case.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Tables of the benchmark are broadcast up to this size, and joined by shuffles beyond it.
 BROADCAST_BYTES = 32 << 20
+#: The bitmap of prefix words has 2 to the power of these bits, at least and at most (512 KB).
+LEAST_BITS, MOST_BITS = 12, 22
 #: Hits must make up this share (1 / SHARE) of a document's words.
 SHARE = 20
 
+_FOUND = "array<struct<start:int,size:int,window_id:long>>"
+
+
+def cut(text: Column) -> Column:
+    """Lower-cased words of a text, with an empty one before or after them where separators begin or end it."""
+    return F.split(ascii_lower(text), SEPARATORS, -1)
+
 
 def words(text: Column) -> Column:
     """Lower-cased words of a text; null has none."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS, -1), lambda w: w != "")
+    return F.filter(cut(F.coalesce(text, F.lit(""))), lambda w: w != "")
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -51,7 +66,7 @@ def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(token, window_id, words, offset): the rarest word of each distinct window and its place in it."""
     vocabulary = saved(windows.select(F.explode("words").alias("token")).distinct(), "vocabulary")
     seen = (
-        docs.select(F.explode(words(F.col("text"))).alias("token"))
+        docs.select(F.explode(cut(F.col("text"))).alias("token"))
         .join(_small(vocabulary), "token", "left_semi")
         .groupBy("token")
         .agg(F.count("*").alias("n"))
@@ -71,34 +86,48 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("copy", F.xxhash64("text"))
 
 
-def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, copy, doc_id, n_words, found): the places (start, size, window_id) of whole windows in each row of ``docs``."""
+def may_hold(tokens: DataFrame, token: Column) -> Column:
+    """Whether ``token`` may be one of ``tokens`` (token): a bitmap of hashes, wrong for few others."""
+    count = tokens.count()
+    bits = 1 << min(max(math.ceil(math.log2(max(count, 1))) + 4, LEAST_BITS), MOST_BITS)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    marks = tokens.select(place(F.col("token")).alias("p")).distinct()
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
+    filled = marks.groupBy(F.floor(F.col("p") / 64).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).collect()  # at most bits / 64 rows
+    table = [0] * (bits // 64)
+    for r in filled:
+        table[r["at"]] = r["bits"]
+    found = F.get(F.from_json(F.lit(json.dumps(table)), "array<bigint>"), F.shiftright(place(token), 6).cast("int"))
+    return F.call_function("shiftright", found, (place(token) % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(id, copy, found): the places (start, size, window_id) of whole windows, for rows of ``docs`` that hold any."""
     docs = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     windows = item_windows(items, window).select("words").distinct().withColumn("window_id", F.xxhash64("words"))
     needed = saved(prefixes(docs, windows), "prefixes")
-    placed = docs.select("id", "copy", F.posexplode(words(F.col("text"))).alias("pos", "token"))
-    candidates = (
-        placed.join(_small(needed), "token")
-        .filter("pos >= offset")
-        .select("id", "copy", F.struct((F.col("pos") - F.col("offset")).alias("start"), "window_id", "words").alias("c"))
-        .groupBy("id", "copy")
-        .agg(F.collect_set("c").alias("candidates"))
-    )
-    both = docs.join(candidates, ["id", "copy"], "left").select("id", "copy", "doc_id", words(F.col("text")).alias("w"), "candidates")
-    whole = F.filter(
-        "candidates",
-        lambda c: (c["start"] + F.size(c["words"]) <= F.size("w")) & (F.slice("w", c["start"] + 1, F.size(c["words"])) == c["words"]),
-    )
-    found = F.transform(
-        whole, lambda c: F.struct(c["start"].alias("start"), F.size(c["words"]).alias("size"), c["window_id"].alias("window_id"))
-    )
-    return both.select(
-        "id",
-        "copy",
-        "doc_id",
-        F.size("w").cast("long").alias("n_words"),
-        F.coalesce(found, F.array().cast("array<struct<start:int,size:int,window_id:long>>")).alias("found"),
-    )
+    placed = docs.select("id", "copy", cut(F.col("text")).alias("w")).select("id", "copy", "w", F.posexplode("w").alias("pos", "token"))
+    leading = (F.get("w", F.lit(0)) == "").cast("int").alias("leading")
+    around = F.slice("w", F.greatest(F.col("pos") - window + 2, F.lit(1)), 2 * window - 1).alias("around")
+    likely = placed.filter(may_hold(needed.select("token").distinct(), F.col("token")))
+    likely = likely.select("id", "copy", "pos", "token", leading, around, F.least("pos", F.lit(window - 1)).alias("at"))
+    whole = F.slice("around", F.col("at") - F.col("offset") + 1, F.size("words")) == F.col("words")
+    met = likely.join(_small(needed), "token").filter(F.col("at") >= F.col("offset")).filter(whole)
+    place = F.struct((F.col("pos") - F.col("offset") - F.col("leading")).alias("start"), F.size("words").alias("size"), "window_id")
+    return met.select("id", "copy", place.alias("p")).groupBy("id", "copy").agg(F.collect_set("p").cast(_FOUND).alias("found"))
+
+
+def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(id, copy, doc_id, n_words, found): the places of whole windows in each row of ``docs``."""
+    found = saved(matches(docs, items, window), "matches")
+    return _counted(docs).join(_small(found), ["id", "copy"], "left").withColumn("found", F.coalesce("found", F.array().cast(_FOUND)))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(id, copy, doc_id, n_words) of each row."""
+    n_words = F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long")
+    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return rows.select("id", "copy", "doc_id", n_words.alias("n_words"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -109,27 +138,28 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     word counts once however many windows cover it. Equal rows get equal results;
     null ids are allowed. Empty tables give no rows or no hits.
     """
-    found = saved(occurrences(docs, items, window), "occurrences")
+    found = saved(matches(docs, items, window), "matches")
     windows = item_windows(items, window).select(F.xxhash64("words").alias("window_id"), F.col("item_id").cast("string").alias("item"))
     named = (
         found.select("id", "copy", F.explode(F.array_distinct(F.transform("found", lambda x: x["window_id"]))).alias("window_id"))
-        .distinct()
-        .join(windows, "window_id")
+        .join(_small(saved(windows, "windows")), "window_id")
         .groupBy("id", "copy")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     covered = F.array_distinct(
         F.flatten(F.transform("found", lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1)))
     )
-    hit = found.select("id", "copy", "doc_id", "n_words", F.when(F.size("found") > 0, F.size(covered)).otherwise(0).cast("long").alias("n_hit"))
-    return hit.join(named, ["id", "copy"], "left").select(
+    hit = found.select("id", "copy", F.size(covered).cast("long").alias("n_hit")).join(named, ["id", "copy"], "left")
+    out = _counted(docs).join(_small(saved(hit, "hits")), ["id", "copy"], "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return out.select(
         "id",
         "copy",
         "doc_id",
         "n_words",
-        "n_hit",
+        n_hit.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
@@ -147,5 +177,5 @@ def digest(found: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows."""
     plain, restored = set_aside(docs, "doc_id", "text")
-    bad = contamination(plain, items).filter("contaminated").select("id", "copy").distinct()
-    return restored(keyed(plain).join(bad, ["id", "copy"], "left_anti"))
+    bad = saved(contamination(plain, items).filter("contaminated").select("id", "copy").distinct(), "contaminated")
+    return restored(keyed(plain).join(_small(bad), ["id", "copy"], "left_anti"))
