@@ -12,43 +12,74 @@ from leafspan.sources.files import saved
 
 TEXT_LIMIT = 12000
 CONTEXT_LIMIT = 3000
+#: Characters by which short questions meet sections.
+GRAM = 3
 #: Vectors of a block.
 VECTORS = 4096
 
 
+def _holding(sections: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(question_id, section_id) where a section's title or text holds the phrase: met by the phrase's first characters, then searched."""
+    keyed = phrases.withColumn("gram", F.left("phrase", F.lit(GRAM)))
+    text = F.concat_ws("\n", F.lower("title"), F.lower("text"))
+    found = None
+    for n in range(1, GRAM + 1):  # phrases shorter than GRAM have keys of their own lengths
+        grams = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        own = keyed.filter(F.length("gram") == n)
+        if not own.isEmpty():
+            met = sections.select("section_id", F.explode(grams).alias("gram")).join(own, "gram").select("question_id", "section_id", "phrase")
+            found = met if found is None else found.unionAll(met)
+    texts = sections.select("section_id", F.lower("title").alias("_title"), F.lower("text").alias("_text"))
+    inside = F.col("_text").contains(F.col("phrase")) | F.col("_title").contains(F.col("phrase"))
+    return found.join(texts, "section_id").filter(inside).select("question_id", "section_id")
+
+
 def lexical_scores(sections: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, section_id, ord, score) for pairs that share a word or where the section holds the question.
 
     ``sections`` has section_id, ord, title, text; ``questions`` has question_id,
-    text. A shared title word counts 2, a shared text word 1, the whole question in
-    the title 3, in the text 2. Pairs come from an equi-join on words. Texts are only
+    text. A shared title word counts 2, a shared word of the text's first part 1, the whole question in
+    the title 3, in the text 2. Pairs come from an equi-join on words, dealt by section, so that a
+    section's words are counted where they are joined. Texts are only
     searched for questions where all words but the first and the last are shared (those
-    two may be parts of words), or whose text goes on beyond the words that are compared.
+    two may be parts of words). Questions of one or two words may lie within words, where nothing is shared;
+    they meet sections by their first characters.
     """
-    of_text = sections.select("section_id", F.explode(tx.retrieval_tokens(F.left("text", F.lit(TEXT_LIMIT)))).alias("word"), F.lit(1).alias("x"), F.lit(0).alias("t"))
-    of_title = sections.select("section_id", F.explode(tx.retrieval_tokens(F.col("title"))).alias("word"), F.lit(0).alias("x"), F.lit(2).alias("t"))
-    words = of_text.unionAll(of_title)  # each word once per section and kind
-    asked = questions.select("question_id", "text", tx.retrieval_tokens(F.col("text")).alias("words"), F.lower(F.trim("text")).alias("phrase"))
-    overlap = (
+    whole, title = tx.retrieval_tokens(F.col("text")), tx.retrieval_tokens(F.col("title"))
+    first = F.when(F.length("text") > TEXT_LIMIT, tx.retrieval_tokens(F.left("text", F.lit(TEXT_LIMIT)))).otherwise(whole)
+    listed = sections.select("section_id", "ord", title.alias("t"), first.alias("x"), whole.alias("w"))
+    listed = listed.withColumn("later", F.when(F.size("x") < F.size("w"), F.array_except("w", "x")).otherwise(F.array().cast("array<string>")))
+    listed = listed.select("section_id", "ord", F.size("t").alias("n_t"), F.size("x").alias("n_x"), F.concat("t", "x", "later").alias("words"))
+    # outer: the optimizer would read texts again to test for words, were sections without any left out here
+    words = listed.repartition("section_id").select("section_id", "ord", "n_t", "n_x", F.posexplode_outer("words").alias("i", "word"))
+    asked = questions.select("question_id", tx.retrieval_tokens(F.col("text")).alias("words"), F.lower(F.trim("text")).alias("phrase"))
+    in_title = F.col("i") < F.col("n_t")
+    worth = F.when(in_title, 2).when(F.col("i") < F.col("n_t") + F.col("n_x"), 1).otherwise(0)
+    pairs = (
         words.join(asked.select("question_id", F.size("words").alias("n"), F.explode("words").alias("word")), "word")
-        .groupBy("question_id", "section_id")
-        .agg(F.sum(F.col("x") + F.col("t")).alias("overlap"), F.sum("x").alias("x"), F.sum(F.signum("t")).alias("t"), F.first("n").alias("n"))
-    )
-    place = sections.select("section_id", "ord", (F.length("text") > TEXT_LIMIT).alias("long"))
-    pairs = saved(overlap.join(place, "section_id"), "pairs")  # words are matched once
-    likely = pairs.filter((F.greatest("x", "t") >= F.col("n") - 2) | F.col("long")).select("question_id", "section_id")
-    named = sections.select("section_id", "ord", "title", "text")
-    searched = likely.join(asked.select("question_id", "phrase"), "question_id").join(named, "section_id")
-    # questions of one or two words may lie within words, where nothing is shared
-    few = asked.filter((F.size("words") <= 2) & (F.col("phrase") != "")).select("question_id", "phrase")
-    inside = F.lower("text").contains(F.col("phrase")) | F.lower("title").contains(F.col("phrase"))
-    parts = named.join(few, inside).join(likely, ["question_id", "section_id"], "left_anti")
-    bonus = (F.lower("title").contains(F.col("phrase"))).cast("int") * 3 + (F.lower("text").contains(F.col("phrase"))).cast("int") * 2
-    found = searched.filter("phrase <> ''").unionByName(parts).select("question_id", "section_id", F.col("ord").alias("_ord"), bonus.alias("bonus")).filter("bonus > 0")
-    score = F.coalesce("overlap", F.lit(0)) + F.coalesce("bonus", F.lit(0))
-    return pairs.join(found, ["question_id", "section_id"], "full").select(
-        "question_id", "section_id", F.coalesce("ord", "_ord").alias("ord"), score.cast("long").alias("score")
+        .groupBy("section_id", "question_id")
+        .agg(
+            F.first("ord").alias("ord"),
+            F.sum(worth).alias("score"),
+            F.greatest(F.sum(in_title.cast("int")), F.sum((~in_title).cast("int"))).alias("shared"),
+            F.first("n").alias("n"),
+        )
     )
+    pairs = saved(pairs, "pairs")
+    likely = F.col("shared") >= F.col("n") - 2
+    texts = sections.select("section_id", F.lower("title").alias("_title"), F.lower("text").alias("_text"))
+    phrase = F.col("phrase")
+    bonus = (phrase != "").cast("int") * (F.coalesce(F.col("_title").contains(phrase), F.lit(False)).cast("int") * 3 + F.coalesce(F.col("_text").contains(phrase), F.lit(False)).cast("int") * 2)
+    names = ["question_id", "section_id", "ord", "score"]
+    phrases = asked.select("question_id", "phrase")
+    searched = pairs.filter(likely).join(phrases, "question_id").join(texts, "section_id").withColumn("score", F.col("score") + bonus)
+    out = pairs.filter(~likely).select(names).unionAll(searched.select(names))
+    few = asked.filter((F.size("words") <= 2) & (phrase != "")).select("question_id", "phrase")
+    if not few.isEmpty():
+        inside = _holding(sections, few).join(pairs, ["question_id", "section_id"], "left_anti").distinct()
+        inside = inside.join(few, "question_id").join(texts.join(sections.select("section_id", "ord"), "section_id"), "section_id")
+        out = out.unionAll(inside.withColumn("score", bonus).select(names))
+    return out.withColumn("score", F.col("score").cast("long"))
 
 
 def top_sections(sections: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
@@ -59,13 +90,11 @@ def top_sections(sections: DataFrame, questions: DataFrame, k: int = 5) -> DataF
     k = max(1, k)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "ord")
     best = lexical_scores(sections, questions).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    first = sections.orderBy("ord").limit(k).agg(F.array_sort(F.collect_list(F.struct("ord", "section_id"))).alias("first"))
-    found = F.array(F.struct(F.col("rank").cast("long").alias("rank"), F.col("section_id").alias("section_id"), F.col("score").alias("score")))
-    none = F.transform(
-        "first", lambda x, i: F.struct((i + 1).cast("long").alias("rank"), x["section_id"].alias("section_id"), F.lit(0).cast("long").alias("score"))
-    )
-    rows = questions.select("question_id").join(best, "question_id", "left").crossJoin(F.broadcast(first))  # one row of k sections
-    return rows.select("question_id", F.explode(F.when(F.col("rank").isNotNull(), found).otherwise(none)).alias("r")).select("question_id", "r.*")
+    best = saved(best.select("question_id", F.col("rank").cast("long").alias("rank"), "section_id", "score"), "best")
+    ranked = sections.select("section_id", "ord").orderBy("ord").limit(k).withColumn("rank", F.row_number().over(Window.orderBy("ord")).cast("long"))
+    none = questions.select("question_id").join(best, "question_id", "left_anti")
+    none = none.withColumn("rank", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long")))).join(ranked, "rank")
+    return best.unionAll(none.select("question_id", "rank", "section_id", F.lit(0).cast("long").alias("score")))
 
 
 def answer_context(ranked: DataFrame, sections: DataFrame) -> DataFrame:
