@@ -27,8 +27,8 @@ from leafspan.llm.session import ascii_lower, saved, set_aside
 WINDOW = 13
 #: What separates words (ASCII characters other than digits and letters; texts are lower-cased first).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word of a text whose letters may be of either case.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same for texts whose letters may be of either case.
+ANY_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Tables of the benchmark are broadcast up to this size, and joined by shuffles beyond it.
 BROADCAST_BYTES = 32 << 20
 #: The bitmap of prefix words has 2 to the power of these bits, at least and at most (512 KB).
@@ -67,9 +67,10 @@ def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
     vocabulary = saved(windows.select(F.explode("words").alias("token")).distinct(), "vocabulary")
     seen = (
         docs.select(F.explode(cut(F.col("text"))).alias("token"))
-        .join(_small(vocabulary), "token", "left_semi")
+        .filter(may_hold(vocabulary, F.col("token")))
         .groupBy("token")
         .agg(F.count("*").alias("n"))
+        .join(_small(vocabulary), "token", "left_semi")
     )
     placed = windows.select("window_id", "words", F.posexplode("words").alias("offset", "token"))
     rarest = Window.partitionBy("window_id").orderBy(F.coalesce("n", F.lit(0)), "token", "offset")
@@ -106,7 +107,8 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     docs = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     windows = item_windows(items, window).select("words").distinct().withColumn("window_id", F.xxhash64("words"))
     needed = saved(prefixes(docs, windows), "prefixes")
-    placed = docs.select("id", "copy", cut(F.col("text")).alias("w")).select("id", "copy", "w", F.posexplode("w").alias("pos", "token"))
+    # outer: the optimizer would cut texts once more to test for words, were rows without any left out here
+    placed = docs.select("id", "copy", cut(F.col("text")).alias("w")).select("id", "copy", "w", F.posexplode_outer("w").alias("pos", "token"))
     leading = (F.get("w", F.lit(0)) == "").cast("int").alias("leading")
     around = F.slice("w", F.greatest(F.col("pos") - window + 2, F.lit(1)), 2 * window - 1).alias("around")
     likely = placed.filter(may_hold(needed.select("token").distinct(), F.col("token")))
@@ -125,9 +127,10 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
 
 def _counted(docs: DataFrame) -> DataFrame:
     """(id, copy, doc_id, n_words) of each row."""
-    n_words = F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long")
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return rows.select("id", "copy", "doc_id", n_words.alias("n_words"))
+    rows = rows.select("id", "copy", "doc_id", F.split("text", ANY_SEPARATORS, -1).alias("w"))
+    empty = sum((F.element_at("w", i) == "").cast("int") for i in (1, -1))
+    return rows.select("id", "copy", "doc_id", F.coalesce(F.greatest(F.size("w") - empty, F.lit(0)), F.lit(0)).cast("long").alias("n_words"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
