@@ -14,9 +14,10 @@ any store it knows will do:
   stores the key's fingerprint (32 bits) and the place of the payload: part, block,
   offset in the block and length, in ids.
 
-A lookup reads one index row and four numbers of a slot, whatever the corpus's
+Both are filed by shelves (folders) of parts and of buckets. ``fetch`` of some keys reads the index rows
+of their buckets, four numbers of a slot each, and the blocks that these name, whatever the corpus's
 size; keys that are not in the files are refused by their fingerprints but for
-one in four billion.
+one in four billion. ``lookup`` and ``payloads`` serve tables of keys as long as the corpus.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from leafspan.llm.session import shared_dir, small_batches, total_bytes
 END = 2
 #: Bytes of text per part, ids per block, keys per index bucket (about).
 PART_BYTES, BLOCK_IDS, BUCKET_KEYS = 16 << 20, 1 << 20, 20_000
+#: Parts and buckets per folder.
+PARTS_OF_SHELF, BUCKETS_OF_SHELF = 256, 64
 #: Different words whose ids a worker remembers before it starts anew.
 REMEMBERED = 2_000_000
 #: Words that are kept apart until they are merged with the many.
@@ -44,12 +47,16 @@ RECENT = 100_000
 #: Words that the tokenizer is handed at a time.
 ENCODED = 2048
 
-IDS = "part int, block int, doc_ids array<long>, nths array<int>, lengths array<long>, n_tokens long, ids binary"
+IDS = "shelf int, part int, block int, doc_ids array<long>, nths array<int>, lengths array<long>, n_tokens long, ids binary"
 INDEX = (
-    "bucket int, keys long, pilots binary, fingerprints binary, part binary, block binary, offset binary, length binary"
+    "shelf int, bucket int, keys long, pilots binary, fingerprints binary, part binary, block binary, offset binary, length binary"
 )
 
 
+# White space of the contracts, and marks that stand for it in vocabularies.
+WHITE, MARKS = "\t\n\x0b\x0c\r ", "\u0120\u010a\u2581"
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -70,8 +77,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._cuts_at_white_space(path)
         self._forget()
 
+    def _cuts_at_white_space(self, path: str) -> None:
+        """Raises ValueError for a tokenizer that does not encode each word by itself."""
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        bare = (token.removesuffix("</w>") for token in self.tokenizer.get_vocab())
+        joining = any(len(token) > 1 and any(c in token for c in WHITE + MARKS) for token in bare)
+        parts = ["a", "It's", "word", "3.5", "don't,", "\u00e9t\u00e9", "\u4e2d\u6587", "x_y"]
+        apart = all(ids(x + white + y) == ids(x) + ids(y) for x in parts for y in parts for white in WHITE)
+        if joining or not apart or ids(f" {WHITE}"):
+            raise ValueError(f"{path}: tokens span white space")
+
     def _forget(self):
         # words known by their numbers, sorted: the many, and the recent ones that are not merged yet
         self.known = [self._nothing(), self._nothing()]
@@ -273,9 +291,32 @@ class TokenFiles:
     def index(self) -> DataFrame:
         return self.spark.read.schema(INDEX).parquet(f"{self.path}/index")
 
+    def _asked(self, keys: DataFrame) -> DataFrame:
+        buckets = self.spark.read.parquet(f"{self.path}/size").first()["buckets"]
+        return keys.select(F.col("doc_id").cast("long"), F.col("nth").cast("int")).withColumn("bucket", _bucket(buckets))
+
     def lookup(self, keys: DataFrame) -> DataFrame:
         """(doc_id, nth, part, block, offset, length) of the keys (doc_id, nth) that the index knows."""
-        buckets = self.spark.read.parquet(f"{self.path}/size").first()["buckets"]
+        return self._found(self._asked(keys), self.index())
+
+    def fetch(self, keys: list[tuple[int | None, int]]) -> DataFrame:
+        """(doc_id, nth, ids) of some keys (doc_id, nth): the bytes of their ids. Only their buckets and blocks are read.
+
+        Meant for lists that the driver holds. A key that is not in the files has no row; a key that is asked twice has two.
+        """
+        asked = self._asked(self.spark.createDataFrame(keys, "doc_id long, nth int"))
+        buckets = sorted({r["bucket"] for r in asked.select("bucket").collect()})
+        shelves = sorted({b // BUCKETS_OF_SHELF for b in buckets})
+        index = self.index().filter(F.col("shelf").isin(shelves) & F.col("bucket").isin(buckets))
+        places = self._found(asked, index).collect()  # a row per key at most
+        blocks = sorted({(r["part"], r["block"]) for r in places})
+        wanted = F.col("shelf").isin(sorted({a // PARTS_OF_SHELF for a, _ in blocks})) & F.col("part").isin(sorted({a for a, _ in blocks}))
+        wanted = wanted & F.col("block").isin(sorted({b for _, b in blocks}))
+        where = self.spark.createDataFrame(places, "doc_id long, nth int, part int, block int, offset long, length long")
+        ids = F.substring("ids", F.col("offset").cast("int") * 4 + 1, F.col("length").cast("int") * 4)
+        return self.blocks().filter(wanted).select("part", "block", "ids").join(F.broadcast(where), ["part", "block"]).select("doc_id", "nth", ids.alias("ids"))
+
+    def _found(self, asked: DataFrame, index: DataFrame) -> DataFrame:
         names = ["doc_id", "nth", "part", "block", "offset", "length"]
 
         def found(key, asked, index):
@@ -295,8 +336,7 @@ class TokenFiles:
             columns = [*out.columns, *(pa.array(v, t) for v, t in zip(values, types, strict=True))]
             return pa.Table.from_arrays(columns, names=names).filter(pa.array(hit))
 
-        asked = keys.select(F.col("doc_id").cast("long"), F.col("nth").cast("int")).withColumn("bucket", _bucket(buckets))
-        return asked.groupBy("bucket").cogroup(self.index().groupBy("bucket")).applyInArrow(
+        return asked.groupBy("bucket").cogroup(index.drop("shelf").groupBy("bucket")).applyInArrow(
             found, "doc_id long, nth int, part int, block int, offset long, length long"
         )
 
@@ -353,7 +393,8 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(8, total_bytes(docs) // PART_BYTES + 1)
     ranged = docs.repartitionByRange(int(parts), "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ranged.mapInArrow(_writer(tokenizer or tokenizer_path()), IDS).write.option("compression", "zstd").parquet(f"{path}/ids")
+    blocks = ranged.mapInArrow(_writer(tokenizer or tokenizer_path()), IDS.partition(", ")[2])
+    _shelved(blocks, "part", PARTS_OF_SHELF).write.option("compression", "zstd").partitionBy("shelf").parquet(f"{path}/ids")
     files = TokenFiles(spark, path)
     total = files.blocks().agg(F.sum(F.size("lengths"))).first()[0] or 0
     buckets = max(1, int(total) // BUCKET_KEYS)
@@ -379,14 +420,20 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
     rows = files.blocks().select("part", "block", "doc_ids", "nths", "lengths").mapInArrow(
         listed, "doc_id long, nth int, part int, block int, offset long, length long"
     )
-    rows.withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInArrow(_indexed, INDEX).write.parquet(f"{path}/index")
+    index = rows.withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInArrow(_indexed, INDEX.partition(", ")[2])
+    _shelved(index, "bucket", BUCKETS_OF_SHELF).repartition("shelf").write.partitionBy("shelf").parquet(f"{path}/index")
     return files
 
 
+def _shelved(rows: DataFrame, column: str, many: int) -> DataFrame:
+    return rows.withColumn("shelf", F.floor(F.col(column) / many).cast("int"))
+
+
 def read_back(files: TokenFiles, docs: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the rows of ``docs``, found through the index and read from the raw ids."""
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")) - 1
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("nth", nth)
+    counted = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
+    starts = counted.withColumn("low", F.explode(F.expr("sequence(0, n - 1, 65536)")))  # an id may have very many rows
+    keys = starts.select("doc_id", F.explode(F.sequence("low", F.least(F.col("low") + 65535, F.col("n") - 1))).alias("nth"))
     read = files.payloads(zlib.crc32, "long").withColumnRenamed("payload", "ids_crc32")
     return (
         files.lookup(keys)
