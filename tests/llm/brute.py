@@ -160,6 +160,47 @@ def added(text, certain, models, pii):
     return out
 
 
+def mixture(text, table, bucket, iterations, penalty):
+    """(index of the predicted language, its share among all, selected proportions) of a text; table: bucket -> log probabilities."""
+    import math
+
+    w = words((text or "").translate(LOWER))
+    n = len(table[0])
+    like = []
+    for x in w:
+        b = b"\x01" + x.encode() + b"\x01"
+        logs = [sum(float(table[bucket(b[k - 1], b[k], b[k + 1])][j]) for k in range(1, len(b) - 1)) for j in range(n)]
+        like.append([math.exp(max(v - max(logs), -69.0)) for v in logs])
+
+    def em(allowed):
+        share = [1 / len(allowed) if j in allowed else 0.0 for j in range(n)]
+        for _ in range(iterations):
+            sums = [0.0] * n
+            for row in like:
+                part = [a * b for a, b in zip(row, share, strict=True)]
+                total = sum(part)
+                sums = [s + p / total for s, p in zip(sums, part, strict=True)]
+            share = [s / len(like) for s in sums]
+        return share, sum(math.log(sum(a * b for a, b in zip(row, share, strict=True))) for row in like)
+
+    full, _ = em(range(n))
+    order = sorted(range(n), key=lambda j: -full[j])
+    single = [sum(math.log(row[j]) for row in like) for j in range(n)]
+    top = max(range(n), key=lambda j: single[j])
+    best = last = -2 * single[top] + penalty * math.log(len(w))
+    chosen = [float(j == top) for j in range(n)]
+    for size in range(2, n + 1):
+        share, fit = em(order[:size])
+        cost = -2 * fit + penalty * size * math.log(len(w))
+        if cost < best:
+            best, chosen = cost, share
+        if size >= 3 and cost >= last:
+            break
+        last = cost
+    pick = max(range(n), key=lambda j: chosen[j])
+    return pick, full[pick], chosen
+
+
 def statistics(text):
     w = words(text)
     grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))

@@ -423,6 +423,34 @@ def test_languages_of_a_text_in_five(spark):
     assert set(got[900]["proportions"]) == set(five) and all(0.1 < p < 0.3 for p in got[900]["proportions"].values())
 
 
+def test_mixtures_against_plain_loops(spark):
+    rng = random.Random(14)
+    letters = ["abc", "bcd", "cde", "xyz"]
+    kinds = {x * 2: ["".join(rng.choice(x) for _ in range(5)) for _ in range(30)] for x in letters}
+    rows = [(i, text_of(rng, 30, kinds[x]), x) for i in range(80) for x in [rng.choice(list(kinds))]]
+    rows += [(100 + i, " ".join(text_of(rng, rng.randrange(1, 30), kinds[x]) for x in rng.sample(list(kinds), 1 + i % 4)), None) for i in range(30)]
+    rows += [(200, "É zz 中文 aAa", None), (201, "abc", None)]
+    df = brute.docs(spark, rows)
+    names, table = language_id.learned(df.filter(~language_id.held_out()))
+    bucket = lambda a, b, c: (((a << 16 | b << 8 | c) * 2654435761) & 0xFFFFFFFF) >> 17
+    got = by_id(language_id.languages(df))
+    for i, text, _ in rows:
+        pick, score, chosen = brute.mixture(text, table.tolist(), bucket, language_id.ITERATIONS, language_id.PENALTY)
+        assert got[i]["lang_pred"] == names[pick] and got[i]["score"] == pytest.approx(score, abs=1e-3)
+        assert got[i]["proportions"] == pytest.approx({names[j]: p for j, p in enumerate(chosen) if p > 0.001}, abs=2e-3)
+
+
+def test_six_hundred_languages(spark):
+    rng = random.Random(15)
+    rows = []
+    for k in range(600):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(6)]
+        rows += [(10 * k + i, " ".join(rng.choice(words) for _ in range(12)), f"l{k:03}") for i in range(10)]
+    got = by_id(language_id.languages(brute.docs(spark, rows)))
+    held = [got[i]["lang_pred"] == lang for i, _, lang in rows if got[i]["held_out"]]
+    assert len(got) == 6000 and len(held) > 800 and np.mean(held) > 0.95
+
+
 # --- 7
 
 
@@ -501,6 +529,36 @@ def test_token_files(spark, table, odd, empty):
     assert token_files.read_back(token_files.write(empty), empty).count() == 0
 
 
+def test_token_files_fetch_some_keys(spark, monkeypatch):
+    """A key's ids come from one bucket and one block, however many there are."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_files.tokenizer_path())
+    for name, small in (("BUCKET_KEYS", 20), ("BUCKETS_OF_SHELF", 4), ("PARTS_OF_SHELF", 2)):
+        monkeypatch.setattr(token_files, name, small)
+    rng = random.Random(13)
+    rows = [(i, text_of(rng, 20)) for i in range(600)] + [(7, "again"), (None, "no id"), (None, None)]
+    files = token_files.write(brute.docs(spark, rows))
+    assert files.index().count() > 20 and files.blocks().count() >= 8
+    ids = lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    got = {(r["doc_id"], r["nth"]): np.frombuffer(r["ids"], "<u4").tolist() for r in files.fetch([(5, 0), (7, 0), (7, 1), (None, 1), (599, 0), (600, 0), (5, 1)]).collect()}
+    seven = sorted([rows[7][1], "again"])
+    assert got == {(5, 0): ids(rows[5][1]), (7, 0): ids(seven[0]), (7, 1): ids(seven[1]), (None, 1): ids("no id"), (599, 0): ids(rows[599][1])}
+    assert files.fetch([(12345, 0)]).count() == 0
+    read = []
+    monkeypatch.setattr(files, "_found", lambda asked, index, keep=files._found: (read.append(index), keep(asked, index))[1])
+    one = files.fetch([(5, 0)])
+    assert one.count() == 1 and read[0].count() == 1
+    assert "PartitionFilters: [isnotnull(shelf" in read[0]._jdf.queryExecution().toString() or "PartitionFilters: [(shelf" in read[0]._jdf.queryExecution().toString()
+
+
+def test_tokenizers_across_white_space_are_refused(spark):
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="white space"):
+        token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 1000, 20_000])
 def test_perfect_hash(n):
     h = textnum.mix(np.arange(n, dtype=np.uint64))
