@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as kinds
 
 from leafspan.llm import textnum as tn
 from leafspan.llm.components import components
@@ -388,11 +389,19 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     )
 
 
+def _unordered(kind: kinds.DataType) -> bool:
+    if isinstance(kind, kinds.ArrayType):
+        return _unordered(kind.elementType)
+    if isinstance(kind, kinds.StructType):
+        return any(_unordered(f.dataType) for f in kind)
+    return isinstance(kind, (kinds.MapType, kinds.VariantType))
+
+
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: the first of those with the smallest doc_id.
 
     Rows with a null doc_id all stay. Of rows that share the kept doc_id, the one
-    with the smallest text stays.
+    with the smallest text stays (null first), and of those the one whose further columns, as far as they can be ordered, are smallest.
     """
     plain, restored = set_aside(docs, "doc_id", "text")
     kept = near_duplicate_classes(plain).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
@@ -400,7 +409,8 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     stay = plain.join(kept, "doc_id", "left_semi")
     again = stay.join(twice, "doc_id", "left_semi")
     rest = [c for c in plain.columns if c != "doc_id"]
-    again = again.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in rest if c != "text"))).alias("row_"))
+    ordered = [f.name for f in plain.schema if f.name in rest and f.name != "text" and not _unordered(f.dataType)]
+    again = again.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.struct("text", *ordered)).alias("row_"))
     again = again.select("doc_id", *(F.col("row_").getField(c).alias(c) for c in rest))
     out = stay.join(twice, "doc_id", "left_anti").unionByName(again).unionByName(plain.filter("doc_id IS NULL"))
     return restored(out)

@@ -138,6 +138,13 @@ def test_near_classes_of_repeated_and_null_ids(spark, empty):
     assert near_dedup.without_near_duplicates(brute.clashing(empty)).count() == 0
 
 
+def test_one_row_stays_of_a_table_with_maps(spark):
+    rows = brute.docs(spark, [(5, "a b c"), (5, None), (5, "a b c"), (6, "x")]).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    rows = rows.withColumn("deep", F.array(F.struct("m")))
+    got = near_dedup.without_near_duplicates(rows)
+    assert sorted((r["doc_id"], r["text"], r["m"]["k"]) for r in got.collect()) == [(5, None, 5), (6, "x", 6)] and got.columns == rows.columns
+
+
 def test_sketches_fill_for_any_size():
     for n in (1, 2, 7, 200, 3000):
         shingle = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(977)
@@ -212,6 +219,30 @@ def test_pairs_that_occur_once_are_modelled(spark):
     assert got[ids[True][1]]["score"] == pytest.approx(new, rel=0.05)
 
 
+def test_scores_against_plain_counts(spark, table, odd):
+    """The formula over exact counts, quantised: the filter changes few texts, and those little."""
+    import math
+    from collections import Counter
+
+    tokens = {i: ["", *brute.words((t or "").translate(brute.LOWER)), ""] for i, t in odd}
+    words, pairs = Counter(), Counter()
+    for i, own in tokens.items():
+        if brute.crc(i) % 10:
+            words.update(own[1:])
+            pairs.update(zip(own, own[1:], strict=False))
+    n, v = sum(words.values()), len(words)
+    level = lambda c: 2.4 if 2 <= c < 4 else 1.0 if c == 1 else 1.5 * 2 ** (c.bit_length() - 1) if c else 0.0
+    got, off = by_id(lm_score.scores(table)), []
+    for i, own in tokens.items():
+        want = 0.0
+        for before, word in zip(own, own[1:], strict=False):
+            alone, seen = (level(words[word]) + 0.1) / (n + 0.1 * (v + 1)), level(words[before])
+            both = min(level(pairs[before, word]), seen)
+            want += math.log10(min((both + lm_score.PULL * alone) / (seen + lm_score.PULL), 1.0))
+        off.append(abs(got[i]["score"] - want) / max(-want, 1e-9))
+    assert max(off) < 0.05 and np.mean([x < 1e-9 for x in off]) > 0.6
+
+
 def test_filter_levels():
     keys = textnum.mix(np.arange(20_000, dtype=np.uint64))
     counts = np.random.default_rng(0).geometric(0.3, 20_000)
