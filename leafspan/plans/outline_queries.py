@@ -11,6 +11,7 @@ from leafspan.functions import replies as rp
 from leafspan.functions import text as tx
 from leafspan.operators import outline, ranges, state
 from leafspan.plans import inputs as v
+from leafspan.plans import session_queries as sq
 from leafspan.plans import toc_queries as tq
 from leafspan.registry import query
 
@@ -79,7 +80,28 @@ def front_matter(spark, sf_dir):
     return outline.front_matter(*_front_pages(spark, sf_dir))
 
 
-@query()
+def _levels(most: int = 5) -> str:
+    """The levels of headings below one node per document, each with ends from the next of its parent."""
+    out = [
+        "found_v AS MATERIALIZED (SELECT doc, structure, arg_min(title, physical_index) AS title, min(physical_index) AS start_index, "
+        "regexp_extract(structure, '^(.*)\\.\\d+$', 1) AS parent FROM (SELECT doc, structure, title, page AS physical_index FROM lines_v WHERE contains(structure, '.')) GROUP BY doc, structure)",
+        "level_0 AS (SELECT doc, doc::VARCHAR AS structure, 'top' AS title, 0::BIGINT AS start_index, max(page) AS end_index FROM lines_v GROUP BY doc)",
+    ]
+    for k in range(1, most + 1):
+        out.append(
+            f"level_{k} AS MATERIALIZED (SELECT f.doc, f.structure, f.title, f.start_index, greatest(f.start_index, coalesce(lead(f.start_index) OVER "
+            f"(PARTITION BY f.doc, f.parent ORDER BY f.start_index, length(f.structure), f.structure), u.end_index)) AS end_index "
+            f"FROM found_v f JOIN level_{k - 1} u ON u.doc = f.doc AND u.structure = f.parent WHERE f.start_index BETWEEN u.start_index AND u.end_index)"
+        )
+    return ", ".join(out)
+
+
+@query(
+    f"""
+WITH {tq._TOC}, {tq._LINES}, {_levels()}
+"""
+    + " UNION ALL ".join(f"SELECT *, {k} AS level FROM level_{k}" for k in range(6))
+)
 def refined_outline(spark, sf_dir):
     pages = tq._paged(spark, sf_dir)
     last = pages.groupBy("doc").agg(F.max("physical_index").alias("end_index"))
@@ -250,7 +272,11 @@ def written_page_windows(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    f"""
+WITH {sq._PARTS}
+SELECT doc, count(*) AS total_parts, string_agg('part_' || lpad(part::VARCHAR, 4, '0') || '.json', ',' ORDER BY part) AS files FROM (SELECT DISTINCT doc, part FROM parts_v) GROUP BY doc"""
+)
 def written_parts(spark, sf_dir):
     from leafspan.operators import parts
     from leafspan.plans.session_queries import _part_nodes
