@@ -497,7 +497,22 @@ def payload_sizes(spark, sf_dir):
     return _toc(spark, sf_dir).select("ord", parts.payload_size(payload, fields).cast("long").alias("size"))
 
 
-@query()
+@query(
+    f"""
+WITH {_STATUS}, f AS (SELECT session_id, page FROM routed_v WHERE kind = 'content' GROUP BY ALL),
+i AS (SELECT session_id, page, page - row_number() OVER (PARTITION BY session_id ORDER BY page) AS run FROM f),
+r AS (SELECT session_id, min(page) AS a, max(page) AS b FROM i GROUP BY session_id, run),
+t AS (SELECT session_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM r GROUP BY 1),
+d AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY read_count = 0 DESC, start_index DESC) AS nth_to_go FROM st),
+c AS (SELECT session_id, gone, count(*) FILTER (WHERE nth_to_go > gone) AS n_nodes,
+    string_agg('- ' || node_id || ' (pp.' || start_index || '-' || end_index || '): read', chr(10) ORDER BY start_index) FILTER (WHERE nth_to_go > gone AND read_count > 0) AS were_read,
+    string_agg('- ' || node_id || ' (pp.' || start_index || '-' || end_index || '): read', chr(10) ORDER BY start_index) FILTER (WHERE nth_to_go > gone AND read_count = 0) AS were_found
+  FROM d, (SELECT unnest(range(0, 9)) AS gone) GROUP BY ALL),
+x AS (SELECT session_id, gone, n_nodes, concat_ws(chr(10) || chr(10), '{parts.READ_HEADING}' || chr(10) || chr(10) || were_read,
+    '{parts.FOUND_HEADING}' || chr(10) || chr(10) || replace(were_found, ': read', ''), '{parts.PAGES_LABEL}' || ranges) AS told FROM c LEFT JOIN t USING (session_id)),
+y AS (SELECT * FROM x WHERE length(told) <= 150 OR n_nodes = 0 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY gone) = 1)
+SELECT session_id, n_nodes, length(told) AS total_chars, CASE WHEN length(told) <= 150 THEN told ELSE '' END AS summary FROM y"""
+)
 def context_summaries(spark, sf_dir):
     calls = _routed(spark, sf_dir)
     nodes = state.read_status(_session_nodes(spark, sf_dir), calls.filter("kind = 'content'"))
