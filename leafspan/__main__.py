@@ -1,4 +1,7 @@
-"""python -m leafspan queries | query NAME DIR [ROWS] | ingest PAGES LIBRARY"""
+"""python -m leafspan queries | query NAME DIR [ROWS] | ingest PAGES LIBRARY | evaluate CASES ANSWERS
+
+CASES and ANSWERS are JSON files of records; an answer has the id of its case.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ def main(args: list[str]) -> int:
     if args[:1] == ["queries"]:
         print("\n".join(registry.queries()))
         return 0
-    if args[:1] not in (["query"], ["ingest"]) or len(args) < 3:
+    if args[:1] not in (["query"], ["ingest"], ["evaluate"]) or len(args) < 3:
         print(__doc__)
         return 2
     from pyspark.sql import SparkSession
@@ -19,6 +22,14 @@ def main(args: list[str]) -> int:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args[0] == "query":
         registry.queries()[args[1]](spark, args[2]).show(int(args[3]) if len(args) > 3 else 20, truncate=80)
+    elif args[0] == "evaluate":
+        from leafspan import records
+        from leafspan.operators import evaluation
+        from leafspan.sources import files
+
+        cases = records.completed(files.read_json(spark, args[1], records.schema("test_case")), "test_case")
+        answers = files.read_json(spark, args[2], records.schema("answer").add("id", "string"))
+        evaluation.summary(evaluation.evaluated(cases, answers)).show(truncate=False)
     else:
         from leafspan.operators import ingest
 

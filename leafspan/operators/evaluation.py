@@ -38,6 +38,15 @@ def scored(cases: DataFrame) -> DataFrame:
     )
 
 
+def evaluated(cases: DataFrame, answers: DataFrame) -> DataFrame:
+    """Metrics of test cases (id, key_points, expected_pages) with their recorded answers (id and the fields of an answer); a case without one scores as empty."""
+    own = answers.select("id", "answer", F.transform("citations", lambda c: c["page"]).alias("cited_pages"), "pages_retrieved", "all_pages_requested", "total_turns")
+    rows = cases.select("id", "key_points", "expected_pages").join(own, "id", "left")
+    none = F.array().cast("array<long>")
+    lists = {c: F.coalesce(c, none) for c in ("cited_pages", "pages_retrieved", "all_pages_requested")}
+    return scored(rows.withColumns(lists | {"answer": F.coalesce("answer", F.lit("")), "total_turns": F.coalesce("total_turns", F.lit(0).cast("long"))}))
+
+
 def summary(results: DataFrame) -> DataFrame:
     """One row of unweighted means over cases, in hundredths but for turns and pages; no row without cases."""
     total = F.col("key_points_total")

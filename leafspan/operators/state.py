@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leafspan.functions import text as tx
 from leafspan.functions.pages import ranges_text
+from leafspan.sources.files import saved
 
 STATUS = ["discovered", "reading", "read_complete"]
 
@@ -99,9 +100,20 @@ def last_number(names: DataFrame, column: str, prefix: str) -> DataFrame:
 
 
 def numbered_from(rows: DataFrame, last: DataFrame, order: list[str], prefix: str, width: int) -> DataFrame:
-    """``rows`` with ids that go on after the last number in use."""
-    n = F.row_number().over(Window.orderBy(*order)) + F.col("last")
-    return rows.crossJoin(F.broadcast(last)).withColumn("new_id", tx.numbered(f"{prefix}_", n, width)).drop("last")
+    """``rows`` with ids that go on after the last number in use, in the order of some columns.
+
+    Rows are dealt by ranges of these columns and numbered within each, after those of the ranges before.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = saved(ranged, "numbered")
+    part, start = F.shiftright("_at", 33), last.first()["last"] + 1
+    before = []
+    for r in ranged.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row per range
+        before += [F.lit(r["part"]).cast("long"), F.lit(start).cast("long")]
+        start += r["count"]
+    first = F.element_at(F.create_map(*before), part) if before else F.lit(0).cast("long")
+    n = first + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.withColumn("new_id", tx.numbered(f"{prefix}_", n, width)).drop("_at")
 
 
 def first_wins(table: DataFrame, more: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -169,6 +181,14 @@ def resolved(names: DataFrame, candidates: DataFrame) -> DataFrame:
     return out.select("name", F.when(F.col("n") == 1, F.col("path")).alias("path"), error.alias("error"))
 
 
+def with_initial(states: DataFrame, docs: DataFrame) -> DataFrame:
+    """``states`` (doc_name, visited_parts, read_pages, total_reads) and an empty state for each of ``docs`` (doc_name) without one."""
+    new = docs.select("doc_name").distinct().join(states, "doc_name", "left_anti")
+    none = F.array().cast("array<long>")
+    new = new.select("doc_name", none.alias("visited_parts"), none.alias("read_pages"), F.lit(0).cast("long").alias("total_reads"))
+    return states.select("doc_name", "visited_parts", "read_pages", "total_reads").unionByName(new)
+
+
 def cached_flags(pages: DataFrame) -> DataFrame:
     """Pages as they are, none of them from a cache."""
     return pages.withColumn("is_cached", F.lit(False))

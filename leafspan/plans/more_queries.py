@@ -141,3 +141,37 @@ def fuzzy_titles(spark, sf_dir):
     rows = tq._lines(spark, sf_dir).join(pages, ["doc", "page"]).withColumn("title", F.concat(F.lit("x"), F.col("title")))
     ratio = fuzzy.title_ratio(F.col("title"), F.col("text"))
     return rows.select("ord", "title", F.round(ratio, 3).alias("ratio"), (ratio >= 85).alias("found"))
+
+
+@query(f"WITH {v.PAGES} SELECT doc_id AS doc, page_num AS page, text, false AS is_cached FROM pages_v")
+def page_cache_flags(spark, sf_dir):
+    pages = v.doc_pages(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.col("page_num").alias("page"), "text")
+    return state.cached_flags(pages)
+
+
+@query(
+    f"""
+WITH {sq._ROUTED}, k AS (SELECT session_id::VARCHAR AS doc_name, count(DISTINCT page) AS n_pages, count(*) AS total_reads FROM routed_v WHERE kind = 'content' GROUP BY ALL),
+d AS (SELECT DISTINCT source AS doc_name FROM documents UNION SELECT DISTINCT user_id::VARCHAR FROM events)
+SELECT doc_name, coalesce(n_pages, 0) AS n_pages, coalesce(total_reads, 0) AS total_reads FROM d LEFT JOIN k USING (doc_name)"""
+)
+def document_states(spark, sf_dir):
+    read = state.read_pages(sq._routed(spark, sf_dir).filter("kind = 'content'"))
+    known = read.select(F.col("session_id").cast("string").alias("doc_name"), F.array().cast("array<long>").alias("visited_parts"), "read_pages", "total_reads")
+    names = v.read(spark, sf_dir, "documents").select(F.col("source").alias("doc_name"))
+    names = names.unionAll(v.read(spark, sf_dir, "events").select(F.col("user_id").cast("string")))
+    return state.with_initial(known, names).select("doc_name", F.size("read_pages").cast("long").alias("n_pages"), "total_reads")
+
+
+@query(
+    """
+SELECT doc_id::VARCHAR AS id, source AS doc_name, text AS query, 'text' AS type, 0::BIGINT AS n_expected, 0::BIGINT AS n_points,
+  CASE WHEN concat_ws(', ', CASE WHEN source IS NULL THEN 'doc_name' END, CASE WHEN text IS NULL THEN 'query' END) <> ''
+    THEN 'missing: ' || concat_ws(', ', CASE WHEN source IS NULL THEN 'doc_name' END, CASE WHEN text IS NULL THEN 'query' END) END AS problems FROM documents"""
+)
+def completed_records(spark, sf_dir):
+    from leafspan import records
+
+    rows = v.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("doc_name"), F.col("text").alias("query"), F.lit("text").alias("type"))
+    sizes = [F.size(c).cast("long").alias(n) for c, n in (("expected_pages", "n_expected"), ("key_points", "n_points"))]
+    return records.completed(rows, "test_case").select("id", "doc_name", "query", "type", *sizes, "problems")

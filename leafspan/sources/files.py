@@ -11,6 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+def first_existing(spark: SparkSession, paths: list[str]) -> str:
+    """The first of ``paths`` that is there, in any store Spark knows; if none is, the first one."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return name
+    return paths[0]
+
+
 PAGES = "doc long, page long, text string, bucket int"
 
 

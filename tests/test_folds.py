@@ -10,6 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from leafspan import records
 from leafspan.functions import pages as pg
 from leafspan.functions import replies as rp
 from leafspan.functions import text as tx
@@ -424,3 +425,35 @@ def test_settings(monkeypatch):
     monkeypatch.setenv("LEAFSPAN_TEST", "yes")
     assert config.resolved(None, "LEAFSPAN_TEST", False) is True and config.resolved(None, "LEAFSPAN_TEST", 5) == 5
     assert config.resolved(2, "LEAFSPAN_TEST", 5) == 2 and config.resolved(None, "LEAFSPAN_NONE", 5) == 5
+
+
+def test_records_are_completed(spark):
+    rows = spark.createDataFrame([("a", None)], "answer string, citations array<struct<doc_name: string, page: long, context: string>>")
+    got = records.completed(rows, "answer").first()
+    assert (got["answer"], got["answer_clean"], got["citations"], got["total_turns"], got["context_session_id"], got["problems"]) == ("a", "", [], 0, None, None)
+    with pytest.raises(ValueError, match="protocol_name"):
+        records.completed(rows, "protocol")
+    assert all(set(records.REQUIRED[k]) <= set(records.schema(k).names) for k in records.RECORDS)
+    reply = records.completed(spark.createDataFrame([(True,)], "has_tool_calls boolean"), "model_reply").first()
+    assert reply["usage"]["prompt_tokens"] == 0 and reply["text"] is None
+
+
+def test_evaluation_from_files(spark, tmp_path, capsys):
+    from leafspan.__main__ import main
+
+    (tmp_path / "cases.json").write_text('{"id": "1", "doc_name": "d", "query": "q", "type": "t", "key_points": ["ab", "zz"], "expected_pages": [1, 2]}\n{"id": "2", "doc_name": "d", "query": "q", "type": "t"}\n')
+    (tmp_path / "answers.json").write_text('{"id": "1", "answer": "AB c", "citations": [{"doc_name": "d", "page": 1}], "pages_retrieved": [1], "all_pages_requested": [1, 1], "total_turns": 2}\n')
+    cases, answers = (files.read_json(spark, f"file://{tmp_path}/{n}.json", s) for n, s in (("cases", records.schema("test_case")), ("answers", records.schema("answer").add("id", "string"))))
+    got = {r["id"]: r for r in evaluation.evaluated(records.completed(cases, "test_case"), answers).collect()}
+    assert (got["1"]["key_points_covered"], got["1"]["citation_valid_rate"], got["1"]["pages_hit_rate"], got["1"]["duplicate_read_rate"]) == (1, 1.0, 0.5, 0.5)
+    assert (got["2"]["key_points_total"], got["2"]["pages_hit_rate"], got["2"]["total_turns"]) == (0, 1.0, 0)
+    assert main(["evaluate", f"file://{tmp_path}/cases.json", f"file://{tmp_path}/answers.json"]) == 0 and "key_points_coverage" in capsys.readouterr().out
+    assert files.first_existing(spark, [f"file://{tmp_path}/none", f"file://{tmp_path}/cases.json"]).endswith("cases.json")
+    assert files.first_existing(spark, ["file:///nowhere/a", "file:///nowhere/b"]) == "file:///nowhere/a"
+
+
+def test_numbers_go_on_in_order(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1000,) for i in range(1000)], "x long").repartition(5)
+    got = state.numbered_from(rows, spark.createDataFrame([(41,)], "last long"), ["x"], "ev", 6).collect()
+    assert {r["x"]: r["new_id"] for r in got} == {k: f"ev_{42 + k:06}" for k in range(1000)}
+    assert state.numbered_from(rows.limit(0), spark.createDataFrame([(0,)], "last long"), ["x"], "ev", 6).count() == 0
