@@ -32,7 +32,8 @@ from leafspan.llm.session import saved, small_batches
 PULL = 8.0
 BITS_PER_ENTRY, PROBES = 12, 6
 MOST_LEVELS = 40
-BROADCAST_LIMIT = 64 << 20
+#: Bytes of all segments up to which they are broadcast; a worker for each core holds a copy.
+BROADCAST_LIMIT = 8 << 20
 #: Bytes of text whose words and pairs are counted together before they are sent.
 GATHER = 16 << 20
 #: Keys that enter a segment together.
