@@ -11,15 +11,16 @@ into parts by a hash of the id, since no shard could hold it evenly. The few uni
 above LEAST_HEAVY of the target are placed first, on the side of the median that
 they lie on if it has room for them, and the light ones fill up what is left.
 
-A median is found without sorting: bytes are summed per node and bin of the
-dimension (at most NODES * BINS rows reach the driver), and the bin that holds the
-half is cut into bins again until it weighs little. Ties of a dimension are
+A median is found without sorting: one pass sums bytes per node, dimension and bin, which gives the
+widest dimension and the bin that holds the half; that bin is cut into bins again
+until it weighs little. Only sums per bin reach the driver. Ties of a dimension are
 ordered by a hash, which takes the same cut.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +33,9 @@ BINS = 2048
 SLACK = 0.0005
 #: Shares of a shard's target: above the first a unit is cut, above the second it is placed by itself.
 MOST_OF_SHARD, LEAST_HEAVY = 0.9, 0.0625
-_TOP = 1 << 40
+_TOP, _BEYOND = 1 << 40, 1 << 61
+#: Bins of a dimension at least, however many nodes are cut at once.
+LEAST_BINS = 64
 #: Rows of one shard that are numbered together.
 NUMBERED = 100_000
 
@@ -117,60 +120,99 @@ def _ordered(dimension: Column) -> Column:
     return (F.round(dimension * (_TOP - 1)).cast("long") * (1 << 20)) + tie
 
 
-def _by_node(values: dict) -> Column:
-    """values[node], for the few nodes of a level."""
-    out = F.lit(None)
-    for k, v in values.items():
-        out = F.when(F.col("node") == k, F.lit(v)).otherwise(out)
-    return out
-
-
-def _cuts(units: DataFrame, nodes: dict[int, tuple[str, float]]) -> dict[int, int]:
-    """For each node (its dimension, the bytes that go left): the ordered number to cut at."""
-    key = F.lit(None).cast("long")
-    for node, (dimension, _) in nodes.items():
-        key = F.when(F.col("node") == node, _ordered(F.col(dimension))).otherwise(key)
-    keyed = units.filter(F.col("node").isin(*nodes)).select("node", key.alias("key"), "weight")
-    low, width = dict.fromkeys(nodes, 0), dict.fromkeys(nodes, 1 << 60)
-    want = {k: bytes_left for k, (_, bytes_left) in nodes.items()}
-    total: dict[int, float] = {}
-    cuts = {k: 0 for k, x in want.items() if x <= 0}
-    open_nodes = set(nodes) - set(cuts)
-    while open_nodes:
-        step = {k: max(1, -(-width[k] // BINS)) for k in open_nodes}
-        inside = keyed.filter(F.col("node").isin(*open_nodes))
-        inside = inside.select(
-            "*", *(_by_node({k: x[k] for k in open_nodes}).cast("long").alias(n) for n, x in (("low", low), ("step", step), ("width", width)))
-        ).filter("key >= low AND key < low + width")
-        bins = inside.groupBy("node", F.expr("(key - low) div step").alias("bin")).agg(F.sum("weight").alias("weight"))
-        found: dict[int, list] = {k: [] for k in open_nodes}
-        for r in bins.collect():  # at most len(open_nodes) * BINS rows
-            found[r["node"]].append((r["bin"], r["weight"]))
-        for k in list(open_nodes):
-            own = sorted(found[k])
-            total.setdefault(k, sum(x for _, x in own))
-            for b, x in own:
-                if x >= want[k]:
-                    start = low[k] + b * step[k]
-                    if step[k] == 1 or x <= SLACK * total[k]:
-                        cuts[k] = start if want[k] < x / 2 else start + step[k]
-                        open_nodes.discard(k)
-                    else:
-                        low[k], width[k] = start, step[k]
-                    break
-                want[k] -= x
-            else:  # all of it goes left
-                cuts[k] = low[k] + width[k]
-                open_nodes.discard(k)
-    return cuts
-
-
-def _sides(heavy: list[dict], dimension: str, left: float, right: float) -> tuple[list[dict], list[dict]]:
+def _listed(values: list[int], place: Column) -> Column:
+    return F.get(F.array(*(F.lit(x).cast("long") for x in values)), place.cast("int"))
+
+
+@dataclass
+class Node:
+    """A node of the tree: its run of shards, its heavy units, and the box (low, width) of each dimension's numbers that it lies in."""
+
+    first: int
+    end: int
+    heavy: list[dict]
+    box: list[tuple[int, int]]
+
+    def halves(self, dimension: int, cut: int, middle: int, sides: tuple[list[dict], list[dict]]) -> list[Node]:
+        low, width = self.box[dimension]
+        left, right = list(self.box), list(self.box)
+        left[dimension], right[dimension] = (low, max(cut - low, 1)), (min(cut, low + width - 1), max(low + width - cut, 1))
+        return [Node(self.first, middle, sides[0], left), Node(middle, self.end, sides[1], right)]
+
+
+def _binned(rows: DataFrame, *keys: str) -> DataFrame:
+    """Per ``keys`` and bin of rows (over, step, weight): the bytes in it, and the least and the largest number in it, counted from where the bins begin."""
+    place = F.expr("over div step").alias("bin")
+    return rows.groupBy(*keys, place).agg(F.sum("weight").alias("weight"), F.min("over").alias("least"), F.max("over").alias("most"))
+
+
+def _histograms(units: DataFrame, nodes: list[Node]) -> list[list[dict[int, tuple[int, int, int]]]]:
+    """The bins per node and dimension for the nodes that are to be split; one pass over the units."""
+    split = [n.end - n.first > 1 for n in nodes]
+    bins = max(LEAST_BINS, 16 * BINS // sum(split))
+    steps = [[max(1, -(-width // bins)) for _, width in n.box] for n in nodes]
+    pairs = F.array(*(F.struct(F.lit(d).alias("d"), F.col(f"key_{d}").alias("key")) for d in range(len(DIMENSIONS))))
+    rows = units.filter(_listed(list(map(int, split)), F.col("node")) == 1).select("node", "weight", F.explode(pairs).alias("x"))
+    place = F.col("node") * len(DIMENSIONS) + F.col("x.d")
+    low = _listed([low for n in nodes for low, _ in n.box], place)
+    step = _listed([x for own in steps for x in own], place)
+    rows = rows.select("node", "x.d", "weight", (F.col("x.key") - low).alias("over"), step.alias("step"))
+    sums = _binned(rows, "node", "d")
+    found: list[list[dict[int, tuple[int, int, int]]]] = [[{} for _ in DIMENSIONS] for _ in nodes]
+    for r in sums.collect():  # at most len(DIMENSIONS) * max(16 * BINS, LEAST_BINS * nodes) rows
+        found[r["node"]][r["d"]][r["bin"]] = (r["weight"], r["least"], r["most"])
+    return found
+
+
+@dataclass
+class Cut:
+    """The search for the number that cuts a node: where it must lie (low, width), and the bytes of what lies there that go left."""
+
+    dimension: int
+    low: int
+    width: int
+    left: float
+    slack: float
+    at: int | None = None
+
+    def narrow(self, bins: dict[int, tuple[int, int, int]]) -> None:
+        """Goes on among the numbers of the bin that holds the last byte that goes left, or settles for one of its ends."""
+        if self.left <= 0:
+            self.at = self.low
+            return
+        for place in sorted(bins):
+            own, least, most = bins[place]
+            if own >= self.left:
+                if least == most or own <= self.slack:
+                    self.at = self.low + (least if self.left < own / 2 else most + 1)
+                else:
+                    self.low, self.width = self.low + least, most - least + 1
+                return
+            self.left -= own
+        self.at = self.low + self.width  # all of it goes left
+
+
+def _settled(units: DataFrame, cuts: dict[int, Cut], count: int) -> None:
+    """Narrows all cuts that are open, a pass over their bins at a time."""
+    while open_ := {k: c for k, c in cuts.items() if c.at is None}:
+        steps = {k: max(1, -(-c.width // BINS)) for k, c in open_.items()}
+        per = lambda f: _listed([f(k) if k in open_ else 0 for k in range(count)], F.col("node"))
+        key = F.get(F.array(*(F.col(f"key_{d}") for d in range(len(DIMENSIONS)))), per(lambda k: open_[k].dimension).cast("int"))
+        rows = units.filter(per(lambda k: 1) == 1).select("node", "weight", (key - per(lambda k: open_[k].low)).alias("over"), per(lambda k: open_[k].width).alias("width"), per(lambda k: steps[k]).alias("step"))
+        sums = _binned(rows.filter("over >= 0 AND over < width"), "node")
+        bins: dict[int, dict[int, tuple[int, int, int]]] = {k: {} for k in open_}
+        for r in sums.collect():  # at most len(open_) * BINS rows
+            bins[r["node"]][r["bin"]] = (r["weight"], r["least"], r["most"])
+        for k, c in open_.items():
+            c.narrow(bins[k])
+
+
+def _sides(heavy: list[dict], key: str, left: float, right: float) -> tuple[list[dict], list[dict]]:
     """Heavy units for either side with ``left`` and ``right`` bytes: the largest first, each on its side of the middle if there is room."""
     sides, room = ([], []), [left, right]
-    middle = sorted(h[dimension] for h in heavy)[int(len(heavy) * left / (left + right))] if heavy else 0
-    for h in sorted(heavy, key=lambda h: (-h["weight"], h[dimension])):
-        side = int(h[dimension] >= middle)
+    middle = sorted(h[key] for h in heavy)[int(len(heavy) * left / (left + right))] if heavy else 0
+    for h in sorted(heavy, key=lambda h: (-h["weight"], h[key])):
+        side = int(h[key] >= middle)
         if room[side] < h["weight"] and room[1 - side] > room[side]:
             side = 1 - side
         sides[side].append(h)
@@ -179,38 +221,42 @@ def _sides(heavy: list[dict], dimension: str, left: float, right: float) -> tupl
 
 
 def _leaves(units: DataFrame, total: int, count: int) -> DataFrame:
-    """(copy, text_crc32, parts, part, shard) for all units."""
+    """(copy, text_crc32, parts, part, shard) for all units (with weight and key_0, key_1, ...)."""
     spark = units.sparkSession
-    key = ["copy", "text_crc32", "parts", "part"]
+    name = ["copy", "text_crc32", "parts", "part"]
+    keys = [f"key_{d}" for d in range(len(DIMENSIONS))]
     is_heavy = F.col("weight") > LEAST_HEAVY * total / count
-    # at most count / LEAST_HEAVY units are heavy
-    heavy = [r.asDict() for r in units.filter(is_heavy).select(*key, "weight", *(_ordered(F.col(c)).alias(c) for c in DIMENSIONS)).collect()]
-    units = units.filter(~is_heavy).withColumn("node", F.lit(0))
-    leaves = {0: (0, count, heavy)}  # node -> its run of shards and its heavy units
-    while any(b - a > 1 for a, b, _ in leaves.values()):
-        spread = units.groupBy("node").agg(F.sum("weight").alias("weight"), *((F.max(c) - F.min(c)).alias(c) for c in DIMENSIONS))
-        light = {r["node"]: r for r in spread.collect()}  # a row per node
-        widest = {k: max(DIMENSIONS, key=lambda c, k=k: light[k][c]) if k in light else DIMENSIONS[-1] for k in leaves}
-        split, after = {}, {}
-        for k, (a, b, own) in leaves.items():
-            if b - a == 1 or not (own or k in light):
-                after[k] = (a, a + 1, own)
+    heavy = [r.asDict() for r in units.filter(is_heavy).select(*name, "weight", *keys).collect()]  # at most count / LEAST_HEAVY
+    units = units.filter(~is_heavy).withColumn("node", F.lit(0).cast("long"))
+    nodes = [Node(0, count, heavy, [(0, 1 << 60)] * len(DIMENSIONS))]
+    level = 0
+    while any(n.end - n.first > 1 for n in nodes):
+        found = _histograms(units, nodes)
+        cuts, sides = {}, {}
+        for k, n in enumerate(nodes):
+            if n.end - n.first < 2:
                 continue
-            middle = (a + b) // 2
-            every = (light[k]["weight"] if k in light else 0) + sum(h["weight"] for h in own)
-            left = every * (middle - a) / (b - a)
-            ours, theirs = _sides(own, widest[k], left, every - left)
-            split[k] = (widest[k], left - sum(h["weight"] for h in ours))
-            after[2 * k + 1], after[2 * k + 2] = (a, middle, ours), (middle, b, theirs)
-        cuts, step = _cuts(units, split), F.col("node")
-        for k, cut in cuts.items():
-            left = _ordered(F.col(widest[k])) < cut
-            step = F.when(F.col("node") == k, F.when(left, 2 * k + 1).otherwise(2 * k + 2)).otherwise(step)
-        units = saved(units.withColumn("node", step), "units")
-        leaves = after
-    shard = _by_node({k: a for k, (a, _, _) in leaves.items()}).cast("int")
-    placed = [(*(h[c] for c in key), a) for a, _, own in leaves.values() for h in own]
-    return units.select(*key, shard.alias("shard")).unionAll(
+            span = [max(x[2] for x in b.values()) - min(x[1] for x in b.values()) if b else 0 for b in found[k]]
+            widest = span.index(max(span))
+            light = sum(x[0] for x in found[k][widest].values())
+            every = light + sum(h["weight"] for h in n.heavy)
+            left = every * ((n.first + n.end) // 2 - n.first) / (n.end - n.first)
+            sides[k] = _sides(n.heavy, keys[widest], left, every - left) if every else ([], [])
+            cuts[k] = Cut(widest, *n.box[widest], left - sum(h["weight"] for h in sides[k][0]), SLACK * light)
+            cuts[k].narrow(found[k][widest])
+        _settled(units, cuts, len(nodes))
+        after, base = [], []
+        for k, n in enumerate(nodes):
+            base.append(len(after))
+            after += n.halves(cuts[k].dimension, cuts[k].at, (n.first + n.end) // 2, sides[k]) if k in cuts else [n]
+        key = F.get(F.array(*keys), _listed([cuts[k].dimension if k in cuts else 0 for k in range(len(nodes))], F.col("node")).cast("int"))
+        beyond = key >= _listed([cuts[k].at if k in cuts else _BEYOND for k in range(len(nodes))], F.col("node"))
+        units = units.withColumn("node", _listed(base, F.col("node")) + beyond.cast("long"))
+        nodes, level = after, level + 1
+        if level % 4 == 0:  # plans do not grow with the tree
+            units = saved(units, "units")
+    placed = [(*(h[c] for c in name), n.first) for n in nodes for h in n.heavy]
+    return units.select(*name, _listed([n.first for n in nodes], F.col("node")).cast("int").alias("shard")).unionAll(
         spark.createDataFrame(placed, "copy long, text_crc32 long, parts int, part int, shard int")
     )
 
@@ -231,7 +277,9 @@ def shards(docs: DataFrame, count: int = SHARDS) -> DataFrame:
     scaled = [
         _position(F.col(c), F.lit(spans[f"low_{c}"]).cast("double"), F.lit(spans[f"high_{c}"]).cast("double")).alias(c) for c in DIMENSIONS
     ]
-    units = saved(_weighed(rows, units).select("copy", "text_crc32", "parts", "part", "weight", *scaled), "units")
+    scaled = _weighed(rows, units).select("copy", "text_crc32", "parts", "part", "weight", *scaled)
+    keys = [_ordered(F.col(c)).alias(f"key_{d}") for d, c in enumerate(DIMENSIONS)]
+    units = saved(scaled.select("copy", "text_crc32", "parts", "part", "weight", *keys), "units")
     where = _leaves(units, total, count)
     hot = units.filter("parts > 1").select("copy", "text_crc32", "parts").distinct()
     numbered = rows.join(F.broadcast(hot), ["copy", "text_crc32"], "left")  # few, as above

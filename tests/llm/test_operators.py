@@ -287,6 +287,33 @@ def test_shards_are_even_and_keep_copies(spark, empty):
     assert [(r["size"], r["shard"] in range(16), r["slot"]) for r in null] == [(1, True, 0)]
 
 
+def test_every_cut_is_a_median_of_the_widest_dimension(spark):
+    """Each node of the tree, rebuilt from the shards: its halves lie apart in the dimension that is widest in it, and share its bytes."""
+    rng = random.Random(16)
+    rows = [(rng.randrange(10**6), f"{i} " + "x" * rng.randrange(1, 300), rng.choice(["de", "en", "fr"]), rng.choice(["a", "b", "c", "d", "e"])) for i in range(3000)]
+    rows = list({r[0]: r for r in rows}.values())
+    shard = {r["doc_id"]: r["shard"] for r in shards.shards(brute.docs(spark, rows), 8).collect()}
+    raw = {i: (ord(source), ["de", "en", "fr"].index(lang), np.log2(len(text.encode()) + 1), i) for i, text, lang, source in rows}
+    low, high = (np.array(f(np.array(list(raw.values())), axis=0)) for f in (np.min, np.max))
+    place = {i: (np.array(x) - low) / (high - low) for i, x in raw.items()}
+    weight = {r[0]: len(r[1].encode()) + 1 for r in rows}
+
+    def checked(first, end, own):
+        if end - first == 1:
+            return
+        middle = (first + end) // 2
+        x = np.array([place[i] for i in own])
+        widest = int(np.argmax(x.max(axis=0) - x.min(axis=0)))
+        sides = [[i for i in own if (shard[i] >= middle) == side] for side in (False, True)]
+        assert max(place[i][widest] for i in sides[0]) <= min(place[i][widest] for i in sides[1])
+        total = sum(weight[i] for i in own)
+        assert abs(sum(weight[i] for i in sides[0]) - total / 2) <= 0.0005 * total + 300
+        checked(first, middle, sides[0])
+        checked(middle, end, sides[1])
+
+    checked(0, 8, list(raw))
+
+
 def test_sources_that_begin_alike_are_cut_apart(spark):
     rows = [(i, f"text {i:04}", "en", ["source_a", "source_b", "source_c", "source_d"][i % 4]) for i in range(400)]
     got = by_id(shards.shards(brute.docs(spark, rows), 2))
