@@ -52,7 +52,7 @@ def with_small(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str = "n") -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], n: str = "n") -> DataFrame:
     """Inner join of ``rows`` with ``table`` (a row per key, ``n``: how many of ``rows`` hold it) without tasks that get all rows of a common key.
 
     Keys that more than ``many`` rows hold are broadcast; as there are at most all / many

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafspan.llm.session import saved
+from leafspan.llm.session import join_hot, saved
 
 SHARDS = 16
 BINS = 2048
@@ -77,9 +77,10 @@ def _metadata(docs: DataFrame) -> DataFrame:
 
 
 def _units(rows: DataFrame, target: float) -> DataFrame:
-    """(copy, text_crc32, parts, weight, position per dimension): the movable units."""
+    """(copy, text_crc32, parts, n, bytes, position per dimension): the movable units of n rows."""
     groups = rows.groupBy("copy", "text_crc32").agg(
         F.sum("size").alias("bytes"),
+        F.count("*").alias("n"),
         F.min(F.struct("doc_id", "source", "lang", "size")).alias("m"),
     )
     parts = F.greatest(F.lit(1), F.ceil(F.col("bytes") / (target * MOST_OF_SHARD))).cast("int")
@@ -87,6 +88,7 @@ def _units(rows: DataFrame, target: float) -> DataFrame:
         "copy",
         "text_crc32",
         parts.alias("parts"),
+        "n",
         "bytes",
         "m.source",
         "m.lang",
@@ -106,11 +108,11 @@ def _weighed(rows: DataFrame, units: DataFrame) -> DataFrame:
     pieces = (
         rows.join(F.broadcast(hot), ["copy", "text_crc32"])  # fewer than 2 * count units are that large
         .groupBy("copy", "text_crc32", part.alias("part"))
-        .agg(F.sum("size").alias("weight"))
+        .agg(F.sum("size").alias("weight"), F.count("*").alias("n"))
     )
-    pieces = pieces.join(units.drop("bytes"), ["copy", "text_crc32"])
+    pieces = pieces.join(units.drop("bytes", "n"), ["copy", "text_crc32"])
     single = units.filter("parts = 1").withColumn("part", F.lit(0)).withColumnRenamed("bytes", "weight")
-    names = ["copy", "text_crc32", "parts", "part", "weight", *DIMENSIONS]
+    names = ["copy", "text_crc32", "parts", "part", "n", "weight", *DIMENSIONS]
     return single.select(names).unionAll(pieces.select(names))
 
 
@@ -221,9 +223,9 @@ def _sides(heavy: list[dict], key: str, left: float, right: float) -> tuple[list
 
 
 def _leaves(units: DataFrame, total: int, count: int) -> DataFrame:
-    """(copy, text_crc32, parts, part, shard) for all units (with weight and key_0, key_1, ...)."""
+    """(copy, text_crc32, parts, part, n, shard) for all units (with weight and key_0, key_1, ...)."""
     spark = units.sparkSession
-    name = ["copy", "text_crc32", "parts", "part"]
+    name = ["copy", "text_crc32", "parts", "part", "n"]
     keys = [f"key_{d}" for d in range(len(DIMENSIONS))]
     is_heavy = F.col("weight") > LEAST_HEAVY * total / count
     heavy = [r.asDict() for r in units.filter(is_heavy).select(*name, "weight", *keys).collect()]  # at most count / LEAST_HEAVY
@@ -257,7 +259,7 @@ def _leaves(units: DataFrame, total: int, count: int) -> DataFrame:
             units = saved(units, "units")
     placed = [(*(h[c] for c in name), n.first) for n in nodes for h in n.heavy]
     return units.select(*name, _listed([n.first for n in nodes], F.col("node")).cast("int").alias("shard")).unionAll(
-        spark.createDataFrame(placed, "copy long, text_crc32 long, parts int, part int, shard int")
+        spark.createDataFrame(placed, "copy long, text_crc32 long, parts int, part int, n long, shard int")
     )
 
 
@@ -277,14 +279,14 @@ def shards(docs: DataFrame, count: int = SHARDS) -> DataFrame:
     scaled = [
         _position(F.col(c), F.lit(spans[f"low_{c}"]).cast("double"), F.lit(spans[f"high_{c}"]).cast("double")).alias(c) for c in DIMENSIONS
     ]
-    scaled = _weighed(rows, units).select("copy", "text_crc32", "parts", "part", "weight", *scaled)
+    scaled = _weighed(rows, units).select("copy", "text_crc32", "parts", "part", "n", "weight", *scaled)
     keys = [_ordered(F.col(c)).alias(f"key_{d}") for d, c in enumerate(DIMENSIONS)]
-    units = saved(scaled.select("copy", "text_crc32", "parts", "part", "weight", *keys), "units")
+    units = saved(scaled.select("copy", "text_crc32", "parts", "part", "n", "weight", *keys), "units")
     where = _leaves(units, total, count)
     hot = units.filter("parts > 1").select("copy", "text_crc32", "parts").distinct()
     numbered = rows.join(F.broadcast(hot), ["copy", "text_crc32"], "left")  # few, as above
     part = F.coalesce(F.pmod(F.xxhash64("doc_id", "copy"), F.col("parts")).cast("int"), F.lit(0))
-    placed = numbered.withColumn("part", part).join(where.drop("parts"), ["copy", "text_crc32", "part"])
+    placed = join_hot(numbered.withColumn("part", part), saved(where.drop("parts"), "where"), ["copy", "text_crc32", "part"])
     return _slots(placed.select("doc_id", "size", "text_crc32", "shard")).select(
         "doc_id",
         "size",
