@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafspan.llm.session import saved
+from leafspan.llm.session import join_hot, saved
 
 #: Graphs of up to so many edges (16 MB) are solved in one task; larger ones in rounds over all executors.
 ONE_TASK = 1_000_000
@@ -43,7 +43,7 @@ def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b), for nodes with an edge.
 
     Each step only takes minima per node, so a node with very many links is
-    pre-aggregated on the map side; edges are rewritten, never listed per node.
+    pre-aggregated on the map side and its edges are rewritten where they lie, never listed per node.
     Null ends and loops are ignored. Each round is written to the shared folder.
     A graph of at most ``one_task`` edges is solved in one task, with the same result.
     """
@@ -55,13 +55,12 @@ def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        first = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = saved(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "least")
+        large = join_hot(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = saved(large, "large")
+        first = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "first")
         small = (
-            large.join(first, "u")
+            join_hot(large, first, "u")
             .filter("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionAll(first.select("u", F.col("m").alias("v")))
