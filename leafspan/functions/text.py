@@ -6,6 +6,9 @@ in any DataFrame or SQL plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sized
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,9 +69,15 @@ def retrieval_tokens(text: Column) -> Column:
     return F.array_union(words, F.regexp_extract_all(text, F.lit("[一-鿿]"), F.lit(0)))
 
 
-def token_count(text: Column) -> Column:
-    """A tokenizer-free count of words and marks, for budgets."""
-    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
+def token_count(text: Column, encode: Callable[[str], Sized] | None = None) -> Column:
+    """Tokens of a text: by a tokenizer's ``encode`` in Arrow batches, else a tokenizer-free count of words and marks, for budgets. Null has none."""
+    if encode is None:
+        return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
+
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: len(encode(x)), na_action="ignore").fillna(0).astype("int64")
+
+    return F.pandas_udf(counted, "long")(text)
 
 
 def squeezed(text: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafspan.sources import pdf
+
 def first_existing(spark: SparkSession, paths: list[str]) -> str:
     """The first of ``paths`` that is there, in any store Spark knows; if none is, the first one."""
     for name in paths:
@@ -166,3 +168,55 @@ def parsed_files(spark: SparkSession, path: str, parser: Parser = text_pages, pa
     schema = pa.schema([("doc_name", pa.string()), ("page", pa.int64()), ("text", pa.string()), ("tables", pa.list_(pa.string())), ("images", pa.list_(pa.string())), ("error", pa.string())])
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select("path", "content").mapInArrow(parse, "doc_name string, page long, text string, tables array<string>, images array<string>, error string")
+
+
+def _of_files(spark: SparkSession, path: str, pattern: str, schema: pa.Schema, ddl: str, rows) -> DataFrame:
+    """A row for each that ``rows`` makes of a file's name and bytes; a file that it rejects gives one row with its error."""
+
+    def read(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                name = row["path"].rsplit("/", 1)[-1]
+                try:
+                    found = [(*r, None) for r in rows(name, row["content"])]
+                except Exception as error:  # noqa: BLE001
+                    found = [(name, *[None] * (len(schema) - 2), f"{type(error).__name__}: {error}")]
+                for f in found:
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, f, strict=True))], schema=schema)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", "content").mapInArrow(read, ddl)
+
+
+def file_images(spark: SparkSession, path: str, parser: Parser, pattern: str = "*") -> DataFrame:
+    """(doc_name, page, image, content, error): the bytes of the images that ``parsed_files`` names."""
+    schema = pa.schema([("doc_name", pa.string()), ("page", pa.int64()), ("image", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+
+    def rows(name, content):
+        for i, (_, _, images) in enumerate(parser(content)):
+            for k, image in enumerate(images or []):
+                yield name, i + 1, f"page_{i + 1}_img_{k + 1}", image
+
+    return _of_files(spark, path, pattern, schema, "doc_name string, page long, image string, content binary, error string", rows)
+
+
+def pdf_bookmarks(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
+    """(doc_name, ord, level, title, page, error) of the bookmarks of PDF files, as ``outline.from_bookmarks`` takes them."""
+    schema = pa.schema([("doc_name", pa.string()), ("ord", pa.int64()), ("level", pa.int64()), ("title", pa.string()), ("page", pa.int64()), ("error", pa.string())])
+
+    def rows(name, content):
+        for i, (level, title, page) in enumerate(pdf.Pdf(content).bookmarks()):
+            yield name, i + 1, level, title, page
+
+    return _of_files(spark, path, pattern, schema, "doc_name string, ord long, level long, title string, page long, error string", rows)
+
+
+def pdf_titles(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
+    """(doc_name, title, total_pages, error) of PDF files; a file without a title goes by Untitled."""
+    schema = pa.schema([("doc_name", pa.string()), ("title", pa.string()), ("total_pages", pa.int64()), ("error", pa.string())])
+
+    def rows(name, content):
+        found = pdf.Pdf(content)
+        yield name, found.title() or "Untitled", len(found.pages())
+
+    return _of_files(spark, path, pattern, schema, "doc_name string, title string, total_pages long, error string", rows)

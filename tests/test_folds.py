@@ -457,3 +457,9 @@ def test_numbers_go_on_in_order(spark):
     got = state.numbered_from(rows, spark.createDataFrame([(41,)], "last long"), ["x"], "ev", 6).collect()
     assert {r["x"]: r["new_id"] for r in got} == {k: f"ev_{42 + k:06}" for k in range(1000)}
     assert state.numbered_from(rows.limit(0), spark.createDataFrame([(0,)], "last long"), ["x"], "ev", 6).count() == 0
+
+
+def test_tokens_by_a_tokenizer(spark):
+    df = spark.createDataFrame([("a b  c",), (None,), ("",), ("it's",)], "t string")
+    assert [r[0] for r in df.select(tx.token_count(F.col("t"), str.split)).collect()] == [3, 0, 0, 1]
+    assert [r[0] for r in df.select(tx.token_count(F.col("t"))).collect()] == [3, 0, 0, 3]
