@@ -1,6 +1,6 @@
 """Column functions over text: clipping, headings, names, retrieval tokens, citations.
 
-All are built-in expressions, so that they stay in generated code and can be used
+All but a tokenizer of the caller are built-in expressions, so that they stay in generated code and can be used
 in any DataFrame or SQL plan.
 """
 

@@ -359,3 +359,37 @@ def ingested_in_two_runs(spark, sf_dir):
     library = ingest.ingest(docs, path)
     held = library.table("pages").groupBy("doc").agg(F.count("*").alias("n_pages"))
     return library.table("registry").join(library.batches("registry"), "doc").join(held, "doc").select("doc", "batch", "total_pages", "n_pages")
+
+
+def _page_reader(messages: list[dict]) -> dict:
+    """A stand-in for a model: reads one page, then answers with how it begins; every fifth question is never done."""
+    number = int(messages[1]["content"].split("\n")[0].rsplit(" ", 1)[-1])
+    page = 1 + number % 3
+    found = [m["content"] for m in messages if m["role"] == "tool"]
+    if found and number % 5:
+        return {"text": f'{found[-1][:20]} <cite doc="{number}" page="{page}"/>'}
+    return {"text": "", "calls": [{"tool": "page", "argument": f"{number}:{page}"}]}
+
+
+@query(
+    f"""
+WITH {v.PAGES}, q AS (SELECT item_id::BIGINT AS question_id, 1 + item_id::BIGINT % 3 AS page FROM benchmark),
+r AS (SELECT question_id, q.page, p.text FROM q LEFT JOIN pages_v p ON p.doc_id = question_id AND p.page_num = q.page)
+SELECT question_id, CASE WHEN question_id % 5 = 0 THEN '[达到最大轮次限制]' ELSE trim(left(coalesce(text, 'Error: no such page'), 20) || ' <cite doc="' || question_id || '" page="' || page || '"/>', ' ' || chr(10) || chr(9) || chr(13)) END AS answer,
+  CASE WHEN question_id % 5 = 0 THEN 3 ELSE 2 END::BIGINT AS total_turns, CASE WHEN question_id % 5 = 0 THEN 3 ELSE 1 END::BIGINT AS n_calls, CASE WHEN text IS NULL THEN '' ELSE page::VARCHAR END AS pages FROM r"""
+)
+def questions_in_turns(spark, sf_dir):
+    from leafspan.operators import dialog
+
+    items = v.read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("question_id"), "text")
+    start = dialog.opening(F.lit("What is there?"), F.col("question_id").cast("string"), "Answer from the pages.")
+    pages = v.doc_pages(spark, sf_dir).select(F.col("doc_id").alias("_doc"), F.col("page_num").alias("_page"), "text")
+
+    def run(calls):
+        asked = calls.withColumn("_doc", F.split_part("argument", F.lit(":"), F.lit(1)).cast("long")).withColumn("_page", F.split_part("argument", F.lit(":"), F.lit(2)).cast("long"))
+        found = asked.join(pages, ["_doc", "_page"], "left")
+        read = F.when(F.col("text").isNotNull(), F.array("_page"))
+        return found.select(*calls.columns, F.col("text").alias("result"), F.when(F.col("text").isNull(), F.lit("no such page")).alias("error"), read.alias("pages"))
+
+    out = dialog.answered(items.select("question_id", start.alias("messages")), _page_reader, run, turns=3)
+    return out.select("question_id", "answer", "total_turns", F.size("trace").cast("long").alias("n_calls"), F.array_join(F.col("pages_retrieved").cast("array<string>"), ",").alias("pages"))

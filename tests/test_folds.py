@@ -14,7 +14,7 @@ from leafspan import records
 from leafspan.functions import pages as pg
 from leafspan.functions import replies as rp
 from leafspan.functions import text as tx
-from leafspan.operators import conversations, evaluation, ingest, outline, parts, ranges, retrieve, state, toc, tools, tree
+from leafspan.operators import conversations, dialog, evaluation, ingest, outline, parts, ranges, retrieve, state, toc, tools, tree
 from leafspan.sources import files
 
 quick = settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -463,3 +463,32 @@ def test_tokens_by_a_tokenizer(spark):
     df = spark.createDataFrame([("a b  c",), (None,), ("",), ("it's",)], "t string")
     assert [r[0] for r in df.select(tx.token_count(F.col("t"), str.split)).collect()] == [3, 0, 0, 1]
     assert [r[0] for r in df.select(tx.token_count(F.col("t"))).collect()] == [3, 0, 0, 3]
+
+
+def test_questions_in_turns(spark):
+    def model(messages):
+        text = messages[-1]["content"]
+        if text.endswith("bad"):
+            raise ValueError("no model")
+        if text.endswith("two"):
+            return {"text": "looking", "calls": [{"tool": "page", "argument": {"p": 1}}, {"tool": "nope", "argument": None}]}
+        if messages[-1]["role"] == "tool":
+            return {"text": 'It is <cite doc="d" page="1"/>.\n\nLet me know if you need more.', "calls": []}
+        return {"text": "plain"}
+
+    def run(calls):
+        page = F.col("tool") == "page"
+        return calls.select("*", F.when(page, F.lit("page text")).alias("result"), F.when(~page, F.lit("unknown")).alias("error"), F.when(page, F.array(F.lit(1).cast("long"))).alias("pages"))
+
+    asked = spark.createDataFrame([(1, "one"), (2, "two"), (3, "bad")], "question_id long, q string")
+    asked = asked.select("question_id", dialog.opening(F.col("q"), F.lit("d"), "sys").alias("messages"))
+    got = {r["question_id"]: r for r in dialog.answered(asked, model, run, retries=2).collect()}
+    assert (got[1]["answer"], got[1]["total_turns"], got[1]["trace"], got[1]["error"]) == ("plain", 1, [], None)
+    two = got[2]
+    assert two["answer"] == 'It is <cite doc="d" page="1"/>.' and two["answer_clean"] == "It is ." and two["total_turns"] == 2
+    assert [(t["turn"], t["tool"], t["argument"], t["summary"]) for t in two["trace"]] == [(1, "page", '{"p": 1}', "page text"), (1, "nope", None, "Error: unknown")]
+    assert [m["role"] for m in two["messages"]] == ["system", "user", "assistant", "tool", "tool"] and two["pages_retrieved"] == [1]
+    assert (got[3]["answer"], got[3]["error"], got[3]["total_turns"]) == (None, "ValueError: no model", 1)
+    endless = dialog.answered(asked.filter("question_id = 2"), lambda m: {"calls": [{"tool": "page", "argument": "1"}]}, run, turns=2).first()
+    assert (endless["answer"], endless["total_turns"], endless["all_pages_requested"]) == (dialog.OUT_OF_TURNS, 2, [1, 1])
+    assert dialog.answered(asked.limit(0), model, run).count() == 0
