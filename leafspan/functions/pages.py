@@ -48,6 +48,7 @@ def lenient_page_list(spec: Column) -> Column:
 def request_error(pages: Column, spec: Column, total: Column) -> Column:
     """What is wrong with a request, or null: its form, more than ten pages, pages that do not exist, in this order."""
     outside = F.filter(pages, lambda p: (p < 1) | (p > total))
+    # The wording of the three errors.
     form = F.concat(F.lit("Invalid pages format: "), spec, F.lit(". Use '7', '7-11', or '7,9,11'."))
     many = F.concat(
         F.lit("Too many pages ("), F.size(pages).cast("string"), F.lit(f", max {MOST_PAGES}). Please request fewer pages.")

@@ -117,6 +117,7 @@ def part_envelopes(parts: DataFrame) -> DataFrame:
     totals = parts.groupBy("doc").agg(F.max("part").alias("total_parts"))
     text = lambda c: c.cast("string")
     part, total = F.col("part"), F.col("total_parts")
+    # The wording of options and summary.
     options = F.array(
         F.when(part < total, F.concat(F.lit("Request next part with part: "), text(part + 1))),
         F.when(part < total, F.concat(F.lit("Jump to last part with part: "), text(total))),
