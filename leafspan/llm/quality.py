@@ -106,7 +106,7 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
     return asked.mapInArrow(_measured(list(inner.values()), inner.get("text", "text")), schema)
 
 
-#: What conditions test: shares of a text, so that rules hold for any length.
+#: What conditions test: shares of a text, so that rules hold for any length, and the number of words itself.
 RATIOS: dict[str, tuple[str, str]] = {
     "symbols_per_word": ("n_symbols", "n_words"),
     "pipes_per_word": ("n_pipes", "n_words"),
