@@ -189,6 +189,26 @@ def with_initial(states: DataFrame, docs: DataFrame) -> DataFrame:
     return states.select("doc_name", "visited_parts", "read_pages", "total_reads").unionByName(new)
 
 
+def topics(events: DataFrame) -> DataFrame:
+    """(topic_id, related_turn_ids, related_node_ids, core_evidence_ids, open_gaps) after all of a topic's events.
+
+    ``events`` has topic_id, seq, kind (create, turn, update), turn_id and the lists node_ids, evidence_ids, open_gaps.
+    The last creation starts a topic anew; events before it, and of topics never created, count for nothing. Turns
+    are appended, repeats included; an update replaces the three lists.
+    """
+    of = Window.partitionBy("topic_id")
+    rows = events.withColumn("_made", F.max(F.when(F.col("kind") == "create", F.col("seq"))).over(of)).filter("seq >= _made")
+    turns = F.array_sort(F.collect_list(F.when(F.col("kind") != "update", F.struct("seq", "turn_id"))))
+    told = F.when(F.col("kind") != "turn", F.col("seq"))
+    last = lambda c: F.max_by(F.coalesce(c, F.array().cast("array<string>")), told)
+    return rows.groupBy("topic_id").agg(
+        F.transform(turns, lambda x: x["turn_id"]).alias("related_turn_ids"),
+        last("node_ids").alias("related_node_ids"),
+        last("evidence_ids").alias("core_evidence_ids"),
+        last("open_gaps").alias("open_gaps"),
+    )
+
+
 def cached_flags(pages: DataFrame) -> DataFrame:
     """Pages as they are, none of them from a cache."""
     return pages.withColumn("is_cached", F.lit(False))

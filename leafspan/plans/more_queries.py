@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafspan.functions import fuzzy
+from leafspan.functions import replies as rp
 from leafspan.functions import text as tx
 from leafspan.operators import ranges, state, tree
 from leafspan.plans import inputs as v
@@ -175,3 +176,63 @@ def completed_records(spark, sf_dir):
     rows = v.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("doc_name"), F.col("text").alias("query"), F.lit("text").alias("type"))
     sizes = [F.size(c).cast("long").alias(n) for c, n in (("expected_pages", "n_expected"), ("key_points", "n_points"))]
     return records.completed(rows, "test_case").select("id", "doc_name", "query", "type", *sizes, "problems")
+
+
+@query(
+    """
+SELECT event_id, 'event: message' || chr(10) || 'data: {"type":"' || event_type || '","user":' || user_id || '}' || chr(10) || chr(10) AS wire,
+  '{"a":"' || repeat('x', least(event_id % 90, 40)::INTEGER) || CASE WHEN event_id % 90 > 40 THEN '...' ELSE '' END || '","' || repeat('n', 50) || '":' || event_id || '}' AS shortened,
+  CASE WHEN event_id % 2 = 0 THEN props ELSE '{"message":"' || event_type || '"}' END AS log_entry FROM events"""
+)
+def event_messages(spark, sf_dir):
+    e = F.col("event_id")
+    value = F.concat(F.lit('{"a":"'), F.repeat(F.lit("x"), (e % 90).cast("int")), F.lit('","' + "n" * 50 + '":'), e.cast("string"), F.lit("}"))
+    return v.read(spark, sf_dir, "events").select(
+        "event_id",
+        rp.event_text(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user"))).alias("wire"),
+        rp.shortened(value).alias("shortened"),
+        rp.log_entry(F.when(e % 2 == 0, F.col("props")).otherwise(F.col("event_type"))).alias("log_entry"),
+    )
+
+
+@query(
+    """
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN source || '_7' || CASE WHEN doc_id % 2 = 0 THEN '.PDF' ELSE '.pdf' END ELSE source || CASE WHEN doc_id % 2 = 0 THEN '.PDF' ELSE '.pdf' END END AS kept_as,
+  CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE '9' END AS max_limit, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END::BIGINT AS n_options FROM documents"""
+)
+def upload_requests(spark, sf_dir):
+    k, text = F.col("doc_id"), F.col("doc_id").cast("string")
+    name = F.concat(F.lit("a/b/"), "source", F.when(k % 5 == 0, F.lit(".txt")).when(k % 2 == 0, F.lit(".PDF")).otherwise(F.lit(".pdf")))
+    own = F.when(k % 2 == 0, F.concat(F.lit('"structure_chunk_max_limit": '), text, F.lit(", "))).otherwise(F.lit(""))
+    more = F.when(k % 4 == 0, F.lit('"if_add_node_id": "yes", ')).otherwise(F.lit(""))
+    options = rp.process_options(F.concat(F.lit("{"), own, more, F.lit('"unknown": 1, "toc_check_pages": null, "structure_max_limit": 9}')))
+    return v.read(spark, sf_dir, "documents").select(
+        "doc_id",
+        rp.upload_name(name, k % 3 == 0, F.lit("7")).alias("kept_as"),
+        F.element_at(options, F.lit("structure_max_limit")).alias("max_limit"),
+        F.size(options).cast("long").alias("n_options"),
+    )
+
+
+@query(
+    """
+WITH e AS (SELECT user_id AS topic_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'turn' WHEN 'click' THEN 'update' ELSE 'create' END AS kind FROM events),
+m AS (SELECT *, max(seq) FILTER (WHERE kind = 'create') OVER (PARTITION BY topic_id) AS made FROM e)
+SELECT topic_id, string_agg('t' || seq, ',' ORDER BY seq) FILTER (WHERE kind <> 'update') AS turns, 'n' || max(seq) FILTER (WHERE kind <> 'turn') AS nodes,
+  CASE WHEN max(seq) FILTER (WHERE kind <> 'turn') % 2 = 0 THEN '' ELSE 'g' END AS gaps FROM m WHERE seq >= made GROUP BY topic_id"""
+)
+def topic_snapshots(spark, sf_dir):
+    e = F.col("event_id")
+    kind = F.when(F.col("event_type") == "view", "turn").when(F.col("event_type") == "click", "update").otherwise("create")
+    id_of = lambda letter: F.concat(F.lit(letter), e.cast("string"))
+    events = v.read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("topic_id"),
+        e.alias("seq"),
+        kind.alias("kind"),
+        id_of("t").alias("turn_id"),
+        F.array(id_of("n")).alias("node_ids"),
+        F.array().cast("array<string>").alias("evidence_ids"),
+        F.when(e % 2 != 0, F.array(F.lit("g"))).alias("open_gaps"),
+    )
+    joined = lambda c: F.array_join(c, ",")
+    return state.topics(events).select("topic_id", joined("related_turn_ids").alias("turns"), joined("related_node_ids").alias("nodes"), joined("open_gaps").alias("gaps"))
