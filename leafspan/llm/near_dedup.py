@@ -213,12 +213,8 @@ def _linked(table: pa.Table) -> pa.Table:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, carry: list[str]) -> DataFrame:
-    """(carry..., node, items) for the rows of ``wanted`` (carry..., node): items holds the node's shingles as 64-bit numbers.
-
-    ``row`` among ``carry`` numbers the rows of ``docs``.
-    """
-    number = [F.monotonically_increasing_id().alias("row")] if "row" in carry else []
-    rows = docs.select(F.col("doc_id").alias("node"), "text", *number).join(with_small(wanted, BROADCAST_ROWS), "node")
+    """(carry..., node, items) for the rows of ``wanted`` (carry..., node): items holds the node's shingles as 64-bit numbers."""
+    rows = docs.select(F.col("doc_id").alias("node"), "text").join(with_small(wanted, BROADCAST_ROWS), "node")
     names = [*carry, "node"]
 
     @tn.tidied
@@ -261,16 +257,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 @tn.tidied
 def _shingles(batches):
-    """(node, row, n_shingles, shingle), a row for each member of a set."""
-    for batch in batches:
-        items = [np.frombuffer(x, tn.U) for x in batch.column("items").to_pylist()]
-        size = np.array([len(x) for x in items], np.int64)
-        node, row = (np.repeat(batch.column(c).to_numpy(), size) for c in ("node", "row"))
-        shingle = np.concatenate([*items, np.zeros(0, tn.U)]).view(np.int64)
-        size = np.repeat(size, size)
-        for i in range(0, len(node), SHINGLES_AT_ONCE):
+    """(node, row, n_shingles, shingle), a row for each member of a text's set."""
+    for rows, words in _pieces(batches):
+        doc, shingle = shingle_sets(words)
+        size = np.bincount(doc, minlength=rows.num_rows)
+        node, row = (rows.column(c).to_numpy()[doc] for c in ("node", "row"))
+        columns = (node, row, size[doc], shingle.view(np.int64))
+        for i in range(0, len(doc), SHINGLES_AT_ONCE):
             part = slice(i, i + SHINGLES_AT_ONCE)
-            yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (node, row, size, shingle)], names=["node", "row", "n_shingles", "shingle"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in columns], names=["node", "row", "n_shingles", "shingle"])
 
 
 def clusters(docs: DataFrame, shared: DataFrame, classes: DataFrame) -> DataFrame:
@@ -281,8 +276,9 @@ def clusters(docs: DataFrame, shared: DataFrame, classes: DataFrame) -> DataFram
     placed = saved(shared.select("band", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     of_band = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
     open_nodes = saved(join_hot(placed, saved(of_band, "open-bands"), "band").filter("x <> y").select("node").distinct(), "open-nodes")
-    sets = _sets(docs, open_nodes, ["row"])  # rows of one id are ranked each by itself
-    rows = saved(sets.mapInArrow(_shingles, "node long, row long, n_shingles long, shingle long"), "shingles")
+    # rows of one id are ranked each by itself
+    texts = docs.select(F.col("doc_id").alias("node"), F.monotonically_increasing_id().alias("row"), "text").join(with_small(open_nodes, BROADCAST_ROWS), "node")
+    rows = saved(texts.mapInArrow(_shingles, "node long, row long, n_shingles long, shingle long"), "shingles")
     common = saved(rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "common")
     own = Window.partitionBy("row")
     ranked = (
