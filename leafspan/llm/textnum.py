@@ -75,7 +75,7 @@ def powers(step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """step**i and its inverse modulo 2**64 for i < n at least."""
     have = _powers.get(step)
     if have is None or len(have[0]) < n:
-        n = max(1 << (n - 1).bit_length(), PIECE + 1024)
+        n = PIECE + 1024 if n <= PIECE + 1024 else 1 << (n - 1).bit_length()
         inverse = pow(step, -1, 1 << 64)
         have = tuple(
             np.cumprod(np.concatenate([np.ones(1, U), np.full(n - 1, s, U)]), dtype=U)

@@ -97,7 +97,7 @@ class Encoder:
 
     @staticmethod
     def _nothing():
-        return np.zeros(0, tn.U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, tn.U), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
 
     def _learn(self, key: np.ndarray, words: list[str]) -> None:
         """Encodes new words (sorted numbers) and files them under the recent ones."""
@@ -107,9 +107,9 @@ class Encoder:
         size = np.fromiter(map(len, found), np.int64, len(found))
         total = int(size.sum())
         if self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.uint32)])
+            self.ids.resize(self.used + total + len(self.ids) // 2, refcheck=False)
         self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        new = (key, self.used + np.cumsum(size) - size, size)
+        new = (key, (self.used + np.cumsum(size) - size).astype(np.uint32), size.astype(np.uint32))
         self.used += total
         self.known[1] = self._merged(self.known[1], new)
         if len(self.known[1][0]) > RECENT:
@@ -159,6 +159,10 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _forget_encoders() -> None:
+    _encoders.clear()
+
+
 def _writer(path: str):
     @tn.tidied
     def blocks(batches):
@@ -180,7 +184,7 @@ def _writer(path: str):
                 names=["part", "block", "doc_ids", "nths", "lengths", "n_tokens", "ids"],
             )
 
-        for rows, words in tn.runs(batches, limit=2 * tn.PIECE):
+        for rows, words in tn.runs(batches):
             got, size = encoder.encode(words)
             for doc in rows.column("doc_id").to_pylist():
                 nth = nth + 1 if doc == last else 0
@@ -402,6 +406,7 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
 
     @tn.tidied
     def listed(batches):
+        _forget_encoders()  # this runs in the workers that have encoded, and they stay
         for batch in batches:
             for row in batch.to_pylist():
                 n, length = len(row["lengths"]), np.array(row["lengths"], np.int64)
