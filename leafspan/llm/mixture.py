@@ -101,7 +101,8 @@ def numbered(rows: DataFrame) -> DataFrame:
     parts = parts.select("_key", "_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
     within = Window.partitionBy("_key", "_part").orderBy("_key")
     placed = placed.withColumn("_nth", F.row_number().over(within) - 1).join(parts, ["_key", "_part"])
-    return once.unionByName(placed.withColumn("_nth", (F.col("_nth") + F.col("_before")).cast("long")).drop("_part", "_before"))
+    placed = saved(placed.withColumn("_nth", (F.col("_nth") + F.col("_before")).cast("long")).drop("_part", "_before"), "numbered")
+    return once.unionByName(placed)
 
 
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
@@ -112,7 +113,7 @@ def _drawn(docs: DataFrame, seed: int) -> DataFrame:
     """(doc_id, source, _size, _u) of rows (doc_id, text, source)."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(SPACE_WORD)), F.lit(0)).cast("long")
     rows = _keyed(docs, seed).select("doc_id", "source", size.alias("_size"), "_key")
-    return saved(numbered(saved(rows, "sizes")).select("doc_id", "source", "_size", uniform("_key", "_nth").alias("_u")), "drawn")
+    return numbered(saved(rows, "sizes")).select("doc_id", "source", "_size", uniform("_key", "_nth").alias("_u"))
 
 
 def _ranked(rows: DataFrame, goals: DataFrame, bins: int, power: float) -> DataFrame:
