@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +36,27 @@ def tidy() -> None:
         pass
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(module: str, forget: Callable[[], None]) -> None:
+    """Tells how to give up what a worker remembers between the tasks of a module's functions."""
+    _held[module] = forget
+
+
+def others_forget(module: str) -> None:
+    for owner, forget in _held.items():
+        if owner != module:
+            forget()
+
+
 def tidied(function):
-    """A function over Arrow batches that tidies up when it has had all."""
+    """A function over Arrow batches that tidies up when it has had all. A worker that begins it gives up what other modules remember."""
+    module = function.__module__
 
     @functools.wraps(function)
     def run(batches):
+        others_forget(module)
         try:
             yield from function(batches)
         finally:

@@ -163,6 +163,9 @@ def _forget_encoders() -> None:
     _encoders.clear()
 
 
+tn.holds(__name__, _forget_encoders)
+
+
 def _writer(path: str):
     @tn.tidied
     def blocks(batches):
@@ -406,7 +409,6 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
 
     @tn.tidied
     def listed(batches):
-        _forget_encoders()  # this runs in the workers that have encoded, and they stay
         for batch in batches:
             for row in batch.to_pylist():
                 n, length = len(row["lengths"]), np.array(row["lengths"], np.int64)

@@ -610,6 +610,26 @@ def test_token_files_fetch_some_keys(spark, monkeypatch):
     assert "PartitionFilters: [isnotnull(shelf" in read[0]._jdf.queryExecution().toString() or "PartitionFilters: [(shelf" in read[0]._jdf.queryExecution().toString()
 
 
+def test_workers_forget_when_they_turn_to_other_work(spark):
+    def kept(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(token_files._encoders)])], names=["n"])
+
+    def asked(module):
+        kept.__module__ = module
+        return [r["n"] for r in spark.range(1).coalesce(1).mapInArrow(textnum.tidied(kept), "n long").collect()]
+
+    token_files.write(brute.docs(spark, [(1, "some words")])).blocks().count()
+    assert asked("leafspan.llm.quality") == [0]
+    token_files._encoder(token_files.tokenizer_path())
+    textnum.others_forget("leafspan.llm.token_files")
+    assert token_files._encoders
+    textnum.others_forget("leafspan.llm.quality")
+    assert not token_files._encoders
+
+
 def test_tokenizers_across_white_space_are_refused(spark):
     import public_tokenizers
 
