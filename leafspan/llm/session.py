@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +78,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+@contextmanager
+def unsorted_writes(spark: SparkSession):
+    """Rows that are written by folder are not sorted by it first: a task has files of a few folders open instead."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "16")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def total_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column (0 for an empty table); one pass, one long to the driver."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafspan.llm import textnum as tn
-from leafspan.llm.session import shared_dir, small_batches, total_bytes
+from leafspan.llm.session import shared_dir, small_batches, total_bytes, unsorted_writes
 
 END = 2
 #: Bytes of text per part, ids per block, keys per index bucket (about).
@@ -401,7 +401,8 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
     parts = max(8, total_bytes(docs) // PART_BYTES + 1)
     ranged = docs.repartitionByRange(int(parts), "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     blocks = ranged.mapInArrow(_writer(tokenizer or tokenizer_path()), IDS.partition(", ")[2])
-    _shelved(blocks, "part", PARTS_OF_SHELF).write.option("compression", "zstd").partitionBy("shelf").parquet(f"{path}/ids")
+    with unsorted_writes(spark):
+        _shelved(blocks, "part", PARTS_OF_SHELF).write.option("compression", "zstd").partitionBy("shelf").parquet(f"{path}/ids")
     files = TokenFiles(spark, path)
     total = files.blocks().agg(F.sum(F.size("lengths"))).first()[0] or 0
     buckets = max(1, int(total) // BUCKET_KEYS)
@@ -428,7 +429,8 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
         listed, "doc_id long, nth int, part int, block int, offset long, length long"
     )
     index = rows.withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInArrow(_indexed, INDEX.partition(", ")[2])
-    _shelved(index, "bucket", BUCKETS_OF_SHELF).repartition("shelf").write.partitionBy("shelf").parquet(f"{path}/index")
+    with unsorted_writes(spark):
+        _shelved(index, "bucket", BUCKETS_OF_SHELF).repartition("shelf").write.partitionBy("shelf").parquet(f"{path}/index")
     return files
 
 
