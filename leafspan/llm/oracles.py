@@ -55,3 +55,38 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
 """
+
+#: crc32 of ``{0}``, a list of bytes: a table of 256 entries, made from the polynomial.
+_CRC = """(SELECT list(list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+def _crc32(text: str) -> str:
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), lambda c, x: xor(crc.t[(xor(c, x) & 255) + 1], c >> 8), 4294967295), 4294967295)"
+
+
+op11_periodic_runs = rf"""
+WITH crc AS MATERIALIZED {_CRC}, h AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w, {_crc32("doc_id::VARCHAR")} AS h FROM documents, crc
+), d AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) ELSE w END AS w
+  FROM (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM h)
+), g AS MATERIALIZED (
+  SELECT doc_id, i, hash(array_to_string(w[i + 1:i + 5], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 4)) AS i FROM d)
+), e AS MATERIALIZED (
+  SELECT a.doc_id, b.i - a.i AS q, a.i FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i JOIN d ON d.doc_id = a.doc_id AND 4 * (b.i - a.i) <= len(d.w)
+), s AS MATERIALIZED (
+  SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island
+), r AS MATERIALIZED (
+  SELECT doc_id, start, length, min(q) AS period FROM s WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length
+), n AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n_runs, max({{'l': length, 's': -start, 'p': -period}}) AS m, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM r GROUP BY doc_id
+), k AS MATERIALIZED (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT d.doc_id, unnest(range(len(d.w))) AS i, unnest(d.w) AS word FROM d SEMI JOIN r ON r.doc_id = d.doc_id) p
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = p.doc_id AND p.i >= r.start + r.period AND p.i < r.start + r.length) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n.n_runs, 0) AS n_runs, (-m.s)::BIGINT AS start, m.l::BIGINT AS length, (-m.p)::BIGINT AS period, (1000 * m.l // -m.p)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(CASE WHEN n.doc_id IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS collapsed_sha256
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""
