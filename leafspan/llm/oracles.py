@@ -90,3 +90,49 @@ SELECT d.doc_id, coalesce(n.n_runs, 0) AS n_runs, (-m.s)::BIGINT AS start, m.l::
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(CASE WHEN n.doc_id IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS collapsed_sha256
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
 """
+
+
+def _place(initial: str, to: int, before: str = "") -> str:
+    """A turn that takes ``initial`` after an insertion or none: the cheapest edits from there on, with its own."""
+    name = {"s": "system", "u": "user", "a": "assistant"}[initial]
+    after, insert = f"b[{to}]", [before + ":"] if before else []
+    cost = f"CASE WHEN r.k = 2 OR (r.p <> '{initial}' AND '{initial}' = 's') THEN 1000000 WHEN r.p = '{initial}' THEN 0 ELSE 1 END + CASE WHEN r.k = 1 THEN 5 ELSE 0 END"
+    return f"""{{'c': {after}.c + {cost} + {5 * len(insert)}, 'a': '{"I" * len(insert)}' || CASE WHEN r.p = '{initial}' THEN 'K' ELSE 'R' END || {after}.a,
+      't': list_concat({insert!r}::VARCHAR[], list_concat([CASE WHEN r.p = '{initial}' THEN r.role ELSE '{name}' END || ':' || r.text], {after}.t))}}"""
+
+
+def _best(state: int, *places: str) -> str:
+    return "list_min([" + ", ".join([f"{{'c': b[{state}].c + 2, 'a': 'D' || b[{state}].a, 't': b[{state}].t}}", *places]) + "])"
+
+
+_STATES = ", ".join(
+    [
+        _best(1, _place("s", 2), _place("u", 3), _place("a", 4, "user")),
+        _best(2, _place("u", 3), _place("a", 4, "user")),
+        _best(3, _place("a", 4), _place("u", 3, "assistant")),
+        _best(4, _place("u", 3), _place("a", 4, "user")),
+    ]
+)
+
+op12_conversation_repair = rf"""
+WITH RECURSIVE crc AS MATERIALIZED {_CRC}, x AS MATERIALIZED (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, crc)
+), f AS MATERIALIZED (
+  SELECT *, left(role, 1) AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM x
+), a AS MATERIALIZED (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(p) OVER (PARTITION BY conv_id ORDER BY i) || p AS pair FROM f) GROUP BY conv_id
+), s AS (
+  SELECT conv_id, n AS i, [{{'c': 0, 'a': '', 't': []::VARCHAR[]}}, {{'c': 10, 'a': 'II', 't': ['user:', 'assistant:']}}, {{'c': 5, 'a': 'I', 't': ['assistant:']}}, {{'c': 0, 'a': '', 't': []::VARCHAR[]}}] AS b FROM a
+  UNION ALL
+  SELECT s.conv_id, s.i - 1, [{_STATES}] FROM s JOIN (SELECT *, CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 1 ELSE 2 END AS k FROM f) r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(s.b[1].c, 0)::BIGINT AS cost, coalesce(s.b[1].a, '') AS audit, sha256(coalesce(array_to_string(s.b[1].t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM o.conv_id AND s.i = 0
+"""
