@@ -395,7 +395,7 @@ def _long_turns(turns: DataFrame, arrow: pa.Schema, schema: str) -> DataFrame:
     from pyspark.sql import Window
 
     parts = _parts(turns)[1]
-    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("conv_id", F.col("part").alias("_part"), F.size("edits").alias("n")).withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)))
     rows = parts.join(starts.select("_part", "begin"), F.col("part") == F.col("_part"))
     rows = rows.select("conv_id", "begin", F.posexplode(F.arrays_zip("edits", "roles", "texts")).alias("i", "t"))
