@@ -19,20 +19,25 @@ COLUMNS = {
     8: "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     9: "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
     10: "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    11: "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    12: "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
+    13: "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
 }
 BY_NUMBER = {int(n[2:].split("_")[0]): n for n in queries.queries()}
 
 
 def test_every_operator_has_one_query():
-    assert sorted(BY_NUMBER) == list(range(1, 11)) and len(queries.queries()) == 10
+    assert sorted(BY_NUMBER) == list(range(1, 14)) and len(queries.queries()) == 13
 
 
 @pytest.mark.parametrize("number", sorted(COLUMNS))
 def test_columns_and_rows(spark, number):
     out = queries.queries()[BY_NUMBER[number]](spark, SF).cache()
     assert ", ".join(f"{c} {t}" for c, t in out.dtypes) == COLUMNS[number]
-    ids = sorted(r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
-    assert sorted(r["doc_id"] for r in out.collect()) == ids
+    source, key = ("conversations", "conv_id") if number == 12 else ("documents", "doc_id")
+    rows = spark.read.parquet(f"{SF}/{source}.parquet").select(key)
+    ids = sorted(r[0] for r in (rows.distinct() if number == 12 else rows).collect())
+    assert sorted(r[key] for r in out.collect()) == ids
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
