@@ -191,3 +191,12 @@ def accuracy(checked: DataFrame, pages: int) -> DataFrame:
         F.when(early, F.lit(0.0)).otherwise(F.coalesce(share, F.lit(0.0))).alias("accuracy"),
         F.coalesce(F.sum((~F.col("found")).cast("long")), F.lit(0)).alias("wrong"),
     )
+
+
+def accuracies(checked: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, accuracy, wrong) as in ``accuracy``, for each document of ``docs`` (doc, pages) with entries."""
+    sums = checked.groupBy("doc").agg(
+        F.max("physical_index").alias("_last"), F.avg(F.col("found").cast("double")).alias("_share"), F.sum((~F.col("found")).cast("long")).alias("wrong")
+    )
+    early = F.coalesce("_last", F.lit(0)) < F.col("pages") / 2
+    return sums.join(docs.select("doc", "pages"), "doc").select("doc", F.when(early, F.lit(0.0)).otherwise(F.coalesce("_share", F.lit(0.0))).alias("accuracy"), "wrong")

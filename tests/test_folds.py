@@ -400,20 +400,32 @@ def test_partial_ratio():
 
 
 def test_strategies(spark):
+    """Five documents that end with different strategies and repairs, or with none."""
     from leafspan.operators import strategy
 
-    pages = spark.createDataFrame([(1, p, f"{p}.1 Part{p}\nx") for p in range(1, 11)], "doc long, page long, text string")
+    text = lambda d, p: f"{p}.1 Part{p}\nx"
+    pages = spark.createDataFrame([(d, p, text(d, p)) for d in range(1, 6) for p in range(1, 11)], "doc long, page long, text string")
+    asked = []
 
     def index(shift):
-        rows = [(1, p, f"{p}.1", f"Part{p}", p + shift(p)) for p in range(1, 11)]
-        return lambda: spark.createDataFrame(rows, "doc long, ord long, structure string, title string, physical_index long")
-
-    good, mended, bad = index(lambda p: 0), index(lambda p: int(p in (4, 7))), index(lambda p: 1 if p < 10 else -1)
-    assert strategy.choose({"bad": bad, "good": good}, pages).name == "good"
-    found = strategy.choose({"mended": mended, "good": good}, pages)
-    assert (found.name, found.accuracy, found.repairs) == ("mended", 1.0, 1)
-    with pytest.raises(ValueError):
-        strategy.choose({"bad": bad}, pages)
+        def build(own):
+            asked.append(sorted(r[0] for r in own.select("doc").distinct().collect()))
+            rows = own.select("doc", F.col("page").alias("ord"), F.concat("page", F.lit(".1")).alias("structure"), F.concat(F.lit("Part"), "page").alias("title"), "page")
+            return rows.select("doc", "ord", "structure", "title", (F.col("page") + shift(F.col("doc"), F.col("page"))).alias("physical_index"))
+
+        return build
+
+    wrong = F.lit(1)
+    first = index(lambda d, p: F.when(d == 1, 0).when(d == 2, p.isin(4, 7).cast("int")).otherwise(wrong))
+    second = index(lambda d, p: F.when(d == 3, 0).when(d == 5, -(p - 1)).otherwise(wrong))
+    third = index(lambda d, p: F.when(d == 4, (p == 9).cast("int")).otherwise(wrong))
+    out = strategy.chosen({"first": first, "second": second, "third": third}, pages)
+    states = {r["doc"]: (r["strategy"], r["repairs"], r["accuracy"]) for r in out.states.collect()}
+    assert states == {1: ("first", 0, 1.0), 2: ("first", 1, 1.0), 3: ("second", 0, 1.0), 4: ("third", 1, 1.0), 5: (None, 0, 0.0)}
+    assert asked == [[1, 2, 3, 4, 5], [3, 4, 5], [4, 5]]
+    rows = out.index.collect()
+    assert sorted((r["doc"], r["physical_index"]) for r in rows) == [(d, p) for d in range(1, 5) for p in range(1, 11)]
+    assert all(r["ord"] == r["physical_index"] and r["strategy"] == states[r["doc"]][0] for r in rows)
 
 
 def test_settings(monkeypatch):
