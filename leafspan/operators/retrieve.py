@@ -14,6 +14,10 @@ TEXT_LIMIT = 12000
 CONTEXT_LIMIT = 3000
 #: Characters by which short questions meet sections.
 GRAM = 3
+#: Sections that are scored for every question, so that each has a score that its best ones reach at least.
+FIRST = 64
+#: The part of that score which words may add that no section is met by.
+SHARE = 0.35
 #: Vectors of a block.
 VECTORS = 4096
 
@@ -34,46 +38,107 @@ def _holding(sections: DataFrame, phrases: DataFrame) -> DataFrame:
     return found.join(texts, "section_id").filter(inside).select("question_id", "section_id")
 
 
-def lexical_scores(sections: DataFrame, questions: DataFrame) -> DataFrame:
-    """(question_id, section_id, ord, score) for pairs that share a word or where the section holds the question.
+def _listed(sections: DataFrame) -> DataFrame:
+    """Sections with the distinct words of their title (t), of their text's first part (x) and of the rest (later), and their block: the title's words in powers of two."""
+    whole, title = tx.retrieval_tokens(F.col("text")), tx.retrieval_tokens(F.col("title"))
+    first = F.when(F.length("text") > TEXT_LIMIT, tx.retrieval_tokens(F.left("text", F.lit(TEXT_LIMIT)))).otherwise(whole)
+    empty = F.array().cast("array<string>")
+    listed = sections.select("section_id", "ord", *(F.coalesce(c, empty).alias(n) for c, n in ((title, "t"), (first, "x"), (whole, "w"))))
+    later = F.when(F.size("x") < F.size("w"), F.array_except("w", "x")).otherwise(empty)
+    block = F.length(F.bin(F.size("t").cast("long"))) * (F.size("t") > 0).cast("int")
+    return saved(listed.select("section_id", "ord", "t", "x", later.alias("later"), block.alias("block")), "section-words")
+
+
+def _thresholds(listed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(question_id, least): a score that k sections reach at least. The FIRST sections with the greatest possible scores are scored for all questions."""
+    first = listed.orderBy(F.desc(2 * F.size("t") + F.size("x")), "ord").limit(FIRST)
+    words = first.select("section_id", F.size("t").alias("n_t"), F.posexplode(F.concat("t", "x")).alias("i", "word"))
+    met = words.join(asked.select("question_id", F.explode("words").alias("word")), "word").groupBy("question_id", "section_id")
+    scores = met.agg(F.sum(F.when(F.col("i") < F.col("n_t"), 2).otherwise(1)).alias("score"))
+    best = F.slice(F.sort_array(F.collect_list("score"), False), k, 1)  # of FIRST scores at most
+    return scores.groupBy("question_id").agg(F.coalesce(F.get(best, 0), F.lit(0)).alias("least"))
+
+
+def _essential(listed: DataFrame, asked: DataFrame, least: DataFrame) -> DataFrame:
+    """(question_id, block, word, n, essential, rest, least): the words that a block's sections are met by.
+
+    A section of a block cannot get more than one for each of the other ``rest`` words, the most frequent ones, and two more for
+    as many as its title may hold; they are as many as leave this below SHARE of the least score. The three rarest words
+    stay in any case: a section that holds the whole question shares one of them.
+    """
+    blocks = [r[0] for r in listed.select("block").distinct().collect()]  # 33 at most
+    own = asked.select("question_id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    everywhere = listed.select(F.explode(F.array_union(F.array_union("t", "x"), "later")).alias("word"))
+    count = everywhere.join(own.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("sections"))
+    rarest = Window.partitionBy("question_id").orderBy("sections", "word")
+    ranked = own.join(count, "word").withColumn("r", F.row_number().over(rarest)).join(least, "question_id", "left").na.fill({"least": 0})
+    # words that occur nowhere are left out, so n - r counts from the most frequent one
+    ranked = ranked.withColumn("n_met", F.count("*").over(Window.partitionBy("question_id")))
+    rows = ranked.withColumn("block", F.explode(F.array(*(F.lit(b) for b in blocks)))) if blocks else ranked.withColumn("block", F.lit(0)).limit(0)
+    title = F.pow(F.lit(2), F.col("block")) - 1
+    share = F.col("least") * SHARE
+    bound = F.ceil(share / 3) - 1
+    rest = F.when(bound <= title, bound).otherwise(F.greatest(title, F.ceil(share - 2 * title) - 1))
+    rest = F.greatest(F.least(rest, F.col("n_met") - 3), F.lit(0)).cast("int")
+    rows = rows.withColumn("rest", rest).withColumn("essential", F.col("n_met") - F.col("rest")).filter(F.col("r") <= F.col("essential"))
+    return rows.select("question_id", "block", "word", "n", "n_met", "essential", "rest", "least")
+
+
+def _candidates(listed: DataFrame, lists: DataFrame) -> DataFrame:
+    """(question_id, section_id, shared) of pairs whose score may reach the question's least one.
+
+    Words are dealt by section, so that they are counted where they are met, and only pairs that stay leave.
+    """
+    words = listed.select("section_id", "block", F.size("t").alias("n_t"), F.size("x").alias("n_x"), F.concat("t", "x", "later").alias("words"))
+    # outer: the optimizer would read the arrays again to test for words, were sections without any left out here
+    words = words.repartition("section_id").select("section_id", "block", "n_t", "n_x", F.posexplode_outer("words").alias("i", "word"))
+    in_title, in_first = F.col("i") < F.col("n_t"), F.col("i") < F.col("n_t") + F.col("n_x")
+    met = words.join(lists, ["word", "block"]).groupBy("section_id", "question_id")
+    sums = met.agg(
+        F.sum(in_title.cast("int")).alias("st"),
+        F.sum((in_first & ~in_title).cast("int")).alias("sx"),
+        F.sum((~in_title).cast("int")).alias("sw"),
+        *(F.first(c).alias(c) for c in ("n_t", "n_x", "n", "n_met", "essential", "rest", "least")),
+    )
+    most = F.greatest("st", "sw")
+    # phrases lack two words at most, words that occur nowhere among them
+    bonus = F.when(most + F.col("rest") >= F.col("n") - 2, 5).otherwise(0)
+    reach = 2 * F.col("st") + F.col("sx") + F.least("rest", F.col("n_x") - F.col("sx")) + 2 * F.least("rest", F.col("n_t") - F.col("st")) + bonus
+    return saved(sums.filter(reach >= F.col("least")).select("question_id", "section_id"), "pairs")
+
+
+def likely_scores(sections: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(question_id, section_id, ord, score) for all pairs that can be among a question's best k; further pairs may be missing or too low.
 
     ``sections`` has section_id, ord, title, text; ``questions`` has question_id,
     text. A shared title word counts 2, a shared word of the text's first part 1, the whole question in
-    the title 3, in the text 2. Pairs come from an equi-join on words, dealt by section, so that a
-    section's words are counted where they are joined. Texts are only
+    the title 3, in the text 2. Posting lists are kept apart by blocks, in which a word's impact has an upper bound;
+    a question is only met by its rarer words there, as long as what the others could add stays below the
+    score that k sections have at least. Pairs that may reach that score are scored in full. Texts are only
     searched for questions where all words but the first and the last are shared (those
     two may be parts of words). Questions of one or two words may lie within words, where nothing is shared;
     they meet sections by their first characters.
     """
-    whole, title = tx.retrieval_tokens(F.col("text")), tx.retrieval_tokens(F.col("title"))
-    first = F.when(F.length("text") > TEXT_LIMIT, tx.retrieval_tokens(F.left("text", F.lit(TEXT_LIMIT)))).otherwise(whole)
-    listed = sections.select("section_id", "ord", title.alias("t"), first.alias("x"), whole.alias("w"))
-    listed = listed.withColumn("later", F.when(F.size("x") < F.size("w"), F.array_except("w", "x")).otherwise(F.array().cast("array<string>")))
-    listed = listed.select("section_id", "ord", F.size("t").alias("n_t"), F.size("x").alias("n_x"), F.concat("t", "x", "later").alias("words"))
-    # outer: the optimizer would read texts again to test for words, were sections without any left out here
-    words = listed.repartition("section_id").select("section_id", "ord", "n_t", "n_x", F.posexplode_outer("words").alias("i", "word"))
+    listed = _listed(sections)
     asked = questions.select("question_id", tx.retrieval_tokens(F.col("text")).alias("words"), F.lower(F.trim("text")).alias("phrase"))
-    in_title = F.col("i") < F.col("n_t")
-    worth = F.when(in_title, 2).when(F.col("i") < F.col("n_t") + F.col("n_x"), 1).otherwise(0)
-    pairs = (
-        words.join(asked.select("question_id", F.size("words").alias("n"), F.explode("words").alias("word")), "word")
-        .groupBy("section_id", "question_id")
-        .agg(
-            F.first("ord").alias("ord"),
-            F.sum(worth).alias("score"),
-            F.greatest(F.sum(in_title.cast("int")), F.sum((~in_title).cast("int"))).alias("shared"),
-            F.first("n").alias("n"),
-        )
+    pairs = _candidates(listed, _essential(listed, asked, _thresholds(listed, asked, k)))
+    shared = lambda c: F.size(F.array_intersect(c, F.col("words")))
+    full = pairs.join(listed, "section_id").join(asked.select("question_id", "words"), "question_id")
+    full = full.select(
+        "question_id",
+        "section_id",
+        "ord",
+        (2 * shared("t") + shared("x")).alias("score"),
+        (F.greatest(shared("t"), shared("x") + shared("later")) >= F.size("words") - 2).alias("likely"),
     )
-    pairs = saved(pairs, "pairs")
-    likely = F.col("shared") >= F.col("n") - 2
+    full = saved(full, "scored")
     texts = sections.select("section_id", F.lower("title").alias("_title"), F.lower("text").alias("_text"))
     phrase = F.col("phrase")
     bonus = (phrase != "").cast("int") * (F.coalesce(F.col("_title").contains(phrase), F.lit(False)).cast("int") * 3 + F.coalesce(F.col("_text").contains(phrase), F.lit(False)).cast("int") * 2)
     names = ["question_id", "section_id", "ord", "score"]
     phrases = asked.select("question_id", "phrase")
-    searched = pairs.filter(likely).join(phrases, "question_id").join(texts, "section_id").withColumn("score", F.col("score") + bonus)
-    out = pairs.filter(~likely).select(names).unionAll(searched.select(names))
+    searched = full.filter("likely").join(phrases, "question_id").join(texts, "section_id").withColumn("score", F.col("score") + bonus)
+    out = full.filter("NOT likely").select(names).unionAll(searched.select(names))
     few = asked.filter((F.size("words") <= 2) & (phrase != "")).select("question_id", "phrase")
     if not few.isEmpty():
         inside = _holding(sections, few).join(pairs, ["question_id", "section_id"], "left_anti").distinct()
@@ -89,7 +154,7 @@ def top_sections(sections: DataFrame, questions: DataFrame, k: int = 5) -> DataF
     """
     k = max(1, k)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "ord")
-    best = lexical_scores(sections, questions).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = likely_scores(sections, questions, k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     best = saved(best.select("question_id", F.col("rank").cast("long").alias("rank"), "section_id", "score"), "best")
     ranked = sections.select("section_id", "ord").orderBy("ord").limit(k).withColumn("rank", F.row_number().over(Window.orderBy("ord")).cast("long"))
     none = questions.select("question_id").join(best, "question_id", "left_anti")

@@ -504,3 +504,50 @@ def test_questions_in_turns(spark):
     endless = dialog.answered(asked.filter("question_id = 2"), lambda m: {"calls": [{"tool": "page", "argument": "1"}]}, run, turns=2).first()
     assert (endless["answer"], endless["total_turns"], endless["all_pages_requested"]) == (dialog.OUT_OF_TURNS, 2, [1, 1])
     assert dialog.answered(asked.limit(0), model, run).count() == 0
+
+
+def test_top_sections_by_brute_force(spark):
+    """Random sections of very different sizes: the best k and their scores, ties by order, with and without phrases."""
+    import re
+
+    from leafspan.operators import retrieve
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    pick = lambda n: " ".join(words[min(int(rng.expovariate(0.1)), 59)] for _ in range(n))
+    sections = [(i, i, pick(rng.choice([0, 2, 5, 20])), pick(rng.choice([0, 1, 5, 30, 200]))) for i in range(300)]
+    sections += [(300, 300, None, None), (301, 301, "", ""), (302, 302, "w1", pick(5000) + " w59 zz end")]
+    questions = [(i, pick(rng.choice([1, 3, 10, 25]))) for i in range(30)] + [(30, "nowhere at all"), (31, ""), (32, sections[7][3] or "w1"), (33, "w59 zz end"), (34, " ".join(sections[9][3].split()[1:]) or "w2")]
+    find = lambda t: set(re.findall("[a-z0-9]{2,}", (t or "").lower()))
+    s = spark.createDataFrame(sections, "section_id long, ord long, title string, text string")
+    q = spark.createDataFrame(questions, "question_id long, text string")
+    for k in (1, 5):
+        want = []
+        for n, asked in questions:
+            scored = []
+            for i, _, title, text in sections:
+                own, phrase = find(asked), asked.strip().lower()
+                score = 2 * len(own & find(title)) + len(own & find((text or "")[: retrieve.TEXT_LIMIT]))
+                if phrase:
+                    score += 3 * (phrase in (title or "").lower()) + 2 * (phrase in (text or "").lower())
+                scored.append((-score, i))
+            scored.sort()
+            best = [x for x in scored if x[0] < 0][:k] or [(0, i) for i in range(k)]
+            want += [(n, r + 1, i, -m) for r, (m, i) in enumerate(best)]
+        got = [tuple(r) for r in retrieve.top_sections(s, q, k).orderBy("question_id", "rank").collect()]
+        assert got == sorted(want)
+
+
+def test_few_pairs_are_scored(spark, monkeypatch):
+    """On a thousand sections and forty questions, less than a tenth of all pairs is written."""
+    from leafspan.operators import retrieve
+    from leafspan.plans import session_queries as sq
+
+    written = {}
+    plain = retrieve.saved
+    monkeypatch.setattr(retrieve, "saved", lambda df, name: written.setdefault(name, plain(df, name)))
+    sections, questions = (f(spark, "/root/testdata/sf0.01") for f in (sq._sections, sq._questions))
+    retrieve.likely_scores(sections, questions, 5)
+    every = sections.count() * questions.count()
+    assert written["pairs"].count() + retrieve.FIRST * questions.count() < every / 10
+    assert written["scored"].count() == written["pairs"].count()
