@@ -19,6 +19,8 @@ from leafspan.sources.files import saved
 
 MENDABLE = 0.6
 MOST_REPAIRS = 3
+#: Ids of so many documents (some 16 MB) are broadcast.
+FEW = 500_000
 
 INDEX = ["doc", "ord", "structure", "title", "physical_index"]
 Found = Callable[[Column, Column, Column], Column]
@@ -39,26 +41,32 @@ def checked(index: DataFrame, pages: DataFrame, found: Found = toc.found_on_page
     return index.join(own, ["doc", "physical_index"], "left").withColumn("found", F.coalesce(is_found, F.lit(False))).drop("_text")
 
 
+def _of(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pages of ``docs``: texts stay where they are for up to FEW documents; beyond that they are dealt by document once and written."""
+    ids = docs.select("doc")
+    if ids.limit(FEW + 1).count() <= FEW:
+        return pages.join(F.broadcast(ids), "doc", "left_semi")
+    return saved(pages.join(ids, "doc", "left_semi"), "pages-of-documents")
+
+
 def repaired(index: DataFrame, pages: DataFrame, found: Found = toc.found_on_page) -> DataFrame:
-    """``index`` with entries that are not on their page moved to the first page between their good neighbours that holds them.
+    """A checked index (INDEX, pages, found) with entries that are not on their page moved to the first page between their good neighbours that holds them.
 
     Only pages between the neighbours are joined, by document and page; the result is written, so that rounds do not pile up.
     """
-    last = pages.groupBy("doc").agg(F.max("page").alias("_last"))
-    bounded = toc.neighbours(checked(index, pages, found), "found", low=1, high=1 << 30)
-    wrong = bounded.filter("NOT found").join(last, "doc").withColumn("after", F.least("after", "_last")).filter("before <= after")
+    bounded = toc.neighbours(index, "found", low=1, high=1 << 30)
+    wrong = bounded.filter("NOT found").withColumn("after", F.least("after", "pages")).filter("before <= after")
     wrong = wrong.select("doc", "ord", "structure", "title", F.explode(F.sequence("before", "after")).alias("page"))
     near = wrong.join(pages.select("doc", "page", "text"), ["doc", "page"])
     held = near.filter(found(F.col("text"), F.col("structure"), F.col("title")))
     moved = held.groupBy("doc", "ord").agg(F.min("page").alias("_page"))
     out = index.join(moved, ["doc", "ord"], "left").withColumn("physical_index", F.coalesce("_page", "physical_index"))
-    return saved(out.select(*index.columns), "repaired")
+    return saved(out.withColumn("found", F.col("found") | F.col("_page").isNotNull()).select(*index.columns), "repaired")
 
 
-def _measured(index: DataFrame, pages: DataFrame, docs: DataFrame, found: Found) -> DataFrame:
-    """(doc, pages, accuracy, wrong) for each of ``docs`` (doc, pages); 0 for documents without entries."""
-    shares = toc.accuracies(checked(index, pages, found), docs)
-    return saved(docs.join(shares, "doc", "left").na.fill({"accuracy": 0.0, "wrong": 0}), "index-states")
+def _measured(index: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, pages, accuracy, wrong) for each of ``docs`` (doc, pages) by its checked index; 0 for documents without entries."""
+    return saved(docs.join(toc.accuracies(index, docs), "doc", "left").na.fill({"accuracy": 0.0, "wrong": 0}), "index-states")
 
 
 def chosen(strategies: dict[str, Callable[[DataFrame], DataFrame]], pages: DataFrame, found: Found = toc.found_on_page) -> Outcome:
@@ -69,28 +77,27 @@ def chosen(strategies: dict[str, Callable[[DataFrame], DataFrame]], pages: DataF
     more than MENDABLE are is mended up to MOST_REPAIRS times and kept; else the next strategy has its turn.
     """
     left = saved(pages.groupBy("doc").agg(F.max("page").alias("pages")), "open-documents").withColumn("accuracy", F.lit(0.0)).withColumn("wrong", F.lit(0).cast("long"))
-    kept, states = [], []
+    own, kept, states = pages, [], []
     for name, build in strategies.items():
         if left.isEmpty():
             break
         docs = left.select("doc", "pages")
-        own = pages.join(docs.select("doc"), "doc", "left_semi")
+        own = _of(pages, docs) if kept else pages
         index = toc.within_document(build(own).join(docs, "doc"), "pages").filter("physical_index IS NOT NULL")
-        index = saved(index.select(*INDEX), "index")
-        state = _measured(index, own, docs, found)
+        index = saved(checked(index.select(*INDEX, "pages"), own, found), "checked")
+        state = _measured(index, docs)
         left = state.filter(F.col("accuracy") <= MENDABLE)
         state = state.filter(F.col("accuracy") > MENDABLE)
         for repairs in range(MOST_REPAIRS + 1):
             again = F.col("wrong") > 0 if repairs < MOST_REPAIRS else F.lit(False)
             closed, ill = state.filter(~again), state.filter(again)
             states.append(closed.select("doc", F.lit(name).alias("strategy"), F.lit(repairs).alias("repairs"), "accuracy", "wrong"))
-            kept.append(index.join(closed.select("doc"), "doc", "left_semi").withColumn("strategy", F.lit(name)))
+            kept.append(index.select(*INDEX).join(closed.select("doc"), "doc", "left_semi").withColumn("strategy", F.lit(name)))
             if ill.isEmpty():
                 break
             docs = ill.select("doc", "pages")
-            own = pages.join(docs.select("doc"), "doc", "left_semi")
-            index = repaired(index.join(docs.select("doc"), "doc", "left_semi"), own, found)
-            state = _measured(index, own, docs, found)
+            index = repaired(index.join(docs.select("doc"), "doc", "left_semi"), _of(own, docs), found)
+            state = _measured(index, docs)
     states.append(left.select("doc", F.lit(None).cast("string").alias("strategy"), F.lit(0).alias("repairs"), "accuracy", "wrong"))
     if not kept:
         raise ValueError("there are no strategies or no pages")
