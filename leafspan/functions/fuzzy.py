@@ -42,7 +42,11 @@ def _ratios(title: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else partial_ratio(a, b) for a, b in zip(title, text, strict=True)], dtype="float64")
 
 
+def first_part(text: Column, share: float = 0.5, extra: int = 500) -> Column:
+    """The part of a page in which titles are searched."""
+    return F.left(text, F.floor(F.length(text) * share).cast("int") + extra)
+
+
 def title_ratio(title: Column, text: Column, share: float = 0.5, extra: int = 500) -> Column:
     """How well a title is found in the first part of a page, from 0 to 100, case aside."""
-    head = F.left(text, F.floor(F.length(text) * share).cast("int") + extra)
-    return F.pandas_udf(_ratios, "double")(F.lower(title), F.lower(head))
+    return F.pandas_udf(_ratios, "double")(F.lower(title), F.lower(first_part(text, share, extra)))

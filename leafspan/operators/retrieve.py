@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafspan.functions import text as tx
-from leafspan.sources.files import saved
+from leafspan.sources.files import saved, small
 
 TEXT_LIMIT = 12000
 CONTEXT_LIMIT = 3000
@@ -69,7 +69,7 @@ def _essential(listed: DataFrame, asked: DataFrame, least: DataFrame) -> DataFra
     blocks = [r[0] for r in listed.select("block").distinct().collect()]  # 33 at most
     own = asked.select("question_id", F.size("words").alias("n"), F.explode("words").alias("word"))
     everywhere = listed.select(F.explode(F.array_union(F.array_union("t", "x"), "later")).alias("word"))
-    count = everywhere.join(own.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("sections"))
+    count = everywhere.join(small(own.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count("*").alias("sections"))
     rarest = Window.partitionBy("question_id").orderBy("sections", "word")
     ranked = own.join(count, "word").withColumn("r", F.row_number().over(rarest)).join(least, "question_id", "left").na.fill({"least": 0})
     # words that occur nowhere are left out, so n - r counts from the most frequent one
@@ -81,7 +81,7 @@ def _essential(listed: DataFrame, asked: DataFrame, least: DataFrame) -> DataFra
     rest = F.when(bound <= title, bound).otherwise(F.greatest(title, F.ceil(share - 2 * title) - 1))
     rest = F.greatest(F.least(rest, F.col("n_met") - 3), F.lit(0)).cast("int")
     rows = rows.withColumn("rest", rest).withColumn("essential", F.col("n_met") - F.col("rest")).filter(F.col("r") <= F.col("essential"))
-    return rows.select("question_id", "block", "word", "n", "n_met", "essential", "rest", "least")
+    return saved(rows.select("question_id", "block", "word", "n", "n_met", "essential", "rest", "least"), "essential-words")
 
 
 def _candidates(listed: DataFrame, lists: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def _candidates(listed: DataFrame, lists: DataFrame) -> DataFrame:
     # outer: the optimizer would read the arrays again to test for words, were sections without any left out here
     words = words.repartition("section_id").select("section_id", "block", "n_t", "n_x", F.posexplode_outer("words").alias("i", "word"))
     in_title, in_first = F.col("i") < F.col("n_t"), F.col("i") < F.col("n_t") + F.col("n_x")
-    met = words.join(lists, ["word", "block"]).groupBy("section_id", "question_id")
+    met = words.join(small(lists), ["word", "block"]).groupBy("section_id", "question_id")
     sums = met.agg(
         F.sum(in_title.cast("int")).alias("st"),
         F.sum((in_first & ~in_title).cast("int")).alias("sx"),
@@ -123,7 +123,7 @@ def likely_scores(sections: DataFrame, questions: DataFrame, k: int) -> DataFram
     asked = questions.select("question_id", tx.retrieval_tokens(F.col("text")).alias("words"), F.lower(F.trim("text")).alias("phrase"))
     pairs = _candidates(listed, _essential(listed, asked, _thresholds(listed, asked, k)))
     shared = lambda c: F.size(F.array_intersect(c, F.col("words")))
-    full = pairs.join(listed, "section_id").join(asked.select("question_id", "words"), "question_id")
+    full = listed.join(small(pairs), "section_id").join(asked.select("question_id", "words"), "question_id")
     full = full.select(
         "question_id",
         "section_id",

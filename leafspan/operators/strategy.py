@@ -15,13 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafspan.operators import toc
-from leafspan.sources.files import saved
+from leafspan.sources.files import FEW, saved
 
 MENDABLE = 0.6
 MOST_REPAIRS = 3
-#: Ids of so many documents (some 16 MB) are broadcast.
-FEW = 500_000
-
 INDEX = ["doc", "ord", "structure", "title", "physical_index"]
 Found = Callable[[Column, Column, Column], Column]
 

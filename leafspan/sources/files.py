@@ -46,6 +46,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of so many rows of ids, short words and numbers are broadcast.
+FEW = 500_000
+
+
+def small(table: DataFrame, rows: int = FEW) -> DataFrame:
+    """``table`` marked for broadcast if it has at most ``rows`` rows, of bounded size; else it is joined by a shuffle."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def write_pages(pages: DataFrame, path: str, size: int = 20) -> None:
     """Pages (doc, page, text) in windows of ``size``, one folder per window number, so that a read of a page opens one."""
     if size <= 0:

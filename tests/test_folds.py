@@ -551,3 +551,41 @@ def test_few_pairs_are_scored(spark, monkeypatch):
     every = sections.count() * questions.count()
     assert written["pairs"].count() + retrieve.FIRST * questions.count() < every / 10
     assert written["scored"].count() == written["pairs"].count()
+
+
+def test_titles_by_character_pairs(spark):
+    """Pages that hold a title roughly are all found, and few of the other pairs are verified."""
+    from leafspan.functions.fuzzy import partial_ratio
+    from leafspan.operators import titles
+
+    rng = random.Random(4)
+    syllables = ["the", "ing", "ké", "tion"] + ["".join(rng.choice("abcdefghilmnoprstuvz") for _ in range(rng.choice([2, 3]))) for _ in range(150)]
+    prose = lambda n: " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5))) for _ in range(n))
+    pages = [(d, p, prose(60)) for d in (1, 2) for p in range(40)] + [(1, 90, "short"), (1, 91, ""), (1, 92, None), (1, 93, "x"), (2, 94, "Tion")]
+    asked = []
+    for d in (1, 2):
+        for k in range(25):
+            text = next(x for y, p, x in pages if y == d and p == k)
+            size = rng.choice([1, 2, 3, 4, 8, 15, 30, 60])
+            at = rng.randrange(100)
+            piece = list(text[at : at + size])
+            for _ in range(size // rng.choice([5, 8, 12])):
+                where = rng.randrange(len(piece))
+                piece[where : where + 1] = rng.choice([[], ["Q"], [piece[where], "z"]])
+            asked.append((d, k, "".join(piece)))
+    asked += [(1, 100, "short story"), (1, 101, ""), (1, 102, None), (3, 1, "the"), (2, 103, "Action")]
+    t = spark.createDataFrame(asked, "doc long, ord long, title string")
+    s = spark.createDataFrame(pages, "doc long, page long, text string")
+    want, every = {}, 0
+    for d, k, title in asked:
+        for y, p, text in pages:
+            if d == y and (title or "").strip() and text:
+                head = text[: len(text) // 2 + 500].lower()
+                ratio = partial_ratio(title.strip().lower(), head)
+                every += len(title) >= 15 and len(head) >= 60
+                if ratio >= 85:
+                    want[d, k, p] = ratio
+    got = {(r["doc"], r["ord"], r["page"]): r["ratio"] for r in titles.titles_on_pages(t, s).collect()}
+    assert got == pytest.approx(want) and len(want) > 50
+    long = [tuple(r) for r in titles.likely_pages(t.filter(F.length("title") >= 15), s.filter(F.length("text") >= 60)).collect()]
+    assert len(long) == len(set(long)) and len(set(long) - set(want)) < every / 20
