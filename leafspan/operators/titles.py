@@ -1,4 +1,4 @@
-"""Approximate search of titles in pages: characters met by an equi-join, then verification of the few pairs that are left."""
+"""Approximate search of titles in pages: titles meet pages by document, those that share too few characters drop out, the few pairs that are left are verified."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafspan.functions import fuzzy
-from leafspan.sources.files import saved
+from leafspan.sources.files import saved, small
 
 #: Titles from this length on meet pages by pairs of characters, shorter ones by single characters.
 PAIRS_FROM = 3
@@ -33,28 +33,26 @@ def likely_pages(titles: DataFrame, pages: DataFrame, least: float = 85.0) -> Da
     """(doc, ord, page): pairs of titles (doc, ord, title) and pages (doc, page, text) of a document where the title can be found with ``least``.
 
     A pair stays if enough of the title's pairs of characters occur in the page's first part, shifted by nearly the same distance;
-    pages shorter than the title always stay. No pair is lost. Title and text are compared in lower case; empty ones are found nowhere.
+    pages shorter than the title always stay. No pair is lost, and only the ids of those that stay leave the join. Title and text are compared in lower case; empty ones are found nowhere.
     """
     heads = pages.select("doc", "page", fuzzy.first_part(F.lower("text")).alias("head")).filter("head <> ''")
     asked = titles.select("doc", "ord", F.trim(F.lower("title")).alias("title")).filter("title <> ''").withColumn("n", F.length("title"))
-    asked = asked.withColumn("need", _least_common(F.col("n"), least))
-    short = heads.filter(F.length("head") < asked.agg(F.max("n")).first()[0]) if not asked.isEmpty() else heads
-    found = short.withColumn("size", F.length("head")).join(asked, "doc").filter("size < n").select("doc", "ord", "page")
-    for q, own in ((2, asked.filter(F.col("n") >= PAIRS_FROM)), (1, asked.filter(F.col("n") < PAIRS_FROM))):
-        if own.isEmpty():
-            continue
-        wanted = own.select("doc", "ord", "n", "need", F.posexplode(_grams(F.col("title"), q)).alias("place", "gram"))
-        met = heads.join(own.select("doc").distinct(), "doc", "left_semi").select("doc", "page", F.posexplode(_grams(F.col("head"), q)).alias("i", "gram"))
-        met = met.groupBy("doc", "page", "gram").agg(F.collect_list("i").alias("at"))  # places within one page's first part
-        shifts = F.transform("at", lambda j: j - F.col("place"))
-        pairs = met.join(wanted, ["doc", "gram"]).groupBy("doc", "ord", "page").agg(
-            F.array_sort(F.flatten(F.collect_list(shifts))).alias("shifts"), F.first("n").alias("n"), F.first("need").alias("need")
-        )
-        width = F.floor(2 * F.col("n") * (1 - least / 100) + 1e-9)  # no more characters than that are lost or come in between
-        last = F.col("need") - 1
-        near = F.exists(F.sequence(F.lit(0), F.greatest(F.size("shifts") - F.col("need"), F.lit(0))), lambda i: F.get("shifts", i + last) - F.get("shifts", i) <= width)
-        found = found.unionByName(pairs.filter((F.size("shifts") >= F.col("need")) & near).select("doc", "ord", "page"))
-    return found
+    q = F.when(F.col("n") >= PAIRS_FROM, 2).otherwise(1)
+    of = lambda text: F.when(F.col("q") == 2, _grams(text, 2)).otherwise(_grams(text, 1))
+    placed = F.transform(of(F.col("title")), lambda g, i: F.struct(g.alias("gram"), i.alias("place")))
+    asked = asked.withColumn("need", _least_common(F.col("n"), least)).withColumn("q", q).select("doc", "ord", "n", "need", "q", placed.alias("placed"))
+    pairs = heads.join(small(asked), "doc")
+    shifts = F.transform(of(F.col("head")), lambda x, j: F.transform(F.filter("placed", lambda t: t["gram"] == x), lambda t: j - t["place"]))
+    width = F.floor(2 * F.col("n") * (1 - least / 100) + 1e-9)  # no more characters than that are lost or come in between
+    last = F.col("need") - 1
+
+    def near(s):
+        places = F.sequence(F.lit(0), F.size(s) - F.col("need"))
+        return F.when(F.size(s) >= F.col("need"), F.exists(places, lambda i: F.get(s, i + last) - F.get(s, i) <= width)).otherwise(F.lit(False))
+
+    # a list of one, so that the shifts are worked out once
+    kept = F.exists(F.array(F.array_sort(F.flatten(shifts))), near)
+    return pairs.filter((F.length("head") < F.col("n")) | kept).select("doc", "ord", "page")
 
 
 def titles_on_pages(titles: DataFrame, pages: DataFrame, least: float = 85.0) -> DataFrame:
