@@ -3,21 +3,22 @@
 Method: per kind, wide generators propose spans that may overlap. Each gets
 format features (digits, groups, separators, brackets, whether it passes its kind's check) and
 context features (a telling word before it, its neighbours). Boosted trees learn which features go
-with spans that are right, and a threshold is set per kind at the lowest score
-whose proposals were right to PRECISION in documents that the trees have not learned from. Proposals
-above it that touch no certain span and pass their kind's check are added; certain spans always stay.
+with personal data, and a threshold on their calibrated scores selects what is added. Certain spans always stay.
 
 What the trees learn from:
 
-* All proposals that pass their kind's check (octets, Luhn and digit counts, the plan of phone numbers,
-  a last label of letters) or that the certain patterns accept are right, but for the number that chance lets
-  through: per combination of features, CHANCE says how many come with those that fail. So a form that the
-  certain patterns miss does not count against itself, however common it is, and a form that
-  is mostly of no one's data does. Those that fail the check are wrong.
-* Certain spans are rewritten in their context: as forms that the certain patterns miss but the
-  generators propose (right), and both as they are and rewritten with the check broken (wrong).
+* Right are certain spans, each rewritten in its own context as forms that the certain patterns miss but the
+  generators propose.
+* Wrong are the other proposals of the same texts, which touch no certain span: numbers of orders, versions and the like; and
+  certain spans, as they are and rewritten, with the check of their kind broken.
 * SEEDS made-up lines per kind take part like documents, so that a corpus of any size has a model.
 
+Some of the other proposals are personal data in forms that the certain patterns miss; these are the ones to be found. They are taken to be no more
+than MISSED times as frequent as certain spans in such a form and context would be. So scores are calibrated on
+the documents that the trees have not learned from (the share of right spans, made monotonic), and a proposal is
+added if its share is 1 / (1 + MISSED) or more. A form that is mostly of no one's data, where numbers
+of that look are far more frequent than personal data with that context, is left alone.
+
 All work on texts is Spark SQL. The trees learn from counts of feature
 combinations over all documents; there are at most 2 * 4 * 4096 such combinations,
 whatever the corpus's size, and the fitted trees run as CASE expressions.
@@ -58,16 +59,20 @@ TELLING = {
 }
 CONTEXT = 24
 FEATURES = {"digits": 4, "separators": 4, "brackets": 2, "groups": 4, "told": 2, "left": 2, "right": 2, "checked": 2}
-#: The share of spans of no one's data that pass the check: random octets of three digits, check digits, first digits of area and exchange; for emails a guess.
-CHANCE = {"email": 0.5, "ip": 0.256**4, "card": 0.1, "phone": 0.64}
 #: Rewriting of certain spans: (pattern, replacement) in turn, for forms that the generators propose.
 FORMS = {
-    "email": [[("@", " [at] "), (r"\.", " [dot] ")], [("@", "(at)")], [(r"\.", "[.]")]],
+    "email": [[("@", " [at] "), (r"\.", " [dot] ")], [("@", "(at)")], [(r"\.", "[.]")], [("@", "{at}"), (r"\.", "{dot}")]],
     "ip": [[(r"\.", "[.]")], [(r"\.", " . ")]],
     "card": [[("[^0-9]", ""), ("([0-9]{4})(?=[0-9])", "$1.")], [("[^0-9]", ""), ("([0-9]{4})(?=[0-9])", "$1/")]],
-    "phone": [[(r"^\+", "")], [(r"^\+[0-9]{1,3}[\x20.-]?", "")], [(r"^\+", ""), (r"[\x20()-]+", ".")]],
+    "phone": [
+        [(r"^\+", "")],
+        [(r"^\+[0-9]{1,3}[\x20.-]?", "")],
+        *([(r"^\+", ""), (r"[\x20()-]+", mark)] for mark in ".- "),
+        *([(r"^\+[0-9]{1,3}[\x20().-]*", ""), (r"[\x20()-]+", mark)] for mark in "- "),
+    ],
 }
-PRECISION = 0.95
+#: How many times as frequent as certain spans a form may be that the certain patterns miss.
+MISSED = 5
 SEEDS = 24
 ROUNDS, RATE = 24, 0.3
 
@@ -220,22 +225,17 @@ def _accepted(kind: str) -> Column:
 
 
 def _described(kind: str) -> Column:
-    """A kind's proposals with enough digits: place, whether a certain span of the kind or any touches them, whether they pass the kind's check, features."""
+    """A kind's proposals with enough digits: place, whether a certain span touches them, features."""
     least, most = {"card": (13, 19), "phone": (10, 19), "ip": (4, 99), "email": (0, 1 << 30)}[kind]
     wide = F.filter(f"sp_{kind}", lambda x: F.length(F.regexp_replace(x["match"], "[^0-9]", "")).between(least, most))
 
-    def touched(x: Column, same: bool) -> Column:
-        return F.exists(
-            "base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & ((y["kind"] == x["kind"]) if same else F.lit(True))
-        )
-
     def described(x: Column) -> Column:
+        touched = F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
         return F.struct(
             x["start"].alias("start"),
             x["kind"].alias("kind"),
             x["end"].alias("end"),
-            touched(x, True).alias("certain"),
-            touched(x, False).alias("covered"),
+            touched.alias("covered"),
             *(f.alias(n) for n, f in _features(kind, F.col("text"), x).items()),
         )
 
@@ -344,63 +344,46 @@ class Trees:
 
 
 def threshold(model: Trees, rows) -> float | None:
-    """The lowest score from which on proposals (features, right, wrong) were right to PRECISION; None if there is none."""
-    scored = sorted(((model.score(f), a, b) for f, a, b in rows), reverse=True)
-    right = wrong = 0
-    found = None
-    for i, (s, a, b) in enumerate(scored):
-        right, wrong = right + a, wrong + b
-        if i + 1 < len(scored) and scored[i + 1][0] == s:
-            continue
-        if right and right >= PRECISION * (right + wrong):
-            found = s
-    return found
-
-
-def _weighed(counts: list, kind: int, folds: set[int]) -> list[tuple[tuple[int, ...], float, float]]:
-    """(features, right, wrong) of a kind's combinations in some folds."""
-    odds = CHANCE[KINDS[kind]] / (1 - CHANCE[KINDS[kind]])
-    sums: dict[tuple, list[float]] = {}
-    for r in counts:
-        if r["kind"] == kind and r["fold"] in folds:
-            own = sums.setdefault(tuple(r[n] for n in FEATURES), [0.0] * 4)
-            for j, n in enumerate(("n_right", "n_wrong", "n_made", "n_spoilt")):
-                own[j] += r[n]
-    rows = []
-    for features, (right, wrong, made, spoilt) in sorted(sums.items()):
-        if features[-1]:  # those that passed: some of them by chance, as others of this look failed
-            failed = sums.get((*features[:-1], 0), [0.0, 0.0])[1]
-            chance = min(right, failed * odds)
-            right, wrong = right - chance, wrong + chance
-        rows.append((features, right + made, wrong + spoilt))
-    return rows
+    """The lowest score whose calibrated share of right spans is 1 / (1 + MISSED) or more; None if there is none.
+
+    rows: (features, right, wrong) of documents that the trees have not learned from. Neighbouring scores are
+    pooled until shares rise with scores.
+    """
+    by_score: dict[float, list[float]] = {}
+    for features, right, wrong in rows:
+        own = by_score.setdefault(model.score(features), [0.0, 0.0])
+        own[0] += right
+        own[1] += wrong
+    pools: list[tuple[float, float, float]] = []  # lowest score, right, wrong
+    for score, (right, wrong) in sorted(by_score.items()):
+        pools.append((score, right, wrong))
+        while len(pools) > 1 and pools[-2][1] * (pools[-1][1] + pools[-1][2]) >= pools[-1][1] * (pools[-2][1] + pools[-2][2]):
+            (low, a, b), (_, c, d) = pools[-2:]
+            pools[-2:] = [(low, a + c, b + d)]
+    return next((low for low, right, wrong in pools if right and right * (1 + MISSED) >= right + wrong), None)
+
+
+def _weighed(counts: list, kind: int, fold: int) -> list[tuple[tuple[int, ...], float, float]]:
+    """(features, right, wrong) of a kind's combinations in one half."""
+    return sorted((tuple(r[n] for n in FEATURES), float(r["n_right"]), float(r["n_wrong"])) for r in counts if r["kind"] == kind and r["fold"] == fold)
 
 
 def fitted(found: DataFrame) -> dict[str, tuple[Trees, float]]:
-    """Trees and threshold per kind, from the counts of all proposals' feature combinations.
+    """Trees and threshold per kind, from the counts of feature combinations: the trees learn from half of the documents, the threshold is set on the other half."""
 
-    The trees learn from half of the documents; the threshold is set on the others' proposals that pass their check.
-    """
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    is_right = F.col("s.certain") | (~F.col("s.covered") & (F.col("s.checked") == 1))
-    is_wrong = ~F.col("s.covered") & (F.col("s.checked") == 0)
-
-    def spans_of(rows: DataFrame) -> DataFrame:
-        real = rows.select("fold", F.explode("proposed").alias("s")).filter(is_right | is_wrong)
-        real = real.select("fold", "s.kind", *(F.col(f"s.{n}") for n in FEATURES), is_right.cast("long").alias("n_right"), (~is_right).cast("long").alias("n_wrong"), none.alias("n_made"), none.alias("n_spoilt"))
-        made = rows.select("fold", F.explode("rewritten").alias("s"))
-        right = F.col("s.is_right")
-        made = made.select("fold", "s.kind", *(F.col(f"s.{n}") for n in FEATURES), none.alias("n_right"), none.alias("n_wrong"), F.when(right, one).otherwise(none).alias("n_made"), F.when(right, none).otherwise(one).alias("n_spoilt"))
-        return real.unionAll(made)
+    def labelled(spans: Column, right: Column, keep: Column) -> DataFrame:
+        rows = every.select("fold", F.explode(spans).alias("s")).filter(keep)
+        return rows.select("fold", "s.kind", *(F.col(f"s.{n}") for n in FEATURES), right.cast("long").alias("is_right"))
 
     own = F.array(F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))  # made-up lines are in both halves
-    every = spans_of(found.withColumn("fold", F.explode(F.when(F.col("made_up"), F.array(F.lit(0), F.lit(1))).otherwise(own))))
-    sums = [F.sum(n).alias(n) for n in ("n_right", "n_wrong", "n_made", "n_spoilt")]
-    counts = every.groupBy("fold", "kind", *FEATURES).agg(*sums).collect()  # at most 2 * len(KINDS) * 4096 rows
+    every = found.withColumn("fold", F.explode(F.when(F.col("made_up"), F.array(F.lit(0), F.lit(1))).otherwise(own)))
+    rows = labelled(F.col("proposed"), F.lit(False), ~F.col("s.covered")).unionAll(labelled(F.col("rewritten"), F.col("s.is_right"), F.lit(True)))
+    sums = [F.sum("is_right").alias("n_right"), F.sum(1 - F.col("is_right")).alias("n_wrong")]
+    counts = rows.groupBy("fold", "kind", *FEATURES).agg(*sums).collect()  # at most 2 * len(KINDS) * 4096 rows
     models = {}
     for i, k in enumerate(KINDS):
-        model = Trees(_weighed(counts, i, {0}), list(FEATURES.values()))
-        at = threshold(model, [r for r in _weighed(counts, i, {1}) if r[0][-1]])
+        model = Trees(_weighed(counts, i, 0), list(FEATURES.values()))
+        at = threshold(model, _weighed(counts, i, 1))
         if at is not None:
             models[k] = (model, at)
     return models
@@ -425,7 +408,7 @@ def spans(docs: DataFrame) -> DataFrame:
             *(F.when(x["kind"] == KINDS.index(k), m.column(x) >= at - 1e-9) for k, (m, at) in models.items()), F.lit(False)
         )
         added = F.transform(
-            F.filter("proposed", lambda x: ~x["covered"] & (x["checked"] == 1) & chosen(x)),
+            F.filter("proposed", lambda x: ~x["covered"] & chosen(x)),
             lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")),
         )
         return found.select("doc_id", "base", F.array_sort(F.array_distinct(F.concat("base", added))).alias("spans"))

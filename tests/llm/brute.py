@@ -155,7 +155,7 @@ def added(text, certain, models, pii):
                 int(bool(re.match(r"[^\s).\"',;:!?]", text[b : b + 1]))),
                 int(good),
             )
-            if good and kind in models and models[kind][0].score(features) >= models[kind][1] - 1e-9:
+            if kind in models and models[kind][0].score(features) >= models[kind][1] - 1e-9:
                 out.append((a, k, b))
     return out
 
