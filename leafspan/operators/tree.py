@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafspan.sources.files import saved
+
 
 def number(structure):
     """A section number with only digits and single inner dots; null if nothing is left."""
@@ -35,41 +36,62 @@ def parents(toc: DataFrame) -> DataFrame:
     return rows.join(found, ["doc", "ord"], "left").withColumn("full_title", full)
 
 
-def _places(table: pa.Table) -> pa.Table:
-    """One document's entries with depth, path and parent_path, depth first; entries that no root reaches are left out."""
-    orders, parents, titles = (table.column(c).to_pylist() for c in ("ord", "parent_ord", "title"))
-    below: dict = {}
-    for i in sorted(range(len(orders)), key=orders.__getitem__, reverse=True):
-        below.setdefault(parents[i], []).append(i)
-    kept, depths, paths, above = [], [], [], []
-    waiting = [(i, (), "") for i in below.get(None, [])]
-    while waiting:
-        i, up, over = waiting.pop()
-        path, title = (*up, orders[i]), titles[i] or ""
-        kept.append(i)
-        depths.append(len(path))
-        paths.append(list(path))
-        above.append(over)
-        waiting += [(k, path, f"{over}/{title}" if over else title) for k in below.get(orders[i], [])]
-    out = table.take(pa.array(kept, pa.int64()))
-    for name, values, kind in (("depth", depths, pa.int32()), ("path", paths, pa.list_(pa.int64())), ("parent_path", above, pa.string())):
-        out = out.append_column(name, pa.array(values, kind))
-    return out
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(doc, ord, up): each entry's way from its root down to itself, as an array of (ord, title).
+
+    Pointers double: every round joins each open entry with the one its pointer has reached, whose way is as long, so that a tree of
+    depth d takes log2(d) rounds, over all documents at once. Entries that no root reaches are left out.
+    """
+    own = F.array(F.struct("ord", F.coalesce("title", F.lit("")).alias("title")))
+    ways = saved(nodes.select("doc", "ord", F.col("parent_ord").cast("long").alias("top"), own.alias("up")), "ways")
+    left, before = ways.filter("top IS NOT NULL").count(), None
+    while left and left != before:  # the number of open entries falls in every round, but for entries in circles
+        reached = ways.select("doc", F.col("ord").alias("top"), F.col("top").alias("_top"), F.col("up").alias("_up"))
+        longer = ways.filter("top IS NOT NULL").join(reached, ["doc", "top"])
+        longer = longer.select("doc", "ord", F.col("_top").alias("top"), F.concat("_up", "up").alias("up"))
+        ways = saved(ways.filter("top IS NULL").unionByName(longer), "ways")
+        left, before = ways.filter("top IS NOT NULL").count(), left
+    return ways.filter("top IS NULL").select("doc", "ord", "up")
 
 
 def walked(nodes: DataFrame) -> DataFrame:
     """``nodes`` (doc, ord, parent_ord, title, ...) with depth, path (ords from the root) and parent_path (titles joined by '/').
 
-    One document's outline is walked at a time, in one shuffle whatever its depth.
+    Entries that no root reaches are left out. No document is handled as a whole anywhere.
     """
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in nodes.dtypes), "depth int, path array<long>, parent_path string"])
-    return nodes.groupBy("doc").applyInArrow(_places, schema)
+    titles = F.transform(F.slice("up", F.lit(1), F.size("up") - 1), lambda u: u["title"])
+    over = F.aggregate(titles, F.lit(""), lambda x, t: F.when(x == "", t).otherwise(F.concat(x, F.lit("/"), t)))
+    ways = ancestors(nodes).select("doc", "ord", F.size("up").alias("depth"), F.transform("up", lambda u: u["ord"]).alias("path"), over.alias("parent_path"))
+    return nodes.join(ways, ["doc", "ord"]).select(*nodes.columns, "depth", "path", "parent_path")
+
+
+def nested_sets(walk: DataFrame) -> DataFrame:
+    """``walk`` with first and last: entries numbered from 0 depth first, parents before children, siblings by ord; all below an entry lie between its two numbers.
+
+    An entry comes after its parent and all that is below its earlier siblings; its number is the sum of
+    these steps along its path. Sizes and sums are aggregates over paths, only siblings are ordered.
+    """
+    steps = walk.select("doc", F.col("ord").alias("_own"), F.explode("path").alias("ord"))
+    sizes = steps.groupBy("doc", "ord").agg(F.count("*").alias("size"))
+    siblings = Window.partitionBy("doc", "parent_ord").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    sized = walk.select("doc", "ord", "parent_ord").join(sizes, ["doc", "ord"])
+    step = F.coalesce(F.sum("size").over(siblings), F.lit(0)) + F.col("parent_ord").isNotNull().cast("long")
+    sized = saved(sized.select("doc", "ord", "size", step.alias("step")), "steps")
+    first = steps.join(sized.select("doc", "ord", "step"), ["doc", "ord"]).groupBy("doc", F.col("_own").alias("ord")).agg(F.sum("step").alias("first"))
+    both = first.join(sized.select("doc", "ord", "size"), ["doc", "ord"]).select("doc", "ord", "first", (F.col("first") + F.col("size") - 1).alias("last"))
+    return walk.join(both, ["doc", "ord"]).select(*walk.columns, "first", "last")
 
 
 def preorder(walk: DataFrame) -> DataFrame:
     """``walk`` with node_id: entries numbered from 0000 depth first, parents before children, siblings by ord."""
-    order = Window.partitionBy("doc").orderBy("path")
-    return walk.withColumn("node_id", F.lpad((F.row_number().over(order) - 1).cast("string"), 4, "0"))
+    number = F.col("first").cast("string")
+    return nested_sets(walk).withColumn("node_id", F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)).drop("first", "last")
+
+
+def below(sets: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc, asked, ord): all entries of the subtrees of ``asked`` (doc, ord), by ranges of numbers. ``sets`` comes from nested_sets."""
+    roots = sets.join(asked.select("doc", "ord"), ["doc", "ord"], "left_semi").select("doc", F.col("ord").alias("asked"), F.col("first").alias("_low"), F.col("last").alias("_high"))
+    return sets.join(roots, "doc").filter(F.col("first").between(F.col("_low"), F.col("_high"))).select("doc", "asked", "ord")
 
 
 def leaves(nodes: DataFrame) -> DataFrame:

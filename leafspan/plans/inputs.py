@@ -58,7 +58,11 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionAll(three.select("a", "b", "c", F.col("s_name").alias("title")))
     )
     number = F.concat_ws(".", F.col("a"), F.when(F.col("b") > 0, F.col("b")), F.when(F.col("c") > 0, F.col("c")))
-    rows = rows.select(number.alias("structure"), "title", F.row_number().over(Window.orderBy("a", "b", "c")).cast("long").alias("ord"))
+    # numbered within each region, after all entries of the regions before it, which are as few as regions
+    within = F.row_number().over(Window.partitionBy("a").orderBy("b", "c")).cast("long")
+    sizes = rows.groupBy("a").agg(F.count("*").alias("n"))
+    before = sizes.alias("x").join(F.broadcast(sizes.alias("y")), F.col("y.a") < F.col("x.a"), "left").groupBy("x.a").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("before"))
+    rows = rows.withColumn("_k", within).join(F.broadcast(before), "a").select(number.alias("structure"), "title", (F.col("_k") + F.col("before")).alias("ord"))
     return rows.select(
         "ord",
         "structure",

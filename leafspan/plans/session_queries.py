@@ -430,28 +430,28 @@ def _part_nodes(spark, sf_dir):
 
 # A node's size as JSON, whole and as a skeleton; the fold goes by the walk's order and remembers the nodes of the open part.
 _PARTS = f"""{tq._WALK}, sized_v AS MATERIALIZED (
-  SELECT row_number() OVER (ORDER BY path) AS i, ord, path,
+  SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY path) AS i, ord, path,
     length('{{"node_id": "' || ord || '", "title": "' || title || '", "summary": "s", "is_skeleton": false, "start_index": ' || physical_index || '}}') AS size,
     length('{{"node_id": "' || ord || '", "title": "' || title || '", "is_skeleton": true, "start_index": ' || physical_index || '}}') AS bare FROM walk_v),
 above_v AS MATERIALIZED (
-  SELECT n.i, n.ord, n.size, coalesce(list({{'o': a.ord, 'b': a.bare}} ORDER BY len(a.path)) FILTER (WHERE a.ord IS NOT NULL), []) AS above
-  FROM sized_v n LEFT JOIN sized_v a ON list_contains(n.path, a.ord) AND a.ord <> n.ord GROUP BY ALL),
+  SELECT n.doc, n.i, n.ord, n.size, coalesce(list({{'o': a.ord, 'b': a.bare}} ORDER BY len(a.path)) FILTER (WHERE a.ord IS NOT NULL), []) AS above
+  FROM sized_v n LEFT JOIN sized_v a ON a.doc = n.doc AND list_contains(n.path, a.ord) AND a.ord <> n.ord GROUP BY ALL),
 fold_v AS MATERIALIZED (
-  WITH RECURSIVE f(i, ord, part, held, there, missing) AS (
-    SELECT 0::BIGINT, 0::BIGINT, 1::BIGINT, 0::HUGEINT, []::BIGINT[], []::BIGINT[]
+  WITH RECURSIVE f(doc, i, ord, part, held, there, missing) AS (
+    SELECT DISTINCT doc, 0::BIGINT, 0::BIGINT, 1::BIGINT, 0::HUGEINT, []::BIGINT[], []::BIGINT[] FROM sized_v
     UNION ALL
-    SELECT i, ord, part, held + size + coalesce(list_sum(list_transform(more, lambda x: x.b)), 0), list_concat(there, list_transform(more, lambda x: x.o), [ord]), list_transform(more, lambda x: x.o)
+    SELECT doc, i, ord, part, held + size + coalesce(list_sum(list_transform(more, lambda x: x.b)), 0), list_concat(there, list_transform(more, lambda x: x.o), [ord]), list_transform(more, lambda x: x.o)
     FROM (SELECT *, list_filter(above, lambda x: NOT list_contains(there, x.o)) AS more FROM (
-      SELECT n.i, n.ord, n.size, n.above, part + (len(there) > 0 AND held + size > 2000)::BIGINT AS part, CASE WHEN len(there) > 0 AND held + size > 2000 THEN 0 ELSE held END AS held,
+      SELECT n.doc, n.i, n.ord, n.size, n.above, part + (len(there) > 0 AND held + size > 2000)::BIGINT AS part, CASE WHEN len(there) > 0 AND held + size > 2000 THEN 0 ELSE held END AS held,
         CASE WHEN len(there) > 0 AND held + size > 2000 THEN [] ELSE there END AS there
-      FROM f JOIN above_v n ON n.i = f.i + 1)))
+      FROM f JOIN above_v n ON n.doc = f.doc AND n.i = f.i + 1)))
   SELECT * FROM f WHERE i > 0),
 parts_v AS MATERIALIZED (
-  SELECT 1::BIGINT AS doc, part, row_number() OVER (ORDER BY o.i, k) AS place, o.ord::VARCHAR AS node_id, array_to_string(path[:-2], '/') AS parent_path, is_skeleton
-  FROM (SELECT i, part, unnest(missing) AS ord, unnest(range(len(missing))) AS k, true AS is_skeleton FROM fold_v UNION ALL SELECT i, part, ord, 1000000, false FROM fold_v) o
+  SELECT o.doc, part, row_number() OVER (PARTITION BY o.doc ORDER BY o.i, k) AS place, o.ord::VARCHAR AS node_id, array_to_string(path[:-2], '/') AS parent_path, is_skeleton
+  FROM (SELECT doc, i, part, unnest(missing) AS ord, unnest(range(len(missing))) AS k, true AS is_skeleton FROM fold_v UNION ALL SELECT doc, i, part, ord, 1000000, false FROM fold_v) o
   JOIN sized_v s ON s.ord = o.ord),
 envelopes_v AS MATERIALIZED (
-  SELECT doc, part, count(*) AS n_nodes, (SELECT max(part) FROM parts_v) AS total_parts FROM parts_v GROUP BY doc, part)"""
+  SELECT p.doc, part, count(*) AS n_nodes, total AS total_parts FROM parts_v p JOIN (SELECT doc, max(part) AS total FROM parts_v GROUP BY doc) t ON t.doc = p.doc GROUP BY ALL)"""
 
 
 @query(f"WITH {_PARTS} SELECT * FROM parts_v")
@@ -475,13 +475,16 @@ def part_envelopes(spark, sf_dir):
     f"""
 WITH {_PARTS}
 SELECT r.doc, r.part, n_nodes, e.part < total_parts AS has_more,
-  CASE WHEN r.doc <> 1 THEN 'unknown document' WHEN e.part IS NULL THEN 'Part ' || r.part || ' out of range' END AS error,
-  CASE WHEN r.doc = 1 AND e.part IS NULL THEN '1-' || (SELECT max(part) FROM parts_v) END AS valid_range
-FROM (VALUES (1::BIGINT, 1::BIGINT), (1, 2), (1, 0), (1, 999), (7, 1)) r(doc, part) LEFT JOIN envelopes_v e ON e.doc = r.doc AND e.part = r.part"""
+  CASE WHEN t.total IS NULL THEN 'unknown document' WHEN e.part IS NULL THEN 'Part ' || r.part || ' out of range' END AS error,
+  CASE WHEN t.total IS NOT NULL AND e.part IS NULL THEN '1-' || t.total END AS valid_range
+FROM (SELECT r_regionkey::BIGINT + 1 + 5 * (x // 4) AS doc, [1, 2, 0, 999, 1][x + 1]::BIGINT AS part FROM region, range(5) q(x)) r
+  LEFT JOIN (SELECT doc, max(part) AS total FROM parts_v GROUP BY doc) t ON t.doc = r.doc LEFT JOIN envelopes_v e ON e.doc = r.doc AND e.part = r.part"""
 )
 def part_requests(spark, sf_dir):
     envelopes = parts.part_envelopes(parts.tree_parts(_part_nodes(spark, sf_dir), most=2000))
-    asked = spark.createDataFrame([(1, 1), (1, 2), (1, 0), (1, 999), (7, 1)], "doc long, part long")
+    own = F.posexplode(F.array(*(F.lit(n).cast("long") for n in (1, 2, 0, 999, 1)))).alias("x", "part")
+    asked = v.read(spark, sf_dir, "region").select((F.col("r_regionkey") + 1).cast("long").alias("r"), own)
+    asked = asked.select((F.col("r") + F.when(F.col("x") == 4, 5).otherwise(0)).alias("doc"), "part")  # the last ones ask for documents that there are not
     return parts.part_request(envelopes, asked)
 
 

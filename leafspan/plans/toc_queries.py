@@ -196,19 +196,23 @@ def toc_accuracy(spark, sf_dir):
     return toc.accuracy(checked, 4).select(F.round("accuracy", 9).alias("accuracy"), "wrong")
 
 
+# Every page of a document is a contents page if its lines end in page numbers after leaders, which they do by a rule of document and page.
+_CONTENTS = f"""{v.PAGES}, marked_v AS (SELECT doc_id AS doc, page_num AS page, (doc_id + page_num) % 4 <> 2 AND len(string_split(text, chr(10))) >= 5 AS hit FROM pages_v)"""
+
+
 @query(
     f"""
-WITH {_TOC}, p AS (SELECT ord // 10 AS page, count(*) FILTER (WHERE ord % 7 <> 0) >= 8 AND (ord // 10) % 4 <> 2 AS hit FROM toc_v GROUP BY 1),
-r AS (SELECT page, page - row_number() OVER (ORDER BY page) AS run FROM p WHERE hit)
-SELECT 1::BIGINT AS doc, page AS physical_index FROM r WHERE run = (SELECT run FROM r ORDER BY page LIMIT 1) AND (SELECT min(page) FROM r) <= 20"""
+WITH {_CONTENTS}, r AS (SELECT doc, page, page - row_number() OVER (PARTITION BY doc ORDER BY page) AS run FROM marked_v WHERE hit),
+f AS (SELECT doc, min(run) AS run FROM r GROUP BY doc HAVING min(page) <= 20)
+SELECT doc, page AS physical_index FROM r JOIN f USING (doc, run)"""
 )
 def toc_page_run(spark, sf_dir):
-    rows = _toc(spark, sf_dir).withColumn("page", F.floor(F.col("ord") / 10))
-    entry = F.when((F.col("ord") % 7 != 0) & (F.col("page") % 4 != 2), F.concat("title", F.lit(" ..... 3"))).otherwise(F.lit("x"))
-    text = F.array_join(F.collect_list(entry), "\n")
-    pages = rows.groupBy(F.col("page").alias("physical_index")).agg(text.alias("text"), F.count(F.when(F.col("ord") % 7 != 0, 1)).alias("n"))
-    pages = pages.withColumn("text", F.when(F.col("n") >= 8, F.col("text")).otherwise(F.lit(""))).withColumn("doc", F.lit(1).cast("long"))
-    return toc.contents_run(pages)
+    pages = v.doc_pages(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.col("page_num").alias("physical_index"), F.split("text", "\n", -1).alias("lines"))
+    # eight lines at least make a contents page, so each line becomes two
+    line = lambda x: F.concat(F.regexp_replace(F.left(x, F.lit(20)), r"[.\d\s]+", "a"), F.lit(" ..... 3\nTitle ..... 4"))
+    hit = ((F.col("doc") + F.col("physical_index")) % 4 != 2) & (F.size("lines") >= 5)
+    text = F.when(hit, F.array_join(F.transform("lines", line), "\n")).otherwise(F.lit("x"))
+    return toc.contents_run(pages.select("doc", "physical_index", text.alias("text")))
 
 
 @query(
@@ -223,11 +227,11 @@ def toc_with_preface(spark, sf_dir):
 
 # Numbers are made irregular: some levels are missing, some repeat, some are no numbers.
 _MESSY = f"""{_TOC}, messy_v AS MATERIALIZED (
-  SELECT 1::BIGINT AS doc, ord, title, physical_index, CASE WHEN ord % 17 = 0 THEN NULL WHEN ord % 13 = 0 THEN '1.1' WHEN ord % 11 = 0 THEN ' ' || structure || '.4. ' ELSE structure END AS raw
+  SELECT doc, ord, title, physical_index, CASE WHEN ord % 17 = 0 THEN NULL WHEN ord % 13 = 0 THEN '1.1' WHEN ord % 11 = 0 THEN ' ' || structure || '.4. ' ELSE structure END AS raw
   FROM toc_v WHERE title NOT LIKE 'I%'),
 norm_v AS MATERIALIZED (SELECT *, nullif(trim(regexp_replace(regexp_replace(raw, '[^0-9.]', '', 'g'), '\\.+', '.', 'g'), '.'), '') AS structure FROM messy_v),
 tree_v AS MATERIALIZED (
-  SELECT n.*, (SELECT k.ord FROM norm_v k WHERE starts_with(n.structure, k.structure || '.')
+  SELECT n.*, (SELECT k.ord FROM norm_v k WHERE k.doc = n.doc AND starts_with(n.structure, k.structure || '.')
     ORDER BY length(k.structure) DESC, (k.ord < n.ord) DESC, CASE WHEN k.ord < n.ord THEN -k.ord ELSE k.ord END LIMIT 1) AS parent_ord FROM norm_v n)"""
 
 
@@ -239,7 +243,7 @@ def _messy(spark, sf_dir):
         .when(k % 11 == 0, F.concat(F.lit(" "), "structure", F.lit(".4. ")))
         .otherwise(F.col("structure"))
     )
-    rows = _toc(spark, sf_dir).filter("title NOT LIKE 'I%'").withColumn("structure", raw).withColumn("doc", F.lit(1).cast("long"))
+    rows = _toc(spark, sf_dir).filter("title NOT LIKE 'I%'").withColumn("structure", raw)
     return tree.parents(rows)
 
 
@@ -250,9 +254,9 @@ def tree_parents(spark, sf_dir):
 
 _WALK = f"""{_MESSY}, walk_v AS (
   WITH RECURSIVE w AS (
-    SELECT ord, title, physical_index, 1 AS depth, [ord] AS path, '' AS parent_path FROM tree_v WHERE parent_ord IS NULL
+    SELECT doc, ord, title, physical_index, 1 AS depth, [ord] AS path, '' AS parent_path FROM tree_v WHERE parent_ord IS NULL
     UNION ALL
-    SELECT t.ord, t.title, t.physical_index, depth + 1, list_append(path, t.ord), CASE WHEN parent_path = '' THEN w.title ELSE parent_path || '/' || w.title END
+    SELECT t.doc, t.ord, t.title, t.physical_index, depth + 1, list_append(path, t.ord), CASE WHEN parent_path = '' THEN w.title ELSE parent_path || '/' || w.title END
     FROM tree_v t JOIN w ON t.parent_ord = w.ord)
   SELECT * FROM w)"""
 _RECURSIVE = _WALK
@@ -263,7 +267,7 @@ def _walked(spark, sf_dir):
 
 
 @query(
-    f"WITH {_WALK} SELECT ord, depth::BIGINT AS depth, parent_path, lpad((row_number() OVER (ORDER BY path) - 1)::VARCHAR, 4, '0') AS node_id, "
+    f"WITH {_WALK} SELECT ord, depth::BIGINT AS depth, parent_path, lpad((row_number() OVER (PARTITION BY doc ORDER BY path) - 1)::VARCHAR, 4, '0') AS node_id, "
     "repeat('  ', depth - 1) || title AS outline FROM walk_v"
 )
 def tree_preorder(spark, sf_dir):
@@ -272,6 +276,21 @@ def tree_preorder(spark, sf_dir):
     return rows.select("ord", F.col("depth").cast("long").alias("depth"), "parent_path", "node_id", outline.alias("outline"))
 
 
+@query(
+    f"""
+WITH {_WALK}, n AS (SELECT doc, ord, path, row_number() OVER (PARTITION BY doc ORDER BY path) - 1 AS first FROM walk_v), b AS (SELECT doc, unnest(path) AS ord FROM n)
+SELECT doc, ord, first, first + k - 1 AS last FROM n JOIN (SELECT doc, ord, count(*) AS k FROM b GROUP BY ALL) USING (doc, ord)"""
+)
+def tree_nested_sets(spark, sf_dir):
+    return tree.nested_sets(_walked(spark, sf_dir)).select("doc", "ord", "first", "last")
+
+
+@query(f"WITH {_WALK} SELECT doc, unnest(path) AS asked, ord FROM walk_v")
+def tree_subtrees(spark, sf_dir):
+    sets = tree.nested_sets(_walked(spark, sf_dir))
+    return tree.below(sets, sets)
+
+
 @query(f"WITH {_MESSY} SELECT ord, full_title FROM (SELECT ord, trim(concat_ws(' ', structure, title)) AS full_title FROM tree_v) WHERE ord NOT IN (SELECT parent_ord FROM tree_v WHERE parent_ord IS NOT NULL)")
 def tree_leaves(spark, sf_dir):
     return tree.leaves(_messy(spark, sf_dir)).select("ord", "full_title")
@@ -280,7 +299,7 @@ def tree_leaves(spark, sf_dir):
 @query(
     f"""
 WITH {_MESSY}
-SELECT ord, row_number() OVER (PARTITION BY parent_ord ORDER BY coalesce(si, 1000000000), coalesce(sl, 0), title) AS place
+SELECT ord, row_number() OVER (PARTITION BY doc, parent_ord ORDER BY coalesce(si, 1000000000), coalesce(sl, 0), title) AS place
 FROM (SELECT *, CASE WHEN ord % 6 <> 0 THEN 500 - physical_index // 4 END AS si, CASE WHEN ord % 4 = 0 THEN ord % 10 END AS sl FROM tree_v)"""
 )
 def tree_by_position(spark, sf_dir):
@@ -309,8 +328,8 @@ def tree_covering_ranges(spark, sf_dir):
 @query(
     f"""
 WITH {_MESSY}
-SELECT ord, CASE WHEN ord <= 9 AND parent_ord IS NULL THEN 0 ELSE parent_ord END AS parent_ord, title FROM tree_v
-UNION ALL SELECT 0, NULL, 'Front Matter'"""
+SELECT doc, ord, CASE WHEN ord <= 9 AND parent_ord IS NULL THEN 0 ELSE parent_ord END AS parent_ord, title FROM tree_v
+UNION ALL SELECT DISTINCT doc, 0, NULL, 'Front Matter' FROM tree_v"""
 )
 def tree_front_root(spark, sf_dir):
     rows = _messy(spark, sf_dir).select(
@@ -324,7 +343,7 @@ def tree_front_root(spark, sf_dir):
         F.lit(True).alias("need"),
         F.lit(9).alias("first_page"),
     )
-    return tree.under_front_root(rows, "front", "need").select("ord", "parent_ord", "title")
+    return tree.under_front_root(rows, "front", "need").select("doc", "ord", "parent_ord", "title")
 
 
 # Nodes over documents' pages: one that starts on every page, some pages long.
