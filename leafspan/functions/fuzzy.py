@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,10 +19,13 @@ def common_length(a: str, b: str, masks: dict[str, int]) -> int:
     return len(a) - row.bit_count()
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best 200 * common / (lengths) of the shorter text with any stretch of the longer one that is no longer than it."""
+def partial_ratio(a: str, b: str, starts: Iterable[int] | None = None) -> float:
+    """The best 200 * common / (lengths) of the shorter text with any stretch of the longer one that is no longer than it.
+
+    With ``starts``, only stretches of ``b`` that begin there are tried, unless b is the shorter text.
+    """
     if len(a) > len(b):
-        a, b = b, a
+        a, b, starts = b, a, None
     if not a:
         return 100.0 if not b else 0.0
     if a in b:
@@ -29,7 +34,7 @@ def partial_ratio(a: str, b: str) -> float:
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i
     n, best = len(a), 0.0
-    for start in range(1 - n, len(b)):
+    for start in range(1 - n, len(b)) if starts is None else starts:
         part = b[max(start, 0) : start + n]
         # stretches whose outer character does not occur cannot be the best
         if part[-1] not in masks and part[0] not in masks:
@@ -42,6 +47,16 @@ def _ratios(title: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else partial_ratio(a, b) for a, b in zip(title, text, strict=True)], dtype="float64")
 
 
+def _ratios_at(title: pd.Series, text: pd.Series, starts: pd.Series) -> pd.Series:
+    rows = zip(title, text, starts, strict=True)
+    return pd.Series([partial_ratio(a, b, [k for k in s if -len(a) < k < len(b)]) for a, b, s in rows], dtype="float64")
+
+
+def title_ratio_at(title: Column, text: Column, starts: Column) -> Column:
+    """title_ratio, trying only stretches of the page that begin at ``starts``."""
+    return F.pandas_udf(_ratios_at, "double")(F.lower(title), F.lower(first_part(text)), starts)
+
+
 def first_part(text: Column, share: float = 0.5, extra: int = 500) -> Column:
     """The part of a page in which titles are searched."""
     return F.left(text, F.floor(F.length(text) * share).cast("int") + extra)

@@ -30,10 +30,10 @@ def _grams(text: Column, n: int) -> Column:
 
 
 def likely_pages(titles: DataFrame, pages: DataFrame, least: float = 85.0) -> DataFrame:
-    """(doc, ord, page): pairs of titles (doc, ord, title) and pages (doc, page, text) of a document where the title can be found with ``least``.
+    """(doc, ord, page, starts): pairs of titles (doc, ord, title) and pages (doc, page, text) of a document where the title can be found with ``least``.
 
     A pair stays if enough of the title's pairs of characters occur in the page's first part, shifted by nearly the same distance;
-    pages shorter than the title always stay. No pair is lost, and only the ids of those that stay leave the join. Title and text are compared in lower case; empty ones are found nowhere.
+    pages shorter than the title always stay. No pair is lost, and texts do not leave the join. ``starts`` are places where such a stretch may begin; other stretches are none. Title and text are compared in lower case; empty ones are found nowhere.
     """
     heads = pages.select("doc", "page", fuzzy.first_part(F.lower("text")).alias("head")).filter("head <> ''")
     asked = titles.select("doc", "ord", F.trim(F.lower("title")).alias("title")).filter("title <> ''").withColumn("n", F.length("title"))
@@ -48,15 +48,18 @@ def likely_pages(titles: DataFrame, pages: DataFrame, least: float = 85.0) -> Da
 
     def near(s):
         places = F.sequence(F.lit(0), F.size(s) - F.col("need"))
-        return F.when(F.size(s) >= F.col("need"), F.exists(places, lambda i: F.get(s, i + last) - F.get(s, i) <= width)).otherwise(F.lit(False))
+        dense = F.filter(places, lambda i: F.get(s, i + last) - F.get(s, i) <= width)
+        around = F.flatten(F.transform(dense, lambda i: F.sequence((F.get(s, i) - width).cast("int"), (F.get(s, i + last) + width).cast("int"))))
+        return F.when(F.size(s) >= F.col("need"), F.array_distinct(around)).otherwise(F.array().cast("array<int>"))
 
     # a list of one, so that the shifts are worked out once
-    kept = F.exists(F.array(F.array_sort(F.flatten(shifts))), near)
-    return pairs.filter((F.length("head") < F.col("n")) | kept).select("doc", "ord", "page")
+    starts = F.transform(F.array(F.array_sort(F.flatten(shifts))), near)
+    kept = F.filter(starts, lambda s: (F.size(s) > 0) | (F.length("head") < F.col("n")))
+    return pairs.select("doc", "ord", "page", F.explode(kept).alias("starts"))
 
 
 def titles_on_pages(titles: DataFrame, pages: DataFrame, least: float = 85.0) -> DataFrame:
     """(doc, ord, page, ratio): where a document's titles are found in the first part of its pages with a ratio of ``least`` (0 to 100), case aside."""
     pairs = saved(likely_pages(titles, pages, least), "likely-pages")
     rows = pairs.join(titles.select("doc", "ord", F.trim("title").alias("title")), ["doc", "ord"]).join(pages.select("doc", "page", "text"), ["doc", "page"])
-    return rows.withColumn("ratio", fuzzy.title_ratio(F.col("title"), F.col("text"))).filter(F.col("ratio") >= least).select("doc", "ord", "page", "ratio")
+    return rows.withColumn("ratio", fuzzy.title_ratio_at(F.col("title"), F.col("text"), F.col("starts"))).filter(F.col("ratio") >= least).select("doc", "ord", "page", "ratio")
