@@ -8,6 +8,7 @@ from leafspan.functions import text as tx
 from leafspan.operators import ranges, toc, tree
 from leafspan.plans import inputs as v
 from leafspan.registry import query
+from leafspan.sources.files import saved
 
 # Each region is a document; its entries are those that start with its number.
 _TOC = f"""{v.HEADINGS}, toc_v AS MATERIALIZED (
@@ -276,19 +277,36 @@ def tree_preorder(spark, sf_dir):
     return rows.select("ord", F.col("depth").cast("long").alias("depth"), "parent_path", "node_id", outline.alias("outline"))
 
 
+# A tree over each document's pages: three pages below each.
+_PAGE_TREE = f"""{v.PAGES}, page_tree_v AS MATERIALIZED (SELECT doc_id AS doc, page_num AS ord, CASE WHEN page_num > 1 THEN (page_num + 1) // 3 END AS parent_ord FROM pages_v),
+page_walk_v AS MATERIALIZED (
+  WITH RECURSIVE w AS (
+    SELECT doc, ord, [ord] AS path FROM page_tree_v WHERE parent_ord IS NULL
+    UNION ALL
+    SELECT t.doc, t.ord, list_append(path, t.ord) FROM page_tree_v t JOIN w ON t.doc = w.doc AND t.parent_ord = w.ord)
+  SELECT * FROM w)"""
+
+
+def _page_sets(spark, sf_dir):
+    page = F.col("page_num")
+    parent = F.when(page > 1, F.floor((page + 1) / 3))
+    return tree.nested_sets(tree.walked(v.doc_pages(spark, sf_dir).select(F.col("doc_id").alias("doc"), page.alias("ord"), parent.alias("parent_ord"), F.lit("p").alias("title"))))
+
+
 @query(
     f"""
-WITH {_WALK}, n AS (SELECT doc, ord, path, row_number() OVER (PARTITION BY doc ORDER BY path) - 1 AS first FROM walk_v), b AS (SELECT doc, unnest(path) AS ord FROM n)
+WITH {_PAGE_TREE}, n AS (SELECT doc, ord, path, row_number() OVER (PARTITION BY doc ORDER BY path) - 1 AS first FROM page_walk_v), b AS (SELECT doc, unnest(path) AS ord FROM n)
 SELECT doc, ord, first, first + k - 1 AS last FROM n JOIN (SELECT doc, ord, count(*) AS k FROM b GROUP BY ALL) USING (doc, ord)"""
 )
 def tree_nested_sets(spark, sf_dir):
-    return tree.nested_sets(_walked(spark, sf_dir)).select("doc", "ord", "first", "last")
+    return _page_sets(spark, sf_dir).select("doc", "ord", "first", "last")
 
 
-@query(f"WITH {_WALK} SELECT doc, unnest(path) AS asked, ord FROM walk_v")
+@query(f"WITH {_PAGE_TREE} SELECT doc, a AS asked, ord FROM (SELECT doc, unnest(path) AS a, ord FROM page_walk_v) WHERE a = 2 OR a = 3")
 def tree_subtrees(spark, sf_dir):
-    sets = tree.nested_sets(_walked(spark, sf_dir))
-    return tree.below(sets, sets)
+    """All pages below the second and the third one of each document."""
+    sets = saved(_page_sets(spark, sf_dir).select("doc", "ord", "first", "last"), "page-sets")
+    return tree.below(sets, sets.filter("ord IN (2, 3)"))
 
 
 @query(f"WITH {_MESSY} SELECT ord, full_title FROM (SELECT ord, trim(concat_ws(' ', structure, title)) AS full_title FROM tree_v) WHERE ord NOT IN (SELECT parent_ord FROM tree_v WHERE parent_ord IS NOT NULL)")

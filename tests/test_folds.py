@@ -589,3 +589,43 @@ def test_titles_by_character_pairs(spark):
     assert got == pytest.approx(want) and len(want) > 50
     long = [tuple(r)[:3] for r in titles.likely_pages(t.filter(F.length("title") >= 15), s.filter(F.length("text") >= 60)).collect()]
     assert len(long) == len(set(long)) and len(set(long) - set(want)) < every / 20
+
+
+def test_trees_by_pointer_doubling(spark):
+    """Random forests, a long chain, a wide star and a circle: ways, numbers and subtrees against plain walks."""
+    from leafspan.operators import tree
+
+    rng = random.Random(5)
+    rows = []
+    for doc in range(6):
+        ids = rng.sample(range(1000), 60)
+        for i, o in enumerate(ids):
+            rows.append((doc, o, None if i < 3 else ids[rng.randrange(i)], rng.choice(["", "a", "b c", None])))
+    rows += [(10, i, i - 1 if i else None, f"t{i}") for i in range(70)]
+    rows += [(11, i, 0 if i else None, "s") for i in range(300)]
+    rows += [(12, 1, 2, "x"), (12, 2, 1, "y"), (12, 3, None, "z"), (12, 4, 99, "w"), (12, 5, 4, "v")]
+    nodes = spark.createDataFrame(rows, "doc long, ord long, parent_ord long, title string")
+    walk = tree.walked(nodes)
+    sets = tree.nested_sets(walk)
+    got = {(r["doc"], r["ord"]): (r["path"], r["parent_path"], r["depth"], r["first"], r["last"]) for r in sets.collect()}
+    want = {}
+    for doc in {r[0] for r in rows}:
+        below = {}
+        for _, o, up, title in sorted((r for r in rows if r[0] == doc), key=lambda r: r[1]):
+            below.setdefault(up, []).append((o, title or ""))
+        number = 0
+
+        def visit(o, title, path, over):
+            nonlocal number
+            own, number = number, number + 1
+            for k, t in below.get(o, []):
+                visit(k, t, [*path, k], f"{over}/{title}" if over else title)
+            want[doc, o] = (path, over, len(path), own, number - 1)
+
+        for o, title in below.get(None, []):
+            visit(o, title, [o], "")
+    assert got == want
+    found = {tuple(r) for r in tree.below(sets, nodes.filter("ord % 3 = 0").select("doc", "ord")).collect()}
+    assert found == {(d, a, o) for (d, o), (path, *_) in want.items() for a in path if a % 3 == 0}
+    assert {r["node_id"] for r in tree.preorder(walk).filter("doc = 11").collect()} == {f"{i:04}" for i in range(300)}
+    assert "Python" not in sets._jdf.queryExecution().executedPlan().toString() and "FlatMapGroups" not in walk._jdf.queryExecution().executedPlan().toString()
