@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafspan.functions import text as tx
+from leafspan.operators import models
 from leafspan.sources.files import saved
 
 MOST_TURNS = 15
@@ -37,18 +39,11 @@ def opening(question: Column, doc_name: Column, system: str, history: Column | N
     return F.concat(F.array(message("system", F.lit(system))), before, F.array(message("user", asked)))
 
 
-def _replies(model: Model, retries: int):
+def _replies(model: Model, limits: models.Limits):
     def ask(batches):
         for batch in batches:
             texts, calls, errors = [], [], []
-            for messages in batch.column("messages").to_pylist():
-                reply = error = None
-                for _ in range(max(1, retries)):
-                    try:
-                        reply, error = model(messages), None
-                        break
-                    except Exception as failure:  # noqa: BLE001
-                        error = f"{type(failure).__name__}: {failure}"
+            for reply, error in models.all_replied(model, batch.column("messages").to_pylist(), limits):
                 reply = reply or {}
                 texts.append(reply.get("text"))
                 listed = ((c.get("tool"), c.get("argument")) for c in reply.get("calls") or [])
@@ -56,20 +51,21 @@ def _replies(model: Model, retries: int):
                 errors.append(error)
             kinds = pa.list_(pa.struct([("tool", pa.string()), ("argument", pa.string())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("question_id"), pa.array(texts, pa.string()), pa.array(calls, kinds), pa.array(errors, pa.string())],
-                names=["question_id", "text", "calls", "error"],
+                [batch.column("_key"), pa.array(texts, pa.string()), pa.array(calls, kinds), pa.array(errors, pa.string())],
+                names=["_key", "text", "calls", "error"],
             )
 
     return ask
 
 
-def answered(questions: DataFrame, model: Model, run: Callable[[DataFrame], DataFrame], turns: int = MOST_TURNS, retries: int = 3) -> DataFrame:
+def answered(questions: DataFrame, model: Model, run: Callable[[DataFrame], DataFrame], turns: int = MOST_TURNS, limits: models.Limits = models.Limits()) -> DataFrame:  # noqa: B008
     """(question_id, answer, answer_clean, citations, trace, pages_retrieved, all_pages_requested, total_turns, messages, error).
 
     ``questions`` has question_id (long, one row each) and messages (``opening``). ``run`` adds result, error
     (strings) and pages (array<long>: the pages that the call brought) to calls (question_id, turn, nth, tool, argument). A
     reply without calls is the answer; a model that fails ends its question with the error. Results
-    go back as messages, clipped like page texts.
+    go back as messages, clipped like page texts. Questions with the same messages are asked once. A turn
+    only reads and writes questions that are still open.
     """
     none = lambda kind: F.array().cast(f"array<{kind}>")
     state = questions.select(
@@ -81,39 +77,42 @@ def answered(questions: DataFrame, model: Model, run: Callable[[DataFrame], Data
         F.lit(None).cast("string").alias("error"),
         F.lit(0).cast("long").alias("turns"),
     )
-    state = saved(state, "dialog")
+    state, closed = saved(state, "dialog"), []
     for turn in range(1, turns + 1):
-        open_ = state.filter("answer IS NULL AND error IS NULL")
-        if open_.isEmpty():
+        if state.isEmpty():
             break
-        asked = open_.select("question_id", "messages").mapInArrow(_replies(model, retries), f"question_id long, text string, calls array<{_CALL}>, error string")
-        asked = saved(asked, "replies")
+        keyed = state.select("question_id", models.key(F.col("messages")).alias("_key"), "messages")
+        told = keyed.dropDuplicates(["_key"]).select("_key", "messages").mapInArrow(_replies(model, limits), f"_key string, text string, calls array<{_CALL}>, error string")
+        asked = saved(keyed.select("question_id", "_key").join(saved(told, "replies"), "_key").drop("_key"), "replies")
         calls = asked.select("question_id", F.lit(turn).cast("long").alias("turn"), F.posexplode("calls").alias("nth", "c")).select("question_id", "turn", "nth", "c.*")
         done = run(calls)
-        told = F.coalesce("result", F.concat(F.lit("Error: "), F.col("error")), F.lit(""))
+        result = F.coalesce("result", F.concat(F.lit("Error: "), F.col("error")), F.lit(""))
         one = F.struct(
             "nth",
-            F.struct(F.lit("tool").alias("role"), tx.clipped(told).alias("content"), F.col("tool").alias("tool")).alias("message"),
-            F.struct("turn", "tool", "argument", F.left(told, F.lit(SUMMARY)).alias("summary")).alias("call"),
+            F.struct(F.lit("tool").alias("role"), tx.clipped(result).alias("content"), F.col("tool").alias("tool")).alias("message"),
+            F.struct("turn", "tool", "argument", F.left(result, F.lit(SUMMARY)).alias("summary")).alias("call"),
             F.coalesce("pages", none("long")).alias("pages"),
         )
         results = done.select("question_id", one.alias("r")).groupBy("question_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
         said = asked.withColumnRenamed("error", "failed").join(results, "question_id", "left")
         said = said.select("question_id", "text", "failed", F.coalesce("r", F.array()).alias("r"), F.size("calls").alias("n_calls"), F.col("calls.tool").alias("called"))
         after = state.join(said, "question_id", "left")
-        asked_now = F.col("n_calls").isNotNull()
         message = F.struct(F.lit("assistant").alias("role"), F.coalesce("text", F.lit("")).alias("content"), F.array_join("called", ",").alias("tool"))
-        more = asked_now & F.col("failed").isNull() & (F.col("n_calls") > 0)
+        more = F.col("failed").isNull() & (F.col("n_calls") > 0)
         state = after.select(
             "question_id",
             F.when(more, F.concat("messages", F.array(message), F.col("r.message"))).otherwise(F.col("messages")).alias("messages"),
             F.when(more, F.concat("requested", F.flatten("r.pages"))).otherwise(F.col("requested")).alias("requested"),
             F.when(more, F.concat("trace", F.col("r.call"))).otherwise(F.col("trace")).alias("trace"),
-            F.when(asked_now & F.col("failed").isNull() & (F.col("n_calls") == 0), F.coalesce("text", F.lit(""))).otherwise(F.col("answer")).alias("answer"),
+            F.when(F.col("failed").isNull() & (F.col("n_calls") == 0), F.coalesce("text", F.lit(""))).otherwise(F.col("answer")).alias("answer"),
             F.coalesce("error", "failed").alias("error"),
-            F.when(asked_now, F.lit(turn).cast("long")).otherwise(F.col("turns")).alias("turns"),
+            F.lit(turn).cast("long").alias("turns"),
         )
         state = saved(state, "dialog")
+        is_open = "answer IS NULL AND error IS NULL"
+        closed.append(state.filter(f"NOT ({is_open})"))
+        state = state.filter(is_open)
+    state = reduce(DataFrame.unionByName, closed, state)
     answer = F.when(F.col("error").isNull(), tx.without_invitation(F.coalesce("answer", F.lit(OUT_OF_TURNS))))
     return state.withColumn("answer", answer).select(
         "question_id",

@@ -1,4 +1,4 @@
-"""Tools by name, and models as replaceable functions.
+"""Tools by name.
 
 A tool is a function from argument columns to a result column, so that calls of
 many rows run in one plan; unknown tools and failures are values, not exceptions.
@@ -7,7 +7,6 @@ many rows run in one plan; unknown tools and failures are values, not exceptions
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,38 +37,6 @@ def schemas(specs: list[dict]) -> list[dict]:
     return [{"name": s["function"]["name"], "description": s["function"]["description"], "input_schema": s["function"]["parameters"]} for s in specs]
 
 
-class Model(Protocol):
-    """A model is any function from a prompt to a reply; the library calls none by itself."""
-
-    def __call__(self, prompt: str) -> str: ...
-
-
-def asked(rows: DataFrame, prompt: str, model: Model, retries: int = 3) -> DataFrame:
-    """``rows`` with reply and error of a model for the column ``prompt``, by Arrow batches; failures become errors."""
-    import pyarrow as pa
-
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "reply string", "error string"])
-
-    def ask(batches):
-        for batch in batches:
-            replies, errors = [], []
-            for text in batch.column(batch.schema.get_field_index(prompt)).to_pylist():
-                reply = error = None
-                for _ in range(max(1, retries)):
-                    try:
-                        reply, error = model(text), None
-                        break
-                    except Exception as failure:  # noqa: BLE001
-                        error = f"{type(failure).__name__}: {failure}"
-                replies.append(reply)
-                errors.append(error)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "reply", "error"]
-            )
-
-    return rows.mapInArrow(ask, schema)
-
-
 def replayed(messages: DataFrame) -> DataFrame:
     """(session_id, turns, answer, tools): recorded agent messages (session_id, seq, role, content, tool) as outcomes.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafspan.operators import strategy, titles, toc
+from leafspan.operators import models, strategy, titles, toc
 from leafspan.plans import inputs as v
 from leafspan.registry import query
 
@@ -127,3 +127,24 @@ def titles_on_pages(spark, sf_dir):
     changed = F.array_join(F.transform(F.sequence(F.lit(1), F.length("p")), lambda i: F.when(i % gap == 3, "#").otherwise(F.substring("p", i, F.lit(1)))), "")
     found = titles.titles_on_pages(piece.select("doc", F.lit(1).cast("long").alias("ord"), changed.alias("title")), pages)
     return found.withColumn("ratio", F.round("ratio", 3))
+
+
+def _reader(prompt: str) -> str:
+    """Stands for a model: what a prompt says, turned around; it refuses empty ones."""
+    if not prompt.strip():
+        raise ValueError("nothing to read")
+    return prompt[::-1]
+
+
+@query(
+    """
+SELECT doc_id, CASE WHEN lang = 'en' THEN 'known' WHEN trim(line, ' ') <> '' THEN reverse(line) END AS reply, CASE WHEN lang IS DISTINCT FROM 'en' AND trim(line, ' ') = '' THEN 'ValueError: nothing to read' END AS error
+FROM (SELECT doc_id, line, CASE WHEN line IN (SELECT left(string_split(text, chr(10))[1], 40) FROM documents WHERE text IS NOT NULL AND lang = 'en') THEN 'en' ELSE 'xx' END AS lang
+  FROM (SELECT doc_id, left(string_split(text, chr(10))[1], 40) AS line FROM documents WHERE text IS NOT NULL))"""
+)
+def model_replies(spark, sf_dir):
+    """Replies to each document's first line; those to English ones are known from a run before."""
+    docs = v.read(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    rows = docs.select("doc_id", "lang", F.left(F.split("text", "\n").getItem(0), F.lit(40)).alias("prompt"))
+    known = rows.filter("lang = 'en'").select(models.key(F.col("prompt")).alias("prompt_key"), F.lit("known").alias("reply")).distinct()
+    return models.asked(rows, "prompt", _reader, known, models.Limits(pause=0)).select("doc_id", "reply", "error")

@@ -18,11 +18,9 @@ WATERMARK = "365 days"
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, a file at a time."""
+    """The events table as a stream, a file at a time. The name is a pattern, since a stream's path is a folder or a pattern; no other table's files are read."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-    named = F.col("_metadata.file_path").contains("/events.parquet")
-    return rows.parquet(sf_dir).where(named)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parque[t]")
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

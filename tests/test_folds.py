@@ -14,7 +14,7 @@ from leafspan import records
 from leafspan.functions import pages as pg
 from leafspan.functions import replies as rp
 from leafspan.functions import text as tx
-from leafspan.operators import conversations, dialog, evaluation, ingest, outline, parts, ranges, retrieve, state, toc, tools, tree
+from leafspan.operators import conversations, dialog, evaluation, ingest, models, outline, parts, ranges, retrieve, state, toc, tools, tree
 from leafspan.sources import files
 
 quick = settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -248,8 +248,8 @@ def test_tools_and_models(spark):
             raise ValueError("no")
         return prompt.upper()
 
-    asked = tools.asked(spark.createDataFrame([("a",), ("bad",)], "p string"), "p", model)
-    assert [(r["reply"], r["error"]) for r in asked.collect()] == [("A", None), (None, "ValueError: no")]
+    asked = models.asked(spark.createDataFrame([("a",), ("bad",)], "p string"), "p", model, limits=models.Limits(pause=0))
+    assert sorted((r["p"], r["reply"], r["error"]) for r in asked.collect()) == [("a", "A", None), ("bad", None, "ValueError: no")]
     log = [(1, 1, "user", "q", None), (1, 2, "assistant", "", "view"), (1, 3, "assistant", "done", None), (2, 1, "assistant", "", "view")]
     messages = spark.createDataFrame(log, "session_id long, seq long, role string, content string, tool string")
     got = {r["session_id"]: (r["turns"], r["answer"], r["tools"]) for r in tools.replayed(messages).collect()}
@@ -494,7 +494,7 @@ def test_questions_in_turns(spark):
 
     asked = spark.createDataFrame([(1, "one"), (2, "two"), (3, "bad")], "question_id long, q string")
     asked = asked.select("question_id", dialog.opening(F.col("q"), F.lit("d"), "sys").alias("messages"))
-    got = {r["question_id"]: r for r in dialog.answered(asked, model, run, retries=2).collect()}
+    got = {r["question_id"]: r for r in dialog.answered(asked, model, run, limits=models.Limits(tries=2, pause=0)).collect()}
     assert (got[1]["answer"], got[1]["total_turns"], got[1]["trace"], got[1]["error"]) == ("plain", 1, [], None)
     two = got[2]
     assert two["answer"] == 'It is <cite doc="d" page="1"/>.' and two["answer_clean"] == "It is ." and two["total_turns"] == 2
@@ -629,3 +629,28 @@ def test_trees_by_pointer_doubling(spark):
     assert found == {(d, a, o) for (d, o), (path, *_) in want.items() for a in path if a % 3 == 0}
     assert {r["node_id"] for r in tree.preorder(walk).filter("doc = 11").collect()} == {f"{i:04}" for i in range(300)}
     assert "Python" not in sets._jdf.queryExecution().executedPlan().toString() and "FlatMapGroups" not in walk._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_prompts_are_asked_once(spark, tmp_path):
+    """Each call leaves a file: ten different prompts of a thousand rows, four of them known, one that fails at first and one that always does."""
+    def model(prompt):
+        import os
+        import uuid
+
+        with open(f"{tmp_path}/{prompt}-{uuid.uuid4().hex}", "w"):
+            pass
+        calls = sum(name.startswith(f"{prompt}-") for name in os.listdir(tmp_path))
+        if prompt == "p9" or (prompt == "p8" and calls < 3):
+            raise ValueError("busy")
+        return prompt.upper()
+
+    rows = spark.range(1000).select("id", F.concat(F.lit("p"), F.col("id") % 10).alias("prompt")).repartition(7)
+    known = models.replies(rows.filter("id % 10 < 4"), "prompt", lambda p: f"old {p}")
+    limits = models.Limits(at_once=3, tries=3, pause=0.01)
+    got = {r["id"]: (r["reply"], r["error"]) for r in models.asked(rows, "prompt", model, known.select("prompt_key", "reply"), limits).collect()}
+    assert got == {i: (f"old p{i % 10}" if i % 10 < 4 else None if i % 10 == 9 else f"P{i % 10}", "ValueError: busy" if i % 10 == 9 else None) for i in range(1000)}
+    calls = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert {p: calls.count(p) for p in set(calls)} == {"p4": 1, "p5": 1, "p6": 1, "p7": 1, "p8": 3, "p9": 3}
+    assert models.replied(model, "p9", models.Limits(tries=0)) == (None, "ValueError: busy")
+    nulls = spark.createDataFrame([(1, None), (2, None)], "id long, prompt string")
+    assert [r["reply"] for r in models.asked(nulls, "prompt", lambda p: str(p)).collect()] == ["None", "None"]
