@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafspan.functions import text as tx
+from leafspan.functions.pages import page_list
 from leafspan.operators import models
 from leafspan.sources.files import saved
 
@@ -126,3 +127,31 @@ def answered(questions: DataFrame, model: Model, run: Callable[[DataFrame], Data
         "messages",
         "error",
     )
+
+
+def over_library(library) -> Callable[[DataFrame], DataFrame]:
+    """The tools of a library of ingested documents, for ``answered``.
+
+    get_page_content takes {"doc": ..., "pages": "7-9"} and brings these pages' texts; get_document_structure takes
+    {"doc": ..., "part": 1} and brings that part's nodes. All calls of a turn are two joins with the library's tables.
+    """
+    pages, parts = library.table("pages"), library.table("parts")
+
+    def run(calls: DataFrame) -> DataFrame:
+        keys = ["question_id", "turn", "nth"]
+        field = lambda name: F.get_json_object("argument", f"$.{name}")
+        asked = calls.select("*", field("doc").alias("_doc"), field("pages").alias("_pages"), F.coalesce(field("part").try_cast("long"), F.lit(1)).alias("_part"))
+        content = asked.filter("tool = 'get_page_content'").select(*keys, "_doc", F.explode(page_list(F.col("_pages")).cast("array<long>")).alias("_page"))
+        rows = pages.select(F.col("doc").cast("string").alias("_doc"), F.col("page").cast("long").alias("_page"), "text")
+        text = F.struct("_page", F.concat(F.lit("[Page "), F.col("_page").cast("string"), F.lit("]\n"), F.col("text")).alias("t"))
+        texts = content.join(rows, ["_doc", "_page"]).groupBy(*keys).agg(F.array_sort(F.collect_set(text)).alias("p"))
+        texts = texts.select(*keys, F.array_join("p.t", "\n\n").alias("result"), F.col("p._page").alias("pages"))
+        wanted = asked.filter("tool = 'get_document_structure'").select(*keys, "_doc", "_part")
+        nodes = parts.select(F.col("doc").cast("string").alias("_doc"), F.col("part").alias("_part"), F.struct("place", F.to_json(F.struct("node_id", "parent_path", "is_skeleton")).alias("j")).alias("n"))
+        outlines = wanted.join(nodes, ["_doc", "_part"]).groupBy(*keys).agg(F.array_sort(F.collect_list("n")).alias("n"))
+        outlines = outlines.select(*keys, F.array_join("n.j", "\n").alias("result"), F.array().cast("array<long>").alias("pages"))
+        known = F.col("tool").isin("get_page_content", "get_document_structure")
+        error = F.when(~F.coalesce(known, F.lit(False)), F.concat(F.lit("Unknown tool: "), F.coalesce("tool", F.lit("")))).when(F.col("result").isNull(), F.lit("no such document, page or part"))
+        return calls.join(texts.unionByName(outlines), keys, "left").withColumn("error", error)
+
+    return run

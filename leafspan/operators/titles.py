@@ -39,10 +39,13 @@ def likely_pages(titles: DataFrame, pages: DataFrame, least: float = 85.0) -> Da
     asked = titles.select("doc", "ord", F.trim(F.lower("title")).alias("title")).filter("title <> ''").withColumn("n", F.length("title"))
     q = F.when(F.col("n") >= PAIRS_FROM, 2).otherwise(1)
     of = lambda text: F.when(F.col("q") == 2, _grams(text, 2)).otherwise(_grams(text, 1))
-    placed = F.transform(of(F.col("title")), lambda g, i: F.struct(g.alias("gram"), i.alias("place")))
-    asked = asked.withColumn("need", _least_common(F.col("n"), least)).withColumn("q", q).select("doc", "ord", "n", "need", "q", placed.alias("placed"))
+    asked = asked.withColumn("need", _least_common(F.col("n"), least)).withColumn("q", q).withColumn("grams", of(F.col("title")))
+    places_of = lambda g: F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.get("grams", i) == g)
+    distinct = F.array_distinct("grams")
+    placed = F.map_from_arrays(distinct, F.transform(distinct, places_of))  # a lookup compares without evaluating expressions
+    asked = asked.select("doc", "ord", "n", "need", "q", placed.alias("placed"))
     pairs = heads.join(small(asked), "doc")
-    shifts = F.transform(of(F.col("head")), lambda x, j: F.transform(F.filter("placed", lambda t: t["gram"] == x), lambda t: j - t["place"]))
+    shifts = F.transform(of(F.col("head")), lambda x, j: F.transform(F.coalesce(F.try_element_at("placed", x), F.array().cast("array<int>")), lambda i: j - i))
     width = F.floor(2 * F.col("n") * (1 - least / 100) + 1e-9)  # no more characters than that are lost or come in between
     last = F.col("need") - 1
 

@@ -654,3 +654,30 @@ def test_equal_prompts_are_asked_once(spark, tmp_path):
     assert models.replied(model, "p9", models.Limits(tries=0)) == (None, "ValueError: busy")
     nulls = spark.createDataFrame([(1, None), (2, None)], "id long, prompt string")
     assert [r["reply"] for r in models.asked(nulls, "prompt", lambda p: str(p)).collect()] == ["None", "None"]
+
+
+def test_questions_from_the_command_line(spark, tmp_path, capsys, monkeypatch):
+    from leafspan.__main__ import main
+
+    pages = spark.createDataFrame([(d, p, f"{p}.1 Part\npage {p} of {d}") for d in (1, 2) for p in range(1, 5)], "doc long, page long, text string")
+    library = ingest.ingest(pages, f"file://{tmp_path}/library")
+    (tmp_path / "questions.json").write_text("\n".join(json.dumps({"question_id": i, "doc": d, "question": q}) for i, d, q in [(1, "1", "pages"), (2, "2", "outline"), (3, "9", "pages"), (4, "1", "other")]))
+    (tmp_path / "my_model.py").write_text("""
+def reply(messages):
+    last = messages[-1]
+    if last["role"] == "tool":
+        return {"text": "I saw: " + last["content"][:40].replace("\\n", " ")}
+    doc = last["content"].split("\\n")[0].split(": ")[1]
+    calls = {"pages": ("get_page_content", {"doc": doc, "pages": "2-3"}), "outline": ("get_document_structure", {"doc": doc}), "other": ("nope", {})}
+    tool, argument = calls[last["content"].split()[-1]]
+    return {"text": "", "calls": [{"tool": tool, "argument": argument}]}
+""")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.setenv("PYTHONPATH", f"{tmp_path}")
+    spark.sparkContext.addPyFile(f"{tmp_path}/my_model.py")
+    assert main(["ask", f"file://{tmp_path}/library", f"file://{tmp_path}/questions.json", "my_model:reply"]) == 0
+    out = capsys.readouterr().out
+    assert "I saw: [Page 2] 2.1 Part page 2 of 1" in out and "[2, 3]" in out and 'I saw: {"node_id":' in out
+    assert "I saw: Error: no such document" in out and "I saw: Error: Unknown tool: nope" in out
+    assert main(["ask", "x", "y"]) == 2
+    assert library.table("registry").count() == 2
