@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,14 +49,74 @@ def _ratios(title: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else partial_ratio(a, b) for a, b in zip(title, text, strict=True)], dtype="float64")
 
 
-def _ratios_at(title: pd.Series, text: pd.Series, starts: pd.Series) -> pd.Series:
-    rows = zip(title, text, starts, strict=True)
-    return pd.Series([partial_ratio(a, b, [k for k in s if -len(a) < k < len(b)]) for a, b, s in rows], dtype="float64")
+#: Titles from this length on are met by pairs of characters, shorter ones by single characters.
+PAIRS_FROM = 3
 
 
-def title_ratio_at(title: Column, text: Column, starts: Column) -> Column:
-    """title_ratio, trying only stretches of the page that begin at ``starts``."""
-    return F.pandas_udf(_ratios_at, "double")(F.lower(title), F.lower(first_part(text)), starts)
+def _least_common(n: int, least: float) -> int:
+    """How many of a title's n - 1 pairs of characters (of its characters, if it is shorter than PAIRS_FROM) a stretch of ``least`` holds.
+
+    A stretch is no longer than the title. With L common characters its ratio is 2 L / (n + m), so that L >= r n / (2 - r); each
+    character that the title loses costs two pairs, each one in between costs one. The cost is greatest for the least L, where no other characters fit in between.
+    """
+    r = least / 100
+    share = r / (2 - r)
+    if n < PAIRS_FROM:
+        return math.ceil(n * share - 1e-9)
+    return n - 1 - math.floor(n * (1 - (3 - 2 / r) * share) + 1e-9)
+
+
+def _codes(text: str, q: int) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return points if q == 1 else points[:-1] << 21 | points[1:]
+
+
+def places(title: str, text: str, least: float) -> np.ndarray | None:
+    """Where stretches of ``text`` that are as near to the title as ``least`` may begin; None if nowhere.
+
+    Common pairs of characters of such a stretch lie at distances from their places in the title that
+    differ by no more than the characters that are lost or come in between.
+    """
+    q = 2 if len(title) >= PAIRS_FROM else 1
+    own, met, need = _codes(title, q), _codes(text, q), _least_common(len(title), least)
+    width = math.floor(2 * len(title) * (1 - least / 100) + 1e-9)
+    order = np.argsort(own, kind="stable")
+    low, high = (np.searchsorted(own[order], met, side) for side in ("left", "right"))
+    some = np.flatnonzero(high > low)
+    if len(some) < need:
+        return None
+    count = (high - low)[some]
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    shifts = np.sort(np.repeat(some, count) - order[np.repeat(low[some], count) + within])
+    dense = np.flatnonzero(shifts[need - 1 :] - shifts[: len(shifts) - need + 1] <= width)
+    if not len(dense):
+        return None
+    begin, end = shifts[dense] - width, shifts[dense + need - 1] + width
+    new = np.concatenate([[True], begin[1:] > end[:-1]])  # both rise, so that what overlaps is one range
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)
+    return np.concatenate([np.arange(a, b + 1) for a, b in zip(begin[new], end[last], strict=True)])
+
+
+def _found(title: str | None, text: str | None, least: float) -> float | None:
+    if not title or not text:
+        return None
+    starts = None
+    if len(text) >= len(title):
+        starts = places(title, text, least)
+        if starts is None:
+            return None
+        starts = [k for k in starts.tolist() if -len(title) < k < len(text)]
+    ratio = partial_ratio(title, text, starts)
+    return ratio if ratio >= least else None
+
+
+def ratio_found(title: Column, text: Column, least: float = 85.0) -> Column:
+    """How well a title is found in a text, from 0 to 100; null below ``least``."""
+
+    def found(titles: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([_found(a, b, least) for a, b in zip(titles, texts, strict=True)], dtype="float64")
+
+    return F.pandas_udf(found, "double")(title, text)
 
 
 def first_part(text: Column, share: float = 0.5, extra: int = 500) -> Column:

@@ -1,68 +1,22 @@
-"""Approximate search of titles in pages: titles meet pages by document, those that share too few characters drop out, the few pairs that are left are verified."""
+"""Approximate search of titles in the pages of their documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafspan.functions import fuzzy
-from leafspan.sources.files import saved, small
+from leafspan.sources.files import small
 
-#: Titles from this length on meet pages by pairs of characters, shorter ones by single characters.
-PAIRS_FROM = 3
 
+def titles_on_pages(titles: DataFrame, pages: DataFrame, least: float = 85.0) -> DataFrame:
+    """(doc, ord, page, ratio): where titles (doc, ord, title) are found in the first part of pages (doc, page, text) of their document, with a ratio of ``least`` (0 to 100).
 
-def _least_common(n: Column, least: float) -> Column:
-    """How many of a title's n - 1 pairs of characters (of its characters, if it is shorter than PAIRS_FROM) a stretch of ``least`` holds.
-
-    A stretch is no longer than the title. With L common characters its ratio is 2 L / (n + m), so that L >= r n / (2 - r); each
-    character that the title loses costs two pairs, each one in between costs one. The cost is greatest for the least L, where no other characters fit in between.
-    """
-    r = least / 100
-    share = r / (2 - r)
-    pairs = n - 1 - F.floor(n * (1 - (3 - 2 / r) * share) + 1e-9)
-    return F.when(n >= PAIRS_FROM, pairs).otherwise(F.ceil(n * share - 1e-9)).cast("int")
-
-
-def _grams(text: Column, n: int) -> Column:
-    """All stretches of n characters of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-
-
-def likely_pages(titles: DataFrame, pages: DataFrame, least: float = 85.0) -> DataFrame:
-    """(doc, ord, page, starts): pairs of titles (doc, ord, title) and pages (doc, page, text) of a document where the title can be found with ``least``.
-
-    A pair stays if enough of the title's pairs of characters occur in the page's first part, shifted by nearly the same distance;
-    pages shorter than the title always stay. No pair is lost, and texts do not leave the join. ``starts`` are places where such a stretch may begin; other stretches are none. Title and text are compared in lower case; empty ones are found nowhere.
+    Titles meet pages by document; a page's first part is only compared with a title around places where enough of the title's pairs of
+    characters occur, shifted by nearly the same distance (fuzzy.places), which loses no page. Texts do not leave the join. Title and
+    text are compared in lower case; empty ones are found nowhere.
     """
     heads = pages.select("doc", "page", fuzzy.first_part(F.lower("text")).alias("head")).filter("head <> ''")
-    asked = titles.select("doc", "ord", F.trim(F.lower("title")).alias("title")).filter("title <> ''").withColumn("n", F.length("title"))
-    q = F.when(F.col("n") >= PAIRS_FROM, 2).otherwise(1)
-    of = lambda text: F.when(F.col("q") == 2, _grams(text, 2)).otherwise(_grams(text, 1))
-    asked = asked.withColumn("need", _least_common(F.col("n"), least)).withColumn("q", q).withColumn("grams", of(F.col("title")))
-    places_of = lambda g: F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.get("grams", i) == g)
-    distinct = F.array_distinct("grams")
-    placed = F.map_from_arrays(distinct, F.transform(distinct, places_of))  # a lookup compares without evaluating expressions
-    asked = asked.select("doc", "ord", "n", "need", "q", placed.alias("placed"))
-    pairs = heads.join(small(asked), "doc")
-    shifts = F.transform(of(F.col("head")), lambda x, j: F.transform(F.coalesce(F.try_element_at("placed", x), F.array().cast("array<int>")), lambda i: j - i))
-    width = F.floor(2 * F.col("n") * (1 - least / 100) + 1e-9)  # no more characters than that are lost or come in between
-    last = F.col("need") - 1
-
-    def near(s):
-        places = F.sequence(F.lit(0), F.size(s) - F.col("need"))
-        dense = F.filter(places, lambda i: F.get(s, i + last) - F.get(s, i) <= width)
-        around = F.flatten(F.transform(dense, lambda i: F.sequence((F.get(s, i) - width).cast("int"), (F.get(s, i + last) + width).cast("int"))))
-        return F.when(F.size(s) >= F.col("need"), F.array_distinct(around)).otherwise(F.array().cast("array<int>"))
-
-    # a list of one, so that the shifts are worked out once
-    starts = F.transform(F.array(F.array_sort(F.flatten(shifts))), near)
-    kept = F.filter(starts, lambda s: (F.size(s) > 0) | (F.length("head") < F.col("n")))
-    return pairs.select("doc", "ord", "page", F.explode(kept).alias("starts"))
-
-
-def titles_on_pages(titles: DataFrame, pages: DataFrame, least: float = 85.0) -> DataFrame:
-    """(doc, ord, page, ratio): where a document's titles are found in the first part of its pages with a ratio of ``least`` (0 to 100), case aside."""
-    pairs = saved(likely_pages(titles, pages, least), "likely-pages")
-    rows = pairs.join(titles.select("doc", "ord", F.trim("title").alias("title")), ["doc", "ord"]).join(pages.select("doc", "page", "text"), ["doc", "page"])
-    return rows.withColumn("ratio", fuzzy.title_ratio_at(F.col("title"), F.col("text"), F.col("starts"))).filter(F.col("ratio") >= least).select("doc", "ord", "page", "ratio")
+    asked = titles.select("doc", "ord", F.trim(F.lower("title")).alias("title")).filter("title <> ''")
+    ratio = fuzzy.ratio_found(F.col("title"), F.col("head"), least)
+    return heads.join(small(asked), "doc").select("doc", "ord", "page", ratio.alias("ratio")).filter("ratio IS NOT NULL")
