@@ -111,27 +111,29 @@ def refined_outline(spark, sf_dir):
     return outline.refined(nodes, pages)
 
 
-_REPLIES = [
-    'Here:\n```json\n{"a": 1,\n "b": None}\n``` done',
-    '{"a": 2, }',
-    '{"a": [1,2,],"b":3,}',
-    "no json at all",
-    '```json {"a": "x"}```',
-    "",
-    "[1, 2]",
-    '{"a": None}',
-]
-_REPLY_OUT = ['{"a": 1, "b": null}', "{}", '{"a": [1,2],"b":3}', "{}", '{"a": "x"}', "{}", "[1, 2]", '{"a": null}']
+# Replies about each document, in turn: fenced and broken ones, trailing commas, none at all. # stands for its id, @ for its first word.
+_REPLIES = {
+    'Here:\n```json\n{"id": #,\n "b": None, "w": "@"}\n``` done': '{"id": #, "b": null, "w": "@"}',
+    '{"w": "@", }': "{}",
+    '{"w": ["@",#,],"b":3,}': '{"w": ["@",#],"b":3}',
+    "@ and no json": "{}",
+    '```json {"w": "@"}```': '{"w": "@"}',
+    '{"w": None, "d": #}': '{"w": null, "d": #}',
+    "[1, #]": "[1, #]",
+    "": "{}",
+}
+_REPLY_OUT = ", ".join(f"'{x}'" for x in _REPLIES.values())
 
 
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-
-
-@query(f"SELECT i::BIGINT AS i, json FROM (VALUES {_values(enumerate(_REPLY_OUT))}) t(i, json)")
+@query(
+    f"""
+SELECT doc_id, replace(replace([{_REPLY_OUT}][doc_id % {len(_REPLIES)} + 1], '#', doc_id::VARCHAR), '@', regexp_extract(text, '[a-z]+')) AS json FROM documents WHERE text IS NOT NULL"""
+)
 def reply_json(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(_REPLIES)), "i long, reply string")
-    return rows.select("i", rp.json_text(F.col("reply")).alias("json"))
+    docs = v.read(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    form = F.get(F.array(*map(F.lit, _REPLIES)), (F.col("doc_id") % len(_REPLIES)).cast("int"))
+    reply = F.replace(F.replace(form, F.lit("#"), F.col("doc_id").cast("string")), F.lit("@"), F.regexp_extract("text", "[a-z]+", 0))
+    return docs.select("doc_id", rp.json_text(reply).alias("json"))
 
 
 _TAGGED = "'<physical_index_' || k || '>a' || chr(10) || 'b<physical_index_' || k || '>' || CASE WHEN k % 2 = 0 THEN 'x<physical_index_' || (k + 1) || '>c<physical_index_' || (k + 1) || '>' ELSE '' END"

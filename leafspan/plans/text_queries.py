@@ -215,33 +215,33 @@ _FRONT = [
     "",
 ]
 _ALIASES = ", ".join(f"('{a}', '{n}')" for a, n in tx.FRONT_ALIASES.items())
-_FRONT_SQL = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_FRONT))
+# Each document begins with one of these lines or, in turn, with its own first words.
+_FRONT_SQL = f"SELECT doc_id, doc_id % 25 * 10 AS line_no, coalesce(nullif([{', '.join(f"'{t}'" for t in _FRONT)}][doc_id % {len(_FRONT)} + 1], ''), regexp_extract(text, '[A-Za-z ]+')) AS line FROM documents WHERE text IS NOT NULL"
 
 
 @query(
     f"""
-WITH l(i, line) AS (VALUES {_FRONT_SQL}), a(alias, name) AS (VALUES {_ALIASES}), n AS (
-  SELECT i, n_nationkey * 10 AS line_no, line, lower(trim(regexp_replace(trim(trim(regexp_replace(trim(regexp_replace(
+WITH a(alias, name) AS (VALUES {_ALIASES}), n AS (
+  SELECT doc_id, line_no, line, lower(trim(regexp_replace(trim(trim(regexp_replace(trim(regexp_replace(
     trim(regexp_replace(line, '\\s+', ' ', 'g')), '\\.{{2,}}\\s*\\d+\\s*$', '')), '\\s+\\d+\\s*$', '')),
-    ' -_:;,.()[]{{}}<>'), '\\s+', ' ', 'g'))) AS key FROM l, nation
+    ' -_:;,.()[]{{}}<>'), '\\s+', ' ', 'g'))) AS key FROM ({_FRONT_SQL})
 )
-SELECT i::BIGINT AS i, line_no::BIGINT AS line_no, key, CASE WHEN name = 'Table of Contents' AND line_no >= 40 THEN NULL ELSE name END AS heading
+SELECT doc_id, line_no, key, CASE WHEN name = 'Table of Contents' AND line_no >= 40 THEN NULL ELSE name END AS heading
 FROM n LEFT JOIN a ON a.alias = n.key"""
 )
 def front_headings(spark, sf_dir):
-    lines = spark.createDataFrame(list(enumerate(_FRONT)), "i long, line string")
-    at = v.read(spark, sf_dir, "nation").select((F.col("n_nationkey") * 10).cast("long").alias("line_no"))
-    line = F.col("line")
-    return lines.crossJoin(F.broadcast(at)).select(
-        "i", "line_no", tx.front_text(line).alias("key"), tx.front_heading(line, F.col("line_no")).alias("heading")
-    )
+    form = F.nullif(F.get(F.array(*map(F.lit, _FRONT)), (F.col("doc_id") % len(_FRONT)).cast("int")), F.lit(""))
+    line = F.coalesce(form, F.regexp_extract("text", "[A-Za-z ]+", 0))
+    rows = v.read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", (F.col("doc_id") % 25 * 10).alias("line_no"), line.alias("line"))
+    return rows.select("doc_id", "line_no", tx.front_text(F.col("line")).alias("key"), tx.front_heading(F.col("line"), F.col("line_no")).alias("heading"))
 
 
 _SPECS = ["7", " 7 ", "7-11", "11-7", "7,9,11", "9, 7,7", "7,", "7,9-11", "", "a", "-5", "3-", "1,2,3,4,5,6,7,8,9,10,11", "20-22", "0"]
-_SPECS_SQL = ", ".join(f"({i}, '{s}')" for i, s in enumerate(_SPECS))
+# Each document is asked for pages in one of these forms, with a number of its own in the place of 7.
+_SPECS_SQL = f"s AS (SELECT doc_id, replace([{', '.join(f"'{s}'" for s in _SPECS)}][doc_id % {len(_SPECS)} + 1], '7', (doc_id % 23 + 1)::VARCHAR) AS spec FROM documents)"
 _PARTS = "list_transform(string_split(trim(spec), ','), lambda x: try_cast(trim(x) AS INTEGER))"
 _PARSED = f"""
-p AS (SELECT i, spec, CASE WHEN contains(spec, ',') THEN CASE WHEN len(list_filter({_PARTS}, lambda x: x IS NULL)) = 0 THEN list_sort({_PARTS}) END
+p AS (SELECT doc_id, spec, CASE WHEN contains(spec, ',') THEN CASE WHEN len(list_filter({_PARTS}, lambda x: x IS NULL)) = 0 THEN list_sort({_PARTS}) END
   WHEN contains(spec, '-') THEN CASE WHEN a <= b THEN range(a, b + 1) END
   WHEN try_cast(trim(spec) AS INTEGER) IS NOT NULL THEN [try_cast(trim(spec) AS INTEGER)] END AS pages,
   CASE WHEN contains(spec, ',') THEN list_filter({_PARTS}, lambda x: x IS NOT NULL)
@@ -252,8 +252,8 @@ p AS (SELECT i, spec, CASE WHEN contains(spec, ',') THEN CASE WHEN len(list_filt
 
 @query(
     f"""
-WITH s(i, spec) AS (VALUES {_SPECS_SQL}), {_PARSED}
-SELECT i::BIGINT AS i, spec, array_to_string(pages, ',') AS pages, array_to_string(lenient, ',') AS lenient,
+WITH {_SPECS_SQL}, {_PARSED}
+SELECT doc_id, spec, array_to_string(pages, ',') AS pages, array_to_string(lenient, ',') AS lenient,
   CASE WHEN pages IS NULL THEN 'Invalid pages format: ' || spec || '. Use ''7'', ''7-11'', or ''7,9,11''.'
     WHEN len(pages) > 10 THEN 'Too many pages (' || len(pages) || ', max 10). Please request fewer pages.'
     WHEN len(list_filter(pages, lambda x: x < 1 OR x > 20)) > 0
@@ -261,12 +261,13 @@ SELECT i::BIGINT AS i, spec, array_to_string(pages, ',') AS pages, array_to_stri
 FROM p"""
 )
 def page_specs(spark, sf_dir):
-    specs = spark.createDataFrame(list(enumerate(_SPECS)), "i long, spec string")
-    rows = specs.select(
-        "i", "spec", pg.page_list(F.col("spec")).alias("p"), pg.lenient_page_list(F.col("spec")).alias("l")
+    form = F.get(F.array(*map(F.lit, _SPECS)), (F.col("doc_id") % len(_SPECS)).cast("int"))
+    spec = F.replace(form, F.lit("7"), (F.col("doc_id") % 23 + 1).cast("string"))
+    rows = v.read(spark, sf_dir, "documents").select("doc_id", spec.alias("spec")).select(
+        "doc_id", "spec", pg.page_list(F.col("spec")).alias("p"), pg.lenient_page_list(F.col("spec")).alias("l")
     )
     return rows.select(
-        "i",
+        "doc_id",
         "spec",
         F.array_join(F.col("p").cast("array<string>"), ",").alias("pages"),
         F.array_join(F.col("l").cast("array<string>"), ",").alias("lenient"),
