@@ -51,8 +51,8 @@ def main(args: list[str]) -> int:
         from leafspan.operators import ingest
 
         library = ingest.ingest(spark.read.parquet(args[1]), args[2])
-        for step, what in library.events:
-            print(step, what)
+        for event in library.events().filter(F.col("run") == library.run).orderBy("seq").toLocalIterator():
+            print(event["step"], event["state"])
         library.report().show()
     return 0
 

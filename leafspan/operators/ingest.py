@@ -1,12 +1,14 @@
 """From pages to a library of documents: outline, parts, page windows, registry.
 
 A step is built for the documents that its table lacks. Each build adds the rows of its
-documents under a new batch number; a document's rows are those of its last batch.
+documents under a name of its own and notes them under a new batch number; a document's rows are those of its last batch.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,39 +20,63 @@ from leafspan.sources import files
 STEPS = ["index", "parts", "pages", "registry"]
 
 
+EVENT = "run string, seq long, at timestamp, step string, state string, batch long"
+
+
 @dataclass
 class Library:
+    """Tables of steps below ``path``. Beside each stands a small table of builds (doc, batch, build), the only one that tells which rows count; rows of
+    a build that broke off are not named there. What happens is written to a table of events, which streaming.progress reads live.
+    """
+
     spark: SparkSession
     path: str
-    events: list[tuple[str, str]] = field(default_factory=list)
+    run: str = field(default_factory=lambda: uuid.uuid4().hex)
+    told: int = 0
+
+    def builds(self, step: str) -> DataFrame:
+        """(doc, batch, build): the last batch of each document."""
+        rows = self.spark.read.parquet(f"{self.path}/builds/{step}")
+        return rows.groupBy("doc").agg(F.max(F.struct("batch", "build")).alias("b")).select("doc", "b.*")
 
     def batches(self, step: str) -> DataFrame:
         """(doc, batch): the batch that holds each document's rows."""
-        return self.spark.read.parquet(f"{self.path}/{step}").groupBy("doc").agg(F.max("batch").alias("batch"))
+        return self.builds(step).select("doc", "batch")
 
     def table(self, step: str) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.path}/{step}")
-        return rows.join(self.batches(step), ["doc", "batch"], "left_semi").drop("batch")
+        return rows.join(self.builds(step), ["doc", "build"], "left_semi").drop("build")
 
     def has(self, step: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{step}/_SUCCESS")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/builds/{step}/_SUCCESS")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def lacking(self, step: str, docs: DataFrame) -> DataFrame:
         """Those of ``docs`` (doc) that the step's table has no rows of."""
-        return docs.join(self.batches(step), "doc", "left_anti") if self.has(step) else docs
+        return docs.join(self.builds(step), "doc", "left_anti") if self.has(step) else docs
+
+    def tell(self, step: str, state: str, batch: int | None = None) -> None:
+        """Adds an event: a file of its own, so that streams find it at once."""
+        self.told += 1
+        row = (self.run, self.told, datetime.now(UTC), step, state, batch)
+        self.spark.createDataFrame([row], EVENT).coalesce(1).write.mode("append").parquet(f"{self.path}/events")
+
+    def events(self) -> DataFrame:
+        """All events (EVENT) of all runs."""
+        return self.spark.read.schema(EVENT).parquet(f"{self.path}/events")
 
     def step(self, name: str, build, docs: DataFrame) -> None:
         """Adds the rows that ``build`` makes for ``docs`` (doc) to a step's table; nothing if there are none."""
         if self.has(name) and docs.isEmpty():
-            self.events.append((name, "skipped"))
+            self.tell(name, "skipped")
             return
-        self.events.append((name, "start"))
-        batch = 1
+        batch, own = 1, uuid.uuid4().hex
         if self.has(name):
-            batch += self.spark.read.parquet(f"{self.path}/{name}").agg(F.max("batch")).first()[0] or 0
-        build(docs).withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{self.path}/{name}")
-        self.events.append((name, "built"))
+            batch += self.spark.read.parquet(f"{self.path}/builds/{name}").agg(F.max("batch")).first()[0] or 0
+        self.tell(name, "start", batch)
+        build(docs).withColumn("build", F.lit(own)).write.mode("append").parquet(f"{self.path}/{name}")
+        docs.select("doc", F.lit(batch).alias("batch"), F.lit(own).alias("build")).write.mode("append").parquet(f"{self.path}/builds/{name}")
+        self.tell(name, "built", batch)
 
     def report(self) -> DataFrame:
         """(doc, total_pages, n_nodes, n_parts) of each registered document."""

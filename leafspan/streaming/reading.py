@@ -86,3 +86,11 @@ def daily_tools_stream(spark: SparkSession, sf_dir: str, path: str) -> DataFrame
     _drained(out, path, "update", keep)
     states = spark.read.schema("event_type string, day string, n long, batch long").parquet(f"{path}/days")
     return states.groupBy("event_type", "day").agg(F.max_by("n", "batch").alias("n"))
+
+
+def progress(spark: SparkSession, library: str) -> DataFrame:
+    """A library's events (ingest.EVENT) as a stream, each once, also where a writer has told one twice; those later than a day are not told apart."""
+    from leafspan.operators.ingest import EVENT
+
+    rows = spark.readStream.schema(EVENT).parquet(f"{library}/events")
+    return rows.withWatermark("at", "1 day").dropDuplicatesWithinWatermark(["run", "seq"])

@@ -34,3 +34,28 @@ def test_windows_in_batches(spark, tmp_path):
     days = reading.daily_tools_stream(spark, SF, f"file://{tmp_path}/d")
     batch = spark.read.parquet(f"{SF}/events.parquet").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd 00:00:00").alias("day")).count()
     assert sorted(map(tuple, days.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_progress_of_two_runs_is_streamed_once(spark, tmp_path):
+    """Events of a run, of a second one while the stream is down, and of one that is told twice."""
+    from leafspan.operators import ingest
+
+    pages = spark.createDataFrame([(d, p, f"page {p} of {d}") for d in (1, 2) for p in (1, 2)], "doc long, page long, text string")
+    path, seen = f"file://{tmp_path}/library", []
+
+    def drain():
+        keep = lambda rows, _: seen.extend((r["run"], r["seq"], r["step"], r["state"], r["batch"]) for r in rows.collect())
+        query = reading.progress(spark, path).writeStream.option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+        query.awaitTermination()
+
+    first = ingest.ingest(pages.filter("doc = 1"), path)
+    drain()
+    assert sorted(e[1:] for e in seen) == [(2 * k + n + 1, step, state, 1) for k, step in enumerate(ingest.STEPS) for n, state in enumerate(("start", "built"))]
+    second = ingest.ingest(pages, path)
+    first.told -= 1
+    first.tell("registry", "built", 1)  # told again, as after a retry
+    drain()
+    assert len(seen) == len(set(seen)) == 16 and {e[0] for e in seen} == {first.run, second.run}
+    assert {r["doc"]: r["batch"] for r in second.batches("index").collect()} == {1: 1, 2: 2}
+    second.table("pages").sparkSession.createDataFrame([(1, 9, "lost", 0, "broken off")], "doc long, page long, text string, bucket int, build string").write.mode("append").parquet(f"{path}/pages")
+    assert second.table("pages").count() == 4  # rows of a build that was never noted do not count
