@@ -131,3 +131,17 @@ answers_v AS MATERIALIZED (
     || CASE WHEN doc_id % 3 = 0 THEN ' Also <cite doc="' || source || '" page="' || (doc_id % 5 + 3) || '"/>' ELSE '' END
     || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'Let me know if table 12 helps.' ELSE '' END AS answer
   FROM documents WHERE text IS NOT NULL)"""
+
+
+def partial_ratios(keys: str, pairs: str) -> str:
+    """Views of a statement, the last of them ratios_v (keys, ratio): how well each pair's ``title`` is found in its ``head``.
+
+    The shorter text s is held against every stretch of the longer one that is no longer than s; their longest common subsequence comes from bit rows.
+    """
+    common = """length(s) - bit_count(list_reduce(string_split(w, ''), lambda x, c: ((x + (x & coalesce(m[c], 0::HUGEINT))) | (x - (x & coalesce(m[c], 0::HUGEINT)))) & f, f))"""
+    bits = "list_sum(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN s[i] = c THEN 1::HUGEINT << (i - 1)::HUGEINT ELSE 0::HUGEINT END))::HUGEINT"
+    return f"""
+shorter_v AS (SELECT {keys}, CASE WHEN length(title) > length(head) THEN head ELSE title END AS s, CASE WHEN length(title) > length(head) THEN title ELSE head END AS l FROM ({pairs})),
+masks_v AS (SELECT *, (1::HUGEINT << length(s)::HUGEINT) - 1 AS f, map_from_entries(list_transform(list_distinct(string_split(s, '')), lambda c: {{'k': c, 'v': {bits}}})) AS m FROM shorter_v),
+stretches_v AS (SELECT {keys}, s, f, m, substring(l, greatest(k, 0) + 1, k + length(s) - greatest(k, 0)) AS w FROM (SELECT *, unnest(range(1 - length(s), length(l))) AS k FROM masks_v)),
+ratios_v AS (SELECT {keys}, max(200.0 * ({common}) / (length(s) + length(w))) AS ratio FROM stretches_v GROUP BY ALL)"""

@@ -136,7 +136,13 @@ def contents_spans(spark, sf_dir):
     return tree.without_text(rows)
 
 
-@query()
+@query(
+    f"""
+WITH {tq._TOC}, {tq._LINES}, q AS (SELECT doc AS pd, page AS pp, string_agg(line, chr(10) ORDER BY ord) AS text FROM lines_v GROUP BY ALL),
+p AS (SELECT ord, lower('x' || title) AS title, lower(left(text, length(text) // 2 + 500)) AS head FROM lines_v JOIN q ON pd = doc AND pp = page),
+{v.partial_ratios("ord", "SELECT * FROM p")}
+SELECT ord, 'x' || title AS title, round(ratio, 3) AS ratio, ratio >= 85 AS found FROM ratios_v JOIN lines_v USING (ord)"""
+)
 def fuzzy_titles(spark, sf_dir):
     pages = tq._paged(spark, sf_dir).withColumnRenamed("physical_index", "page")
     rows = tq._lines(spark, sf_dir).join(pages, ["doc", "page"]).withColumn("title", F.concat(F.lit("x"), F.col("title")))

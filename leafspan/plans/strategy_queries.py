@@ -105,19 +105,12 @@ _TITLES = f"""
 SELECT doc_id AS doc, 1::BIGINT AS ord, array_to_string(list_transform(range(1, length(p) + 1), lambda i: CASE WHEN i % (CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 10 END) = 3 THEN '#' ELSE p[i] END), '') AS title
 FROM (SELECT doc_id, {_PIECE} AS p FROM pages_v WHERE page_num = 1) WHERE length(p) > 0"""
 
-# The longest common subsequence of the shorter text s with each stretch of the longer one, by bit rows.
-_LCS = """length(s) - bit_count(list_reduce(string_split(w, ''), lambda x, c: ((x + (x & coalesce(m[c], 0::HUGEINT))) | (x - (x & coalesce(m[c], 0::HUGEINT)))) & f, f))"""
-
-
 @query(
     f"""
 WITH {v.PAGES}, t AS ({_TITLES}), h AS (SELECT doc_id, page_num, lower(left(text, length(text) // 2 + 500)) AS head FROM pages_v),
 p AS (SELECT doc, ord, page_num AS page, lower(trim(title, ' ')) AS title, head FROM t JOIN h ON doc_id = doc WHERE title <> '' AND head <> ''),
-o AS (SELECT doc, ord, page, CASE WHEN length(title) > length(head) THEN head ELSE title END AS s, CASE WHEN length(title) > length(head) THEN title ELSE head END AS l FROM p WHERE trim(title, ' ') <> ''),
-b AS (SELECT *, (1::HUGEINT << length(s)::HUGEINT) - 1 AS f,
-  map_from_entries(list_transform(list_distinct(string_split(s, '')), lambda c: {{'k': c, 'v': list_sum(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN s[i] = c THEN 1::HUGEINT << (i - 1)::HUGEINT ELSE 0::HUGEINT END))::HUGEINT}})) AS m FROM o),
-x AS (SELECT doc, ord, page, s, f, m, substring(l, greatest(k, 0) + 1, k + length(s) - greatest(k, 0)) AS w FROM (SELECT *, unnest(range(1 - length(s), length(l))) AS k FROM b))
-SELECT doc, ord, page, round(max(200.0 * ({_LCS}) / (length(s) + length(w))), 3) AS ratio FROM x GROUP BY ALL HAVING max(200.0 * ({_LCS}) / (length(s) + length(w))) >= 85"""
+{v.partial_ratios("doc, ord, page", "SELECT * FROM p WHERE trim(title, ' ') <> ''")}
+SELECT doc, ord, page, round(ratio, 3) AS ratio FROM ratios_v WHERE ratio >= 85"""
 )
 def titles_on_pages(spark, sf_dir):
     """Where documents hold pieces of their first pages, roughly."""
