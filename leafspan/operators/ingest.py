@@ -45,7 +45,7 @@ class Library:
 
     def table(self, step: str) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.path}/{step}")
-        return rows.join(self.builds(step), ["doc", "build"], "left_semi").drop("build")
+        return rows.join(files.small(self.builds(step).select("doc", "build")), ["doc", "build"], "left_semi").drop("build")
 
     def has(self, step: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/builds/{step}/_SUCCESS")
