@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 
 import duckdb
@@ -9,6 +10,8 @@ import pytest
 from oracle_check import compare
 
 from leafspan import registry
+from leafspan.operators import tree
+from leafspan.plans import toc_queries
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -33,3 +36,48 @@ def supplier(number: int, nation: str) -> str:
 def test_more_than_ten_thousand_headings(spark, tmp_path, name):
     con = headings(tmp_path, supplier(10_200, "CASE WHEN i % 100 = 0 THEN i // 100 % 25 ELSE 4 END"))
     assert compare(spark, con, str(tmp_path), QUERIES[name], SQL[name]) == ""
+
+
+def test_trees_over_all_headings(spark, tmp_path):
+    """tree_parents and the queries that follow it search all headings, not those of one region."""
+    headings(tmp_path, supplier(300, "i % 25"))
+    run = lambda name: [r.asDict() for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    rows = sorted((r.asDict() for r in toc_queries._toc(spark, str(tmp_path)).collect()), key=lambda r: r["ord"])
+    rows = [r for r in rows if not r["title"].startswith("I")]
+    for r in rows:
+        k = r["ord"]
+        raw = "" if k % 17 == 0 else "1.1" if k % 13 == 0 else f"{r['structure']}.4" if k % 11 == 0 else r["structure"]
+        r["number"] = re.sub(r"\.+", ".", raw).strip(".") or None
+    parent = {}
+    for r in rows:
+        above = [q for q in rows if r["number"] and q["number"] and r["number"].startswith(q["number"] + ".")]
+        order = lambda q: (-len(q["number"]), q["ord"] >= r["ord"], -q["ord"] if q["ord"] < r["ord"] else q["ord"])  # noqa: B023, E731
+        parent[r["ord"]] = min(above, key=order)["ord"] if above else None
+    assert {r["ord"]: r["parent_ord"] for r in run("tree_parents")} == parent
+    region = {r["ord"]: r["structure"].split(".")[0] for r in rows}
+    assert any(p and region[p] != region[k] for k, p in parent.items())
+    ways, page = {}, {r["ord"]: r["physical_index"] for r in rows}
+    for k in parent:
+        ways[k], up = [k], parent[k]
+        while up:
+            ways[k], up = [up, *ways[k]], parent[up]
+    covered = {k: [page[o] for o, way in ways.items() if k in way] for k in parent}
+    assert {r["ord"]: (r["low"], r["high"]) for r in run("tree_covering_ranges")} == {k: (min(c), max(c) + 3) for k, c in covered.items()}
+    siblings = {}
+    for k, p in parent.items():
+        siblings.setdefault(p, []).append(k)
+    places = {}
+    for r in run("tree_by_position"):
+        places.setdefault(parent[r["ord"]], []).append(r["place"])
+    assert {p: sorted(x) for p, x in places.items()} == {p: list(range(1, len(x) + 1)) for p, x in siblings.items()}
+    parts = run("tree_parts")
+    assert {r["doc"] for r in parts} == {1} and sorted(r["place"] for r in parts) == list(range(1, len(parts) + 1))
+    told = [int(r["node_id"]) for r in sorted(parts, key=lambda r: r["place"]) if not r["is_skeleton"]]
+    assert told == sorted(parent, key=lambda k: ways[k])
+
+
+def test_parents_among_many_of_a_number(spark):
+    """Of many entries of a number, the latest before is the parent."""
+    rows = [(1, k, "1.1" if k % 2 else f"1.1.{k}", f"t{k}") for k in range(1, 2001)]
+    found = tree.parents(spark.createDataFrame(rows, "doc long, ord long, structure string, title string"))
+    assert {r["ord"]: r["parent_ord"] for r in found.collect()} == {k: None if k % 2 else k - 1 for k in range(1, 2001)}
