@@ -6,21 +6,40 @@ document ``doc``. Rows stay flat; everything is a window or a join per document.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafspan.functions import fuzzy
 from leafspan.functions import text as tx
+from leafspan.sources.files import saved
+
+#: Page numbers of a block, and pairs whose differences are held at once.
+PAGES = 32768
+AT_ONCE = 1 << 20
+#: Entries of one title that are dealt out when they meet others.
+CROWD = 256
 
 
 def title_pairs(by_page: DataFrame, by_index: DataFrame, first_index: int) -> DataFrame:
-    """(title, page, physical_index, ord): entries of equal title from both lists; null titles are equal."""
-    right = by_index.select(F.col("title").alias("_title"), "physical_index")
-    return (
-        by_page.join(right, F.col("title").eqNullSafe(F.col("_title")))
-        .filter(F.col("physical_index") >= first_index)
-        .select("title", "page", "physical_index", "ord")
-    )
+    """(title, page, physical_index, ord): entries of equal title from both lists; null titles are equal.
+
+    Entries of a title that many have are dealt out, each share meets the title's entries of the other list.
+    """
+    left = by_page.select("title", "page", "ord")
+    right = by_index.filter(F.col("physical_index") >= first_index).select(F.col("title").alias("_title"), "physical_index")
+    crowds = left.groupBy("title").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("shares")).filter("shares > 1").select(F.col("title").alias("_t"), "shares")
+    dealt = lambda t, c: t.join(crowds, F.col(c).eqNullSafe(F.col("_t")), "left").drop("_t").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    left = dealt(left, "title").withColumn("_share", F.pmod(F.xxhash64("page", "ord"), F.col("shares")).cast("int")).drop("shares")
+    right = dealt(right, "_title").withColumn("_own", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    return left.join(right, F.col("title").eqNullSafe(F.col("_title")) & (F.col("_share") == F.col("_own"))).select("title", "page", "physical_index", "ord")
+
+
+def _first_met(counted: DataFrame) -> DataFrame:
+    """One row (offset): of the differences (offset, n, first) the most frequent; of equals the one met first, by ord, then physical_index."""
+    met = F.struct("n", (-F.col("first.ord")).alias("a"), (-F.col("first.physical_index")).alias("b"))
+    return counted.agg(F.max_by("offset", met).alias("offset"))
 
 
 def page_offset(pairs: DataFrame) -> DataFrame:
@@ -29,8 +48,56 @@ def page_offset(pairs: DataFrame) -> DataFrame:
     counted = pairs.filter("physical_index IS NOT NULL AND page IS NOT NULL").groupBy(difference).agg(
         F.count("*").alias("n"), F.min(F.struct("ord", "physical_index")).alias("first")
     )
-    met = F.struct("n", (-F.col("first.ord")).alias("a"), (-F.col("first.physical_index")).alias("b"))
-    return counted.agg(F.max_by("offset", met).alias("offset"))
+    return _first_met(counted)
+
+
+def _differences(batches):
+    """For each row of two lists, entries (page, n, ord) and (physical_index, n), how often each difference occurs and where it is met first."""
+    schema = pa.schema([(c, pa.int64()) for c in ("offset", "n", "ord", "physical_index")])
+    for batch in batches:
+        columns = []
+        for side, names in (("a", ("page", "n", "ord")), ("b", ("physical_index", "n"))):
+            lists = batch.column(side)
+            columns.append((lists.offsets.to_numpy(), [lists.values.field(c).to_numpy() for c in names]))
+        (ends_a, a), (ends_b, b) = columns
+        made, held = [], 0
+        for k in range(batch.num_rows):
+            page, n, order = (c[ends_a[k]:ends_a[k + 1]] for c in a)
+            index, m = (c[ends_b[k]:ends_b[k + 1]] for c in b)
+            by_order, by_index = np.argsort(order, kind="stable"), np.argsort(index)
+            page, n, order, index, m = page[by_order], n[by_order], order[by_order], index[by_index], m[by_index]
+            low, size = index[0] - page.max(), int(index[-1] - page.min() - index[0] + page.max()) + 1
+            count, first = np.zeros(size, np.int64), np.full(size, -1, np.int64)
+            step = max(1, AT_ONCE // len(index))
+            for i in range(0, len(page), step):  # pairs in the order they are met
+                d = (index[None, :] - page[i:i + step, None] - low).ravel()
+                np.add.at(count, d, np.outer(n[i:i + step], m).ravel())
+                new = np.flatnonzero(first[d] < 0)[::-1]
+                first[d[new]] = new + i * len(index)  # the last one written is the first one met
+            found = np.flatnonzero(count)
+            at = first[found]
+            made.append((found + low, count[found], order[at // len(index)], index[at % len(index)]))
+            held += len(found)
+            if held >= AT_ONCE or k == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], schema=schema)
+                made, held = [], 0
+
+
+def title_offset(by_page: DataFrame, by_index: DataFrame, first_index: int) -> DataFrame:
+    """``page_offset`` of ``title_pairs``, without making the pairs.
+
+    Equal entries are counted once. Each title's pages are kept in blocks of PAGES numbers; where two blocks
+    of a title meet, the differences, at most 2 * PAGES, are counted in place.
+    """
+    title = F.struct(F.coalesce("title", F.lit("")).alias("text"), F.col("title").isNull().alias("none")).alias("title")
+    block = lambda c: F.floor(F.col(c) / PAGES).alias("block")
+    a = by_page.filter("page IS NOT NULL").groupBy(title, F.col("page").cast("long").alias("page")).agg(F.count("*").alias("n"), F.min("ord").cast("long").alias("ord"))
+    b = by_index.filter(F.col("physical_index") >= first_index).groupBy(title, F.col("physical_index").cast("long").alias("physical_index")).agg(F.count("*").alias("n"))
+    a = a.groupBy("title", block("page")).agg(F.collect_list(F.struct("page", "n", "ord")).alias("a"))
+    b = b.groupBy("title", block("physical_index")).agg(F.collect_list(F.struct("physical_index", "n")).alias("b"))
+    cells = a.join(b.withColumnRenamed("block", "_block"), "title").repartition("title", "block", "_block").select("a", "b")
+    counted = saved(cells.mapInArrow(_differences, "offset long, n long, ord long, physical_index long"), "differences")
+    return _first_met(counted.groupBy("offset").agg(F.sum("n").alias("n"), F.min(F.struct("ord", "physical_index")).alias("first")))
 
 
 def with_offset(toc: DataFrame, offset: DataFrame) -> DataFrame:

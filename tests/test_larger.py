@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import random
 import re
 import shutil
+from collections import Counter
 
 import duckdb
 import pytest
 from oracle_check import compare
+from pyspark.sql import Row
 
 from leafspan import registry
-from leafspan.operators import tree
+from leafspan.operators import toc, tree
 from leafspan.plans import toc_queries
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +84,31 @@ def test_parents_among_many_of_a_number(spark):
     rows = [(1, k, "1.1" if k % 2 else f"1.1.{k}", f"t{k}") for k in range(1, 2001)]
     found = tree.parents(spark.createDataFrame(rows, "doc long, ord long, structure string, title string"))
     assert {r["ord"]: r["parent_ord"] for r in found.collect()} == {k: None if k % 2 else k - 1 for k in range(1, 2001)}
+
+
+def test_offsets_make_no_pairs(spark, tmp_path, monkeypatch):
+    """The offset is counted in blocks: pairs of all untitled entries are never made."""
+
+    def made(*_):
+        raise AssertionError("pairs are made")
+
+    con = headings(tmp_path, supplier(1500, "i % 25"))
+    monkeypatch.setattr(toc, "title_pairs", made)
+    for name in ("toc_page_offset", "toc_with_offset"):
+        assert compare(spark, con, str(tmp_path), QUERIES[name], SQL[name]) == ""
+
+
+def test_title_offset_over_blocks(spark, monkeypatch):
+    dice = random.Random(3)
+    for size in (60, 5):
+        a = [(dice.choice([None, "a", "b"]), dice.choice([None, *range(-size, size)]), k) for k in range(50)]
+        b = [(dice.choice([None, "a", "c"]), dice.choice([None, *range(size)])) for _ in range(40)]
+        pairs = [(i - p, o, i) for t, p, o in a for u, i in b if t == u and p is not None and i is not None and i >= 2]
+        count = Counter(d for d, *_ in pairs)
+        want = min(pairs, key=lambda x: (-count[x[0]], *x[1:]))[0]
+        lists = spark.createDataFrame(a, "title string, page long, ord long"), spark.createDataFrame(b, "title string, physical_index long")
+        monkeypatch.setattr(toc, "PAGES", 16)
+        assert toc.title_offset(*lists, 2).first()[0] == toc.page_offset(toc.title_pairs(*lists, 2)).first()[0] == want
+        monkeypatch.setattr(toc, "CROWD", 4)
+        assert sorted(toc.title_pairs(*lists, 2).collect(), key=repr) == sorted(((t, p, i, o) for t, p, o in a for u, i in b if t == u and i is not None and i >= 2), key=lambda r: repr(Row(title=r[0], page=r[1], physical_index=r[2], ord=r[3])))
+    assert toc.title_offset(lists[0].limit(0), lists[1], 2).first()[0] is None
