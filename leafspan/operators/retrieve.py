@@ -18,8 +18,8 @@ GRAM = 3
 FIRST = 64
 #: The part of that score which words may add that no section is met by.
 SHARE = 0.35
-#: Vectors of a block.
-VECTORS = 4096
+#: Query vectors and chunk vectors of a cell, and products that are held at once.
+ASKED, MET, PRODUCTS = 8192, 32768, 1 << 20
 
 
 def _holding(sections: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -181,21 +181,38 @@ def answer_context(ranked: DataFrame, sections: DataFrame) -> DataFrame:
     return parts.select("question_id", F.array_join("p.t", "\n\n").alias("context"))
 
 
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as rows of a matrix."""
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
 def _best_products(k: int):
-    """The k best chunks of each query of a cell: products of two blocks of vectors."""
+    """The k best chunks of each query of a cell: products of two blocks of vectors, a few queries at a time."""
     schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("node_id", pa.int64()), ("product", pa.float64())])
 
     def best(key, asked, chunks):
         if not asked.num_rows or not chunks.num_rows:
             return schema.empty_table()
-        one, two = (np.array(t.column(c).to_pylist(), np.float64) for t, c in ((asked, "asked"), (chunks, "met")))
-        product = one @ two.T
-        ids = chunks.column("chunk_id").to_numpy()
-        place = np.lexsort((np.broadcast_to(ids, product.shape), -np.round(product, 9)), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(one)), place.shape[1])
-        found = place.ravel()
+        chunks = chunks.sort_by("chunk_id")
+        one, two = _vectors(asked.column("asked")), _vectors(chunks.column("met"))
+        rows, found, products = [], [], []
+        step = max(1, PRODUCTS // len(two))
+        for i in range(0, len(one), step):
+            product = one[i:i + step] @ two.T
+            lack = -np.round(product, 9)
+            last = np.partition(lack, k - 1, axis=1)[:, k - 1, None] if len(two) > k else np.inf
+            row, place = np.nonzero(~(lack > last))  # all that reach the k-th best one, equal ones too
+            order = np.lexsort((place, lack[row, place], row))
+            row, place = row[order], place[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            row, place = row[rank < k], place[rank < k]
+            rows.append(row + i)
+            found.append(place)
+            products.append(product[row, place])
+        rows, found = np.concatenate(rows), np.concatenate(found)
         columns = [asked.column("query_id").take(rows), chunks.column("chunk_id").take(found), chunks.column("node_id").take(found)]
-        return pa.Table.from_arrays([*columns, pa.array(product[rows, found])], schema=schema)
+        return pa.Table.from_arrays([*columns, pa.array(np.concatenate(products))], schema=schema)
 
     return best
 
@@ -208,8 +225,8 @@ def node_values(chunks: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame
     a time; only the k best of a block leave it. Equal products go by chunk_id.
     """
     queries, chunks = (t.filter("embedding IS NOT NULL") for t in (queries, chunks))
-    many = lambda t: max(1, -(-t.count() // VECTORS))
-    rows, columns = many(queries), many(chunks)
+    many = lambda t, size: max(1, -(-t.count() // size))
+    rows, columns = many(queries, ASKED), many(chunks, MET)
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("asked"), block("query_id", rows).alias("i"), every(columns).alias("j"))

@@ -5,15 +5,18 @@ from __future__ import annotations
 import random
 import re
 import shutil
+import tracemalloc
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from oracle_check import compare
 from pyspark.sql import Row
 
 from leafspan import registry
-from leafspan.operators import toc, tree
+from leafspan.operators import retrieve, toc, tree
 from leafspan.plans import toc_queries
 
 SF = "/root/testdata/sf0.001"
@@ -112,3 +115,25 @@ def test_title_offset_over_blocks(spark, monkeypatch):
         monkeypatch.setattr(toc, "CROWD", 4)
         assert sorted(toc.title_pairs(*lists, 2).collect(), key=repr) == sorted(((t, p, i, o) for t, p, o in a for u, i in b if t == u and i is not None and i >= 2), key=lambda r: repr(Row(title=r[0], page=r[1], physical_index=r[2], ord=r[3])))
     assert toc.title_offset(lists[0].limit(0), lists[1], 2).first()[0] is None
+
+
+def test_products_in_little_memory():
+    """A cell's products are held a few queries at a time; equal ones go by chunk."""
+    dice = np.random.default_rng(5)
+    two = dice.integers(-1, 2, (4096, 4)).astype(np.float32)
+    one = dice.integers(-1, 2, (4096, 4)).astype(np.float32)
+    ids = dice.permutation(len(two))
+    asked = pa.table({"query_id": np.arange(len(one)), "asked": pa.array(list(one))})
+    chunks = pa.table({"chunk_id": ids, "node_id": ids % 7, "met": pa.array(list(two))})
+    tracemalloc.start()
+    try:
+        got = retrieve._best_products(50)(None, asked, chunks)
+        assert tracemalloc.get_traced_memory()[1] < 120e6
+    finally:
+        tracemalloc.stop()
+    got = got.to_pydict()
+    for q in (0, 77, 4095):
+        worth = one[q].astype(float) @ two.T.astype(float)
+        best = sorted(range(len(two)), key=lambda i: (-worth[i], ids[i]))[:50]
+        assert [c for c, i in zip(got["chunk_id"], got["query_id"], strict=True) if i == q] == [ids[i] for i in best]
+    assert len(got["query_id"]) == 4096 * 50 and all(n == c % 7 for n, c in zip(got["node_id"], got["chunk_id"], strict=True))
