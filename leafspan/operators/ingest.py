@@ -44,8 +44,12 @@ class Library:
         return self.builds(step).select("doc", "batch")
 
     def table(self, step: str) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.path}/{step}")
-        return rows.join(files.small(self.builds(step).select("doc", "build")), ["doc", "build"], "left_semi").drop("build")
+        """The rows of all named builds, but for documents that were built anew later; these alone are joined by document."""
+        rows, named = self.spark.read.parquet(f"{self.path}/{step}"), self.spark.read.parquet(f"{self.path}/builds/{step}")
+        again = named.groupBy("doc").agg(F.max(F.struct("batch", "build")).alias("b"), F.collect_set("build").alias("all")).filter(F.size("all") > 1)
+        stale = again.select("doc", F.explode(F.array_except("all", F.array("b.build"))).alias("build"))
+        kept = rows.join(F.broadcast(named.select("build").distinct()), "build", "left_semi")
+        return kept.join(files.small(stale), ["doc", "build"], "left_anti").drop("build")
 
     def has(self, step: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/builds/{step}/_SUCCESS")
@@ -92,19 +96,19 @@ def outline(pages: DataFrame) -> DataFrame:
     titled with the page's first line.
     """
     found = toc.heading_lines(pages.select("doc", F.col("page").alias("physical_index"), "text")).select("doc", "ord", "structure", "title", "physical_index")
-    plain = pages.join(found.select("doc").distinct(), "doc", "left_anti").select(
-        "doc",
-        F.col("page").alias("ord"),
-        F.lit(None).cast("string").alias("structure"),
-        F.left(F.split("text", "\n").getItem(0), F.lit(80)).alias("title"),
-        F.col("page").alias("physical_index"),
+    found = files.saved(found, "headings")
+    # texts are read once more, for the short beginnings of pages
+    starts = [F.left(F.split("text", "\n").getItem(0), F.lit(80)).alias("title"), F.left(parts.prefix_summary(F.col("text")), F.lit(200)).alias("summary")]
+    starts = files.saved(pages.select("doc", F.col("page").alias("start_index"), *starts), "page-starts")
+    plain = starts.join(found.select("doc").distinct(), "doc", "left_anti").select(
+        "doc", F.col("start_index").alias("ord"), F.lit(None).cast("string").alias("structure"), "title", F.col("start_index").alias("physical_index")
     )
-    last = pages.groupBy("doc").agg(F.max("page").alias("pages"))
+    last = starts.groupBy("doc").agg(F.max("start_index").alias("pages"))
     rows = found.unionByName(plain).join(last, "doc").withColumn("starts_page", F.lit(True))
     ranged = toc.page_ranges(rows).select("doc", "ord", "structure", "title", "start_index", "end_index")
-    walked = tree.preorder(tree.walked(tree.parents(ranged).select("doc", "ord", "parent_ord", "title", "start_index", "end_index")))
-    first = pages.select("doc", F.col("page").alias("start_index"), F.left(parts.prefix_summary(F.col("text")), F.lit(200)).alias("summary"))
-    return walked.join(first, ["doc", "start_index"], "left").select(
+    nodes = files.saved(tree.parents(ranged).select("doc", "ord", "parent_ord", "title", "start_index", "end_index"), "nodes")
+    walked = tree.preorder(files.saved(tree.walked(nodes), "walk"))
+    return walked.join(starts.drop("title"), ["doc", "start_index"], "left").select(
         "doc", F.col("node_id").cast("long").alias("ord"), "path", "node_id", "title", "summary", "start_index", "end_index"
     )
 

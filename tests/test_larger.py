@@ -16,7 +16,7 @@ from oracle_check import compare
 from pyspark.sql import Row
 
 from leafspan import registry
-from leafspan.operators import retrieve, toc, tree
+from leafspan.operators import ingest, retrieve, toc, tree
 from leafspan.plans import toc_queries
 
 SF = "/root/testdata/sf0.001"
@@ -137,3 +137,15 @@ def test_products_in_little_memory():
         best = sorted(range(len(two)), key=lambda i: (-worth[i], ids[i]))[:50]
         assert [c for c, i in zip(got["chunk_id"], got["query_id"], strict=True) if i == q] == [ids[i] for i in best]
     assert len(got["query_id"]) == 4096 * 50 and all(n == c % 7 for n, c in zip(got["node_id"], got["chunk_id"], strict=True))
+
+
+def test_libraries_are_read_without_joining_all_documents(spark, tmp_path, monkeypatch):
+    """Only documents that were built anew are joined when a table is read."""
+    pages = spark.createDataFrame([(d, p, f"1.1 A{d}\ntext {p}") for d in (1, 2, 3) for p in (1, 2)], "doc long, page long, text string")
+    library = ingest.ingest(pages, str(tmp_path / "library"))
+    joined = []
+    monkeypatch.setattr(ingest.files, "small", lambda t: joined.append(t.count()) or t)
+    assert library.table("pages").count() == 6 and joined == [0]
+    again = ingest.ingest(pages.filter("doc = 2"), str(tmp_path / "library"), force=frozenset({"pages"}))
+    joined.clear()
+    assert again.table("pages").count() == 6 and joined == [1]
