@@ -18,6 +18,10 @@ GRAM = 3
 FIRST = 64
 #: The part of that score which words may add that no section is met by.
 SHARE = 0.35
+#: Shares of the sections at most.
+MOST = 5000
+#: Pairs of a question and a section that a task may meet.
+PAIRS = 1_000_000
 #: Query vectors and chunk vectors of a cell, and products that are held at once.
 ASKED, MET, PRODUCTS = 8192, 32768, 1 << 20
 
@@ -87,11 +91,14 @@ def _essential(listed: DataFrame, asked: DataFrame, least: DataFrame) -> DataFra
 def _candidates(listed: DataFrame, lists: DataFrame) -> DataFrame:
     """(question_id, section_id, shared) of pairs whose score may reach the question's least one.
 
-    Words are dealt by section, so that they are counted where they are met, and only pairs that stay leave.
+    Words are dealt by section, so that they are counted where they are met, and only pairs that stay leave. There
+    are as many shares as keep a task's pairs at about PAIRS, MOST shares at most.
     """
+    pairs = listed.count() * lists.select("question_id").distinct().count()
+    shares = max(listed.sparkSession.sparkContext.defaultParallelism, min(-(-pairs // PAIRS), MOST))
     words = listed.select("section_id", "block", F.size("t").alias("n_t"), F.size("x").alias("n_x"), F.concat("t", "x", "later").alias("words"))
     # outer: the optimizer would read the arrays again to test for words, were sections without any left out here
-    words = words.repartition("section_id").select("section_id", "block", "n_t", "n_x", F.posexplode_outer("words").alias("i", "word"))
+    words = words.repartition(shares, "section_id").select("section_id", "block", "n_t", "n_x", F.posexplode_outer("words").alias("i", "word"))
     in_title, in_first = F.col("i") < F.col("n_t"), F.col("i") < F.col("n_t") + F.col("n_x")
     met = words.join(small(lists), ["word", "block"]).groupBy("section_id", "question_id")
     sums = met.agg(
@@ -164,7 +171,7 @@ def top_sections(sections: DataFrame, questions: DataFrame, k: int = 5) -> DataF
 
 def answer_context(ranked: DataFrame, sections: DataFrame) -> DataFrame:
     """(question_id, context): the ranked sections' titles, pages and clipped texts in one text."""
-    s = ranked.join(sections, "section_id")
+    s = sections.join(small(ranked), "section_id")  # few are ranked: texts stay where they are
     part = F.concat(
         F.lit("[Section "),
         F.col("rank").cast("string"),

@@ -149,3 +149,13 @@ def test_libraries_are_read_without_joining_all_documents(spark, tmp_path, monke
     again = ingest.ingest(pages.filter("doc = 2"), str(tmp_path / "library"), force=frozenset({"pages"}))
     joined.clear()
     assert again.table("pages").count() == 6 and joined == [1]
+
+
+def test_shares_of_sections_grow_with_pairs(spark, monkeypatch):
+    """A task meets a bounded number of pairs of a question and a section."""
+    listed = spark.createDataFrame([(k, 0, ["ab"], ["cd"], ["ef"]) for k in range(50)], "section_id long, block int, t array<string>, x array<string>, later array<string>")
+    lists = spark.createDataFrame([(q, 0, "ab", 1, 1, 1, 0, 0) for q in range(4)], "question_id long, block int, word string, n int, n_met long, essential long, rest int, least long")
+    dealt, deal = [], type(listed).repartition
+    monkeypatch.setattr(type(listed), "repartition", lambda df, *how: dealt.append(how) or deal(df, *how))
+    monkeypatch.setattr(retrieve, "PAIRS", 10)
+    assert retrieve._candidates(listed, lists).count() == 200 and dealt[0][0] == 20
